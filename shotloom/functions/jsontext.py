@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, strip
+from .text import clean_text, compact_text, strip
 
 # Fixed values.
 SENSITIVE_KEY_PARTS = ["api_key", "authorization", "access_token", "refresh_token", "secret", "password", "bearer"]
@@ -94,3 +94,45 @@ def preview(c: Column, limit: int = 120) -> Column:
     t = clean_text(c)
     cut = F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - 1)), F.lit("...")))
     return F.nullif(cut, F.lit(""))
+
+
+def render_value(c: Column, depth: int = 2) -> Column:
+    """JSON text as plain text: objects ``k=v; ...``, arrays ``a, b``, scalars collapsed; parts cut to 80."""
+    def part(x: Column) -> Column:
+        return compact_text(render_value(x, depth - 1) if depth > 1 else x, 80)
+
+    pairs = F.transform(
+        F.map_entries(F.from_json(c, "map<string,string>")), lambda e: F.struct(e["key"].alias("k"), part(e["value"]).alias("v"))
+    )
+    obj = F.array_join(
+        F.transform(F.filter(pairs, lambda p: p["v"] != ""), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "; "
+    )
+    arr = F.array_join(F.filter(F.transform(F.from_json(c, "array<string>"), part), lambda x: x != ""), ", ")
+    return (
+        F.when(c.isNull(), "")
+        .when(F.ltrim(c).startswith("{"), F.coalesce(obj, clean_text(c)))
+        .when(F.ltrim(c).startswith("["), F.coalesce(arr, clean_text(c)))
+        .otherwise(clean_text(c))
+    )
+
+
+def list_counts(c: Column) -> Column:
+    """``key:length`` of the list-valued top-level fields, sorted by key."""
+    entries = F.map_entries(F.from_json(c, "map<string,string>"))
+    lists = F.filter(entries, lambda e: e["value"].startswith("["))
+    return F.array_sort(
+        F.transform(lists, lambda e: F.concat(e["key"], F.lit(":"), F.json_array_length(e["value"]).cast("string")))
+    )
+
+
+def empty_fields(c: Column) -> Column:
+    """First 20 top-level fields holding null, '', [] or {}."""
+    entries = F.map_entries(F.from_json(c, "map<string,string>"))
+    bare = F.filter(entries, lambda e: e["value"].isNull() | e["value"].isin("", "[]", "{}"))
+    return F.slice(F.transform(bare, lambda e: e["key"]), 1, 20)
+
+
+def warning_count(c: Column) -> Column:
+    """Length of a ``warnings`` list; 1 for a non-blank text."""
+    w = F.get_json_object(c, "$.warnings")
+    return F.when(w.isNull(), 0).when(w.startswith("["), F.json_array_length(w)).when(strip(w) != "", 1).otherwise(0)

@@ -67,7 +67,7 @@ def clamp01(c: Column) -> Column:
 def score_from_text(c: Column, default: float) -> Column:
     """First number in a text, clamped to 0..1."""
     n = F.regexp_extract(c, r"-?\d+(?:\.\d+)?", 0).try_cast("double")
-    return F.coalesce(clamp01(n), F.lit(default))
+    return F.when(n.isNull(), F.lit(default)).otherwise(clamp01(n))
 
 
 def text_importance(text: Column) -> Column:

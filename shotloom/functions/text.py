@@ -180,13 +180,32 @@ def error_category(c: Column) -> Column:
 
 
 def inline_plain(c: Column) -> Column:
-    """Inline markdown reduced to its text: code, links, bold and italic marks removed."""
-    t = F.regexp_replace(c, r"`([^`\n]+)`", "$1")
+    """Inline markdown reduced to its text: code, link, bold and italic marks removed.
+
+    Code spans are set aside first, so their content is never read as marks.
+    """
+    code = r"`([^`\n]+)`"
+    slot = "\ue000"
+    t = F.regexp_replace(c, code, slot)
     t = F.regexp_replace(t, r"\[([^\]\n]+)\]\((https?://[^\s)]+)\)", "$1")
     t = F.regexp_replace(t, r"\*\*(.+?)\*\*", "$1")
     t = F.regexp_replace(t, r"__(.+?)__", "$1")
-    t = F.regexp_replace(t, r"\*([^*\n]+)\*", "$1")
-    return F.regexp_replace(t, r"_([^_\n]+)_", "$1")
+    t = F.regexp_replace(t, r"(?<!\*)\*([^*\n]+)\*(?!\*)", "$1")
+    t = F.regexp_replace(t, r"(?<!_)_([^_\n]+)_(?!_)", "$1")
+    spans = F.regexp_extract_all(c, F.lit(code), F.lit(1))
+    both = F.zip_with(F.split(t, slot), spans, lambda p, k: F.concat(F.coalesce(p, F.lit("")), F.coalesce(k, F.lit(""))))
+    return F.array_join(both, "")
+
+
+def plain_items(items: Column, item_limit: int = 80, max_items: int = 8) -> Column:
+    """Non-empty items, each cut to ``item_limit``, at most ``max_items``."""
+    cut = F.filter(F.transform(items, lambda x: compact_text(x, item_limit)), lambda x: x != "")
+    return F.slice(cut, 1, max_items)
+
+
+def plain_join(items: Column, empty: str = "none", item_limit: int = 80, max_items: int = 8) -> Column:
+    got = F.array_join(plain_items(items, item_limit, max_items), ", ")
+    return F.when(F.coalesce(got, F.lit("")) == "", empty).otherwise(got)
 
 
 def relativize(path: Column, root: Column) -> Column:

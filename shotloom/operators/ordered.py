@@ -43,6 +43,24 @@ def with_ordinal(
     )
 
 
+def with_running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, out: str,
+    how: str = "sum", inclusive: bool = True,
+) -> DataFrame:
+    """Running ``sum`` or ``max`` of ``value`` along the order, by bucket totals plus in-bucket windows."""
+    fn = {"sum": F.sum, "max": F.max}[how]
+    tagged = df.withColumn("_b", bucket).withColumn("_val", value)
+    upto = 0 if inclusive else -1
+    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    totals = tagged.groupBy(*keys, "_b").agg(fn("_val").alias("_tot"))
+    wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_b", fn("_tot").over(wk).alias("_prior"))
+    got = tagged.withColumn("_in", fn("_val").over(w)).join(totals, [*keys, "_b"])
+    zero = F.lit(0)
+    both = F.coalesce("_in", zero) + F.coalesce("_prior", zero) if how == "sum" else F.greatest("_in", "_prior")
+    return got.withColumn(out, both).drop("_b", "_val", "_in", "_prior")
+
+
 def with_group_size(df: DataFrame, keys: Sequence[str], out: str = "group_size") -> DataFrame:
     """Rows per key, counted with partial aggregation and joined back."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias(out))

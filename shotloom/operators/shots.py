@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round_at
 from ..functions.text import relativize
-from .ordered import group_quantiles, id_bucket, with_neighbors, with_ordinal
+from .ordered import group_quantiles, id_bucket, with_neighbors, with_ordinal, with_running
 from .staging import materialize
 
 K = ["video_id"]
@@ -81,42 +81,17 @@ def min_gap_select(
     if anchor is not None:
         zero = pts.select(*keys).distinct().withColumn("_x", F.lit(anchor).cast("bigint"))
         pts = pts.where(F.col("_x") > anchor).unionByName(zero)
-    pts = with_neighbors(pts, keys, ["_x"], id_bucket(F.col("_x"), 65536), prev={"_p": "_x"})
-    pts = pts.withColumn("_head", F.col("_p").isNull() | (F.col("_x") - F.col("_p") >= gap))
-    lone = with_neighbors(
-        pts.drop("_p"), keys, ["_x"], id_bucket(F.col("_x"), 65536), next_={"_nh": "_head"}
-    )
-    # Islands of one candidate need no fold; only crowded stretches are grouped.
-    single = lone.where(F.col("_head") & F.coalesce("_nh", F.lit(True))).select(*keys, F.col("_x").alias(at))
-    crowded = lone.where(~(F.col("_head") & F.coalesce("_nh", F.lit(True))))
-    heads = with_ordinal(
-        crowded.where("_head").select(*keys, "_x"), keys, [F.col("_x")], id_bucket(F.col("_x"), 65536), "_isl"
-    )
-    grouped = _island_of(crowded.select(*keys, "_x"), heads, keys)
-    kept = grouped.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
+    b = id_bucket(F.col("_x"), 65536)
+    pts = with_neighbors(materialize(pts), keys, ["_x"], b, prev={"_p": "_x"})
+    head = F.col("_p").isNull() | (F.col("_x") - F.col("_p") >= gap)
+    pts = with_running(pts, keys, ["_x"], b, head.cast("int"), "_isl")
+    kept = pts.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
     fold = F.aggregate(
-        F.slice("_xs", 2, F.size("_xs")),
+        F.slice("_xs", F.lit(2), F.size("_xs")),
         F.slice("_xs", 1, 1),
         lambda acc, x: F.when(x - F.element_at(acc, -1) >= gap, F.concat(acc, F.array(x))).otherwise(acc),
     )
-    return single.unionByName(kept.select(*keys, F.explode(fold).alias(at)))
-
-
-def _island_of(points: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Last island head at or before each point, by a running maximum over order buckets."""
-    width = 65536
-    marks = points.join(heads, [*keys, "_x"], "left").withColumn("_b", id_bucket(F.col("_x"), width))
-    inside = F.max("_isl").over(
-        Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    tops = marks.groupBy(*keys, "_b").agg(F.max("_isl").alias("_top"))
-    prior = F.max("_top").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    tops = tops.select(*keys, "_b", prior.alias("_prior"))
-    return (
-        marks.withColumn("_in", inside)
-        .join(tops, [*keys, "_b"])
-        .select(*keys, "_x", F.coalesce("_in", "_prior").alias("_isl"))
-    )
+    return kept.select(*keys, F.explode(fold).alias(at))
 
 
 def cuts_to_bounds(cuts: DataFrame, frame_counts: DataFrame, keys: Sequence[str] = K) -> DataFrame:
@@ -143,29 +118,15 @@ def merge_short_scenes(bounds: DataFrame, min_frames: int, keys: Sequence[str] =
         "e", F.least(last, F.col("end_frame"))
     )
     ok = d.where(F.col("e") >= F.col("s"))
-    width = 4096
-    b = id_bucket(F.col("seq"), width)
-    run = ok.withColumn("_b", b)
-    inside = F.max("e").over(
-        Window.partitionBy(*keys, "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    tops = run.groupBy(*keys, "_b").agg(F.max("e").alias("_top"))
-    wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*keys, "_b", F.max("_top").over(wk).alias("_prior"))
-    run = run.withColumn("_in", inside).join(tops, [*keys, "_b"])
-    reach = F.greatest("_in", "_prior")
-    run = run.withColumn(
-        "_open", reach.isNull() | ((F.col("s") > reach) & (F.col("e") - F.col("s") + 1 >= min_frames))
-    )
-    opened = with_ordinal(
-        run.where("_open").select(*keys, "seq"), keys, [F.col("seq")], id_bucket(F.col("seq"), width), "_isl"
+    b = id_bucket(F.col("seq"), 4096)
+    run = with_running(ok, keys, ["seq"], b, F.col("e"), "_reach", "max", inclusive=False)
+    opens = F.col("_reach").isNull() | (
+        (F.col("s") > F.col("_reach")) & (F.col("e") - F.col("s") + 1 >= min_frames)
     )
-    marked = run.select(*keys, F.col("seq").alias("_x"), "s", "e")
-    isl = _island_of(marked.select(*keys, "_x"), opened.withColumnRenamed("seq", "_x"), keys)
+    run = with_running(run, keys, ["seq"], b, opens.cast("int"), "_isl")
     folded = (
-        marked.join(isl, [*keys, "_x"])
-        .groupBy(*keys, "_isl")
-        .agg(F.array_sort(F.collect_list(F.struct("_x", "s", "e"))).alias("_r"))
+        run.groupBy(*keys, "_isl")
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "s", "e"))).alias("_r"))
         .select(*keys, F.explode(_fold_scenes(F.col("_r"), min_frames)).alias("_k"))
         .select(*keys, F.col("_k.s").alias("start_frame"), F.col("_k.e").alias("end_frame"))
     )
@@ -350,7 +311,8 @@ def detect_shots(
     gap = max(1, int(fps * max(0.0, min_gap_seconds) + 0.5))
     # Every video keeps its frame 0 even when it has no peak.
     cuts = min_gap_select(peaks, gap, keys=keys).unionByName(zero).distinct()
-    bounds = cuts_to_bounds(cuts, counts, keys).join(counts, list(keys)).withColumn("seq", F.col("start_frame"))
+    bounds = cuts_to_bounds(materialize(cuts), counts, keys).join(counts, list(keys)).withColumn("seq", F.col("start_frame"))
+    bounds = materialize(bounds)
     scenes = merge_short_scenes(bounds, max(2, int(fps * max(0.0, min_shot_seconds) + 0.5)), keys)
     timed = frames_to_time(scenes.join(counts, list(keys)), F.lit(float(fps)), F.col("frame_count") / F.lit(float(fps)))
     d = with_ordinal(timed, keys, [F.col("start_frame")], id_bucket(F.col("start_frame"), 65536), "shot_no")

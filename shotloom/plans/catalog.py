@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import timeline  # noqa: F401
+from . import content, timeline  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
