@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 # They decide the results and are shared with the oracles.
 # Unicode white space, spelled out so that Java and RE2 agree on it.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(i) for i in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+)
+# A run of white space that is not one plain space (a single space needs no rewrite).
+WS_RUN = (
+    r" *[\t\n\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    + WS + "*| {2,}"
+)
 WORD_PATTERN = r"[\x{4e00}-\x{9fff}]{2,}|[A-Za-z][A-Za-z0-9_-]+"
 TITLE_WORD_PATTERN = r"[\x{4e00}-\x{9fff}]{2,}|[a-z][a-z0-9_-]+"
 STOP_WORDS = [
@@ -33,12 +41,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def clean_text(c: Column) -> Column:
     """Collapse white space, trim, null becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS_RUN, " "))
 
 
 def compact_text(c: Column, limit: int) -> Column:

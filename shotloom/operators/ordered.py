@@ -22,9 +22,10 @@ def id_bucket(c: Column, width: int = 65536) -> Column:
 
 
 def with_ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, out: str = "ord"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, out: str = "ord",
+    total: str | None = None,
 ) -> DataFrame:
-    """1-based position inside each key group.
+    """1-based position inside each key group; ``total`` names an extra column with the group size.
 
     Rows are numbered inside ``(keys, bucket)``; the running total of earlier
     buckets is added. The bucket counts come from a narrow scan with map-side
@@ -34,7 +35,8 @@ def with_ordinal(
     rn = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
     sizes = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    extra = [F.sum("_n").over(Window.partitionBy(*keys)).cast("int").alias(total)] if total else []
+    starts = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), *extra)
     return (
         tagged.withColumn("_rn", rn)
         .join(starts, [*keys, "_b"])

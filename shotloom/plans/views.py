@@ -53,7 +53,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as ordered units of a video."""
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("video_id"), "doc_id", "text")
-    return with_ordinal(d, ["video_id"], [F.col("doc_id")], id_bucket(F.col("doc_id")))
+    return with_ordinal(d, ["video_id"], [F.col("doc_id")], id_bucket(F.col("doc_id")), total="card_count")
 
 
 def card_fields(df: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def card_fields(df: DataFrame) -> DataFrame:
     d = df.withColumn("_k", keys)
     return d.select(
         "video_id",
-        *([c for c in ("doc_id",) if c in df.columns]),
+        *[c for c in ("doc_id", "card_count") if c in df.columns],
         "ord",
         F.format_string("shot_%03d", "ord").alias("shot_id"),
         (F.col("ord") * 10.0).alias("start_sec"),
