@@ -66,7 +66,7 @@ def whole_frame(boxes: Column, width: Column, height: Column) -> Column:
 def dedupe_boxes(boxes: Column) -> Column:
     """Smallest first; drop a box when more than 90 % of it lies in one already kept."""
     keyed = F.transform(boxes, lambda b, i: F.struct(area(b).alias("a"), i.alias("i"), b.alias("b")))
-    in_order = F.transform(F.array_sort(keyed), lambda k: k["b"])
+    in_order = F.transform(F.sort_array(keyed), lambda k: k["b"])
     one = F.lit(1).cast("double")
     return F.aggregate(
         in_order,
@@ -83,4 +83,4 @@ def reading_order(boxes: Column, limit: int = 24) -> Column:
         boxes,
         lambda b, i: F.struct(F.floor(b["y0"] / 40).alias("r"), b["x0"].alias("x"), (-area(b)).alias("a"), i.alias("i"), b.alias("b")),
     )
-    return F.slice(F.transform(F.array_sort(keyed), lambda k: k["b"]), 1, limit)
+    return F.slice(F.transform(F.sort_array(keyed), lambda k: k["b"]), 1, limit)

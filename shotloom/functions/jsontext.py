@@ -57,7 +57,7 @@ def canonical_hash(c: Column) -> Column:
 
 
 def top_level_keys(c: Column) -> Column:
-    return F.array_sort(F.coalesce(F.json_object_keys(c), F.array().cast("array<string>")))
+    return F.sort_array(F.coalesce(F.json_object_keys(c), F.array().cast("array<string>")))
 
 
 def redact_json(c: Column) -> Column:
@@ -120,7 +120,7 @@ def list_counts(c: Column) -> Column:
     """``key:length`` of the list-valued top-level fields, sorted by key."""
     entries = F.map_entries(F.from_json(c, "map<string,string>"))
     lists = F.filter(entries, lambda e: e["value"].startswith("["))
-    return F.array_sort(
+    return F.sort_array(
         F.transform(lists, lambda e: F.concat(e["key"], F.lit(":"), F.json_array_length(e["value"]).cast("string")))
     )
 

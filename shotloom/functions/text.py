@@ -13,11 +13,6 @@ WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 WS_CHARS = (
     " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(i) for i in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 )
-# A run of white space that is not one plain space (a single space needs no rewrite).
-WS_RUN = (
-    r" *[\t\n\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-    + WS + "*| {2,}"
-)
 WORD_PATTERN = r"[\x{4e00}-\x{9fff}]{2,}|[A-Za-z][A-Za-z0-9_-]+"
 TITLE_WORD_PATTERN = r"[\x{4e00}-\x{9fff}]{2,}|[a-z][a-z0-9_-]+"
 STOP_WORDS = [
@@ -46,7 +41,8 @@ def strip(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Collapse white space, trim, null becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WS_RUN, " "))
+    blank = F.translate(F.coalesce(c, F.lit("")), WS_CHARS, " " * len(WS_CHARS))
+    return F.trim(F.regexp_replace(blank, "  +", " "))
 
 
 def compact_text(c: Column, limit: int) -> Column:
@@ -83,7 +79,7 @@ def ranked_keywords(tokens: Column, limit: int | None = None) -> Column:
         )
         return let(
             last,
-            lambda e: F.array_sort(
+            lambda e: F.sort_array(
                 F.transform(
                     e,
                     lambda end, j: F.struct(
@@ -95,7 +91,7 @@ def ranked_keywords(tokens: Column, limit: int | None = None) -> Column:
             ),
         )
 
-    ranked = let(F.array_sort(tokens), rank)
+    ranked = let(F.sort_array(tokens), rank)
     return ranked if limit is None else F.slice(ranked, 1, limit)
 
 

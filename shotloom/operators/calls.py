@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import jsontext as js
+from ..functions import numbers as num
+from ..functions import text as tx
 from ..functions.jsontext import MASK, SENSITIVE_KEY_PARTS
 
 
@@ -30,3 +35,66 @@ def redact_payload(texts: pd.Series) -> pd.Series:
             return t
 
     return texts.map(one)
+
+
+def call_health(calls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Totals and per-function health of a call log: ``function`` is null on the total row.
+
+    ``calls``: keys, function, record_type, status, error_category, elapsed_sec, time, call_id.
+    The per-function average divides by all records, the total one only by rows with a number.
+    """
+    d = calls.withColumn("function", F.coalesce("function", F.lit("unknown")))
+    seq = F.struct("time", "call_id")
+    # Partial sums per function first; the total is the sum of these few rows.
+    per = d.groupBy(*keys, "function").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(F.col("record_type") == "function_call").alias("function_calls"),
+        F.count_if(F.col("record_type") == "provider_call").alias("provider_calls"),
+        F.count_if(F.col("status") == "success").alias("success"),
+        F.count_if(F.col("status") == "failure").alias("failure"),
+        F.coalesce(F.sum("elapsed_sec"), F.lit(0.0)).alias("elapsed_sum"),
+        F.count("elapsed_sec").alias("elapsed_n"),
+        F.max_by(F.struct("status", "error_category"), seq).alias("_last"),
+    )
+    n = F.greatest(F.lit(1), F.col("records"))
+    rate = num.round_at(F.col("success") / n, 4).alias("success_rate")
+    counts = ["records", "function_calls", "provider_calls", "success", "failure"]
+    slots = per.select(
+        *keys, "function", *counts, rate, num.round_at(F.col("elapsed_sum") / n, 3).alias("elapsed_sec_avg"),
+        F.col("_last.status").alias("last_status"), F.col("_last.error_category").alias("last_error_category"),
+    )
+    total = per.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in [*counts, "elapsed_sum", "elapsed_n"]])
+    avg = F.when(F.col("elapsed_n") > 0, num.round_at(F.col("elapsed_sum") / F.col("elapsed_n"), 3)).otherwise(0.0)
+    none = F.lit(None).cast("string")
+    return slots.unionByName(
+        total.select(*keys, none.alias("function"), *counts, rate, avg.alias("elapsed_sec_avg"), none.alias("last_status"), none.alias("last_error_category"))
+    )
+
+
+def link_provider_calls(calls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Function calls with the provider calls made under them, one row per link (null when there is none)."""
+    fn = calls.where("record_type = 'function_call'").select(*keys, "call_id", "time")
+    raw = calls.where("record_type = 'provider_call' and parent_call_id is not null").select(
+        *keys, F.col("parent_call_id").alias("call_id"), F.col("call_id").alias("raw_call_id")
+    )
+    return fn.join(raw, [*keys, "call_id"], "left")
+
+
+def image_inventory(requests: DataFrame, files: DataFrame, key: str = "call_id") -> DataFrame:
+    """Requested image paths per call against the file catalog: counts and known bytes."""
+    d = requests.select(key, "attached_count", F.posexplode_outer("images").alias("_i", "path")).join(files.select("path", "size_bytes").dropDuplicates(["path"]), "path", "left")
+    return d.groupBy(key).agg(
+        F.count("path").alias("requested_count"), F.max("attached_count").alias("attached_count"),
+        F.count_if(F.col("path").isNotNull() & F.col("size_bytes").isNull()).alias("missing_count"),
+        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"),
+    )
+
+
+def index_rows(calls: DataFrame) -> DataFrame:
+    """Call details to index rows: redacted payload, its profile, and the error category."""
+    p = js.redact_json(F.col("payload"))
+    return calls.select(
+        "call_id", "function", "record_type", "status", tx.error_category(F.col("error")).alias("error_category"),
+        num.round_at(F.col("elapsed_sec"), 3).alias("elapsed_sec"), "time", p.alias("payload"),
+        F.array_join(js.top_level_keys(p), ",").alias("top_level_keys"), F.octet_length(js.canonical(p)).alias("payload_bytes"),
+    )

@@ -28,7 +28,7 @@ def no_strings() -> Column:
 
 
 def or_default(items: Column, *default: str) -> Column:
-    return F.when(F.size(items) > 0, items).otherwise(F.array(*[F.lit(x) for x in default]))
+    return tx.let(items, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(*[F.lit(i) for i in default])))
 
 
 def keyword_rank(texts: DataFrame, limit: int, keys: Sequence[str] = K) -> DataFrame:
@@ -68,7 +68,7 @@ def ocr_cards(packages: DataFrame, frame_texts: DataFrame, max_images: int, keys
     """
     used = frame_texts.where(F.col("frame_no") <= max_images)
     got = used.groupBy(*keys, "shot_id").agg(
-        F.array_sort(F.collect_list(F.struct("frame_no", "ord", "text", "frame"))).alias("_r")
+        F.sort_array(F.collect_list(F.struct("frame_no", "ord", "text", "frame"))).alias("_r")
     )
     best = used.groupBy(*keys, "shot_id", "frame_no", "frame").agg(F.count("text").alias("_n")).groupBy(*keys, "shot_id").agg(
         F.max_by("frame", F.struct("_n", -F.col("frame_no"))).alias("best_frame")
@@ -191,7 +191,7 @@ def prompt_rows(units: DataFrame, header: Column, line: Column, keys: Sequence[s
 
     The unit is bounded by construction (a chunk or one write call).
     """
-    got = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
+    got = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
     return units.groupBy(*keys).agg(got.alias("_l"), F.min(header).alias("_h")).select(
         *keys,
         F.concat(F.lit("Input context:\n"), F.col("_h"), F.lit("\n"), F.array_join(F.transform("_l", lambda x: x["l"]), "\n")).alias("prompt"),

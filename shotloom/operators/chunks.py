@@ -45,13 +45,13 @@ def summarize_chunks(chunked: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     A chunk holds at most the chunk size, so its cards are gathered whole.
     """
     body = tx.strip(F.coalesce("merged_summary", F.lit("")))
-    rows = F.array_sort(F.collect_list(F.struct("ord", "shot_id", "topic_tags", body.alias("body"), F.col("importance_score").alias("imp"))))
+    rows = F.sort_array(F.collect_list(F.struct("ord", "shot_id", "topic_tags", body.alias("body"), F.col("importance_score").alias("imp"))))
     d = chunked.groupBy(*keys, "chunk_no").agg(rows.alias("_r"))
     texts = F.filter(F.transform("_r", lambda r: r["body"]), lambda b: b != "")
     tags = F.flatten(F.transform("_r", lambda r: F.coalesce(r["topic_tags"], no_strings())))
     d = d.withColumn("_texts", texts)
     best = F.slice(
-        F.array_sort(F.transform("_r", lambda r: F.struct((-F.coalesce(r["imp"], F.lit(0.0))).alias("i"), r["ord"].alias("o"), r["shot_id"].alias("s")))), 1, 5
+        F.sort_array(F.transform("_r", lambda r: F.struct((-F.coalesce(r["imp"], F.lit(0.0))).alias("i"), r["ord"].alias("o"), r["shot_id"].alias("s")))), 1, 5
     )
     return d.select(
         *keys,
@@ -143,7 +143,7 @@ def build_global_summary(
     )
     known = chunks.select(*keys, "chunk_id", F.lit(1).alias("_ok"))
     sourced = picked.join(known, [*keys, "chunk_id"], "left").groupBy(*keys, "pos", "title").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_ok") == 1, F.struct("_i", "chunk_id")))).alias("_c")
+        F.sort_array(F.collect_list(F.when(F.col("_ok") == 1, F.struct("_i", "chunk_id")))).alias("_c")
     )
     main = sourced.select(*keys, F.col("pos").alias("section_no"), "title", F.transform("_c", lambda c: c["chunk_id"]).alias("source_chunks"), F.lit(False).alias("fallback"))
 
@@ -182,7 +182,6 @@ def reduce_summaries(cards: DataFrame, chunk_size: int, keys: Sequence[str] = K)
 
     chunks = materialize(summarize_chunks(balanced_chunks(cards, chunk_size), keys))
     videos = chunks.groupBy(*keys).agg(F.sum("card_count").cast("int").alias("card_count"))
-    summary, sections = build_global_summary(
-        videos, chunks, sections_from_chunks(chunks, keys), video_theme(chunks, keys), chunk_size, keys
-    )
-    return chunks, summary, sections
+    sections = materialize(sections_from_chunks(chunks, keys))
+    summary, final = build_global_summary(videos, chunks, sections, video_theme(chunks, keys), chunk_size, keys)
+    return chunks, summary, materialize(final)

@@ -49,7 +49,7 @@ def overlap_pairs(
 def align_subtitles(shots: DataFrame, pairs: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     """Every shot with its overlapping segments in order; shots without a hit keep an empty text."""
     hits = pairs.groupBy(*keys, "shot_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("segment_seq", "segment_id", "overlap_sec", "overlap_ratio", "text"))
         ).alias("subtitle_segments")
     )
@@ -112,7 +112,7 @@ def group_hulls(claims: DataFrame, keys: Sequence[str] = K) -> DataFrame:
         claims.groupBy(*keys, "group_ord")
         .agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("group_ord", "lo", "hi"))).alias("hulls"))
+        .agg(F.sort_array(F.collect_list(F.struct("group_ord", "lo", "hi"))).alias("hulls"))
     )
 
 
@@ -128,7 +128,7 @@ def nearest_group(hulls: Column, ord_: Column) -> Column:
 
 def nearest_interval_join(points: DataFrame, groups: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     """Assign each point to its containing or nearest group. ``groups``: keys, group_ord, lo, hi."""
-    hulls = groups.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("group_ord", "lo", "hi"))).alias("hulls"))
+    hulls = groups.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group_ord", "lo", "hi"))).alias("hulls"))
     return points.join(hulls, list(keys)).select(
         *points.columns, nearest_group(F.col("hulls"), F.col("ord")).alias("group_ord")
     )
@@ -164,7 +164,7 @@ def preceding_group(firsts: Column, ord_: Column) -> Column:
 
 def preceding_group_join(points: DataFrame, groups: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     """Assign each point with ``preceding_group``. ``groups``: keys, group_ord, lo."""
-    firsts = groups.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("group_ord", "lo"))).alias("firsts"))
+    firsts = groups.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group_ord", "lo"))).alias("firsts"))
     return points.join(firsts, list(keys)).select(
         *points.columns, preceding_group(F.col("firsts"), F.col("ord")).alias("group_ord")
     )

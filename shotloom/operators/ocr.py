@@ -70,7 +70,7 @@ def explode_ocr(df: DataFrame, keys: Sequence[str], result: str, min_score: floa
         levels.append(f"_t{level}")
         if level < depth - 1:
             d = d.withColumn(f"_n{level + 1}", F.flatten(F.transform(f"_o{level}", children)))
-    ordered = F.transform(F.array_sort(F.concat(*levels)), lambda r: r["text"])
+    ordered = F.transform(F.sort_array(F.concat(*levels)), lambda r: r["text"])
     texts = F.array_distinct(F.filter(ordered, lambda t: t != ""))
     return d.select(*keys, F.posexplode(texts).alias("_p", "text")).select(*keys, (F.col("_p") + 1).alias("ord"), "text")
 

@@ -119,7 +119,7 @@ def section_drafts(sections: DataFrame, chunks: DataFrame, bridge: DataFrame) ->
     texts = chunks.select("video_id", "chunk_id", tx.clean_text(F.col("summary")).alias("_s"))
     # A section names a few chunks; their short summaries are gathered per section.
     per = ok.join(texts, ["video_id", "chunk_id"]).groupBy("video_id", "section_no", "title").agg(
-        F.array_sort(F.collect_list(F.struct("_p", "_s", "chunk_id"))).alias("_l")
+        F.sort_array(F.collect_list(F.struct("_p", "_s", "chunk_id"))).alias("_l")
     )
     merged = F.array_join(F.filter(F.transform("_l", lambda x: x["_s"]), lambda s: s != ""), " ")
     drafts = per.select(
@@ -236,7 +236,7 @@ def _number_groups(full: DataFrame, keys: Sequence[str], group: str, order: Colu
     keep = (F.col("n") == 1) & (F.col("_i") >= SINGLETON_SCORE)
     # One row per group of an outline (a handful per key).
     packed = stat.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_o", F.col(group).alias("g"), "n", keep.alias("keep")))).alias("_g")
+        F.sort_array(F.collect_list(F.struct("_o", F.col(group).alias("g"), "n", keep.alias("keep")))).alias("_g")
     )
     folded = packed.select(*keys, F.posexplode(fold_small_groups(F.col("_g"), min_size)).alias("_p", "_k"))
     mapping = folded.select(
@@ -295,7 +295,7 @@ def normalize_subsections(
         .join(chapter_shots.select(*keys, "ord"), [*keys, "ord"])
     )
     packed = claims.groupBy(*keys, "_claim").agg(F.min("ord").alias("lo")).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_claim", "lo"))).alias("_c")
+        F.sort_array(F.collect_list(F.struct("_claim", "lo"))).alias("_c")
     )
     firsts = F.transform("_c", lambda c, i: F.struct(F.least(i, F.lit(max_subsections - 1)).alias("group_ord"), c["lo"].alias("lo"), c["_claim"].alias("c")))
     packed = packed.select(*keys, firsts.alias("firsts"))
@@ -437,7 +437,7 @@ def cross_similarity(left: DataFrame, right: DataFrame, minimum: float, keys: Se
     freq = ea.select(*keys, "_t").unionByName(eb.select(*keys, "_t")).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_f"))
 
     def prefix(e: DataFrame, ids: list[str]) -> DataFrame:
-        got = e.join(freq, [*keys, "_t"]).groupBy(*keys, *ids).agg(F.array_sort(F.collect_list(F.struct("_f", "_t"))).alias("_l"))
+        got = e.join(freq, [*keys, "_t"]).groupBy(*keys, *ids).agg(F.sort_array(F.collect_list(F.struct("_f", "_t"))).alias("_l"))
         n = F.size("_l")
         keep = n - F.ceil(n * F.lit(minimum) - 1e-9) + 1
         return got.select(*keys, *ids, F.explode(F.transform(F.slice("_l", F.lit(1), keep.cast("int")), lambda x: x["_t"])).alias("_t"))
@@ -509,15 +509,28 @@ def plan_outline(
     """(chapters, chapter shots) with the strategy cascade: section sources, planner, even split."""
     from .chunks import target_chapters
 
-    bridge = materialize(chunk_bridge(chunks, cards))
+    pos = materialize(cards.drop("merged_summary", "topic_tags", "key_entities", "narrative_role"))
+    empty = None
+    if manual_count is None:
+        bridge = chunk_bridge(chunks, pos)
+        first = _kept(section_drafts(sections, chunks, bridge))
+        left = chunks.join(first[0].select("video_id").distinct(), "video_id", "left_anti")
+        rest = pos.join(first[0].select("video_id").distinct(), "video_id", "left_anti").withColumn("merged_summary", F.lit(""))
+        second = _kept(planner_drafts(left, chunk_bridge(left, rest), rest, sections))
+        empty = first[0].select("video_id").unionByName(second[0].select("video_id")).distinct()
     named = sections.where(~F.col("title").isin(tx.PLACEHOLDER_TOPICS)).groupBy("video_id").agg(F.count(F.lit(1)).alias("_s"))
     targets = summary.join(named, "video_id", "left").select(
         "video_id", target_chapters(manual_count, F.col("suggested_chapter_count"), F.coalesce("_s", F.lit(0)).cast("int"), F.col("card_count")).alias("target")
     )
-    options = [even_split(cards, targets, sections)]
-    if manual_count is None:
-        options = [section_drafts(sections, chunks, bridge), planner_drafts(chunks, bridge, cards, sections), *options]
-    drafts, shots = pick_strategy(options)
-    drafts = materialize(drafts)
-    placed = materialize(normalize_drafts(drafts, shots, cards.drop("merged_summary"), min_shots))
+    bare = cards if empty is None else cards.join(empty, "video_id", "left_anti")
+    last = _kept(even_split(bare, targets, sections))
+    parts = [last] if empty is None else [first, second, last]
+    drafts, shots = parts[0]
+    for dr, sh in parts[1:]:
+        drafts, shots = drafts.unionByName(dr), shots.unionByName(sh)
+    placed = materialize(normalize_drafts(drafts, shots, pos, min_shots))
     return build_chapters(placed, drafts), placed
+
+
+def _kept(option: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    return materialize(option[0]), materialize(option[1])

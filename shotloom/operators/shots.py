@@ -85,7 +85,7 @@ def min_gap_select(
     pts = with_neighbors(materialize(pts), keys, ["_x"], b, prev={"_p": "_x"})
     head = F.col("_p").isNull() | (F.col("_x") - F.col("_p") >= gap)
     pts = with_running(pts, keys, ["_x"], b, head.cast("int"), "_isl")
-    kept = pts.groupBy(*keys, "_isl").agg(F.array_sort(F.collect_list("_x")).alias("_xs"))
+    kept = pts.groupBy(*keys, "_isl").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
     fold = F.aggregate(
         F.slice("_xs", F.lit(2), F.size("_xs")),
         F.slice("_xs", 1, 1),
@@ -126,7 +126,7 @@ def merge_short_scenes(bounds: DataFrame, min_frames: int, keys: Sequence[str] =
     run = with_running(run, keys, ["seq"], b, opens.cast("int"), "_isl")
     folded = (
         run.groupBy(*keys, "_isl")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "s", "e"))).alias("_r"))
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "s", "e"))).alias("_r"))
         .select(*keys, F.explode(_fold_scenes(F.col("_r"), min_frames)).alias("_k"))
         .select(*keys, F.col("_k.s").alias("start_frame"), F.col("_k.e").alias("end_frame"))
     )
@@ -294,7 +294,7 @@ def build_packages(
         d, keys, ["seq"], bucket, prev={"previous_shot_id": "shot_id"}, next_={"next_shot_id": "shot_id"}
     )
     return d.withColumn("subtitle_text", F.coalesce("subtitle_text", F.lit(""))).withColumn(
-        "warnings", F.array_sort(F.array_distinct(F.concat("warnings", F.coalesce("_lost", none))))
+        "warnings", F.sort_array(F.array_distinct(F.concat("warnings", F.coalesce("_lost", none))))
     ).drop("_lost")
 
 

@@ -191,7 +191,7 @@ def txt_lines(utterances: DataFrame) -> DataFrame:
 
 def concat_pages(pages: DataFrame, keys: Sequence[str], order: str, text: str, sep: str = "\n\n") -> DataFrame:
     """Pages of a document as one text in page order (the document is the output value)."""
-    got = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    got = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     return pages.groupBy(*keys).agg(got.alias("_p")).select(
         *keys, F.array_join(F.transform("_p", lambda p: p["t"]), sep).alias("document"), F.size("_p").alias("n_pages")
     )

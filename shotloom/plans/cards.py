@@ -125,7 +125,7 @@ CONTEXT_LINE = f"""'- ' || shot_id || '; time ' || printf('%.2fs', start_sec) ||
 def _(spark, d):
     c = ck.balanced_chunks(v.cards(spark, d), SIZE)
     ends = F.struct(F.min_by("shot_id", "ord").alias("a"), F.max_by("shot_id", "ord").alias("z"))
-    lines = F.array_sort(F.collect_list(F.struct("ord", cd.context_line(180).alias("l"))))
+    lines = F.sort_array(F.collect_list(F.struct("ord", cd.context_line(180).alias("l"))))
     got = c.groupBy("video_id", "chunk_no").agg(lines.alias("l"), ends.alias("e"))
     head = F.concat(
         F.lit("Input context:\nChunk id: "), F.format_string("chunk_%03d", "chunk_no"), F.lit("\nShot range: "), F.col("e.a"), F.lit(" to "), F.col("e.z"), F.lit("\nShots:\n")

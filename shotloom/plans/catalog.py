@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import cards, content, outline, timeline  # noqa: F401
+from . import assembly, cards, content, outline, timeline  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,7 @@ from ..functions import numbers as num
 from ..functions import text as tx
 from ..operators import chunks as ck
 from ..operators import outline as ol
+from ..operators.staging import materialize
 from . import oracle as o
 from . import views as v
 from .registry import query
@@ -198,7 +199,7 @@ def _(spark, d):
   SELECT pl.video_id, row_number() OVER (PARTITION BY pl.video_id ORDER BY min(pl.ord)) AS chapter_no, s.title, 'section_sources' AS strategy, count(*) AS shot_count
   FROM pl JOIN v_final_sections s ON s.video_id = pl.video_id AND s.section_no - 1 = pl.g GROUP BY pl.video_id, pl.g, s.title""")))
 def _(spark, d):
-    cards = v.cards(spark, d)
+    cards = materialize(v.cards(spark, d))
     chunks, summary, sections = ck.reduce_summaries(cards, SIZE)
     chapters, _ = ol.plan_outline(cards, chunks, sections, summary)
     return chapters.select("video_id", "chapter_no", "title", "strategy", "shot_count")
@@ -271,8 +272,6 @@ def _(spark, d):
 
 @query("split_subsections")
 def _(spark, d):
-    from ..operators.staging import materialize
-
     c = materialize(chapters3(v.cards(spark, d).drop("merged_summary")))
     m = ol.chapter_metrics(c)
     need = ol.subsection_need(m, m.select("video_id", "chapter_no", F.lit("Overview").alias("title")))
