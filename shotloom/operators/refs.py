@@ -52,7 +52,7 @@ def frame_candidates(cards: DataFrame, refs: DataFrame, keys: Sequence[str]) ->
     """
     d = cards.join(refs.select(*keys, "shot_id", "ref_ord"), [*keys, "shot_id"], "left")
     place = F.struct(F.col("ref_ord").isNull().alias("late"), F.coalesce("ref_ord", "ord").alias("o"))
-    all_ = F.filter(F.concat(F.array(F.trim("recommended")), F.transform("frames", F.trim)), lambda x: x.isNotNull() & (x != ""))
+    all_ = F.filter(F.concat(F.array(F.trim("recommended")), F.transform("frames", lambda f: F.trim(f))), lambda x: x.isNotNull() & (x != ""))
     flat = d.select(*keys, place.alias("_p"), F.posexplode(all_).alias("_i", "frame"))
     return flat.groupBy(*keys, "frame").agg(F.min(F.struct("_p.late", "_p.o", "_i")).alias("place"))
 

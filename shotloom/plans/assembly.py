@@ -118,7 +118,7 @@ def frame_cards(spark, d):
 @query("select_frame", """
   WITH c AS (SELECT o_custkey AS k, o_orderkey AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ord, o_orderstatus = 'F' AS is_ref FROM orders),
   f AS (SELECT k, unnest(['r' || (s % 7), 'f' || s, 'r' || (s % 3)]) AS frame, generate_subscripts([1, 2, 3], 1) AS i, is_ref, ord FROM c)
-  SELECT k AS chapter_id, arg_min(frame, CASE frame WHEN 'r6' THEN 0 WHEN 'r5' THEN 1 ELSE 2e9 END + CASE WHEN is_ref THEN 0 ELSE 1e9 END + ord * 10 + i) AS frame FROM f GROUP BY k""")
+  SELECT k AS chapter_id, arg_min(frame, CASE frame WHEN 'r6' THEN 0 WHEN 'r5' THEN 1e12 ELSE 2e12 END + CASE WHEN is_ref THEN 0 ELSE 1e9 END + ord * 10 + i) AS frame FROM f GROUP BY k""")
 def _(spark, d):
     cards, refs = frame_cards(spark, d)
     got = rf.frame_candidates(cards, refs, ["chapter_id"])
