@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, compact_text, strip
+from .text import clean_text, compact_text, let, strip
 
 # Fixed values.
 SENSITIVE_KEY_PARTS = ["api_key", "authorization", "access_token", "refresh_token", "secret", "password", "bearer"]
@@ -31,11 +31,20 @@ def _outer_slice(c: Column) -> Column:
 
 def repaired_json(c: Column) -> Column:
     """Struct ``(status, text)``: status is ok, fixed or failed; text parses unless failed."""
-    bare = _unfence(c)
-    cut = F.regexp_replace(_outer_slice(bare), r",\s*([}\]])", "$1")
-    return F.struct(
-        F.when(json_valid(c), "ok").when(json_valid(bare) | json_valid(cut), "fixed").otherwise("failed").alias("status"),
-        F.when(json_valid(c), c).when(json_valid(bare), bare).when(json_valid(cut), cut).alias("text"),
+
+    def cut(bare: Column) -> Column:
+        return let(
+            F.regexp_replace(_outer_slice(bare), r",\s*([}\]])", "$1"), lambda t: F.when(json_valid(t), t)
+        )
+
+    # Sound text is settled first; the repairs run only for the rest.
+    mended = F.when(~json_valid(c), let(_unfence(c), lambda bare: F.when(json_valid(bare), bare).otherwise(cut(bare))))
+    return let(
+        mended,
+        lambda m: F.struct(
+            F.when(m.isNotNull(), "fixed").when(json_valid(c), "ok").otherwise("failed").alias("status"),
+            F.when(m.isNotNull(), m).when(json_valid(c), c).alias("text"),
+        ),
     )
 
 

@@ -11,6 +11,7 @@ from ..functions import tags as tg
 from ..functions import text as tx
 from .cards import no_strings
 from .ordered import id_bucket, with_running
+from .staging import materialize
 
 # Fixed values.
 MAX_SHOTS_PER_CALL = 20
@@ -40,7 +41,7 @@ def greedy_batches(units: DataFrame, cap: int, keys: Sequence[str], size: str =
     """
     over = F.col(size) > cap
     d = with_running(units, keys, [order], id_bucket(F.col(order), 4096), over.cast("int"), "_seg")
-    d = d.withColumn("_over", over)
+    d = materialize(d.withColumn("_over", over))
     runs = d.where(~F.col("_over")).groupBy(*keys, "_seg").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("s")))).alias("_u"))
     zero = F.array().cast("array<struct<o:int,b:int,sum:bigint>>")
 
@@ -223,3 +224,23 @@ def parse_subsection_responses(df: DataFrame, expected: DataFrame, keys: Sequenc
     )
     missing = expected.join(first.select(*keys, "subsection_id"), [*keys, "subsection_id"], "left_anti")
     return outputs, ignored, missing
+
+
+def write_bodies(units: DataFrame, unit_shots: DataFrame, cards: DataFrame, cap: int = MAX_SHOTS_PER_CALL) -> tuple[DataFrame, DataFrame]:
+    """(chapter bodies, batch log) of chapters with subsections, written extractively.
+
+    ``units``: video_id, chapter_id, ord, subsection_id, title. ``unit_shots``: video_id, chapter_id, subsection_id, shot_id.
+    ``cards``: video_id, shot_id, ord, merged_summary, frame. Unknown shots are skipped; repeated ids are renamed.
+    """
+    keys = ["video_id", "chapter_id"]
+    named = rename_duplicates(units, keys, "subsection_id")
+    known = unit_shots.join(cards.select("video_id", "shot_id"), ["video_id", "shot_id"], "left_semi")
+    sizes = known.groupBy(*keys, "subsection_id").agg(F.count(F.lit(1)).cast("int").alias("shot_count"))
+    sized = named.join(sizes, [*keys, "subsection_id"], "left").na.fill(0, ["shot_count"])
+    log = write_batches(greedy_batches(sized, cap, keys), cap, keys, "subsection_id")
+    members = known.join(cards, ["video_id", "shot_id"])
+    drafts = draft_bodies(members, [*keys, "subsection_id"], 520, 3)
+    outputs = named.join(drafts, [*keys, "subsection_id"], "left").withColumn(
+        "body_markdown", F.coalesce("body_markdown", F.lit(EMPTY_BODY))
+    ).withColumn("key_points", F.when(F.size("key_points") > 0, F.col("key_points")).otherwise(F.array("title")))
+    return assemble_bodies(outputs, keys), log

@@ -156,6 +156,28 @@ def shot_briefs(cards: DataFrame) -> DataFrame:
     )
 
 
+def subsection_briefs(chapters: DataFrame, chapter_shots: DataFrame) -> DataFrame:
+    """Chapter text and targets with its card lines, one row per card: the planner's input in long form.
+
+    ``chapters``: video_id, chapter_no, title, summary, target_subsections, max_subsections.
+    """
+    head = chapters.select(
+        "video_id", "chapter_no", "title", compacted("summary", 180).alias("chapter_summary"), "target_subsections", "max_subsections"
+    )
+    def five(c: str) -> Column:
+        return F.slice(F.filter(c, lambda x: tx.strip(x) != ""), 1, 5)
+
+    rows = chapter_shots.select(
+        "video_id", "chapter_no", "ord", "shot_id", "start_sec", "end_sec", "importance_score",
+        five("topic_tags").alias("topic_tags"), five("key_entities").alias("key_entities"), compacted("merged_summary", 90).alias("text"),
+    )
+    return rows.join(head, ["video_id", "chapter_no"])
+
+
+def compacted(c: str, limit: int) -> Column:
+    return tx.compact_text(F.col(c), limit)
+
+
 def context_line(text_limit: int, text: str = "merged_summary", frame: str | None = None) -> Column:
     """One ``- id; time a-b; score; text; topics; entities`` line of a card; empty parts are left out."""
     part = lambda label, c: F.when(c != "", F.concat(F.lit(label), c))
@@ -201,3 +223,9 @@ def prompt_rows(units: DataFrame, header: Column, line: Column, keys: Sequence[s
 def with_scorer(df: DataFrame, scorer: Callable, schema: str) -> DataFrame:
     """User scorer over prompt rows: ``scorer(batch iterator) -> batch iterator`` in Arrow batches."""
     return df.mapInPandas(scorer, schema)
+
+
+def with_boxes(df: DataFrame, provider: Callable, column: str = "content") -> DataFrame:
+    """User box provider: a function from a pandas Series of images to a Series of box lists, as a vectorised UDF."""
+    boxes = F.pandas_udf(provider, "array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    return df.withColumn("boxes", boxes(F.col(column)))

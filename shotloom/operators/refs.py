@@ -86,3 +86,12 @@ def pending_inference(inputs: DataFrame, cache: DataFrame, text: str, kind: str)
     reused = keyed.join(good, "cache_key")
     todo = keyed.join(good.select("cache_key"), "cache_key", "left_anti")
     return reused, todo.groupBy("cache_key").agg(F.min(text).alias(text), F.count(F.lit(1)).alias("n_inputs"))
+
+
+def canonical_path(rows: DataFrame, layout: DataFrame, path: str = "path") -> DataFrame:
+    """Replace the first folder of a path by its current name. ``layout``: folder, stage_dir (the fixed stage table)."""
+    head, tail = F.substring_index(path, "/", 1), F.expr(f"substring({path}, locate('/', {path}) + 1)")
+    d = rows.withColumn("folder", F.when(F.col(path).contains("/"), head))
+    return d.join(layout.select("folder", "stage_dir").distinct(), "folder", "left").withColumn(
+        path, F.when(F.col("stage_dir").isNotNull(), F.concat("stage_dir", F.lit("/"), tail)).otherwise(F.col(path))
+    ).drop("folder", "stage_dir")

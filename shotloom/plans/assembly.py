@@ -574,3 +574,41 @@ def _(spark, d):
 @query("pending_chapters", """SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def _(spark, d):
     return rf.difference(orders(spark, d).select("o_orderkey"), v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+
+
+@query("canonical_path", """
+  SELECT item_id, CASE item_id % 3 WHEN 0 THEN '08_outline/a/' || item_id WHEN 1 THEN '08_outline/' || item_id ELSE 'other.json' END AS path FROM benchmark""")
+def _(spark, d):
+    k = F.col("item_id") % 3
+    p = F.when(k == 0, F.concat(F.lit("outline/a/"), "item_id")).when(k == 1, F.concat(F.lit("08_outline/"), "item_id")).otherwise("other.json")
+    layout = spark.createDataFrame([("outline", "08_outline"), ("08_outline", "08_outline"), ("qa", "11_qa")], "folder string, stage_dir string")
+    return rf.canonical_path(v.table(spark, d, "benchmark").select("item_id", p.alias("path")), layout)
+
+
+WRITE_SQL = """, m AS (SELECT *, printf('sub_%d', pos // 6) AS sub, pos // 6 AS g FROM v_chapter_cards),
+  u AS (SELECT video_id, chapter_no, g, sub, count(*) AS n, string_agg(nullif(clean_text, ''), ' ' ORDER BY ord) AS body FROM m GROUP BY ALL)"""
+
+
+def write_inputs(spark, d):
+    t = v.texts(spark, d)
+    per = F.ceil(F.col("card_count") / 3)
+    c = t.select("video_id", F.col("doc_id").cast("string").alias("shot_id"), "ord", F.col("text").alias("merged_summary"), F.concat(F.lit("kf/"), "doc_id").alias("frame"))
+    ch = (F.floor((F.col("ord") - 1) / per) + 1).cast("int")
+    sub = F.floor(((F.col("ord") - 1) % per) / 6).cast("int")
+    shots = t.select("video_id", F.concat(F.lit("chapter_"), ch).alias("chapter_id"), sub.alias("g"), F.concat(F.lit("sub_"), sub).alias("subsection_id"), F.col("doc_id").cast("string").alias("shot_id"))
+    units = shots.select("video_id", "chapter_id", (F.col("g") + 1).alias("ord"), "subsection_id", F.concat(F.lit("Title "), "g").alias("title")).distinct()
+    ghost = units.select("video_id", "chapter_id", F.lit(0).alias("g"), "subsection_id", F.lit("ghost").alias("shot_id"))
+    return units, shots.unionByName(ghost), c
+
+
+@query("write_bodies", o.with_views("v_chapter_cards", WRITE_SQL + f"""
+  SELECT video_id, 'chapter_' || chapter_no AS chapter_id, string_agg('## Title ' || g || chr(10) || chr(10) || coalesce({o.cut('body', 520)}, '{bd.EMPTY_BODY}'), chr(10) || chr(10) ORDER BY g) AS body_markdown, count(*) AS subsection_count
+  FROM u GROUP BY video_id, chapter_no"""))
+def _(spark, d):
+    return bd.write_bodies(*write_inputs(spark, d), cap=10)[0].drop("key_points")
+
+
+@query("write_bodies_log", o.with_views("v_chapter_cards", WRITE_SQL + """
+  SELECT video_id, 'chapter_' || chapter_no AS chapter_id, g + 1 AS batch_no, n AS shot_count, sub AS unit_ids, false AS oversized FROM u"""))
+def _(spark, d):
+    return bd.write_bodies(*write_inputs(spark, d), cap=6)[1].drop("units")

@@ -233,3 +233,15 @@ def _(spark, d):
         "video_id", "ord", F.format_string("shot_%03d", "ord").alias("shot_id"), num.round_at(num.text_importance(tx.strip(F.col("text"))), 3).alias("i")
     )
     return t.groupBy("video_id").agg(F.max_by("shot_id", F.struct("i", -F.col("ord"))).alias("shot_id"))
+
+
+@query("subsection_briefs", o.with_views("v_chapter_cards", f"""
+  SELECT video_id, chapter_no, shot_id, 'Chapter ' || chapter_no AS title, array_to_string(topic_tags, '|') AS topic_tags, {o.cut('clean_text', 90)} AS text, 2 AS target_subsections FROM v_chapter_cards"""))
+def _(spark, d):
+    c = v.cards(spark, d)
+    shots = c.withColumn("chapter_no", (F.floor((F.col("ord") - 1) / F.ceil(F.col("card_count") / 3)) + 1).cast("int"))
+    heads = shots.select("video_id", "chapter_no").distinct().select(
+        "*", F.concat(F.lit("Chapter "), "chapter_no").alias("title"), F.lit("s").alias("summary"), F.lit(2).alias("target_subsections"), F.lit(3).alias("max_subsections")
+    )
+    got = cd.subsection_briefs(heads, shots)
+    return got.select("video_id", "chapter_no", "shot_id", "title", join("topic_tags").alias("topic_tags"), "text", "target_subsections")

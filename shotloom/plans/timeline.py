@@ -10,6 +10,7 @@ from ..operators import intervals as iv
 from ..operators import ordered as od
 from ..operators import shots as sh
 from ..operators import subtitles as sub
+from ..operators.staging import materialize
 from . import oracle as o
 from . import views as v
 from .registry import query
@@ -479,7 +480,7 @@ def _(spark, d):
 
 @query("adaptive_cut_threshold", score_sql(f"""SELECT video_id, n_values, {', '.join(o.rnd(c, 6) + ' AS ' + c for c in ('median', 'mad', 'pct', 'p99', 'cut_level'))} FROM lv"""))
 def _(spark, d):
-    got = sh.cut_threshold(sh.frame_diff(v.frames(spark, d)))
+    got = sh.cut_threshold(materialize(sh.frame_diff(v.frames(spark, d))))
     return got.select("video_id", "n_values", *[num.round_at(F.col(c), 6).alias(c) for c in ("median", "mad", "pct", "p99", "cut_level")])
 
 
@@ -489,7 +490,7 @@ PEAKS = """pk AS (SELECT n.video_id, n.frame_idx, n.score FROM (SELECT *, lag(sc
 
 @query("peak_candidates", score_sql(f", {PEAKS} SELECT video_id, frame_idx, {o.rnd('score', 6)} AS score FROM pk"))
 def _(spark, d):
-    s = sh.frame_diff(v.frames(spark, d))
+    s = materialize(sh.frame_diff(v.frames(spark, d)))
     return sh.peak_candidates(s, sh.cut_threshold(s)).withColumn("score", num.round_at(F.col("score"), 6))
 
 
@@ -540,7 +541,7 @@ CUTS = f"""{PEAKS}, fc AS (SELECT video_id, max(frame_idx) + 1 AS frame_count FR
 @query("cuts_to_bounds", score_sql(f", {CUTS} SELECT video_id, s AS start_frame, e AS end_frame FROM bd").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, d):
     fr = v.frames(spark, d)
-    s = sh.frame_diff(fr)
+    s = materialize(sh.frame_diff(fr))
     peaks = sh.peak_candidates(s, sh.cut_threshold(s))
     zero = fr.select("video_id").distinct().withColumn("frame_idx", F.lit(0).cast("bigint"))
     cuts = sh.min_gap_select(peaks, 4).unionByName(zero).distinct()
