@@ -317,9 +317,9 @@ def _(spark, d):
 @query("orphan_refs", """
   WITH cs AS (SELECT DISTINCT CAST(l_suppkey % 10 AS VARCHAR) AS video_id, CAST(l_orderkey AS VARCHAR) AS chapter_id, l_partkey AS s FROM lineitem),
   sub AS (SELECT DISTINCT CAST(l_suppkey % 10 AS VARCHAR) AS video_id, CAST(l_orderkey AS VARCHAR) AS chapter_id, l_linenumber AS n, l_partkey + CASE WHEN l_discount > 0.09::DOUBLE THEN 3000 ELSE 0 END AS s FROM lineitem),
-  hd AS (SELECT video_id, chapter_id, n, min(s) + CASE WHEN n = 7 THEN 1 ELSE 0 END AS s FROM sub GROUP BY video_id, chapter_id, n), cards AS (SELECT p_partkey AS s FROM part WHERE p_size > 3)
-  SELECT video_id, 'p' || s AS shot_id FROM (SELECT video_id, s FROM cs WHERE s NOT IN (FROM cards) UNION SELECT video_id, s FROM sub WHERE s NOT IN (FROM cards)
-    UNION SELECT video_id, s FROM (SELECT video_id, chapter_id, min(s) - 1 AS s FROM cs GROUP BY ALL) WHERE s NOT IN (FROM cards)
+  hd AS (SELECT video_id, chapter_id, n, min(s) + CASE WHEN n = 7 THEN 1 ELSE 0 END AS s FROM sub GROUP BY video_id, chapter_id, n), cards AS (SELECT DISTINCT CAST(l_suppkey % 10 AS VARCHAR) AS video_id, l_partkey AS s FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 3))
+  SELECT video_id, 'p' || s AS shot_id FROM (SELECT video_id, s FROM cs WHERE (video_id, s) NOT IN (FROM cards) UNION SELECT video_id, s FROM sub WHERE (video_id, s) NOT IN (FROM cards)
+    UNION SELECT video_id, s FROM (SELECT video_id, chapter_id, min(s) - 1 AS s FROM cs GROUP BY ALL) WHERE (video_id, s) NOT IN (FROM cards)
     UNION SELECT u.video_id, u.s FROM sub u WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.video_id = u.video_id AND cs.chapter_id = u.chapter_id AND cs.s = u.s)
     UNION SELECT h.video_id, h.s FROM hd h WHERE NOT EXISTS (SELECT 1 FROM sub u WHERE u.video_id = h.video_id AND u.chapter_id = h.chapter_id AND u.n = h.n AND u.s = h.s))""")
 def _(spark, d):
@@ -330,10 +330,9 @@ def _(spark, d):
     sub = x.select("video_id", "chapter_id", F.col("l_linenumber").alias("subsection_id"), (F.col("l_partkey") + F.when(F.col("l_discount") > 0.09, 3000).otherwise(0)).alias("s")).distinct()
     keys = ["video_id", "chapter_id", "subsection_id"]
     sh = sub.groupBy(*keys).agg(F.min("s").alias("s")).withColumn("s", F.col("s") + F.when(F.col("subsection_id") == 7, 1).otherwise(0))
-    cards = v.table(spark, d, "part").where("p_size > 3").select(pid("p_partkey"))
-    vids = cs.select("video_id").distinct().withColumn("_j", F.lit(1))
-    allc = cards.withColumn("_j", F.lit(1)).join(vids, "_j").drop("_j")
-    return qa.orphan_refs(cs.select("video_id", "chapter_id", pid("l_partkey")), heads, sub.select(*keys, pid("s")), sh.select(*keys, pid("s")), allc)
+    big = v.table(spark, d, "part").where("p_size > 3").select(F.col("p_partkey").alias("l_partkey"))
+    cards = x.join(big, "l_partkey", "left_semi").select("video_id", pid("l_partkey")).distinct()
+    return qa.orphan_refs(cs.select("video_id", "chapter_id", pid("l_partkey")), heads, sub.select(*keys, pid("s")), sh.select(*keys, pid("s")), cards)
 
 
 @query("chapter_ref_check", """
