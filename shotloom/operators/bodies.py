@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tags as tg
 from ..functions import text as tx
 from .cards import no_strings
-from .ordered import id_bucket, with_running
+from .ordered import id_bucket, top_k, with_running
 from .staging import materialize
 
 # Fixed values.
@@ -56,9 +56,10 @@ def greedy_batches(units: DataFrame, cap: int, keys: Sequence[str], size: str =
     # A stretch contributes its batches plus the oversize unit that opened it.
     lone = d.where("_over").select(*keys, "_seg").withColumn("_lone", F.lit(1))
     sizes = folded.select(*keys, "_seg", F.element_at("_f", -1)["b"].alias("_nb")).join(lone, [*keys, "_seg"], "full")
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     total = F.coalesce("_nb", F.lit(0)) + F.coalesce("_lone", F.lit(0))
-    starts = sizes.select(*keys, "_seg", F.coalesce("_lone", F.lit(0)).alias("_lone"), F.coalesce(F.sum(total).over(before), F.lit(0)).alias("_start"))
+    starts = with_running(sizes, keys, ["_seg"], id_bucket(F.col("_seg"), 4096), total, "_start", inclusive=False).select(
+        *keys, "_seg", F.coalesce("_lone", F.lit(0)).alias("_lone"), "_start"
+    )
     inner = folded.select(*keys, "_seg", F.explode("_f").alias("_x")).select(*keys, "_seg", F.col("_x.o").alias(order), F.col("_x.b").alias("_b"))
     single = d.where("_over").select(*keys, "_seg", F.col(order), F.lit(0).alias("_b"))
     placed = inner.unionByName(single).join(starts, [*keys, "_seg"])
@@ -84,8 +85,7 @@ def draft_bodies(members: DataFrame, keys: Sequence[str], limit: int = 900, poin
     """
     d = members.withColumn("_t", tx.strip(F.coalesce("merged_summary", F.lit(""))))
     lines = d.where("_t != ''").withColumn("_x", F.substring(tx.clean_text(F.col("_t")), 1, limit + 1))
-    w = Window.partitionBy(*keys).orderBy("ord")
-    head = lines.select(*keys, "ord", "_x").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit // 2 + 1)
+    head = top_k(lines.select(*keys, "ord", "_x"), keys, [F.col("ord")], limit // 2 + 1)
     got = head.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", "_x"))).alias("_l"))
     texts = F.transform("_l", lambda x: x["_x"])
     frame = d.where(F.coalesce("frame", F.lit("")) != "").groupBy(*keys).agg(F.min_by("frame", "ord").alias("representative_frame"))

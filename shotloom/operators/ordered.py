@@ -63,12 +63,6 @@ def with_running(
     return got.withColumn(out, both).drop("_b", "_val", "_in", "_prior")
 
 
-def with_group_size(df: DataFrame, keys: Sequence[str], out: str = "group_size") -> DataFrame:
-    """Rows per key, counted with partial aggregation and joined back."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias(out))
-    return df.join(sizes, list(keys))
-
-
 def with_neighbors(
     df: DataFrame,
     keys: Sequence[str],

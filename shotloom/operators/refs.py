@@ -75,13 +75,18 @@ def prefer_new_layout(new: DataFrame, legacy: DataFrame, on: Sequence[str]) -> D
     return new.withColumn("layout", F.lit("new")).unionByName(old.withColumn("layout", F.lit("legacy")))
 
 
-def pending_inference(inputs: DataFrame, cache: DataFrame, text: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(reused, pending): inputs are keyed by ``kind-crc32``; identical content is pending once.
+def content_key(text: Column, kind: str, hash_: str = "sha256") -> Column:
+    """``kind-hash`` of a content; ``crc32`` gives the short form, which can collide on a large library."""
+    digest = F.sha2(text, 256) if hash_ == "sha256" else F.lpad(F.lower(F.hex(F.crc32(text))), 8, "0")
+    return F.concat(F.lit(f"{kind}-"), digest)
+
+
+def pending_inference(inputs: DataFrame, cache: DataFrame, text: str, kind: str, hash_: str = "sha256") -> tuple[DataFrame, DataFrame]:
+    """(reused, pending): identical content is pending once.
 
     ``cache``: cache_key, result; a null result counts as malformed and is not reused.
     """
-    key = F.concat(F.lit(f"{kind}-"), F.lpad(F.lower(F.hex(F.crc32(F.col(text)))), 8, "0"))
-    keyed = inputs.withColumn("cache_key", key)
+    keyed = inputs.withColumn("cache_key", content_key(F.col(text), kind, hash_))
     good = cache.where(F.col("result").isNotNull()).select("cache_key", "result")
     reused = keyed.join(good, "cache_key")
     todo = keyed.join(good.select("cache_key"), "cache_key", "left_anti")

@@ -145,8 +145,7 @@ def _(spark, d):
 
 def cache_rows(spark, d):
     docs = v.table(spark, d, "documents").where("lang = 'en'")
-    key = F.concat(F.lit("doc-"), F.lpad(F.lower(F.hex(F.crc32("text"))), 8, "0"))
-    return docs.select(key.alias("cache_key"), F.when(F.length("text") > 500, "ok").alias("result")).dropDuplicates(["cache_key"])
+    return docs.select(rf.content_key(F.col("text"), "doc").alias("cache_key"), F.when(F.length("text") > 500, "ok").alias("result")).dropDuplicates(["cache_key"])
 
 
 @query("pending_inference", """
