@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as tg
 from ..functions import text as tx
 from .cards import no_strings
-from .ordered import id_bucket, top_k, with_running
+from .ordered import entry_states, top_k
 from .staging import materialize
 
 # Fixed values.
@@ -33,38 +33,49 @@ def rename_duplicates(units: DataFrame, keys: Sequence[str], id_col: str, order:
     )
 
 
-def greedy_batches(units: DataFrame, cap: int, keys: Sequence[str], size: str = "shot_count", order: str = "ord") -> DataFrame:
+def greedy_batches(
+    units: DataFrame, cap: int, keys: Sequence[str], size: str = "shot_count", order: str = "ord", block: int = 1024
+) -> DataFrame:
     """Batch number per unit, in order: a unit over the cap stands alone; else a batch closes when it would exceed the cap.
 
-    An oversize unit always ends the batch before it and starts a new one after it, so the fold
-    runs between oversize units, in stretches numbered by a running count.
+    ``order`` is the dense 1-based position. The rule is a small automaton: state 0 is "no open batch", state
+    ``s + 1`` is an open batch of ``s`` shots. Each block of units is folded on its own; chapters longer than a
+    block first learn the state in which each block begins.
     """
-    over = F.col(size) > cap
-    d = with_running(units, keys, [order], id_bucket(F.col(order), 4096), over.cast("int"), "_seg")
-    d = materialize(d.withColumn("_over", over))
-    runs = d.where(~F.col("_over")).groupBy(*keys, "_seg").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("s")))).alias("_u"))
-    zero = F.array().cast("array<struct<o:int,b:int,sum:bigint>>")
+    spot = F.floor((F.col(order) - 1) / block).cast("int")
+    packed = units.groupBy(*keys, spot.alias("_blk")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(order).cast("int").alias("o"), F.col(size).cast("int").alias("s")))).alias("_u")
+    )
+    packed = materialize(packed)
+
+    def advance(r: Column, k: Column, s: Column) -> Column:
+        fits = (r > 0) & (r - 1 + s <= cap)
+        return F.struct(
+            F.when(s > cap, 0).when(fits, r + s).otherwise(s + 1).cast("int").alias("r"),
+            F.when((s <= cap) & fits, k).otherwise(k + 1).cast("bigint").alias("k"),
+        )
+
+    zero = F.lit(0).cast("bigint")
+    long = packed.where("_blk > 0").select(*keys).distinct()
+    table = F.transform(
+        F.sequence(F.lit(0), F.lit(cap + 1)),
+        lambda r0: F.aggregate("_u", F.struct(r0.cast("int").alias("r"), zero.alias("k")), lambda a, u: advance(a["r"], a["k"], u["s"])),
+    )
+    entry = entry_states(packed.join(long, list(keys), "left_semi").withColumn("fn", table), keys)
+    d = packed.join(entry, [*keys, "_blk"], "left")
 
     def step(acc: Column, u: Column) -> Column:
         top = F.get(acc, F.size(acc) - 1)
-        fits = (F.size(acc) > 0) & (top["sum"] + u["s"] <= cap)
-        b = F.when(F.size(acc) == 0, 1).when(fits, top["b"]).otherwise(top["b"] + 1)
-        s = F.when(fits, top["sum"] + u["s"]).otherwise(u["s"])
-        return F.concat(acc, F.array(F.struct(u["o"].cast("int").alias("o"), b.cast("int").alias("b"), s.cast("bigint").alias("sum"))))
-
-    folded = runs.withColumn("_f", F.aggregate("_u", zero, step))
-    # A stretch contributes its batches plus the oversize unit that opened it.
-    lone = d.where("_over").select(*keys, "_seg").withColumn("_lone", F.lit(1))
-    sizes = folded.select(*keys, "_seg", F.element_at("_f", -1)["b"].alias("_nb")).join(lone, [*keys, "_seg"], "full")
-    total = F.coalesce("_nb", F.lit(0)) + F.coalesce("_lone", F.lit(0))
-    starts = with_running(sizes, keys, ["_seg"], id_bucket(F.col("_seg"), 4096), total, "_start", inclusive=False).select(
-        *keys, "_seg", F.coalesce("_lone", F.lit(0)).alias("_lone"), "_start"
+        r = F.coalesce(top["r"], "entry_state", F.lit(0))
+        k = F.coalesce(top["k"], "entry_count", zero)
+        nxt = advance(r, k, u["s"])
+        return F.concat(acc, F.array(F.struct(u["o"].alias("o"), nxt["r"].alias("r"), nxt["k"].alias("k"))))
+
+    empty = F.array().cast("array<struct<o:int,r:int,k:bigint>>")
+    numbered = d.select(*keys, F.explode(F.aggregate("_u", empty, step)).alias("_x")).select(
+        *keys, F.col("_x.o").alias(order), F.col("_x.k").cast("int").alias("batch_no")
     )
-    inner = folded.select(*keys, "_seg", F.explode("_f").alias("_x")).select(*keys, "_seg", F.col("_x.o").alias(order), F.col("_x.b").alias("_b"))
-    single = d.where("_over").select(*keys, "_seg", F.col(order), F.lit(0).alias("_b"))
-    placed = inner.unionByName(single).join(starts, [*keys, "_seg"])
-    no = F.when(F.col("_b") == 0, F.col("_start") + 1).otherwise(F.col("_start") + F.col("_lone") + F.col("_b"))
-    return d.drop("_seg", "_over").join(placed.select(*keys, order, no.cast("int").alias("batch_no")), [*keys, order])
+    return units.join(numbered, [*keys, order])
 
 
 def write_batches(batched: DataFrame, cap: int, keys: Sequence[str], unit: str, size: str = "shot_count") -> DataFrame:

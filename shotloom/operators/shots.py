@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import round_at
 from ..functions.text import relativize
-from .ordered import group_quantiles, id_bucket, with_neighbors, with_ordinal, with_running
+from .ordered import entry_states, group_quantiles, id_bucket, with_neighbors, with_ordinal, with_running
 from .staging import materialize
 
 K = ["video_id"]
@@ -69,14 +69,16 @@ def peak_candidates(scores: DataFrame, levels: DataFrame, keys: Sequence[str] =
 
 
 def min_gap_select(
-    candidates: DataFrame, gap: int, at: str = "frame_idx", keys: Sequence[str] = K, anchor: int | None = 0
+    candidates: DataFrame, gap: int, at: str = "frame_idx", keys: Sequence[str] = K, anchor: int | None = 0, block: int = 4096
 ) -> DataFrame:
     """Greedy choice in order: accept a candidate at least ``gap`` after the last accepted one.
 
-    ``anchor`` is accepted first (None: the first candidate is). A candidate at least
-    ``gap`` after its direct predecessor is always accepted, so the sequence splits
-    there into independent islands and the fold runs inside each island.
+    ``anchor`` is accepted first (None: the first candidate is). A candidate at least ``gap`` after its direct
+    predecessor is always accepted, so the sequence splits there into independent islands. An island is folded in
+    blocks of positions; one that spans several blocks first learns how far the last choice reaches into each:
+    state 0 is "free", state ``j`` is a last choice ``gap - j`` before the block.
     """
+    width = max(block, gap)
     pts = candidates.select(*keys, F.col(at).cast("bigint").alias("_x")).distinct()
     if anchor is not None:
         zero = pts.select(*keys).distinct().withColumn("_x", F.lit(anchor).cast("bigint"))
@@ -85,13 +87,35 @@ def min_gap_select(
     pts = with_neighbors(materialize(pts), keys, ["_x"], b, prev={"_p": "_x"})
     head = F.col("_p").isNull() | (F.col("_x") - F.col("_p") >= gap)
     pts = with_running(pts, keys, ["_x"], b, head.cast("int"), "_isl")
-    kept = pts.groupBy(*keys, "_isl").agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+    ids = [*keys, "_isl"]
+    packed = materialize(
+        pts.groupBy(*ids, F.floor(F.col("_x") / width).alias("_blk")).agg(F.sort_array(F.collect_list("_x")).alias("_xs"))
+    )
+    spread = packed.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*ids)
+    start = F.col("_blk") * width
+
+    def last_from(state: Column) -> Column:
+        """Last choice before the block; far enough back when free."""
+        return F.when(state > 0, start - gap + state).otherwise(start - 2 * gap)
+
+    def end_state(last: Column) -> Column:
+        return F.greatest(F.lit(0).cast("bigint"), last - (start + width - gap)).cast("int")
+
+    table = F.transform(
+        F.sequence(F.lit(0), F.lit(gap - 1)),
+        lambda r0: F.struct(
+            end_state(F.aggregate("_xs", last_from(r0), lambda last, x: F.when(x - last >= gap, x).otherwise(last))).alias("r"),
+            F.lit(0).cast("bigint").alias("k"),
+        ),
+    )
+    entry = entry_states(packed.join(spread, ids, "left_semi").withColumn("fn", table), ids)
+    d = packed.join(entry, [*ids, "_blk"], "left").withColumn("_last", last_from(F.coalesce("entry_state", F.lit(0))))
     fold = F.aggregate(
-        F.slice("_xs", F.lit(2), F.size("_xs")),
-        F.slice("_xs", 1, 1),
+        "_xs",
+        F.array("_last"),
         lambda acc, x: F.when(x - F.element_at(acc, -1) >= gap, F.concat(acc, F.array(x))).otherwise(acc),
     )
-    return kept.select(*keys, F.explode(fold).alias(at))
+    return d.withColumn("_kept", fold).select(*keys, F.explode(F.slice("_kept", F.lit(2), F.size("_kept"))).alias(at))
 
 
 def cuts_to_bounds(cuts: DataFrame, frame_counts: DataFrame, keys: Sequence[str] = K) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import cards as cd
 from ..operators import chunks as ck
 from ..operators import ordered as od
+from ..operators.staging import materialize
 from . import oracle as o
 from . import views as v
 from .registry import query
@@ -21,7 +22,8 @@ def join(c, sep="|"):
 
 
 def chunks(spark, d):
-    return ck.summarize_chunks(ck.balanced_chunks(v.cards(spark, d), SIZE))
+    """Chunk rows, written once: several steps read them."""
+    return materialize(ck.summarize_chunks(ck.balanced_chunks(v.cards(spark, d), SIZE)))
 
 
 @query("heuristic_cards", o.with_views("v_card_keys", f"""
@@ -181,9 +183,7 @@ def _(spark, d):
   SELECT c.video_id, least(6, n, greatest(coalesce(t, 0), CAST(ceil(n / {SIZE // 2}::DOUBLE) AS BIGINT), (n + 7) // 8, 1)) AS suggested FROM (SELECT video_id, sum(card_count)::BIGINT AS n FROM v_chunks GROUP BY ALL) c
   LEFT JOIN (SELECT video_id, count(*) AS t FROM v_topics WHERE topic NOT IN ({o.PLACEHOLDERS}) GROUP BY ALL) k ON k.video_id = c.video_id"""))
 def _(spark, d):
-    from ..operators.staging import materialize
-
-    c = materialize(chunks(spark, d))
+    c = chunks(spark, d)
     n = c.groupBy("video_id").agg(F.sum("card_count").alias("n"))
     t = ck.merge_topics(c).where(~F.col("topic").isin(tx.PLACEHOLDER_TOPICS)).groupBy("video_id").agg(F.count(F.lit(1)).alias("t"))
     return n.join(t, "video_id", "left").select("video_id", ck.suggest_sections(F.col("n"), F.coalesce("t", F.lit(0)), SIZE).alias("suggested"))

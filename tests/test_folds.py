@@ -37,8 +37,8 @@ def test_min_gap(spark):
     rng = random.Random(3)
     pts = {k: sorted(rng.sample(range(1, 400), 90)) for k in "ab"}
     d = spark.createDataFrame([(k, x) for k, xs in pts.items() for x in xs], "video_id string, frame_idx int")
-    for gap, anchor in ((9, 0), (4, None)):
-        got = sorted((r.video_id, r.frame_idx) for r in sh.min_gap_select(d, gap, anchor=anchor).collect())
+    for gap, anchor, block in ((9, 0, 4096), (9, 0, 10), (4, None, 4), (30, 0, 30)):
+        got = sorted((r.video_id, r.frame_idx) for r in sh.min_gap_select(d, gap, anchor=anchor, block=block).collect())
         want = []
         for k, xs in pts.items():
             kept = [anchor] if anchor is not None else [xs[0]]
@@ -82,8 +82,8 @@ def test_greedy_batches(spark):
     sizes = {k: [rng.choice([0, 1, 2, 3, 5, 9, 14]) for _ in range(30)] for k in "abcd"}
     sizes["e"] = [2, 5, 2]
     d = spark.createDataFrame([(k, i + 1, s) for k, ss in sizes.items() for i, s in enumerate(ss)], "chapter_id string, ord int, shot_count int")
-    for cap in (4, 10):
-        got = {(r.chapter_id, r.ord): r.batch_no for r in bd.greedy_batches(d, cap, ["chapter_id"]).collect()}
+    for cap, block in ((4, 1024), (4, 3), (10, 4)):
+        got = {(r.chapter_id, r.ord): r.batch_no for r in bd.greedy_batches(d, cap, ["chapter_id"], block=block).collect()}
         for k, ss in sizes.items():
             no, run, open_ = 0, 0, False
             for i, s in enumerate(ss):
