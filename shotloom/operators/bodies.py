@@ -57,12 +57,16 @@ def greedy_batches(
 
     zero = F.lit(0).cast("bigint")
     long = packed.where("_blk > 0").select(*keys).distinct()
-    table = F.transform(
-        F.sequence(F.lit(0), F.lit(cap + 1)),
-        lambda r0: F.aggregate("_u", F.struct(r0.cast("int").alias("r"), zero.alias("k")), lambda a, u: advance(a["r"], a["k"], u["s"])),
-    )
-    entry = entry_states(packed.join(long, list(keys), "left_semi").withColumn("fn", table), keys)
-    d = packed.join(entry, [*keys, "_blk"], "left")
+    if long.isEmpty():
+        d = packed.withColumn("entry_state", F.lit(0)).withColumn("entry_count", zero)
+    else:
+        every = F.sequence(F.lit(0), F.lit(cap + 1))
+        ends = F.transform(
+            every, lambda r0: F.aggregate("_u", F.struct(r0.alias("r"), zero.alias("k")), lambda a, u: advance(a["r"], a["k"], u["s"]))
+        )
+        table = F.map_from_arrays(every, ends)
+        entry = entry_states(packed.join(long, list(keys), "left_semi").withColumn("fn", table), keys)
+        d = packed.join(entry, [*keys, "_blk"], "left")
 
     def step(acc: Column, u: Column) -> Column:
         top = F.get(acc, F.size(acc) - 1)

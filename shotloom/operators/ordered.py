@@ -169,7 +169,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, o
 def entry_states(blocks: DataFrame, keys: Sequence[str], fn: str = "fn", at: str = "_blk") -> DataFrame:
     """State in which each block of an order-dependent fold begins: keys, at, entry_state, entry_count.
 
-    ``fn`` holds, for every possible state, ``struct<r, k>``: the state after the block and a count gained
+    ``fn`` maps every state a block may begin in to ``struct<r, k>``: the state after the block and a count gained
     in it. Blocks numbered without a hole are composed by doubling (log2 rounds of equality joins over one
     row per block), so a fold over a huge group needs no single task. State 0 is the start state, also
     after a hole.
@@ -183,15 +183,15 @@ def entry_states(blocks: DataFrame, keys: Sequence[str], fn: str = "fn", at: str
         prev = cur.select(*keys, (F.col(at) + step).alias(at), F.col("_lo").alias("_plo"), F.col(fn).alias("_pf"))
         joined = cur.join(prev, [*keys, at], "left")
         meets = F.col("_pf").isNotNull() & (F.col("_lo") == F.col(at) - step + 1)
-        both = F.transform(
-            "_pf",
-            lambda s: F.struct(F.get(F.col(fn), s["r"])["r"].alias("r"), (s["k"] + F.get(F.col(fn), s["r"])["k"]).alias("k")),
+        then = lambda s: F.try_element_at(F.col(fn), s["r"])
+        both = F.transform_values(
+            "_pf", lambda _, s: F.struct(then(s)["r"].alias("r"), (s["k"] + then(s)["k"]).alias("k"))
         )
         cur = materialize(
             joined.select(*keys, at, F.when(meets, F.col("_plo")).otherwise(F.col("_lo")).alias("_lo"), F.when(meets, both).otherwise(F.col(fn)).alias(fn))
         )
         step *= 2
-    after = cur.select(*keys, (F.col(at) + 1).alias(at), F.get(F.col(fn), F.lit(0)).alias("_s"))
+    after = cur.select(*keys, (F.col(at) + 1).alias(at), F.try_element_at(F.col(fn), F.lit(0)).alias("_s"))
     return blocks.select(*keys, at).join(after, [*keys, at], "left").select(
         *keys, at, F.coalesce("_s.r", F.lit(0)).alias("entry_state"), F.coalesce("_s.k", F.lit(0)).cast("bigint").alias("entry_count")
     )

@@ -101,15 +101,24 @@ def min_gap_select(
     def end_state(last: Column) -> Column:
         return F.greatest(F.lit(0).cast("bigint"), last - (start + width - gap)).cast("int")
 
-    table = F.transform(
-        F.sequence(F.lit(0), F.lit(gap - 1)),
-        lambda r0: F.struct(
-            end_state(F.aggregate("_xs", last_from(r0), lambda last, x: F.when(x - last >= gap, x).otherwise(last))).alias("r"),
-            F.lit(0).cast("bigint").alias("k"),
-        ),
-    )
-    entry = entry_states(packed.join(spread, ids, "left_semi").withColumn("fn", table), ids)
-    d = packed.join(entry, [*ids, "_blk"], "left").withColumn("_last", last_from(F.coalesce("entry_state", F.lit(0))))
+    if spread.isEmpty():
+        d = packed.withColumn("entry_state", F.lit(0))
+    else:
+        wide = packed.join(spread, ids, "left_semi")
+        before = wide.select(*ids, (F.col("_blk") + 1).alias("_blk"), F.col("_xs").alias("_px"))
+        wide = wide.join(before, [*ids, "_blk"], "left")
+        # Only candidates in the last gap before the block can reach into it.
+        near = F.filter(F.coalesce("_px", F.array().cast("array<bigint>")), lambda x: x > start - gap)
+        states = F.concat(F.array(F.lit(0)), F.transform(near, lambda x: (x - (start - gap)).cast("int")))
+        ends = F.transform(
+            states,
+            lambda r0: F.struct(
+                end_state(F.aggregate("_xs", last_from(r0), lambda last, x: F.when(x - last >= gap, x).otherwise(last))).alias("r"),
+                F.lit(0).cast("bigint").alias("k"),
+            ),
+        )
+        d = packed.join(entry_states(wide.withColumn("fn", F.map_from_arrays(states, ends)), ids), [*ids, "_blk"], "left")
+    d = d.withColumn("_last", last_from(F.coalesce("entry_state", F.lit(0))))
     fold = F.aggregate(
         "_xs",
         F.array("_last"),

@@ -88,9 +88,9 @@ def read_ocr_results(spark: SparkSession, path: str, page_field: str = "ocrResul
     d = spark.read.schema(schema).option("mode", "FAILFAST").json(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_line"), "result"
     )
-    pages = d.select("path", "_line", F.posexplode(F.col(f"result.{page_field}")).alias("item_no", "item"))
-    entries = d.select("path", "_line", F.explode("result.dataInfo").alias("key", "value"))
-    info = entries.groupBy("path", "key").agg(F.max_by("value", "_line").alias("value"))
+    pages = d.select("path", F.struct("_at", "_line").alias("line_at"), F.posexplode(F.col(f"result.{page_field}")).alias("item_no", "item"))
+    entries = d.select("path", F.struct("_at", "_line").alias("_at"), F.explode("result.dataInfo").alias("key", "value"))
+    info = entries.groupBy("path", "key").agg(F.max_by("value", "_at").alias("value"))
     return pages, info
 
 
