@@ -114,3 +114,12 @@ def reselect_frames(bodies: DataFrame, files: DataFrame, candidates: DataFrame,
     return broken.select(*keys).join(found, keys, "left").select(
         *keys, F.col("path").alias("representative_frame"), F.when(F.col("path").isNull(), "failed").otherwise("fixed").alias("status")
     )
+
+
+def collect_checks(parts: dict[str, DataFrame], key: str = "video_id") -> DataFrame:
+    """Named check results (key, status) as one table: key, name, status."""
+    out = None
+    for name, df in parts.items():
+        part = df.select(key, F.lit(name).alias("name"), "status")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -15,7 +15,7 @@ from ..operators import report as rp
 from ..operators.intervals import expand_refs
 from . import oracle as o
 from . import views as v
-from .registry import query
+from .registry import query, typed
 from .timeline import frame_files
 
 
@@ -175,7 +175,7 @@ def _(spark, d):
     return got.select("chapter_id", "ord", "shot_count", "batch_no")
 
 
-@query("write_batches", o.recursive(o.with_views("v_units", f", {BATCH_SQL} SELECT chapter_id, b AS batch_no, count(*) AS units, sum(s) AS shot_count, string_agg(ord, ',' ORDER BY ord) AS unit_ids, bool_or(s > 40) AS oversized FROM ub GROUP BY ALL")))
+@query("write_batches", typed(o.recursive(o.with_views("v_units", f", {BATCH_SQL} SELECT chapter_id, b AS batch_no, count(*) AS units, sum(s) AS shot_count, string_agg(ord, ',' ORDER BY ord) AS unit_ids, bool_or(s > 40) AS oversized FROM ub GROUP BY ALL")), bigint="shot_count"))
 def _(spark, d):
     return bd.write_batches(bd.greedy_batches(v.units(spark, d), 40, ["chapter_id"]), 40, ["chapter_id"], "ord")
 
@@ -262,7 +262,7 @@ def _(spark, d):
     return top.join(c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("total")), "conv_id")
 
 
-@query("truncate_and_merge", "SELECT conv_id, least(turn, 2) AS group_ord, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY ALL")
+@query("truncate_and_merge", typed("SELECT conv_id, least(turn, 2) AS group_ord, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY ALL", bigint="chars"))
 def _(spark, d):
     c = v.table(spark, d, "conversations").withColumn("group_ord", F.least(F.col("turn"), F.lit(2)))
     return c.groupBy("conv_id", "group_ord").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
@@ -381,10 +381,8 @@ def _(spark, d):
     ok = F.when(F.col("event_type") == "error", '{"x":1}').otherwise('{"shot_id":1}')
     contract, _ = qa.contract_check(e.select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("line_no"), ok.alias("line")), ["shot_id"])
     over = e.groupBy(F.col("user_id").cast("string").alias("path")).agg(F.when(F.max("value") > 80, "warning").otherwise("passed").alias("status"))
-    checks = None
-    for name, df in (("json_parse", qa.json_checks(rows)), ("schema_contract", contract), ("chapter_write_warnings", over)):
-        part = df.select(F.col("path").alias("video_id"), F.lit(name).alias("name"), "status")
-        checks = part if checks is None else checks.unionByName(part)
+    named = lambda df: df.select(F.col("path").alias("video_id"), "status")
+    checks = qa.collect_checks({"json_parse": named(qa.json_checks(rows)), "schema_contract": named(contract), "chapter_write_warnings": named(over)})
     return qa.qa_rollup(checks, ["video_id"])
 
 
@@ -448,9 +446,9 @@ def _(spark, d):
     return cl.link_provider_calls(c, ["conv_id"]).select("conv_id", "call_id", "raw_call_id")
 
 
-@query("image_inventory", """
+@query("image_inventory", typed("""
   SELECT l_orderkey AS call_id, count(*) AS requested_count, max(l_linenumber) AS attached_count, count(*) FILTER (p_partkey IS NULL) AS missing_count, coalesce(sum(p_size), 0) AS total_bytes
-  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey GROUP BY l_orderkey""")
+  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey GROUP BY l_orderkey""", bigint="total_bytes"))
 def _(spark, d):
     x = v.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("call_id")).agg(F.collect_list(part_path()).alias("images"), F.max("l_linenumber").alias("attached_count"))
     return cl.image_inventory(x, frame_files(spark, d))
@@ -542,8 +540,8 @@ def _(spark, d):
     return x.withColumn("chapter_id", F.format_string("chapter_%03d", "chapter_no"))
 
 
-@query("report_header", """
-  SELECT CAST(o_custkey AS VARCHAR) AS video_id, count(*) AS chapters, sum(coalesce(k, 0)) AS keyframes FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey // 100) AS k FROM lineitem GROUP BY 1) l ON l.l_orderkey = o_orderkey GROUP BY o_custkey""")
+@query("report_header", typed("""
+  SELECT CAST(o_custkey AS VARCHAR) AS video_id, count(*) AS chapters, sum(coalesce(k, 0)) AS keyframes FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey // 100) AS k FROM lineitem GROUP BY 1) l ON l.l_orderkey = o_orderkey GROUP BY o_custkey""", bigint="keyframes"))
 def _(spark, d):
     return report(spark, d)[1]
 

@@ -12,7 +12,7 @@ from ..operators import ordered as od
 from ..operators.staging import materialize
 from . import oracle as o
 from . import views as v
-from .registry import query
+from .registry import query, typed
 
 SIZE = o.SIZE
 
@@ -26,14 +26,14 @@ def chunks(spark, d):
     return materialize(ck.summarize_chunks(ck.balanced_chunks(v.cards(spark, d), SIZE)))
 
 
-@query("heuristic_cards", o.with_views("v_card_keys", f"""
+@query("heuristic_cards", typed(o.with_views("v_card_keys", f"""
   SELECT t.video_id, t.ord, CASE WHEN b = '' THEN '该镜头没有可用字幕。' ELSE {o.compact('b', 180)} END AS subtitle_summary,
     coalesce(l4, '') AS key_entities, coalesce(l3, '内容提取') AS topic_tags, CASE WHEN b = '' THEN 'unknown' ELSE 'explanation' END AS narrative_role,
     {o.rnd('least(0.9::DOUBLE, greatest(0.15::DOUBLE, 0.25::DOUBLE + least(length(b), 180) / 260.0::DOUBLE))', 3)} AS importance_score,
     CASE WHEN b = '' THEN 0.2 ELSE 0.45 END AS confidence, 'kf/' || ord || '.jpg' AS frame,
     CASE WHEN ord % 2 = 0 THEN 'no_keyframes|' ELSE '' END || '{cd.NO_OCR_WARNING}' AS warnings
   FROM (SELECT video_id, ord, {o.strip('text')} AS b FROM v_text) t LEFT JOIN (SELECT video_id, ord, string_agg(token, '|' ORDER BY rank) FILTER (rank <= 4) AS l4,
-    string_agg(token, '|' ORDER BY rank) FILTER (rank <= 3) AS l3 FROM v_card_keys GROUP BY ALL) k USING (video_id, ord)"""))
+    string_agg(token, '|' ORDER BY rank) FILTER (rank <= 3) AS l3 FROM v_card_keys GROUP BY ALL) k USING (video_id, ord)"""), double="confidence"))
 def _(spark, d):
     p = v.texts(spark, d).select(
         "video_id", "ord", F.col("text").alias("subtitle_text"), F.array(F.concat(F.lit("kf/"), "ord", F.lit(".jpg"))).alias("frames"),
@@ -66,13 +66,13 @@ def _(spark, d):
 
 
 
-@query("parse_card_responses", f"""
+@query("parse_card_responses", typed(f"""
   SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN page_id % 7 = 0 THEN 'merged_summary' ELSE '' END AS missing_tags,
    'see ' || page_id AS visual_summary, CASE WHEN page_id % 7 = 0 THEN '' ELSE 'alpha beta ' || url END AS merged_summary,
    'e1|e2' AS key_entities, CASE WHEN page_id % 2 = 0 THEN 't1|t2' WHEN page_id % 7 = 0 THEN '内容提取' ELSE NULL END AS topic_tags,
    CASE WHEN page_id % 3 = 0 THEN 'demo' ELSE 'unknown' END AS narrative_role, CASE WHEN page_id % 5 = 0 THEN 1.0 ELSE 0.25 END AS importance_score, 0.5 AS confidence,
    CASE WHEN page_id % 4 = 0 THEN 'kf/b.jpg' ELSE 'kf/a.jpg' END AS frame,
-   concat_ws('|', 'w0', CASE WHEN page_id % 4 = 1 THEN '模型返回的推荐帧不在候选关键帧中，已回退到 kf/a.jpg。' END, CASE WHEN page_id % 3 > 0 THEN '模型返回了未知 narrative_role=odd，已改为 unknown。' END) AS warnings FROM pages""")
+   concat_ws('|', 'w0', CASE WHEN page_id % 4 = 1 THEN '模型返回的推荐帧不在候选关键帧中，已回退到 kf/a.jpg。' END, CASE WHEN page_id % 3 > 0 THEN '模型返回了未知 narrative_role=odd，已改为 unknown。' END) AS warnings FROM pages""", double="importance_score confidence"))
 def _(spark, d):
     k = F.col("page_id")
     resp = F.concat_ws(
@@ -205,10 +205,10 @@ def _(spark, d):
     return ck.sections_from_chunks(chunks(spark, d)).withColumn("source_chunks", join("source_chunks"))
 
 
-@query("build_global_summary", o.with_views("v_final_sections v_topics", f"""
+@query("build_global_summary", typed(o.with_views("v_final_sections v_topics", f"""
   SELECT c.video_id, n AS card_count, {o.compact('theme', 24)} AS video_main_theme, k AS section_count, least(6, greatest(1, n), greatest(1, k)) AS suggested_chapter_count, 'structured_report' AS narrative_style
   FROM (SELECT video_id, sum(card_count) AS n FROM v_chunks GROUP BY ALL) c JOIN (SELECT video_id, count(*) AS k FROM v_final_sections GROUP BY ALL) s ON s.video_id = c.video_id
-  JOIN (SELECT video_id, min_by(topic, first_at) AS theme FROM v_topics GROUP BY ALL) t ON t.video_id = c.video_id"""))
+  JOIN (SELECT video_id, min_by(topic, first_at) AS theme FROM v_topics GROUP BY ALL) t ON t.video_id = c.video_id"""), bigint="card_count suggested_chapter_count"))
 def _(spark, d):
     return ck.reduce_summaries(v.cards(spark, d), SIZE)[1].drop("fallback")
 

@@ -115,7 +115,7 @@ def _(spark, d):
 def _(spark, d):
     chunks = ck.summarize_chunks(ck.balanced_chunks(v.cards(spark, d), SIZE))
     cards = slim(spark, d).withColumn("merged_summary", F.lit(""))
-    none = chunks.select("video_id", F.lit(1).alias("section_no"), F.lit("x").alias("title")).limit(0)
+    none = chunks.select("video_id", F.lit(1).alias("section_no"), F.lit("x").alias("title")).where(F.lit(False))
     drafts, shots = ol.planner_drafts(chunks, ol.chunk_bridge(chunks, cards), cards, none)
     return drafts.join(shots.groupBy("video_id", "draft_ord").agg(F.count(F.lit(1)).alias("shots")), ["video_id", "draft_ord"])
 

@@ -10,6 +10,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def typed(sql: str, bigint: str = "", double: str = "") -> str:
+    """Give the named SQL columns the type of the Spark side (sums widen and literals are decimals in SQL)."""
+    casts = [f"CAST({c} AS BIGINT) AS {c}" for c in bigint.split()] + [f"CAST({c} AS DOUBLE) AS {c}" for c in double.split()]
+    return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})"
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:

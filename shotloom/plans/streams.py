@@ -14,7 +14,7 @@ from ..streaming import stages as ss
 from . import oracle as o
 from . import views as v
 from .assembly import CALL_ROWS, call_rows
-from .registry import query
+from .registry import query, typed
 
 
 def folder(df) -> str:
@@ -120,7 +120,7 @@ def _(spark, d):
     return got.withColumn("user_id", uid).groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"), F.count("_corrupt_record").alias("corrupt"))
 
 
-@query("write_artifacts", """SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS low FROM orders GROUP BY o_custkey""")
+@query("write_artifacts", typed("""SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS low FROM orders GROUP BY o_custkey""", bigint="low"))
 def _(spark, d):
     rows = ar.hashed(v.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), 8, "o_custkey")
     path = folder(rows)

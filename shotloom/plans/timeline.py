@@ -85,14 +85,14 @@ def _(spark, d):
 
 
 @query("mention_join", """
-  WITH ids AS (SELECT DISTINCT w AS ref_id FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM benchmark) WHERE length(w) >= 8),
+  WITH ids AS (SELECT DISTINCT w AS ref_id FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM benchmark)),
   t AS (SELECT doc_id AS text_id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS ws FROM documents),
   u AS (SELECT text_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM t)
   SELECT text_id, w AS ref_id, min(pos) AS pos FROM u JOIN ids ON ids.ref_id = u.w GROUP BY ALL""")
 def _(spark, d):
     ids = v.table(spark, d, "benchmark").select(
         F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("ref_id")
-    ).where(F.length("ref_id") >= 8)
+    ).distinct()
     docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
     return iv.mention_join(docs, ids, keys=[])
 
