@@ -142,9 +142,10 @@ def merge_short_scenes(bounds: DataFrame, min_frames: int, keys: Sequence[str] =
 
     Rules per scene, after clipping to the video: inverted scenes are skipped; a
     scene that starts inside the kept one extends it; a long one (or the first) is
-    appended; a short one sets the end of the kept one. A scene that starts beyond
-    everything seen before and is long enough always opens a new one, so the fold
-    restarts there and each restart is folded on its own.
+    appended; a short one sets the end of the kept one. Each step only ever moves
+    the kept end forward, so it equals the running maximum of the ends: a scene
+    opens exactly where a long one starts beyond that maximum, and ends at the
+    largest end up to the next opening.
     """
     last = F.greatest(F.lit(0).cast("bigint"), F.col("frame_count") - 1)
     d = bounds.withColumn("s", F.greatest(F.lit(0).cast("bigint"), F.col("start_frame"))).withColumn(
@@ -157,12 +158,7 @@ def merge_short_scenes(bounds: DataFrame, min_frames: int, keys: Sequence[str] =
         (F.col("s") > F.col("_reach")) & (F.col("e") - F.col("s") + 1 >= min_frames)
     )
     run = with_running(run, keys, ["seq"], b, opens.cast("int"), "_isl")
-    folded = (
-        run.groupBy(*keys, "_isl")
-        .agg(F.sort_array(F.collect_list(F.struct("seq", "s", "e"))).alias("_r"))
-        .select(*keys, F.explode(_fold_scenes(F.col("_r"), min_frames)).alias("_k"))
-        .select(*keys, F.col("_k.s").alias("start_frame"), F.col("_k.e").alias("end_frame"))
-    )
+    folded = run.groupBy(*keys, "_isl").agg(F.min_by("s", "seq").alias("start_frame"), F.max("e").alias("end_frame")).drop("_isl")
     lost = bounds.groupBy(*keys).agg(F.max("frame_count").alias("frame_count")).join(
         ok.select(*keys).distinct(), list(keys), "left_anti"
     )
@@ -175,27 +171,6 @@ def merge_short_scenes(bounds: DataFrame, min_frames: int, keys: Sequence[str] =
     )
 
 
-def _fold_scenes(rows: Column, min_frames: int) -> Column:
-    empty = F.transform(F.slice(rows, 1, 0), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e")))
-
-    def with_end(acc: Column, end: Column) -> Column:
-        top = F.element_at(acc, -1)
-        head = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        return F.concat(head, F.array(F.struct(top["s"].alias("s"), end.alias("e"))))
-
-    def step(acc: Column, r: Column) -> Column:
-        top = F.get(acc, F.size(acc) - 1)
-        one = F.array(F.struct(r["s"].alias("s"), r["e"].alias("e")))
-        return (
-            F.when(F.size(acc) == 0, one)
-            .when(r["s"] <= top["e"], with_end(acc, F.greatest(top["e"], r["e"])))
-            .when(r["e"] - r["s"] + 1 >= min_frames, F.concat(acc, one))
-            .otherwise(with_end(acc, r["e"]))
-        )
-
-    return F.aggregate(rows, empty, step)
-
-
 def frames_to_time(bounds: DataFrame, fps: Column, duration: Column) -> DataFrame:
     """Frame bounds to seconds, clipped to the duration, at least one frame long."""
     start = F.greatest(F.lit(0.0), F.col("start_frame") / fps)
