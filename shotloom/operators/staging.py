@@ -5,24 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-_local_dir: str | None = None
+_local_dirs: dict[str, str] = {}
 
 
-def _folder(df: DataFrame) -> str:
-    """Shared folder named by the session; a temporary one only where none is named (tests)."""
-    global _local_dir
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def staging_dir(spark: SparkSession) -> str:
+    """Shared folder that the session names in spark.checkpoint.dir.
+
+    A session that runs in one process (master `local[..]`) and names none gets a temporary folder of its own, which
+    Spark also is told about; any other session without the setting is an error, since executors have no common disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _local_dir
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="spark-")
+    return _local_dirs[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write once as Parquet and read back: lineage ends here and a lost executor costs nothing upstream."""
-    path = f"{_folder(df)}/staged-{uuid.uuid4().hex}"
+    path = f"{staging_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

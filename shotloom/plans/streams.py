@@ -19,7 +19,7 @@ from .registry import query, typed
 
 def folder(df) -> str:
     """New folder below the shared one."""
-    return f"{staging._folder(df)}/files-{uuid.uuid4().hex}"
+    return f"{staging.staging_dir(df.sparkSession)}/files-{uuid.uuid4().hex}"
 
 
 def call_log(spark, d):
