@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import zipfile
@@ -142,6 +143,7 @@ class WordTable:
 
 def fnv(words: list[bytes], seed: int = 0) -> np.ndarray:
     """A 64-bit hash per word that is the same in every process, worked out for all words at once."""
+    words = [w if len(w) <= 64 else hashlib.blake2b(w, digest_size=16).digest() for w in words]
     lens = np.fromiter(map(len, words), np.int64, len(words))
     out = np.full(len(words), 0xCBF29CE484222325 ^ seed, np.uint64)
     if not len(words):

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shotloom.llm import exact_dedup, mixing, packing, token_counts
-from shotloom.llm.common import documents
+from shotloom.llm import exact_dedup, language_id, mixing, packing, quality_knn, token_counts, toxicity
+from shotloom.llm.common import documents, fold
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -22,16 +22,34 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), PIECE_MODEL, token_counts.new_cache_path(spark)).drop("content")
 
 
+def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_knn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 3) != 1)
+    return quality_knn.predict(docs, model).withColumn("held_out", fold("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 5) != 0)
+    return toxicity.predict(docs, model).withColumn("held_out", fold("doc_id", 5) == 0).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORD_MODEL)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs, fold("doc_id", 3) != 1)
+    return language_id.predict(docs, model).withColumn("held_out", fold("doc_id", 3) == 1).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op5_best_fit_packing, op10_mixing_ipf)
+    f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_quality_knn, op4_toxicity_cnn, op5_best_fit_packing, op7_language_id, op10_mixing_ipf)
 }
 
 ORACLES: dict[str, str] = {
