@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shotloom.llm import exact_dedup, language_id, mixing, packing, quality_knn, token_counts, toxicity
+from shotloom.llm import exact_dedup, language_id, mixing, packing, quality_knn, quality_outliers, secrets, token_counts, toxicity
 from shotloom.llm.common import documents, fold
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,18 +39,30 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORD_MODEL)
 
 
+def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_outliers.reject_outliers(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs, fold("doc_id", 3) != 1)
     return language_id.predict(docs, model).withColumn("held_out", fold("doc_id", 3) == 1).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.find(docs, secrets.fit(docs))
+    many = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), lambda v: v == F.lit(k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    base = secrets.joined(F.filter("spans", lambda s: s["kind"] != "format"))
+    return found.select("doc_id", *many, F.sha2(base, 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op10_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_quality_knn, op4_toxicity_cnn, op5_best_fit_packing, op7_language_id, op10_mixing_ipf)
+    f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_quality_knn, op4_toxicity_cnn, op5_best_fit_packing, op6_quality_outliers, op7_language_id, op8_secret_grammar, op10_mixing_ipf)
 }
 
 ORACLES: dict[str, str] = {
