@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.llm import exact_dedup, language_id, mixing, packing, quality_knn, quality_outliers, secrets, token_counts, toxicity
+from shotloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_knn, quality_outliers, secrets, token_counts, toxicity
 from shotloom.llm.common import documents, fold
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -57,12 +57,16 @@ def op8_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *many, F.sha2(base, 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op9_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), words=4, percent=80)
+
+
 def op10_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_quality_knn, op4_toxicity_cnn, op5_best_fit_packing, op6_quality_outliers, op7_language_id, op8_secret_grammar, op10_mixing_ipf)
+    f.__name__: f for f in (op1_exact_dedup, op2_token_counts, op3_quality_knn, op4_toxicity_cnn, op5_best_fit_packing, op6_quality_outliers, op7_language_id, op8_secret_grammar, op9_minhash_bbit, op10_mixing_ipf)
 }
 
 ORACLES: dict[str, str] = {
