@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shotloom.llm.common import WordTable, encoded, fnv, sample_rows, ship, slices
 
@@ -136,7 +137,7 @@ def with_score(df: DataFrame, model: QualityModel | None, text: str, out: str) -
             b[out] = np.concatenate(score).astype(float) if score else np.empty(0)
             yield b
 
-    return df.mapInPandas(run, df.schema.add(out, "double"))
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def predict(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
