@@ -1,16 +1,11 @@
-"""JSON held in text columns: validity, repair, required keys, redaction, profiles."""
+"""JSON held in text columns: validity, repair, required keys, long texts, profiles."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, compact_text, let, strip
-
-# Fixed values.
-SENSITIVE_KEY_PARTS = ["api_key", "authorization", "access_token", "refresh_token", "secret", "password", "bearer"]
-MASK = "***redacted***"
-
+from .text import clean_text, let, strip
 
 def json_valid(c: Column) -> Column:
     return F.try_parse_json(c).isNotNull()
@@ -69,13 +64,6 @@ def top_level_keys(c: Column) -> Column:
     return F.sort_array(F.coalesce(F.json_object_keys(c), F.array().cast("array<string>")))
 
 
-def redact_json(c: Column) -> Column:
-    """Mask the string or scalar values of sensitive keys at any depth of a JSON text."""
-    key = "|".join(SENSITIVE_KEY_PARTS)
-    value = r'(?:"(?:[^"\\]|\\.)*"|[^,{}\[\]\s"]+)'
-    return F.regexp_replace(c, rf'(?i)("[^"]*(?:{key})[^"]*"\s*:\s*){value}', f'$1"{MASK}"')
-
-
 def trim_long(c: Column, limit: int) -> Column:
     """Over-long text: right-trimmed head plus its length and hash."""
     tail = F.concat(F.lit("... [truncated chars="), F.length(c).cast("string"), F.lit(" sha256="), F.sha2(c, 256), F.lit("]"))
@@ -105,26 +93,6 @@ def preview(c: Column, limit: int = 120) -> Column:
     return F.nullif(cut, F.lit(""))
 
 
-def render_value(c: Column, depth: int = 2) -> Column:
-    """JSON text as plain text: objects ``k=v; ...``, arrays ``a, b``, scalars collapsed; parts cut to 80."""
-    def part(x: Column) -> Column:
-        return compact_text(render_value(x, depth - 1) if depth > 1 else x, 80)
-
-    pairs = F.transform(
-        F.map_entries(F.from_json(c, "map<string,string>")), lambda e: F.struct(e["key"].alias("k"), part(e["value"]).alias("v"))
-    )
-    obj = F.array_join(
-        F.transform(F.filter(pairs, lambda p: p["v"] != ""), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "; "
-    )
-    arr = F.array_join(F.filter(F.transform(F.from_json(c, "array<string>"), part), lambda x: x != ""), ", ")
-    return (
-        F.when(c.isNull(), "")
-        .when(F.ltrim(c).startswith("{"), F.coalesce(obj, clean_text(c)))
-        .when(F.ltrim(c).startswith("["), F.coalesce(arr, clean_text(c)))
-        .otherwise(clean_text(c))
-    )
-
-
 def list_counts(c: Column) -> Column:
     """``key:length`` of the list-valued top-level fields, sorted by key."""
     entries = F.map_entries(F.from_json(c, "map<string,string>"))

@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import jsontext as js
 from ..functions import numbers as num
 from ..functions import text as tx
-from ..functions.jsontext import MASK, SENSITIVE_KEY_PARTS
-
-
-def _masked(value):
-    if isinstance(value, dict):
-        return {k: MASK if any(p in k.lower() for p in SENSITIVE_KEY_PARTS) else _masked(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_masked(v) for v in value]
-    return value
-
-
-@F.pandas_udf(StringType())
-def redact_payload(texts: pd.Series) -> pd.Series:
-    """Mask sensitive keys at any depth, whatever their value holds; text that is no JSON is kept."""
-
-    def one(t):
-        try:
-            return json.dumps(_masked(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
-        except (TypeError, ValueError):
-            return t
-
-    return texts.map(one)
+from ..functions.nested import redact_payload
 
 
 def call_health(calls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -92,7 +68,8 @@ def image_inventory(requests: DataFrame, files: DataFrame, key: str = "call_id")
 
 def index_rows(calls: DataFrame) -> DataFrame:
     """Call details to index rows: redacted payload, its profile, and the error category."""
-    p = js.redact_json(F.col("payload"))
+    calls = calls.withColumn("payload", redact_payload("payload"))
+    p = F.col("payload")
     return calls.select(
         "call_id", "function", "record_type", "status", tx.error_category(F.col("error")).alias("error_category"),
         num.round_at(F.col("elapsed_sec"), 3).alias("elapsed_sec"), "time", p.alias("payload"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import materialize
+
 
 def stale_partitions(wanted: DataFrame, manifests: DataFrame, edges: DataFrame, signatures: DataFrame) -> DataFrame:
     """(video_id, stage, reason) of results that must be rebuilt.
@@ -30,16 +32,22 @@ def stale_partitions(wanted: DataFrame, manifests: DataFrame, edges: DataFrame,
     return d.select(*keys, reason.alias("reason")).where("reason is not null")
 
 
-def upstream_closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """All (node, upstream) pairs with the longest distance as ``depth`` (a build order).
+def upstream_closure(edges: DataFrame) -> DataFrame:
+    """All (node, upstream) pairs of an acyclic graph with the longest distance as ``depth`` (a build order).
 
-    The stage graph is acyclic and small; the recursion is Spark's own.
+    Round k holds the distinct pairs joined by a path of k steps, never the paths themselves, and is written; the rounds
+    end when no path is longer, whatever the length of the chain.
     """
-    spark = edges.sparkSession
-    edges.select("node", "depends_on").createOrReplaceTempView("_closure_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, upstream, depth) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT node, depends_on, 1 FROM _closure_edges
-          UNION ALL
-          SELECT up.node, e.depends_on, up.depth + 1 FROM up JOIN _closure_edges e ON e.node = up.upstream)
-        SELECT node, upstream, max(depth) AS depth FROM up GROUP BY node, upstream""")
+    steps = materialize(edges.select("node", "depends_on").distinct())
+    reach = materialize(steps.select("node", F.col("depends_on").alias("upstream"), F.lit(1).alias("depth")))
+    rounds = [reach]
+    while True:
+        longer = reach.join(steps.withColumnRenamed("node", "upstream"), "upstream")
+        reach = materialize(longer.select("node", F.col("depends_on").alias("upstream"), (F.col("depth") + 1).alias("depth")).distinct())
+        if not reach.take(1):
+            break
+        rounds.append(reach)
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.unionByName(r)
+    return every.groupBy("node", "upstream").agg(F.max("depth").alias("depth"))

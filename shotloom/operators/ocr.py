@@ -4,75 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text
+from ..functions.nested import recognised_texts
 
-# The fields a recognition result may nest its content in.
-CONTAINER_KEYS = ["res", "ocr_result", "overall_ocr_res", "result", "data", "items"]
-TEXT_KEYS = ["text", "transcription", "label"]
 
-
-def _texts(node: Column, min_score: float) -> Column:
-    """Own texts of one result object, in order."""
-    lst = F.coalesce(F.try_variant_get(node, "$.rec_texts", "array<string>"), F.array().cast("array<string>"))
-    scores = F.try_variant_get(node, "$.rec_scores", "array<double>")
-    kept = F.filter(
-        F.transform(lst, lambda t, i: F.struct(t.alias("t"), F.get(scores, i).alias("s"))),
-        lambda x: x["s"].isNull() | (x["s"] >= min_score) | F.lit(min_score <= 0),
-    )
-    score = F.try_variant_get(node, "$.rec_score", "double")
-    single = F.when(
-        score.isNull() | (score >= min_score) | F.lit(min_score <= 0), F.try_variant_get(node, "$.rec_text", "string")
-    )
-    named = [F.try_variant_get(node, f"$.{k}", "string") for k in TEXT_KEYS]
-    return F.concat(F.transform(kept, lambda x: x["t"]), F.array(single, *named))
-
-
-def explode_ocr(df: DataFrame, keys: Sequence[str], result: str, min_score: float = 0.0, depth: int = 4) -> DataFrame:
-    """Texts of JSON recognition results: low scores dropped, cleaned, first occurrence kept, in reading order.
-
-    Lists and nested containers are opened level by level inside the row,
-    ``depth`` levels down; the path of a node keeps the reading order.
-    """
-
-    def at(node: Column, path: Column) -> Column:
-        return F.struct(node.alias("node"), path.alias("path"))
-
-    def open_list(n: Column) -> Column:
-        items = F.try_variant_get(n["node"], "$", "array<variant>")
-        return F.when(items.isNull(), F.array(n)).otherwise(
-            F.transform(items, lambda x, i: at(x, F.concat(n["path"], F.array(F.lit(1), i))))
-        )
-
-    def own_texts(n: Column) -> Column:
-        scalar = F.when(F.schema_of_variant(n["node"]) == "STRING", F.try_variant_get(n["node"], "$", "string"))
-        texts = F.concat(_texts(n["node"], min_score), F.array(scalar))
-        return F.transform(
-            texts, lambda t, i: F.struct(F.concat(n["path"], F.array(F.lit(0), i)).alias("path"), clean_text(t).alias("text"))
-        )
-
-    def children(n: Column) -> Column:
-        inner = [
-            at(F.try_variant_get(n["node"], f"$.{k}", "variant"), F.concat(n["path"], F.array(F.lit(i + 2))))
-            for i, k in enumerate(CONTAINER_KEYS)
-        ]
-        return F.filter(F.array(*inner), lambda c: c["node"].isNotNull())
-
-    d = df.select(
-        *keys, F.array(at(F.try_parse_json(F.col(result)), F.array().cast("array<int>"))).alias("_n0")
-    )
-    levels = []
-    for level in range(depth):
-        d = d.withColumn(f"_o{level}", F.flatten(F.transform(f"_n{level}", open_list)))
-        d = d.withColumn(f"_t{level}", F.flatten(F.transform(f"_o{level}", own_texts)))
-        levels.append(f"_t{level}")
-        if level < depth - 1:
-            d = d.withColumn(f"_n{level + 1}", F.flatten(F.transform(f"_o{level}", children)))
-    ordered = F.transform(F.sort_array(F.concat(*levels)), lambda r: r["text"])
-    texts = F.array_distinct(F.filter(ordered, lambda t: t != ""))
-    return d.select(*keys, F.posexplode(texts).alias("_p", "text")).select(*keys, (F.col("_p") + 1).alias("ord"), "text")
+def explode_ocr(df: DataFrame, keys: Sequence[str], result: str, min_score: float = 0.0) -> DataFrame:
+    """Texts of JSON recognition results: low scores dropped, cleaned, first occurrence kept, in reading order, at any depth."""
+    d = df.select(*keys, F.posexplode(recognised_texts(result, min_score)).alias("_p", "text"))
+    return d.select(*keys, (F.col("_p") + 1).alias("ord"), "text")
 
 
 def enclosing_box(boxes: DataFrame, images: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as bx
 from ..functions import jsontext as js
+from ..functions import nested
 from ..functions import numbers as num
 from ..functions import tags as tg
 from ..functions import text as tx
@@ -332,10 +333,10 @@ def _(spark, d):
 
 
 @query("redact", """
-  SELECT event_id, '{"Api_Key": "***redacted***", "n": 1, "my_password": "***redacted***", "k": "' || event_type || '"}' AS safe FROM events""")
+  SELECT event_id, '{"Api_Key":"***redacted***","n":1,"my_password":"***redacted***","k":"' || event_type || '"}' AS safe FROM events""")
 def _(spark, d):
     raw = F.expr("""'{"Api_Key": "sk-' || event_id || ',\\\\"x", "n": 1, "my_password": ' || event_id || ', "k": "' || event_type || '"}'""")
-    return v.table(spark, d, "events").select("event_id", js.redact_json(raw).alias("safe"))
+    return v.table(spark, d, "events").select("event_id", nested.redact_payload(raw).alias("safe"))
 
 
 @query("redact_long_text", """
@@ -345,12 +346,17 @@ def _(spark, d):
 
 
 @query("redact_nested", """
-  SELECT event_id, '{"a":{"secret_id":"***redacted***","b":[{"password":"***redacted***","v":' || event_id || '}]},"t":"' || event_type || '"}' AS safe FROM events""")
-def _(spark, d):
-    from ..operators.calls import redact_payload
-
-    raw = F.expr("""'{"a":{"secret_id":{"x":1},"b":[{"password":["p"],"v":' || event_id || '}]},"t":"' || event_type || '"}'""")
-    return v.table(spark, d, "events").select("event_id", redact_payload(raw).alias("safe"))
+  SELECT doc_id, '{"a":{"secret_id":"***redacted***","b":[{"Password":"***redacted***","v":' || doc_id || ',"l":[[{"Bearer_x":"***redacted***"},null,true]]}]},"authorization":"***redacted***","u":{"redacted":true,"reason":"image_base64","data_url_prefix":"data:image/png;base64","chars":'
+    || (22 + length(lang) * 2) || ',"sha256":"' || sha256('data:image/png;base64,' || lang || lang) || '"},"t":"'
+    || CASE WHEN length(w) > 500 THEN rtrim(left(w, 500), ' ') || '... [truncated chars=' || length(w) || ' sha256=' || sha256(w) || ']' ELSE w END || '"}' AS safe
+  FROM (SELECT doc_id, lang, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') AS w FROM documents)""")
+def _(spark, d):
+    w = F.regexp_replace("text", "[^A-Za-z0-9 ]", "")
+    raw = F.concat(
+        F.lit('{"a":{"secret_id":{"x":[1,{"y":"z"}]},"b":[{"Password":["p",null],"v":'), F.col("doc_id").cast("string"),
+        F.lit(',"l":[[{"Bearer_x":null},null,true]]}]},"authorization":{"k":["Bearer q"]},"u":"data:image/png;base64,'), "lang", "lang", F.lit('","t":"'), w, F.lit('"}'),
+    )
+    return docs(spark, d).select("doc_id", nested.redact_payload(raw, 500).alias("safe"))
 
 
 @query("usage_fields", """
@@ -366,12 +372,13 @@ def _(spark, d):
 
 
 @query("render_value", """
-  SELECT event_id, CASE event_type WHEN 'view' THEN 'k=' || regexp_extract(props, '([0-9]+)', 1) || '; list=a, b; o=x=1' WHEN 'click' THEN 'a, b' ELSE 'plain text' END AS rendered,
+  SELECT event_id, CASE event_type WHEN 'view' THEN 'k=' || regexp_extract(props, '([0-9]+)', 1) || '; list=a, b; o=x=1; deep=p=q=r=s=' || event_id || '; on=True' WHEN 'click' THEN 'a, b, c, False' ELSE 'plain text' END AS rendered,
    CASE WHEN event_type = 'error' THEN 'none' ELSE event_type || ', x' END AS joined FROM events""")
 def _(spark, d):
-    raw = F.expr("""CASE event_type WHEN 'view' THEN '{"k":' || get_json_object(props, '$.k') || ',"list":["a"," b "],"none":"","o":{"x":1}}' WHEN 'click' THEN '["a","","b"]' ELSE ' plain  text ' END""")
+    raw = F.expr("""CASE event_type WHEN 'view' THEN '{"k":' || get_json_object(props, '$.k') || ',"list":["a"," b "],"none":"","o":{"x":1},"deep":{"p":{"q":{"r":{"s":' || event_id || '}}}},"on":true}'
+      WHEN 'click' THEN '["a","",["b",[["c",null]]],false]' ELSE ' plain  text ' END""")
     items = F.when(F.col("event_type") == "error", F.array(F.lit(" "))).otherwise(F.array("event_type", F.lit(""), F.lit(" x ")))
-    return v.table(spark, d, "events").select("event_id", js.render_value(raw).alias("rendered"), tx.plain_join(items).alias("joined"))
+    return v.table(spark, d, "events").select("event_id", nested.render_value(raw).alias("rendered"), tx.plain_join(items).alias("joined"))
 
 
 # --- recognised text and boxes -----------------------------------------------------
@@ -381,10 +388,13 @@ def _(spark, d):
   SELECT event_id, ord, text FROM (SELECT event_id, 1 AS ord, event_type AS text FROM events
    UNION ALL SELECT event_id, 2, 'n' || event_id FROM events WHERE value > 10
    UNION ALL SELECT event_id, CASE WHEN value > 10 THEN 3 ELSE 2 END, 'inner text' FROM events
-   UNION ALL SELECT event_id, CASE WHEN value > 10 THEN 4 ELSE 3 END, 'last' FROM events)""")
+   UNION ALL SELECT event_id, CASE WHEN value > 10 THEN 4 ELSE 3 END, 'last' FROM events
+   UNION ALL SELECT event_id, CASE WHEN value > 10 THEN 5 ELSE 4 END, 'in lists ' || event_id FROM events
+   UNION ALL SELECT event_id, CASE WHEN value > 10 THEN 6 ELSE 5 END, 'eight down ' || event_id FROM events)""")
 def _(spark, d):
     raw = F.expr("""'[{"res":{"rec_texts":[" ' || event_type || ' ","n' || event_id || '","' || event_type || '"],"rec_scores":[0.9,' ||
-      CASE WHEN value > 10 THEN '0.8' ELSE '0.2' END || ',0.7],"data":{"items":[{"text":"inner  text"}]}}},{"rec_text":"last","rec_score":0.6},{"rec_text":"low","rec_score":0.1}]'""")
+      CASE WHEN value > 10 THEN '0.8' ELSE '0.2' END || ',0.7],"data":{"items":[{"text":"inner  text"}]}}},{"rec_text":"last","rec_score":0.6},{"rec_text":"low","rec_score":0.1},
+      [[[{"rec_text":"in lists ' || event_id || '"}]]],{"res":{"data":{"items":{"result":{"ocr_result":{"overall_ocr_res":{"res":[{"label":"eight down ' || event_id || '"}]}}}}}}}]'""")
     e = v.table(spark, d, "events").select("event_id", raw.alias("result"))
     return ocr.explode_ocr(e, ["event_id"], "result", 0.5)
 
