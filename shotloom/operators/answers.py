@@ -85,9 +85,9 @@ def _settled(blocks: Column, limit: int) -> Column:
 
 
 def _warned(bs: Column, removed: dict[str, str], invalid: str) -> Column:
-    """Warnings of removed blocks in order, then of unknown references."""
+    """Warnings of removed blocks in order, then of unknown references; a duplicate's references are not looked at."""
     codes = F.transform(bs, lambda b: F.concat(F.element_at(F.create_map(*[F.lit(x) for kv in removed.items() for x in kv]), b["state"]), b["title"]))
-    unknown = F.array_distinct(F.flatten(F.transform(bs, lambda b: b["invalid"])))
+    unknown = F.array_distinct(F.flatten(F.transform(F.filter(bs, lambda b: b["state"] != "duplicate"), lambda b: b["invalid"])))
     note = F.when(F.size(unknown) > 0, F.array(F.concat(F.lit(invalid), F.array_join(unknown, ",")))).otherwise(_strings())
     return F.concat(F.filter(codes, lambda x: x.isNotNull()), note)
 

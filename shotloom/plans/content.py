@@ -311,7 +311,9 @@ def _(spark, d):
     return rep.join(first, "path", "left").select("path", "status", "n_missing", "first_missing")
 
 
-@query("canonical_hash")
+@query("canonical_hash", """
+  SELECT event_id, canonical, sha256(canonical) AS sha256 FROM (SELECT event_id, CASE event_type WHEN 'view' THEN '{"shot_id":"s' || event_id || '","text":"","warnings":["a","b"]}'
+    WHEN 'click' THEN '{"merged_summary":null,"shot_id":"","text":"t"}' WHEN 'error' THEN '[1,2]' ELSE replace(props, ' ', '') END AS canonical FROM events)""")
 def _(spark, d):
     return v.table(spark, d, "events").select("event_id", js.canonical(F.expr(PROPS2)).alias("canonical"), js.canonical_hash(F.expr(PROPS2)).alias("sha256"))
 
