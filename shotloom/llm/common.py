@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -14,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotloom.operators.staging import materialize
+from shotloom.session import ship  # noqa: F401
 
 #: Width of the slot space used for bounded broadcast filters; a filter never holds more rows than this.
 SLOTS = 1 << 18
@@ -22,30 +20,11 @@ HOT_KEYS = 256
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 4 << 20
 
-_shipped: set[str] = set()
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "shotloom.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("shotloom", os.path.relpath(full, root)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts
