@@ -423,34 +423,47 @@ def adjacent_similarity(chapters: DataFrame, keys: Sequence[str] = K, order: str
     return t.join(nxt, [*keys, order]).select(*keys, order, tx.jaccard(F.col("_a"), F.col("_b")).alias("similarity"))
 
 
-def cross_similarity(left: DataFrame, right: DataFrame, minimum: float, keys: Sequence[str] = K) -> DataFrame:
-    """Title pairs of different chapters with a token overlap of at least ``minimum``.
+def _token_sets(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with a non-empty title: `_tokens`, its sorted distinct tokens, and `_set`, the same as one text."""
+    d = df.withColumn("_tokens", F.array_sort(F.array_distinct(tx.title_tokens(F.col("title"))))).where(F.size("_tokens") > 0)
+    return d.withColumn("_set", F.array_join("_tokens", "\x1f"))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, minimum: float, keys: Sequence[str] = K) -> DataFrame:
+    """Pairs of token sets with an overlap of at least ``minimum``: keys, set_a, n_a, set_b, n_b, similarity.
 
-    ``left``: keys, chapter_no, item_no, title. ``right``: keys, chapter_no, title. Titles meet only through
-    a shared token. With a positive minimum an overlap needs a shared token, and a pair can only reach it when one of
-    its rarest ``n - ceil(minimum * n) + 1`` tokens is shared, so only those are joined; pairs are then verified.
+    ``left`` and ``right``: keys, title. Equal sets are one row with the number of its titles, so repeated titles never
+    meet one by one. Sets meet only through a shared token; a pair can only reach a positive minimum when one of its
+    rarest ``n - ceil(minimum * n) + 1`` tokens is shared, so only those are joined, and pairs are then verified.
     """
-    a = left.select(*keys, "chapter_no", "item_no", F.array_distinct(tx.title_tokens(F.col("title"))).alias("_a")).where(F.size("_a") > 0)
-    b = right.select(*keys, F.col("chapter_no").alias("other_no"), F.array_distinct(tx.title_tokens(F.col("title"))).alias("_b")).where(F.size("_b") > 0)
-    ea = a.select(*keys, "chapter_no", "item_no", F.explode("_a").alias("_t"))
-    eb = b.select(*keys, "other_no", F.explode("_b").alias("_t"))
+    fold = lambda df, n: _token_sets(df, keys).groupBy(*keys, "_set").agg(F.first("_tokens").alias("_tokens"), F.count(F.lit(1)).alias(n))
+    a, b = fold(left, "n_a"), fold(right, "n_b")
+    ea, eb = (x.select(*keys, "_set", F.explode("_tokens").alias("_t")) for x in (a, b))
     freq = ea.select(*keys, "_t").unionByName(eb.select(*keys, "_t")).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_f"))
 
-    def prefix(e: DataFrame, ids: list[str]) -> DataFrame:
-        got = e.join(freq, [*keys, "_t"]).groupBy(*keys, *ids).agg(F.sort_array(F.collect_list(F.struct("_f", "_t"))).alias("_l"))
+    def prefix(e: DataFrame, name: str) -> DataFrame:
+        got = e.join(freq, [*keys, "_t"]).groupBy(*keys, "_set").agg(F.sort_array(F.collect_list(F.struct("_f", "_t"))).alias("_l"))
         n = F.size("_l")
         keep = n - F.ceil(n * F.lit(minimum) - 1e-9) + 1
-        return got.select(*keys, *ids, F.explode(F.transform(F.slice("_l", F.lit(1), keep.cast("int")), lambda x: x["_t"])).alias("_t"))
+        return got.select(*keys, F.col("_set").alias(name), F.explode(F.transform(F.slice("_l", F.lit(1), keep.cast("int")), lambda x: x["_t"])).alias("_t"))
 
-    pairs = (
-        prefix(ea, ["chapter_no", "item_no"]).join(prefix(eb, ["other_no"]), [*keys, "_t"])
-        .where(F.col("chapter_no") != F.col("other_no"))
-        .select(*keys, "chapter_no", "item_no", "other_no").distinct()
-    )
-    full = pairs.join(a, [*keys, "chapter_no", "item_no"]).join(b, [*keys, "other_no"])
-    return full.select(*keys, "chapter_no", "item_no", "other_no", tx.jaccard(F.col("_a"), F.col("_b")).alias("similarity")).where(
-        F.col("similarity") >= minimum
-    )
+    pairs = prefix(ea, "set_a").join(prefix(eb, "set_b"), [*keys, "_t"]).select(*keys, "set_a", "set_b").distinct()
+    side = lambda x, name, n, t: x.select(*keys, F.col("_set").alias(name), n, F.col("_tokens").alias(t))
+    full = pairs.join(side(a, "set_a", "n_a", "_a"), [*keys, "set_a"]).join(side(b, "set_b", "n_b", "_b"), [*keys, "set_b"])
+    return full.select(*keys, "set_a", "n_a", "set_b", "n_b", tx.jaccard(F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") >= minimum)
+
+
+def cross_similarity(left: DataFrame, right: DataFrame, minimum: float, keys: Sequence[str] = K) -> DataFrame:
+    """Title pairs of different chapters with a token overlap of at least ``minimum``, one row each.
+
+    ``left``: keys, chapter_no, item_no, title. ``right``: keys, chapter_no, title. Sets are compared once
+    (``similar_sets``) and expanded to their titles at the end; use the sets where repeated titles are many.
+    """
+    a = _token_sets(left, keys).select(*keys, "chapter_no", "item_no", F.col("_set").alias("set_a"))
+    b = _token_sets(right, keys).select(*keys, F.col("chapter_no").alias("other_no"), F.col("_set").alias("set_b"))
+    sets = similar_sets(left, right, minimum, keys).select(*keys, "set_a", "set_b", "similarity")
+    full = sets.join(a, [*keys, "set_a"]).join(b, [*keys, "set_b"]).where(F.col("chapter_no") != F.col("other_no"))
+    return full.select(*keys, "chapter_no", "item_no", "other_no", "similarity")
 
 
 def outline_risk(metrics: DataFrame, chapters: DataFrame, source_chunks: DataFrame, subsections: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

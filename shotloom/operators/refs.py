@@ -84,10 +84,11 @@ def content_key(text: Column, kind: str, hash_: str = "sha256") -> Column:
 def pending_inference(inputs: DataFrame, cache: DataFrame, text: str, kind: str, hash_: str = "sha256") -> tuple[DataFrame, DataFrame]:
     """(reused, pending): identical content is pending once.
 
-    ``cache``: cache_key, result; a null result counts as malformed and is not reused.
+    ``cache``: cache_key, result; a null result counts as malformed and is not reused; of several good
+    results of one key the largest is.
     """
     keyed = inputs.withColumn("cache_key", content_key(F.col(text), kind, hash_))
-    good = cache.where(F.col("result").isNotNull()).select("cache_key", "result")
+    good = cache.where(F.col("result").isNotNull()).groupBy("cache_key").agg(F.max("result").alias("result"))
     reused = keyed.join(good, "cache_key")
     todo = keyed.join(good.select("cache_key"), "cache_key", "left_anti")
     return reused, todo.groupBy("cache_key").agg(F.min(text).alias(text), F.count(F.lit(1)).alias("n_inputs"))

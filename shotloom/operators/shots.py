@@ -316,12 +316,12 @@ def detect_shots(
     peaks = peak_candidates(scores, levels, keys)
     counts = features.groupBy(*keys).agg((F.max("frame_idx") + 1).cast("bigint").alias("frame_count"))
     zero = features.select(*keys).distinct().withColumn("frame_idx", F.lit(0).cast("bigint"))
-    gap = max(1, int(fps * max(0.0, min_gap_seconds) + 0.5))
+    gap = max(1, round(fps * max(0.0, min_gap_seconds)))  # halves to the even frame
     # Every video keeps its frame 0 even when it has no peak.
     cuts = min_gap_select(peaks, gap, keys=keys).unionByName(zero).distinct()
     bounds = cuts_to_bounds(materialize(cuts), counts, keys).join(counts, list(keys)).withColumn("seq", F.col("start_frame"))
     bounds = materialize(bounds)
-    scenes = merge_short_scenes(bounds, max(2, int(fps * max(0.0, min_shot_seconds) + 0.5)), keys)
+    scenes = merge_short_scenes(bounds, max(2, round(fps * max(0.0, min_shot_seconds))), keys)
     timed = frames_to_time(scenes.join(counts, list(keys)), F.lit(float(fps)), F.col("frame_count") / F.lit(float(fps)))
     d = with_ordinal(timed, keys, [F.col("start_frame")], id_bucket(F.col("start_frame"), 65536), "shot_no")
     return d.select(

@@ -316,9 +316,22 @@ def _(spark, d):
 
 
 @query("cross_title_similarity", f"""
-  WITH {TITLES}, c AS (SELECT video_id, doc_id, tok FROM tk WHERE len(tok) > 0)
+  WITH {TITLES}, c AS (SELECT video_id, list_sort(list_distinct(tok)) AS tok, count(*) AS n FROM tk WHERE len(tok) > 0 GROUP BY ALL)
+  SELECT a.video_id, array_to_string(a.tok, ' ') AS set_a, array_to_string(b.tok, ' ') AS set_b, a.n * b.n - CASE WHEN a.tok = b.tok THEN a.n ELSE 0 END AS title_pairs,
+    {o.rnd('len(list_intersect(a.tok, b.tok))::DOUBLE / len(list_distinct(list_concat(a.tok, b.tok)))', 6)} AS similarity
+  FROM c a JOIN c b ON a.video_id = b.video_id WHERE len(list_intersect(a.tok, b.tok))::DOUBLE / len(list_distinct(list_concat(a.tok, b.tok))) >= 0.6""")
+def _(spark, d):
+    t = heads(spark, d).select("video_id", "title")
+    got = ol.similar_sets(t, t, 0.6)
+    same = F.when(F.col("set_a") == F.col("set_b"), F.col("n_a")).otherwise(0)
+    words = [F.translate(c, "\x1f", " ").alias(c) for c in ("set_a", "set_b")]
+    return got.select("video_id", *words, (F.col("n_a") * F.col("n_b") - same).alias("title_pairs"), num.round_at(F.col("similarity"), 6).alias("similarity"))
+
+
+@query("cross_title_pairs", f"""
+  WITH {TITLES}, c AS (SELECT video_id, doc_id, tok FROM tk WHERE len(tok) > 0), e AS (SELECT video_id, doc_id, tok FROM c)
   SELECT a.video_id, a.doc_id AS chapter_no, b.doc_id AS other_no, {o.rnd('len(list_intersect(a.tok, b.tok))::DOUBLE / len(list_distinct(list_concat(a.tok, b.tok)))', 6)} AS similarity
-  FROM c a JOIN c b ON a.video_id = b.video_id AND a.doc_id <> b.doc_id WHERE len(list_intersect(a.tok, b.tok))::DOUBLE / len(list_distinct(list_concat(a.tok, b.tok))) >= 0.6""")
+  FROM c a JOIN e b ON a.video_id = b.video_id AND a.doc_id <> b.doc_id WHERE len(list_intersect(a.tok, b.tok))::DOUBLE / len(list_distinct(list_concat(a.tok, b.tok))) >= 0.6""")
 def _(spark, d):
     t = heads(spark, d).select("video_id", F.col("doc_id").alias("chapter_no"), F.lit(1).alias("item_no"), "title")
     got = ol.cross_similarity(t, t.drop("item_no"), 0.6)
