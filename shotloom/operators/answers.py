@@ -22,7 +22,7 @@ def _strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def _blocks(c: Column, tag: str, names: Sequence[str], title_limit: int | None) -> Column:
+def answer_blocks(c: Column, tag: str, names: Sequence[str] = (), title_limit: int | None = None) -> Column:
     """array<struct(title, refs, summary)> in order. The summary is the first SUMMARY after a block and before the next opening."""
     pattern = rf"(?is)(<\s*{tag}[^>]*>.*?<\s*/\s*{tag}\s*>)"
     marked = F.split(F.regexp_replace(c, pattern, "$1" + _MARK), _MARK)
@@ -32,7 +32,7 @@ def _blocks(c: Column, tag: str, names: Sequence[str], title_limit: int | None)
         title = tx.clean_title(b["b"]["body"])
         return F.struct(
             (tx.compact_text(title, title_limit) if title_limit else title).alias("title"),
-            F.coalesce(tg.attr(b["b"]["attrs"], *names), F.lit("")).alias("refs"),
+            (F.coalesce(tg.attr(b["b"]["attrs"], *names), F.lit("")) if names else F.lit("")).alias("refs"),
             F.coalesce(tg.extract_tag(b["a"], "SUMMARY"), F.lit("")).alias("summary"),
         )
 
@@ -111,7 +111,7 @@ def parse_outline_answers(df: DataFrame, response: str, valid: str, limit: int =
             F.filter(refs, lambda r: ~F.array_contains(valid, r)).alias("invalid"),
         )
 
-    titled = F.filter(F.transform(_blocks(c, "SECTION", ("chunks", "source_chunks"), None), one), lambda b: b["title"] != "")
+    titled = F.filter(F.transform(answer_blocks(c, "SECTION", ("chunks", "source_chunks"), None), one), lambda b: b["title"] != "")
     d = df.withColumn("_b", titled).withColumn("_t", F.transform("_b", lambda b: b["title"]))
     first = F.filter("_b", lambda b, i: F.array_position("_t", b["title"]) == i + 1)
     again = F.filter("_b", lambda b, i: F.array_position("_t", b["title"]) < i + 1)
@@ -149,7 +149,7 @@ def parse_planner_answers(df: DataFrame, response: str, valid: str, limit: int =
     else its title. Chapters of a seen title, chapters without shots and chapters past ``limit`` go, each with a warning.
     """
     c = F.coalesce(F.col(response), F.lit(""))
-    d = df.withColumn("_b", _settled(_with_ids(_blocks(c, "CHAPTER", ("shots", "shot_ids"), 28), valid), limit))
+    d = df.withColumn("_b", _settled(_with_ids(answer_blocks(c, "CHAPTER", ("shots", "shot_ids"), 28), valid), limit))
     kept = _kept(F.col("_b"))
     chapters = F.transform(
         kept,
@@ -170,7 +170,7 @@ def parse_subsection_answers(df: DataFrame, response: str, valid: str, limit: in
     A plan with a usable SUB block is ``split``; else a KEEP tag makes it ``keep``.
     """
     c = F.coalesce(F.col(response), F.lit(""))
-    d = df.withColumn("_b", _settled(_with_ids(_blocks(c, "SUB", ("shots", "shot_ids"), 24), valid), limit))
+    d = df.withColumn("_b", _settled(_with_ids(answer_blocks(c, "SUB", ("shots", "shot_ids"), 24), valid), limit))
     kept = _kept(F.col("_b"))
     removed = {"duplicate": "duplicate_subsection_removed:", "empty": "empty_subsection_removed:"}
     notes = F.concat(_warned(F.col("_b"), removed, "invalid_subsection_shots_removed:"), _overflow(F.size(tg.tag_blocks(c, "SUB")), F.size(kept), limit, "too_many_subsections_truncated:"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags as tg
 from ..functions import text as tx
+from .answers import answer_blocks
 from .cards import no_strings
 from .ordered import entry_states, top_k
 from .staging import materialize
@@ -154,32 +155,22 @@ def response_tokens(df: DataFrame, keys: Sequence[str], refs: Column) -> DataFra
     return df.select(*keys, F.posexplode(tx.split_refs(refs)).alias("_p", "token")).select(*keys, (F.col("_p") + 1).alias("tok_no"), "token")
 
 
-def outline_blocks(df: DataFrame, keys: Sequence[str], response: str, tag: str, title_limit: int | None, limit: int, attrs: tuple[str, ...]) -> DataFrame:
-    """Titled blocks of an outline answer: cleaned title, reference attribute, first of a title kept, ``limit`` rows.
+def outline_blocks(df: DataFrame, keys: Sequence[str], response: str, tag: str, title_limit: int | None, attrs: tuple[str, ...]) -> DataFrame:
+    """Titled blocks of an outline answer: cleaned title, reference attribute, and whether an earlier block has the title.
 
-    One answer is one row, so duplicates and the limit are settled inside it. Rows carry ``total`` blocks
-    and ``duplicate`` for the warnings; the summary is the first SUMMARY between a block and the next one.
+    One answer is one row, so duplicates are settled inside it. ``block_no`` counts all blocks, those without a title
+    too, as in ``block_summaries``; ``total`` is their number. `answers` puts blocks, limits and warnings together.
     """
-    def one(b: Column) -> Column:
-        t = tx.clean_title(b["body"])
-        t = tx.compact_text(t, title_limit) if title_limit else t
-        return F.struct(t.alias("title"), F.coalesce(tg.attr(b["attrs"], *attrs), F.lit("")).alias("refs"))
-
-    blocks = F.filter(F.transform(tg.tag_blocks(F.col(response), tag), one), lambda b: b["title"] != "")
-    d = df.select(*keys, blocks.alias("_b"), F.size(tg.tag_blocks(F.col(response), tag)).alias("total"))
-    titles = F.transform("_b", lambda b: b["title"])
-    d = d.withColumn("_t", titles).select(*keys, "total", "_t", F.posexplode("_b").alias("_p", "b"))
+    blocks = answer_blocks(F.col(response), tag, attrs, title_limit)
+    d = df.select(*keys, blocks.alias("_b")).withColumn("_t", F.transform("_b", lambda b: b["title"]))
+    d = d.select(*keys, F.size("_b").alias("total"), "_t", F.posexplode("_b").alias("_p", "b")).where(F.col("b.title") != "")
     dup = F.array_position("_t", F.col("b.title")) < F.col("_p") + 1
     return d.select(*keys, "total", (F.col("_p") + 1).alias("block_no"), F.col("b.title").alias("title"), F.col("b.refs").alias("refs"), dup.alias("duplicate"))
 
 
 def block_summaries(df: DataFrame, keys: Sequence[str], response: str, tag: str, limit: int) -> DataFrame:
     """SUMMARY text that follows each block, before the next opening of ``tag``; numbered like the blocks."""
-    mark = "\x01"
-    cut = F.split(F.regexp_replace(response, rf"(?i)(<\s*{tag}(?:\s+[^>]*)?>)", mark + "$1"), mark)
-    parts = F.slice(cut, F.lit(2), F.size(cut))
-    after = F.transform(parts, lambda p: F.regexp_extract(p, rf"(?is)<\s*/\s*{tag}\s*>(.*)$", 1))
-    s = F.transform(after, lambda a: tx.compact_text(F.coalesce(tg.extract_tag(a, "SUMMARY"), F.lit("")), limit))
+    s = F.transform(answer_blocks(F.col(response), tag, ()), lambda b: tx.compact_text(b["summary"], limit))
     return df.select(*keys, F.posexplode(s).alias("_p", "summary")).select(*keys, (F.col("_p") + 1).alias("block_no"), "summary")
 
 

@@ -242,10 +242,10 @@ OUTLINE_RESPONSE = """'<THEME>t</THEME>' || array_join(transform(regexp_extract_
 @query("parse_outline_responses", f"""
   WITH b AS (SELECT page_id, {o.title("'1. ' || b")} AS title, i, count(*) OVER (PARTITION BY page_id) AS total FROM (SELECT page_id, unnest(m) AS b, generate_subscripts(m, 1) - 1 AS i FROM (
      SELECT page_id, regexp_extract_all(html, '(?is)<a([^>]*)>(.*?)</a>', 2) AS m FROM pages)))
-  SELECT page_id, total, row_number() OVER (PARTITION BY page_id ORDER BY i) AS block_no, title, 'chunk_' || i || ',bad' AS refs, row_number() OVER (PARTITION BY page_id, title ORDER BY i) > 1 AS duplicate FROM b WHERE title <> ''""")
+  SELECT page_id, total, i + 1 AS block_no, title, 'chunk_' || i || ',bad' AS refs, row_number() OVER (PARTITION BY page_id, title ORDER BY i) > 1 AS duplicate FROM b WHERE title <> ''""")
 def _(spark, d):
     p = v.table(spark, d, "pages").select("page_id", F.expr(OUTLINE_RESPONSE).alias("response"))
-    return bd.outline_blocks(p, ["page_id"], "response", "SECTION", None, 6, ("chunks", "source_chunks"))
+    return bd.outline_blocks(p, ["page_id"], "response", "SECTION", None, ("chunks", "source_chunks"))
 
 
 @query("outline_block_summaries", """
