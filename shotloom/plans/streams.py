@@ -31,7 +31,7 @@ def call_log(spark, d):
         "record_type", "function", "status", "error", "error_category", "elapsed_sec", F.timestamp_micros((F.col("time") * 1e6).cast("bigint")).alias("time"), "payload",
     )
     path = folder(rows)
-    rows.repartitionByRange(4, "time").write.json(path)
+    rows.repartitionByRange("time").write.json(path)
     return path
 
 
@@ -88,7 +88,7 @@ def _(spark, d):
         F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", F.concat(F.lit("boom "), "event_id")).alias("error"),
     )
     path = folder(rows)
-    rows.repartition(3).write.json(path)
+    rows.write.json(path)
     ss.stream_stage_state(ss.read_stage_events(spark, path), f"{path}-out", f"{path}-chk").awaitTermination()
     got = ss.latest_state(spark, f"{path}-out")
     return got.select("video_id", "stage", "status", "error", F.col("finished_at").isNotNull().alias("finished"))
@@ -97,6 +97,55 @@ def _(spark, d):
 # --- files -----------------------------------------------------------------------------
 
 
+@query("read_artifacts", """
+  SELECT CAST(s_nationkey AS VARCHAR) AS video_id, s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier""")
+def _(spark, d):
+    s = v.table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal"))
+    one = s.groupBy("s_nationkey").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct("s_suppkey", "s_name", "s_acctbal"))), ",\n  "), F.lit("]")).alias("value"))
+    path = folder(one)
+    one.write.partitionBy("s_nationkey").text(path)
+    got = ar.read_artifacts(spark, path, "s_suppkey bigint, s_name string, s_acctbal double")
+    return got.select(F.element_at(F.split("video_id", "="), -1).alias("video_id"), "s_suppkey", "s_name", "s_acctbal")
+
+
+def utterances(spark, d):
+    start = F.floor((F.col("start_sec") - 1704067200) * 1000)
+    text = F.when(F.col("event_type") == "error", " ").otherwise(F.concat(F.lit(" "), "event_type", F.lit(" ")))
+    return v.events(spark, d).select(
+        F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("seq"), start.alias("start_time"), (start + F.floor("value") * 1000).alias("end_time"), text.alias("text")
+    )
+
+
+UTTERANCES = "u AS (SELECT CAST(user_id AS VARCHAR) AS video_id, event_id, (epoch_us(ts) // 1000 - 1704067200000) AS s, floor(value) AS secs, event_type FROM events)"
+
+
+@query("export_json_files", f"""
+  WITH {UTTERANCES} SELECT video_id, event_id AS index, CAST(s AS BIGINT) AS start_ms, CAST(s + secs * 1000 AS BIGINT) AS end_ms, event_type AS text FROM u WHERE event_type <> 'error'""")
+def _(spark, d):
+    u = utterances(spark, d)
+    path = folder(u)
+    ar.export_segments(u, path, "json")
+    return spark.read.schema("video_id string, index bigint, start_ms bigint, end_ms bigint, text string").json(path).drop("bucket")
+
+
+@query("export_raw_json_files", f"""
+  WITH {UTTERANCES} SELECT video_id, event_id AS seq, CAST(s AS BIGINT) AS start_time, CASE WHEN event_type = 'error' THEN ' ' ELSE ' ' || event_type || ' ' END AS text FROM u""")
+def _(spark, d):
+    u = utterances(spark, d)
+    path = folder(u)
+    ar.export_segments(u, path, "raw-json")
+    return spark.read.schema("video_id string, seq bigint, start_time bigint, text string").json(path).drop("bucket")
+
+
+@query("export_txt_files", f"""
+  WITH {UTTERANCES} SELECT video_id, event_type AS line, count(*) AS lines FROM u WHERE event_type <> 'error' GROUP BY ALL""")
+def _(spark, d):
+    u = utterances(spark, d)
+    path = folder(u)
+    ar.export_segments(u, path, "txt")
+    return spark.read.text(path).where(F.trim("value") != "").groupBy(F.col("video_id").cast("string").alias("video_id"), F.trim("value").alias("line")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query("append_log", "SELECT event_type AS event, count(*) AS rows FROM events GROUP BY event_type")
 def _(spark, d):
     e = v.events(spark, d).select(F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("event"), "props")
@@ -155,7 +204,7 @@ def _(spark, d):
     e = v.events(spark, d).select(line.alias("value"))
     path = folder(e)
     e.write.text(path)
-    got = spark.read.text(path).select(F.col("value").alias("line"))
+    got = ar.discover_lines(spark, path, line_files="*.txt")
     return got.agg(F.count(F.lit(1)).alias("lines"), F.count_if(~json_valid(F.col("line"))).alias("bad"))
 
 

@@ -39,24 +39,29 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.srt") -> DataFr
     return d.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("video_id"), F.col("value").alias("content"))
 
 
-def catalog_files(spark: SparkSession, path: str, pattern: str = "*", depth: int = 1) -> DataFrame:
-    """Inventory of files: path, video_id, size, modification time and content hash."""
+def catalog_files(spark: SparkSession, path: str, pattern: str = "*", depth: int = 1, content_hash: bool = True) -> DataFrame:
+    """Inventory of files: path, video_id, size, modification time and, if asked for, the content's SHA-256.
+
+    Without ``content_hash`` no file is opened, which is the way for media files of many gigabytes.
+    """
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     folder = F.element_at(F.split("path", "/"), -1 - depth)
-    return d.select("path", folder.alias("video_id"), F.col("length").alias("size_bytes"), "modificationTime", F.sha2("content", 256).alias("sha256"))
+    cols = ["path", folder.alias("video_id"), F.col("length").alias("size_bytes"), "modificationTime"]
+    return d.select(*cols, *([F.sha2("content", 256).alias("sha256")] if content_hash else []))
 
 
-def discover_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all JSON and line-JSON files: path, line (a whole ``.json`` file is one line)."""
+def discover_lines(spark: SparkSession, path: str, whole_files: str = "*.json", line_files: str = "*.jsonl") -> DataFrame:
+    """Lines of all JSON and line-JSON files below a folder: path, line (a whole ``.json`` file is one line)."""
     def part(pattern: str, whole: bool) -> DataFrame:
         d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=whole)
         return d.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
-    return part("*.json", True).unionByName(part("*.jsonl", False)).where(F.trim("line") != "")
+    return part(whole_files, True).unionByName(part(line_files, False)).where(F.trim("line") != "")
 
 
-def hashed(df: DataFrame, buckets: int, key: str = "video_id") -> DataFrame:
-    """Adds the write bucket of a key, so a million videos do not become a million folders."""
+def hashed(df: DataFrame, buckets: int | None = None, key: str = "video_id") -> DataFrame:
+    """Adds the write bucket of a key, so a million videos do not become a million folders; as many as the session shuffles into by default."""
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
@@ -70,9 +75,9 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_lines(df: DataFrame, path: str, order: Sequence[str], line: str, key: str = "video_id", slices: int = 32, per_file: int = 0) -> None:
-    """Text lines in order, in folders per video. ``slices`` range partitions split a large video over several files."""
-    d = df.repartitionByRange(slices, key, *order).sortWithinPartitions(key, *order)
+def write_lines(df: DataFrame, path: str, order: Sequence[str], line: str, key: str = "video_id", per_file: int = 0) -> None:
+    """Text lines in order, in folders per video. Range partitions, as many as the session shuffles into, split a large video over several files."""
+    d = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
     writer = d.select(key, line).write.mode("overwrite").partitionBy(key)
     if per_file:
         writer = writer.option("maxRecordsPerFile", per_file)
@@ -108,8 +113,8 @@ def export_segments(df: DataFrame, path: str, fmt: str) -> None:
             "video_id", F.col("seq").alias("index"), F.col("start_time").alias("start_ms"), F.col("end_time").alias("end_ms"),
             F.round(F.col("start_time") / 1000.0, 3).alias("start"), F.round(F.col("end_time") / 1000.0, 3).alias("end"), F.trim("text").alias("text"),
         )
-        hashed(rows, 32).write.mode("overwrite").partitionBy("bucket").json(path)
+        hashed(rows).write.mode("overwrite").partitionBy("bucket").json(path)
     elif fmt == "raw-json":
-        hashed(df, 32).write.mode("overwrite").partitionBy("bucket").json(path)
+        hashed(df).write.mode("overwrite").partitionBy("bucket").json(path)
     else:
         raise ValueError(f"Unsupported output format: {fmt}")
