@@ -123,3 +123,48 @@ def collect_checks(parts: dict[str, DataFrame], key: str = "video_id") -> DataFr
         part = df.select(key, F.lit(name).alias("name"), "status")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def qa_suite(
+    videos: DataFrame, cards: DataFrame, outline: DataFrame, chapter_shots: DataFrame, heads: DataFrame, sub_shots: DataFrame, sub_heads: DataFrame,
+    planned: DataFrame, bodies: DataFrame, refs: DataFrame, files: DataFrame,
+) -> DataFrame:
+    """All table checks of a library: video_id, name, status, n_bad; `qa_rollup` sums them up.
+
+    ``outline``: video_id, chapter_id. ``planned``: video_id, chapter_id, ord, title of subsections. ``bodies``: video_id,
+    chapter_id, body_markdown, representative_frame, warnings. ``refs``: video_id, chapter_id, shot_id named by bodies.
+    ``files``: path. The others as in `orphan_refs`. A check whose inputs a video lacks is ``skipped``; null counts as empty.
+    """
+    key, kc = "video_id", ["video_id", "chapter_id"]
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    some = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    lost_frames = bodies.join(files.select(F.col("path").alias("representative_frame")).distinct(), "representative_frame", "left_anti")
+    headed = bodies.join(planned.select(*kc).distinct(), kc, "left_semi").select(*kc, F.coalesce("body_markdown", F.lit("")).alias("body_markdown"))
+    titles = planned.join(bodies.select(*kc), kc, "left_semi")
+    told = bodies.select(key, F.explode(F.filter("warnings", lambda w: w.contains("oversized_subsection"))).alias("w"))
+    bad = {
+        "outline_shot_refs": orphan_refs(chapter_shots, heads, sub_shots, sub_heads, cards),
+        "chapter_images": lost_frames,
+        "chapter_body": bodies.where(blank("body_markdown")),
+        "chapter_refs": chapter_ref_check(bodies.withColumn("body_markdown", F.lit("-")), refs, outline, chapter_shots),
+        "chapter_subsection_body": heading_check(headed, titles, kc).where("status <> 'ok'"),
+        "chapter_write_warnings": told,
+    }
+    needs = {
+        "outline_shot_refs": ("_outline", "_cards"), "chapter_images": ("_bodies",), "chapter_body": ("_bodies",), "chapter_refs": ("_bodies", "_outline"),
+        "chapter_subsection_body": ("_bodies", "_outline"), "chapter_write_warnings": ("_bodies",),
+    }
+    # one row per failing item, counted once for all checks
+    items = None
+    for name, df in bad.items():
+        part = df.select(key, F.lit(name).alias("name"))
+        items = part if items is None else items.unionByName(part)
+    counts = items.groupBy(key, "name").agg(F.count(F.lit(1)).alias("n_bad"))
+    have = videos.select(key).distinct()
+    for name, df in (("_outline", outline), ("_cards", cards), ("_bodies", bodies)):
+        have = have.join(some(df, name), key, "left")
+    ready = lambda cols: F.coalesce(*[F.when(F.col(c).isNull(), False) for c in cols], F.lit(True))
+    wanted = have.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), ready(c).alias("ready")) for n, c in needs.items()])).alias("c"))
+    d = wanted.select(key, "c.name", "c.ready").join(counts, [key, "name"], "left").na.fill(0, ["n_bad"])
+    failing = F.when(F.col("name") == "chapter_write_warnings", "warning").otherwise("failed")
+    return d.select(key, "name", F.when(~F.col("ready"), "skipped").when(F.col("n_bad") > 0, failing).otherwise("passed").alias("status"), F.when(F.col("ready"), F.col("n_bad")).otherwise(0).alias("n_bad"))
