@@ -192,13 +192,16 @@ def _finish(members: DataFrame, reps: DataFrame, sets: DataFrame, comps: DataFra
     pairs = few.select("band", F.col("rep").alias("a"), "comp").join(right, "band").filter("a < b AND comp != comp_b").select("a", "b").distinct()
     links = _confirmed(materialize(pairs), reps, sets, percent)
 
-    many = open_.filter(F.col("size") > SMALL).select("band", "pos", F.col("rep").alias("_id"), "comp", (F.col("comp") != F.col("main")).alias("active"))
-    rows = many.join(reps.select("_id", "n", "bands", "packed"), "_id").join(sets, "_id")
-    total = rows.groupBy("band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count("*").alias("_n"))
-    rows = materialize(lookup(materialize(rows), materialize(total), "band", "_n").withColumn("own", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.filter("active").withColumn("ab", others).withColumn("ob", F.col("own")).withColumn("asks", F.lit(True))
-    right = rows.withColumn("ob", others).withColumn("ab", F.col("own")).withColumn("asks", F.lit(False))
+    many = materialize(open_.filter(F.col("size") > SMALL).select("band", "pos", F.col("rep").alias("_id"), "n", "comp", (F.col("comp") != F.col("main")).alias("active")))
+    total = materialize(many.groupBy("band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count("*").alias("_n")))
+    # a document's places, at most one for each band, meet its set once and part again after that
+    places = lookup(many, total, "band", "_n").groupBy("_id").agg(F.collect_list(F.struct("band", "pos", "comp", "active", "blocks")).alias("places"))
+    own = F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")
+    rows = places.join(reps.select("_id", "n", "bands", "packed").join(sets, "_id"), "_id").select("_id", "n", "bands", "packed", "shingles", F.explode("places").alias("p")).select("_id", "n", "bands", "packed", "shingles", "p.*").withColumn("own", own)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    as_member = F.transform(every, lambda k: F.struct(k.alias("ob"), F.col("own").alias("ab"), F.lit(False).alias("asks")))
+    as_asker = F.transform(every, lambda k: F.struct(F.col("own").alias("ob"), k.alias("ab"), F.lit(True).alias("asks")))
+    parts = rows.withColumn("part", F.explode(F.concat(as_member, F.when(F.col("active"), as_asker).otherwise(F.slice(as_asker, 1, 0))))).select("*", "part.*").drop("part", "own", "blocks")
     most = most_mismatches(percent / 100)
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
@@ -246,7 +249,7 @@ def _finish(members: DataFrame, reps: DataFrame, sets: DataFrame, comps: DataFra
         return pd.DataFrame(out, columns=["a", "b"]).astype({"a": g["_id"].dtype, "b": g["_id"].dtype})
 
     kind = reps.schema["_id"].dataType.simpleString()
-    blocks = left.unionByName(right).groupBy("band", "ob", "ab").applyInPandas(compare, f"a {kind}, b {kind}")
+    blocks = parts.groupBy("band", "ob", "ab").applyInPandas(compare, f"a {kind}, b {kind}")
     return materialize(links.unionByName(blocks))
 
 
@@ -268,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = named.groupBy("same", "n").agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.count("*").alias("_n"))
     classes = materialize(classes)
     reps = classes.select(F.col("rep").alias("_id"), "n", "bands", "packed")
-    entries = reps.select(F.col("_id").alias("rep"), F.posexplode("bands").alias("pos", "band"))
+    entries = reps.select(F.col("_id").alias("rep"), "n", F.posexplode("bands").alias("pos", "band"))
     center = F.min(F.struct(F.xxhash64("rep", "band").alias("h"), F.col("rep").alias("rep")))["rep"].alias("center")
     buckets = materialize(entries.groupBy("band").agg(F.count("*").alias("size"), center).filter("size > 1"))
     members = materialize(lookup(entries, buckets, "band", "size"))
