@@ -35,7 +35,7 @@ def rename_duplicates(units: DataFrame, keys: Sequence[str], id_col: str, order:
 
 
 def greedy_batches(
-    units: DataFrame, cap: int, keys: Sequence[str], size: str = "shot_count", order: str = "ord", block: int = 1024
+    units: DataFrame, cap: int, keys: Sequence[str], size: str = "shot_count", order: str = "ord", block: int = 256
 ) -> DataFrame:
     """Batch number per unit, in order: a unit over the cap stands alone; else a batch closes when it would exceed the cap.
 

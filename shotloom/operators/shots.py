@@ -69,7 +69,7 @@ def peak_candidates(scores: DataFrame, levels: DataFrame, keys: Sequence[str] =
 
 
 def min_gap_select(
-    candidates: DataFrame, gap: int, at: str = "frame_idx", keys: Sequence[str] = K, anchor: int | None = 0, block: int = 4096
+    candidates: DataFrame, gap: int, at: str = "frame_idx", keys: Sequence[str] = K, anchor: int | None = 0, block: int = 256
 ) -> DataFrame:
     """Greedy choice in order: accept a candidate at least ``gap`` after the last accepted one.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,8 +15,8 @@ _local_dirs: dict[str, str] = {}
 def staging_dir(spark: SparkSession) -> str:
     """Shared folder that the session names in spark.checkpoint.dir.
 
-    A session that runs in one process (master `local[..]`) and names none gets a temporary folder of its own, which
-    Spark also is told about; any other session without the setting is an error, since executors have no common disk.
+    A session that runs in one process (master `local[..]`) and names none gets a temporary folder of its own
+    that goes with the process; any other session without the setting is an error, since executors have no common disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,6 +27,7 @@ def staging_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 
