@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import overlap, round_at
 from ..functions.text import strip
+from .ordered import with_running
 
 K = ["video_id"]
 
@@ -116,22 +117,29 @@ def group_hulls(claims: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     )
 
 
-def nearest_group(hulls: Column, ord_: Column) -> Column:
-    """Group whose hull holds the position (first such), else the one with the nearest end; ties to the earlier."""
-    inside = F.filter(hulls, lambda h: (h["lo"] <= ord_) & (ord_ <= h["hi"]))
-    dist = F.transform(
-        hulls,
-        lambda h: F.struct(F.least(F.abs(ord_ - h["lo"]), F.abs(ord_ - h["hi"])).alias("d"), h["group_ord"].alias("g")),
-    )
-    return F.when(F.size(inside) > 0, F.get(inside, F.lit(0))["group_ord"]).otherwise(F.array_min(dist)["g"])
+def nearest_interval_join(points: DataFrame, groups: DataFrame, keys: Sequence[str] = K, width: int = 4096) -> DataFrame:
+    """Assign each point to its containing or nearest group. ``groups``: keys, group_ord, lo, hi.
 
-
-def nearest_interval_join(points: DataFrame, groups: DataFrame, keys: Sequence[str] = K) -> DataFrame:
-    """Assign each point to its containing or nearest group. ``groups``: keys, group_ord, lo, hi."""
-    hulls = groups.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group_ord", "lo", "hi"))).alias("hulls"))
-    return points.join(hulls, list(keys)).select(
-        *points.columns, nearest_group(F.col("hulls"), F.col("ord")).alias("group_ord")
+    The first group that holds a point is found on slices of ``width`` positions, the nearest end below and above by
+    running maxima over one order of points and ends; so no key's groups are gathered. Ties go to the earlier group.
+    Each position is looked up once; points of a key without groups are left out.
+    """
+    at = points.join(groups.select(*keys).distinct(), list(keys), "left_semi").select(*keys, F.col("ord").alias("_at")).distinct()
+    pieces = groups.select(*keys, "group_ord", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("_slice"))
+    held = at.withColumn("_slice", F.floor(F.col("_at") / width)).join(pieces, [*keys, "_slice"]).where("lo <= _at AND _at <= hi")
+    held = held.groupBy(*keys, "_at").agg(F.min("group_ord").alias("_held"))
+    ends = groups.select(*keys, "group_ord", F.explode(F.array("lo", "hi")).alias("_at")).groupBy(*keys, "_at").agg(F.min("group_ord").alias("_g"))
+    both = ends.withColumn("_kind", F.lit(0)).unionByName(at.withColumn("_kind", F.lit(1)), allowMissingColumns=True).withColumn("_back", -F.col("_at"))
+    end = lambda v: F.when(F.col("_g").isNotNull(), F.struct(F.col(v).alias("v"), F.col("_g").alias("g")))
+    run = with_running(both, list(keys), ["_at", "_kind"], F.floor(F.col("_at") / width), end("_at"), "_below", how="max")
+    run = with_running(run, list(keys), ["_back", "_kind"], F.floor(F.col("_back") / width), end("_back"), "_above", how="max")
+    d1, d2 = F.col("_at") - F.col("_below.v"), -F.col("_above.v") - F.col("_at")
+    near = (
+        F.when(d2.isNull() | (d1 < d2), F.col("_below.g")).when(d1.isNull() | (d2 < d1), F.col("_above.g")).otherwise(F.least("_below.g", "_above.g"))
     )
+    found = run.where("_kind = 1").select(*keys, "_at", near.alias("_near")).join(held, [*keys, "_at"], "left")
+    found = found.select(*keys, F.col("_at").alias("ord"), F.coalesce("_held", "_near").alias("group_ord"))
+    return points.join(found, [*keys, "ord"]).select(*points.columns, "group_ord")
 
 
 def growing_group(hulls: Column, ord_: Column) -> Column:
@@ -162,25 +170,29 @@ def preceding_group(firsts: Column, ord_: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(hit, lambda g: g["group_ord"])), F.lit(0))
 
 
-def preceding_group_join(points: DataFrame, groups: DataFrame, keys: Sequence[str] = K) -> DataFrame:
-    """Assign each point with ``preceding_group``. ``groups``: keys, group_ord, lo."""
-    firsts = groups.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("group_ord", "lo"))).alias("firsts"))
-    return points.join(firsts, list(keys)).select(
-        *points.columns, preceding_group(F.col("firsts"), F.col("ord")).alias("group_ord")
-    )
+def preceding_group_join(points: DataFrame, groups: DataFrame, keys: Sequence[str] = K, width: int = 4096) -> DataFrame:
+    """Assign each point the largest group that begins at or before it, else group 0. ``groups``: keys, group_ord, lo.
+
+    Points and beginnings are one order, cut into slices of ``width`` positions; a running maximum gives each point its
+    group, so no key's groups are gathered. Points of a key without groups are left out.
+    """
+    wanted = points.join(groups.select(*keys).distinct(), list(keys), "left_semi")
+    row = F.struct(*[F.col(c) for c in points.columns])
+    marks = wanted.select(*keys, F.col("ord").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(groups.schema["group_ord"].dataType).alias("_g"), row.alias("_row"))
+    begins = groups.select(*keys, F.col("lo").alias("_at"), F.lit(0).alias("_kind"), F.col("group_ord").alias("_g"))
+    both = marks.unionByName(begins, allowMissingColumns=True)
+    run = with_running(both, list(keys), ["_at", "_kind"], F.floor(F.col("_at") / width), F.col("_g"), "group_ord", how="max")
+    return run.where("_kind = 1").select("_row.*", F.coalesce("group_ord", F.lit(0)).alias("group_ord"))
 
 
 def mention_join(texts: DataFrame, ids: DataFrame, id_col: str = "ref_id", keys: Sequence[str] = K) -> DataFrame:
     """Ids mentioned in free text on word boundaries, with the first position (token index).
 
-    ``texts``: keys, text_id, text. Tokens are de-duplicated inside the row before
-    the equality join, so a repeated word is shuffled once.
+    ``texts``: keys, text_id, text. A repeated word of a text is folded to its first position in each task, before the
+    equality join.
     """
     tokens = F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))
-    t = texts.select(*keys, "text_id", tokens.alias("_t")).select(
-        *keys, "text_id", F.explode(F.array_distinct("_t")).alias("_w"), "_t"
-    )
-    t = t.select(*keys, "text_id", "_w", (F.array_position("_t", F.col("_w"))).alias("pos"))
+    t = texts.select(*keys, "text_id", F.posexplode(tokens).alias("_p", "_w")).groupBy(*keys, "text_id", "_w").agg((F.min("_p") + 1).cast("bigint").alias("pos"))
     return t.join(ids.select(*keys, F.col(id_col).alias("_w")).distinct(), [*keys, "_w"]).select(
         *keys, "text_id", F.col("_w").alias(id_col), "pos"
     )
