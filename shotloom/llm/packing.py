@@ -21,67 +21,102 @@ END_ID = 0
 RANK_ROWS = 50_000
 PIECES = "_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: ASCII characters that are neither letters, digits nor white space.
-_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}|~"
+_MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}|~"
+#: Parts after which the encoder starts anew.
+PART_LIMIT = 400_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Token ids of texts by a tokenizer whose tokens never cross ASCII white space, encoded word by word.
+    """Token ids of texts by a tokenizer whose tokens never cross ASCII white space and that marks the end of each part.
 
-    A word is encoded once while it stays in the word table. A run of letters followed by ASCII marks is two parts for
-    the tokenizer's own split, so the two are looked up apart, which keeps the number of different parts small.
+    A word is a core of letters and ASCII marks after it, which the tokenizer's own split also parts, or else one part as
+    it stands. A part is encoded once while it stays in the table. Cores and marks are encoded many at a time, as one text
+    with a space between them, and told apart by the tokens that end a part.
     """
 
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
         self.table = WordTable(self._values)
-        self.parts: dict[str, list[int]] = {}
+        ends = [t.endswith("</w>") for t, _ in sorted(self.model.get_vocab().items(), key=lambda x: x[1])]
+        self.ends = np.array(ends)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.parts: dict[bytes, int] = {b"": 0}
+        self.lens, self.starts = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.pool = np.empty(0, np.int64)
-        self.used = 0
 
     def _values(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if self.table.size == 0:
-            self.used = 0
-        if len(self.parts) > 250_000:
-            self.parts = {}
-        split, fresh = [], {}
-        for w in words:
-            text = w.decode()
-            core = text.rstrip(_MARKS)
-            if core.isalpha() and "Σ" not in core:
-                pair = (core.lower() if core.isascii() else core, text[len(core):])
-            else:
-                pair = (text, "")
-            split.append(pair)
-            for part in pair:
-                if part and part not in self.parts:
-                    fresh[part] = None
-        names = list(fresh)
-        for lo in range(0, len(names), 2000):
-            group = names[lo:lo + 2000]
-            for name, code in zip(group, self.model.encode_batch_fast(group, add_special_tokens=False)):
-                self.parts[name] = code.ids
-        self.parts[""] = []
-        ids = [self.parts[a] + self.parts[b] if b else self.parts[a] for a, b in split]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.int64, int(lens.sum()))
-        starts = self.used + np.cumsum(lens) - lens
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * (self.used + len(flat)) + 1024)
-        self.pool[self.used:self.used + len(flat)] = flat
-        self.used += len(flat)
-        return starts, lens
+        if self.table.size == 0 and len(self.parts) > PART_LIMIT:
+            self._clear()
+        parts, plain, odd = self.parts, [], []
+        at = np.zeros((2, len(words)), np.int64)
+        for i, w in enumerate(words):
+            core = w.rstrip(_MARKS)
+            marks = w[len(core):]
+            if core.isalpha():  # ASCII letters
+                core = core.lower()
+            elif core and (not (text := core.decode()).isalpha() or "Σ" in text):
+                core, marks = w, b""
+                if core not in parts:
+                    parts[core] = len(parts)
+                    odd.append(core)
+            k = parts.get(core)
+            if k is None:
+                k = parts[core] = len(parts)
+                plain.append(core)
+            at[0, i] = k
+            if marks:
+                k = parts.get(marks)
+                if k is None:
+                    k = parts[marks] = len(parts)
+                    plain.append(marks)
+                at[1, i] = k
+        self._encode_parts(plain, odd)
+        return at[0], at[1]
+
+    def _encode_parts(self, plain: list[bytes], odd: list[bytes]) -> None:
+        new = plain + odd
+        if not new:
+            return
+        ids, lens = [], []
+        for lo in range(0, len(plain), 500):
+            some = plain[lo:lo + 500]
+            code = np.array(self.model.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int64)
+            stops = np.flatnonzero(self.ends[code]) + 1
+            if len(stops) == len(some):
+                ids.append(code)
+                lens.append(np.diff(stops, prepend=0))
+            else:  # some part is not one part for the tokenizer
+                for one in self.model.encode_batch_fast([x.decode() for x in some], add_special_tokens=False):
+                    ids.append(np.array(one.ids, np.int64))
+                    lens.append(np.array([len(one.ids)]))
+        for one in self.model.encode_batch_fast([x.decode() for x in odd], add_special_tokens=False):
+            ids.append(np.array(one.ids, np.int64))
+            lens.append(np.array([len(one.ids)]))
+        lens_new = np.concatenate(lens)
+        order = np.array([self.parts[x] for x in new])
+        size = len(self.parts)
+        starts = np.zeros(size, np.int64)
+        starts[: len(self.starts)] = self.starts
+        starts[order] = len(self.pool) + np.cumsum(lens_new) - lens_new
+        all_lens = np.zeros(size, np.int64)
+        all_lens[: len(self.lens)] = self.lens
+        all_lens[order] = lens_new
+        self.starts, self.lens, self.pool = starts, all_lens, np.concatenate([self.pool, *ids])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text."""
         words, counts = self.table.number(texts)
         if not len(words):
             return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
-        starts, lens = (x[words] for x in self.table.rows)
+        parts = np.stack([x[words] for x in self.table.rows], 1).ravel()
+        lens = self.lens[parts]
         ends = np.cumsum(lens)
-        ids = self.pool[np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]))]
-        edges = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
+        ids = self.pool[np.repeat(self.starts[parts] - (ends - lens), lens) + np.arange(int(ends[-1]))]
+        edges = np.concatenate(([0], ends))[2 * np.concatenate(([0], np.cumsum(counts)))]
         return ids, np.diff(edges)
 
 
