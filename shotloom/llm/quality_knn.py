@@ -16,8 +16,10 @@ from shotloom.llm.common import WordTable, encoded, fnv, sample_rows, ship, slic
 #: Hashed term space: forms of words in the first part, words in the second, repetition terms at the end.
 FORMS, WORDS, REPEATS = 512, 1024, 4
 DIMS = FORMS + WORDS + REPEATS
-#: Latent dimensions, and neighbours that vote.
-RANK, NEIGHBOURS = 32, 25
+#: Weight of word terms against form terms; without it, the few words of a short text outweigh its form.
+WORD_WEIGHT = 0.3
+#: Latent dimensions, neighbours that vote, and the power of the cosine that weights a vote.
+RANK, NEIGHBOURS, SHARPNESS = 32, 15, 8
 #: Bound of the labelled vectors that are broadcast: rows of each label.
 BANK_PER_LABEL = 1500
 
@@ -62,10 +64,14 @@ class TermCounter:
 class QualityModel:
     """Latent-semantic axes and the labelled vectors; both have a fixed bound."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, totals: dict[int, int] | None = None):
+        """totals: labelled rows of each label; a vote counts by the square root of how many rows its vector stands for."""
         self.y = y.astype(np.float32)
+        stands = {k: max(1, (totals or {}).get(k, 0)) / max(1, int((y == k).sum())) if totals else 1.0 for k in (0, 1)}
+        self.stands = np.sqrt(np.where(self.y > 0, stands[1], stands[0]))
         seen = (x > 0).sum(0)
         self.weight = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + 0.2
+        self.weight[FORMS:FORMS + WORDS] *= WORD_WEIGHT
         z = self._unit(x * self.weight)
         rng = np.random.default_rng(3)
         rank = min(RANK, *x.shape)
@@ -82,11 +88,11 @@ class QualityModel:
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
     def score_rows(self, x: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, weighted by the square of the cosine; 0 for rows without terms."""
+        """Share of label 1 among the nearest labelled vectors, weighted by a power of the cosine; 0 for rows without terms."""
         near = self._unit((x * self.weight) @ self.axes) @ self.bank.T
         k = min(NEIGHBOURS, near.shape[1])
         at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        sure = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** 2
+        sure = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** SHARPNESS * self.stands[at]
         out = (sure * self.y[at]).sum(1) / np.maximum(sure.sum(1), 1e-12)
         return np.where(x.any(1), np.clip(out, 0, 1), 0.0)
 
@@ -104,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     """
     ship(docs.sparkSession)
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).filter(learn).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
+    totals = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}
     chosen = [sample_rows(marked.filter(F.col("_y") == k), BANK_PER_LABEL, F.xxhash64("_id")) for k in (0, 1)]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id")
 
@@ -118,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     got = rows.mapInPandas(features, f"_id {kind}, _y int, x binary").toPandas().sort_values(["_y", "_id"])
     if not len(got):
         return None
-    return QualityModel(np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, DIMS), got["_y"].to_numpy())
+    return QualityModel(np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, DIMS), got["_y"].to_numpy(), totals)
 
 
 def with_score(df: DataFrame, model: QualityModel | None, text: str, out: str) -> DataFrame:

@@ -57,7 +57,7 @@ def test_votes_equal_brute_force():
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     for row, score in zip(z, model.score_rows(x[:9])):
         near = sorted(((float(row @ b), int(v)) for b, v in zip(model.bank, model.y)), reverse=True)[: quality_knn.NEIGHBOURS]
-        weight = [max(s, 0) ** 2 for s, _ in near]
+        weight = [max(s, 0) ** quality_knn.SHARPNESS for s, _ in near]
         assert score == pytest.approx(sum(w * v for w, (_, v) in zip(weight, near)) / sum(weight), abs=1e-4)
 
 
