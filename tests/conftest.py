@@ -10,4 +10,4 @@ from shotloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4", "tests")
+    return local_session(os.environ.get("TEST_CORES", "4"), "tests")
