@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ SLOTS = 1 << 18
 #: Keys that get their own broadcast row in `lookup`; every other key takes part in an ordinary shuffle join.
 HOT_KEYS = 256
 #: Bytes of text that a Python task works on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,21 +60,36 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, how: str =
     return joined.unionByName(rest)
 
 
-def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of positions with about `most` bytes each; a longer text stands alone."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def released(run: Callable) -> Callable:
+    """A task on Arrow batches that gives its memory back when it ends; workers live on and would hold it beside the JVM."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return wrapped
 
 
-def encoded(column) -> list[bytes]:
-    """UTF-8 of each text; null counts as empty."""
-    return [t.encode() if isinstance(t, str) else b"" for t in column]
+def text_slices(column, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of positions with their texts in UTF-8, about `most` bytes and at most `rows` texts each; null counts as empty.
+
+    Texts are encoded slice by slice, so only one slice is held beside the column. A longer text stands alone.
+    """
+    start, size, own = 0, 0, []
+    for i, t in enumerate(column):
+        t = t.encode() if isinstance(t, str) else b""
+        if own and (size + len(t) > most or len(own) == rows):
+            yield start, i, own
+            start, size, own = i, 0, []
+        own.append(t)
+        size += len(t)
+    if own:
+        yield start, start + len(own), own
 
 
 class _Ids(dict):
@@ -93,7 +111,7 @@ class WordTable:
     words, so its memory is bounded; that only costs the values being worked out again.
     """
 
-    def __init__(self, values: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = 250_000):
+    def __init__(self, values: Callable[[list[bytes]], tuple[np.ndarray, ...]], limit: int = 150_000):
         self.values, self.limit = values, limit
         self.ids, self.rows, self.size = _Ids(), None, 0
 
@@ -112,9 +130,9 @@ class WordTable:
     def _add(self, fresh: tuple[np.ndarray, ...]) -> None:
         n = len(fresh[0])
         if self.rows is None:
-            self.rows = tuple(np.empty((max(1024, 2 * n), *x.shape[1:]), x.dtype) for x in fresh)
+            self.rows = tuple(np.empty((n + 1024, *x.shape[1:]), x.dtype) for x in fresh)
         if self.size + n > len(self.rows[0]):
-            self.rows = tuple(np.resize(x, (2 * (self.size + n), *x.shape[1:])) for x in self.rows)
+            self.rows = tuple(np.concatenate([x[: self.size], np.empty((n + self.size // 4, *x.shape[1:]), x.dtype)]) for x in self.rows)
         for x, y in zip(self.rows, fresh):
             x[self.size:self.size + n] = y
         self.size += n

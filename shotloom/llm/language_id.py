@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import WordTable, encoded, mix, per_text, ship, slices
+from shotloom.llm.common import WordTable, mix, per_text, released, ship, text_slices
 
 #: Hashed character n-gram space and n-gram lengths.
 DIMS = 4096
@@ -142,19 +142,21 @@ class LanguageModel:
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel | None:
     """Fit on rows that `learn` marks, with text and language: at most FIT_PER_LANG documents of each of FIT_LANGS languages.
 
-    The sample follows the hash of the id; each task sends on no more than that many rows per language. None without rows.
+    The sample follows the hash of the id and is found on hashes alone, of which each task sends on no more than that many
+    per language; rows of one id are taken together. None without rows.
     """
     ship(docs.sparkSession)
     rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(id_col).alias("_h"))
     common = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(FIT_LANGS).select("_lang")
-    top = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).filter(F.col("_n") <= FIT_PER_LANG)
-    top = top.join(F.broadcast(common), "_lang", "left_semi")
+    ranked = rows.select("_lang", "_h").withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).filter(F.col("_n") <= FIT_PER_LANG)
+    chosen = ranked.join(F.broadcast(common), "_lang", "left_semi").select("_lang", "_h")  # at most FIT_LANGS * FIT_PER_LANG rows
+    top = rows.join(F.broadcast(chosen), ["_lang", "_h"], "left_semi")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_lang": b["_lang"], "_h": b["_h"], "x": [row.tobytes() for row in frequencies(encoded(b["_text"]))]})
+            yield pd.DataFrame({"_lang": b["_lang"], "_h": b["_h"], "x": [row.tobytes() for _, _, texts in text_slices(b["_text"]) for row in frequencies(texts)]})
 
-    got = top.mapInPandas(features, "_lang string, _h bigint, x binary").toPandas().sort_values(["_lang", "_h"])
+    got = top.mapInPandas(released(features), "_lang string, _h bigint, x binary").toPandas().sort_values(["_lang", "_h"])
     if not len(got):
         return None
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), DIMS)
@@ -174,13 +176,15 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for b in batches:
-            texts, langs, scores = encoded(b["_text"]), [], []
-            for lo, hi in slices(texts):
-                found = own.predict(texts[lo:hi]) if own is not None else ([UNKNOWN] * (hi - lo), np.zeros(hi - lo))
+            langs, scores = [], []
+            for lo, hi, texts in text_slices(b["_text"]):
+                found = own.predict(texts) if own is not None else ([UNKNOWN] * (hi - lo), np.zeros(hi - lo))
                 langs += found[0]
                 scores.append(found[1])
             yield pd.DataFrame({"_id": b["_id"], "lang_pred": langs, "score": np.concatenate(scores) if scores else np.empty(0)})
+        if own is not None:
+            own.table = None  # a worker keeps the model between tasks, but not the words
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, lang_pred string, score double")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(released(run), f"_id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("_id", id_col)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import WordTable, encoded, fnv, in_slots, lookup, mix, ship, slices, slot_of
+from shotloom.llm.common import WordTable, fnv, in_slots, lookup, mix, released, ship, slot_of, text_slices
 from shotloom.operators.staging import materialize
 
 #: Hash functions, rows of a band, and bits kept of each minimum. At similarity 0.8, (1 - 0.8 ** 4) ** 32 = 5e-8 of the links share no band.
@@ -29,12 +29,6 @@ _ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _LOW = 0x5555555555555555
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    for lo, hi in slices(texts):
-        for at in range(lo, hi, SLICE_TEXTS):
-            yield at, min(hi, at + SLICE_TEXTS)
-
-
 class Shingler:
     """Distinct shingles of whole texts as 52-bit hashes; A-Z are lower-cased, words are parted by ASCII white space."""
 
@@ -84,9 +78,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for b in batches:
-            texts = encoded(b["_text"])
-            for lo, hi in _parts(texts):
-                sets, sizes = shingler.sets(texts[lo:hi])
+            for lo, hi, texts in text_slices(b["_text"], rows=SLICE_TEXTS):
+                sets, sizes = shingler.sets(texts)
                 empty = [np.empty(0, np.int64)] * (hi - lo)
                 out = pd.DataFrame({"_id": b["_id"].iloc[lo:hi].to_numpy(), "n": sizes.astype(np.int64), "same": empty, "bands": empty, "packed": empty})
                 out["_id"] = out["_id"].astype(b["_id"].dtype)
@@ -101,7 +94,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, f"_id {kind}, n bigint, same array<bigint>, bands array<bigint>, packed array<bigint>")
+    return rows.mapInPandas(released(run), f"_id {kind}, n bigint, same array<bigint>, bands array<bigint>, packed array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -114,12 +107,11 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for b in batches:
-            texts = encoded(b["_text"])
-            for lo, hi in _parts(texts):
-                sets, sizes = shingler.sets(texts[lo:hi])
+            for lo, hi, texts in text_slices(b["_text"], rows=SLICE_TEXTS):
+                sets, sizes = shingler.sets(texts)
                 yield pd.DataFrame({"_id": b["_id"].iloc[lo:hi].to_numpy(), "shingles": np.split(sets.view(np.int64), np.cumsum(sizes)[:-1])})
 
-    return some.mapInPandas(run, f"_id {kind}, shingles array<bigint>")
+    return some.mapInPandas(released(run), f"_id {kind}, shingles array<bigint>")
 
 
 def most_mismatches(limit: float) -> int:
@@ -151,7 +143,7 @@ def components(links: DataFrame) -> DataFrame:
     """Smallest reachable id of each linked id: _id, comp.
 
     Alternates linking larger neighbours, then smaller ones, to a vertex's least neighbour, until nothing changes. Every
-    round is written; a vertex with very many links is looked up by `lookup` and never gathered.
+    round is written; no vertex has its links gathered.
     """
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v").distinct())
 
@@ -159,8 +151,8 @@ def components(links: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         if not large:
             both = both.filter("v < u")
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n")))
-        near = lookup(both, least, "u", "_n")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        near = both.join(least, "u")  # Spark splits a vertex with very many links here, since nothing above needs it whole
         if large:
             out = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:

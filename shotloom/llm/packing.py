@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shotloom.llm.common import WordTable, encoded, ship, slices
+from shotloom.llm.common import WordTable, released, ship, text_slices
 from shotloom.operators.staging import materialize
 
 CAPACITY = 2048
@@ -23,7 +23,7 @@ PIECES = "_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 #: ASCII characters that are neither letters, digits nor white space.
 _MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}|~"
 #: Parts after which the encoder starts anew.
-PART_LIMIT = 400_000
+PART_LIMIT = 300_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -133,9 +133,8 @@ def pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(model_path)
         for b in batches:
-            texts = encoded(b["_text"])
-            for lo, hi in slices(texts):
-                ids, counts = encoder.encode(texts[lo:hi])
+            for lo, hi, texts in text_slices(b["_text"]):
+                ids, counts = encoder.encode(texts)
                 out, at = [], 0
                 for i, n in zip(range(lo, hi), counts.tolist()):
                     own = np.append(ids[at:at + n], END_ID).astype("<u4")
@@ -148,7 +147,7 @@ def pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield frame
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(cut, PIECES.format(id=kind))
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(released(cut), PIECES.format(id=kind))
 
 
 def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -229,7 +228,7 @@ def take_slots(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield b[["_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
     kind = parts.schema["_id"].dataType.simpleString()
-    return ranked.select("_id", "piece", "start", "length", "ids_crc32", "_rank").mapInPandas(place, PIECES.format(id=kind) + ", sequence_id bigint, offset bigint")
+    return ranked.select("_id", "piece", "start", "length", "ids_crc32", "_rank").mapInPandas(released(place), PIECES.format(id=kind) + ", sequence_id bigint, offset bigint")
 
 
 def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotloom.llm.common import WordTable, encoded, fnv, sample_rows, ship, slices
+from shotloom.llm.common import WordTable, fnv, released, sample_rows, ship, text_slices
 
 #: Hashed term space: forms of words in the first part, words in the second, repetition terms at the end.
 FORMS, WORDS, REPEATS = 512, 1024, 4
@@ -117,12 +117,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = TermCounter()
         for b in batches:
-            texts = encoded(b["_text"])
-            rows = [r.astype("<f4").tobytes() for lo, hi in slices(texts) for r in counter.rows(texts[lo:hi])]
+            rows = [r.astype("<f4").tobytes() for _, _, texts in text_slices(b["_text"]) for r in counter.rows(texts)]
             yield pd.DataFrame({"_id": b["_id"], "_y": b["_y"], "x": rows})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInPandas(features, f"_id {kind}, _y int, x binary").toPandas().sort_values(["_y", "_id"])
+    got = rows.mapInPandas(released(features), f"_id {kind}, _y int, x binary").toPandas().sort_values(["_y", "_id"])
     if not len(got):
         return None
     return QualityModel(np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, DIMS), got["_y"].to_numpy(), totals)
@@ -139,12 +138,13 @@ def with_score(df: DataFrame, model: QualityModel | None, text: str, out: str) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for b in batches:
-            texts = encoded(b[text])
-            score = [own.score(texts[lo:hi]) if own is not None else np.full(hi - lo, 0.5) for lo, hi in slices(texts)]
+            score = [own.score(texts) if own is not None else np.full(hi - lo, 0.5) for lo, hi, texts in text_slices(b[text])]
             b[out] = np.concatenate(score).astype(float) if score else np.empty(0)
             yield b
+        if own is not None:
+            own.counter = None  # a worker keeps the model between tasks, but not the words
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+    return df.mapInPandas(released(run), T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def predict(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import WordTable, encoded, mix, per_text, ship, slices
+from shotloom.llm.common import WordTable, mix, per_text, released, ship, text_slices
 from shotloom.operators.staging import materialize
 
 WINDOW = 5
@@ -95,9 +95,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = WordTable(_word_values)
         for b in batches:
-            texts = encoded(b["_text"])
-            for lo, hi in slices(texts):
-                base, x = statistics(table, texts[lo:hi])
+            for lo, hi, texts in text_slices(b["_text"]):
+                base, x = statistics(table, texts)
                 out = b.iloc[lo:hi][["_id", "_lang", "_source"]].copy()
                 for c, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")):
                     out[name] = base[:, c]
@@ -107,7 +106,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = docs.schema[id_col].dataType.simpleString()
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), label("lang").alias("_lang"), label("source").alias("_source"))
-    return rows.mapInPandas(run, f"_id {kind}, _lang string, _source string, {BASE}, x array<double>")
+    return rows.mapInPandas(released(run), f"_id {kind}, _lang string, _source string, {BASE}, x array<double>")
 
 
 _PAIRS = [(i, j) for i in range(STATS) for j in range(i, STATS)]
@@ -139,7 +138,7 @@ def _solve(moments: DataFrame) -> DataFrame:
                 precs.append([inverse[i, j] for i, j in _PAIRS])
             yield pd.DataFrame({"g": b["g"], "mean": means, "prec": precs})
 
-    return moments.mapInPandas(run, "g string, mean array<double>, prec array<double>")
+    return moments.mapInPandas(released(run), "g string, mean array<double>, prec array<double>")
 
 
 def _with_group(rows: DataFrame, params: DataFrame) -> DataFrame:

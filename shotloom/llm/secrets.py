@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import encoded, ship, slices
+from shotloom.llm.common import released, ship, text_slices
 from shotloom.operators.staging import materialize
 
 #: Fixed patterns; a match with a shorter value or length is dropped.
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Form
                 out += [("word", m[0]) for m, _ in zip(words, range(20))]
             yield pd.DataFrame(out, columns=["kind", "value"])
 
-    found = materialize(rows.mapInPandas(gather, "kind string, value string").distinct())
+    found = materialize(rows.mapInPandas(released(gather), "kind string, value string").distinct())
     strings = {}
     for kind in ("assign", "access", "hex", "word"):
         some = found.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(FIT_STRINGS)
@@ -233,18 +233,17 @@ def find(docs: DataFrame, model: FormatModel | None, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, out = encoded(b["_text"]), []
-            for lo, hi in slices(texts):
-                maybe = _maybe(texts[lo:hi])
+            out = []
+            for _, _, texts in text_slices(b["_text"]):
                 out += [
-                    [{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in spans(texts[i].decode(), shared.value)] if maybe[i - lo] else []
-                    for i in range(lo, hi)
+                    [{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in spans(t.decode(), shared.value)] if maybe else []
+                    for t, maybe in zip(texts, _maybe(texts))
                 ]
             yield pd.DataFrame({"_id": b["_id"], "spans": out})
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return out.mapInPandas(run, f"_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>").withColumnRenamed("_id", id_col)
+    return out.mapInPandas(released(run), f"_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>").withColumnRenamed("_id", id_col)
 
 
 def joined(spans: Column) -> Column:

@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import encoded, lookup, ship, slices
+from shotloom.llm.common import lookup, released, ship, text_slices
 from shotloom.operators.staging import materialize, staging_dir
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens bigint"
@@ -72,11 +72,11 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, id_col: str
         model = _model(model_path)
         for b in batches:
             texts, counts = b["_text"].tolist(), []
-            for lo, hi in slices(encoded(texts)):
+            for lo, hi, _ in text_slices(texts):
                 counts += [len(ids) for ids in model.encode(texts[lo:hi], num_threads=1)]
             yield pd.DataFrame({"content": b["content"], "tokenizer": version, "n_tokens": pd.Series(counts, dtype="int64")})
 
-    some.dropDuplicates(["content"]).mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    some.dropDuplicates(["content"]).mapInPandas(released(encode), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     found = lookup(keys, counts.join(sizes, "content"), "content", "_n")
     return found.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content")

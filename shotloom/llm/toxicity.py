@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import WordTable, encoded, fnv, per_text, sample_rows, ship, slices
+from shotloom.llm.common import WordTable, fnv, per_text, released, sample_rows, ship, text_slices
 from shotloom.llm.language_id import letters
 
 #: Hashed embedding rows (row 0 stays zero), embedding size, filter widths and filters per width.
@@ -207,7 +207,7 @@ class ToxicityModel:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         if self.table is None:
-            self.table = WordTable(self._values, 150_000)
+            self.table = WordTable(self._values)
         words, counts = self.table.number(texts)
         if not len(words):
             return np.zeros(len(texts))
@@ -237,14 +237,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         table = WordTable(lambda words: (word_rows(words), _language_hits(words)))
         for b in batches:
             out = []
-            for t in encoded(b["_text"]):
-                words, _ = table.number([t])
-                ids, hits = (x[words] for x in table.rows) if len(words) else (np.zeros((0, 1 + len(STEMS)), np.int32), np.zeros((0, len(LANGS))))
-                out.append((ids.astype("<i4").tobytes(), hits.sum(0).tolist()))
+            for _, _, texts in text_slices(b["_text"]):
+                for t in texts:
+                    words, _ = table.number([t])
+                    ids, hits = (x[words] for x in table.rows) if len(words) else (np.zeros((0, 1 + len(STEMS)), np.int32), np.zeros((0, len(LANGS))))
+                    out.append((ids.astype("<i4").tobytes(), hits.sum(0).tolist()))
             yield pd.DataFrame({"_id": b["_id"], "_y": b["_y"], "ids": [x[0] for x in out], "hits": [x[1] for x in out]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInPandas(features, f"_id {kind}, _y int, ids binary, hits array<double>").toPandas().sort_values(["_y", "_id"])
+    got = rows.mapInPandas(released(features), f"_id {kind}, _y int, ids binary, hits array<double>").toPandas().sort_values(["_y", "_id"])
     model = ToxicityModel()
     if not len(got):
         model.constant = 0.0
@@ -267,10 +268,10 @@ def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for b in batches:
-            texts = encoded(b["_text"])
-            score = [own.score(texts[lo:hi]) for lo, hi in slices(texts)]
+            score = [own.score(texts) for _, _, texts in text_slices(b["_text"])]
             yield pd.DataFrame({"_id": b["_id"], "score": np.concatenate(score).astype(float) if score else np.empty(0)})
+        own.table = None  # a worker keeps the model between tasks, but not the words
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, score double")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(released(run), f"_id {kind}, score double")
     return out.select(F.col("_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
