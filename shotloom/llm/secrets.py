@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import released, ship, text_slices
+from shotloom.llm.common import fnv, released, ship, text_slices
 from shotloom.operators.staging import materialize
 
 #: Fixed patterns; a match with a shorter value or length is dropped.
@@ -24,8 +26,13 @@ KINDS = ("assign", "access", "hex", "format")
 #: Candidates of the method: runs of these characters of at least this length.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 RUN_LENGTH = 16
-#: Bound of the fitting sample: documents expected in it, and strings of one kind.
-FIT_DOCS, FIT_STRINGS = 20_000, 1000
+#: Ordinary words are runs of at least this length.
+WORD = re.compile(r"[A-Za-z0-9+/_=-]{9,}")
+WORD_LENGTH = 9
+#: Bound of the fitting sample: strings of one kind, out of all documents.
+FIT_STRINGS = 1000
+#: Steps of a score in which scores are counted, and scores that a task remembers.
+SCORE_STEPS, SCORES_KEPT = 1024, 100_000
 #: Confidence of the state comparison, and the longest string that an automaton is inferred from.
 ALPHA, FIT_LENGTH = 0.05, 128
 
@@ -38,7 +45,9 @@ _CLASSES = str.maketrans(
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Base matches, leftmost and without overlap for each kind, by start and kind."""
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+    low = text.lower()
+    keyed = any(k in low for k in KEYS)
+    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]] if keyed else []
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST["hex"]]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -130,14 +139,21 @@ class Automaton:
             # a fold can give an earlier state a new next state
             at = next((i for i, s in enumerate(kept) if any(v not in known for v in self.next[s].values())), len(kept))
         self.states = len(kept)
+        self.steps: list[dict[str, tuple[float, int]]] = [{} for _ in self.next]
 
     def log_likelihood(self, classes: str) -> float:
         """Of a string of classes; a class that a state never saw costs a smoothed share and leaves the state as it is."""
-        total, at = 0.0, 0
+        total, at, steps = 0.0, 0, self.steps
         for c in classes:
-            total += np.log((self.out[at].get(c, 0) + 0.05) / (self.seen[at] + 0.6))
-            at = self.next[at].get(c, at)
-        return total + np.log((self.ends[at] + 0.05) / (self.seen[at] + 0.6))
+            step = steps[at].get(c)
+            if step is None:
+                step = steps[at][c] = self._share(self.out[at].get(c, 0), at), self.next[at].get(c, at)
+            total += step[0]
+            at = step[1]
+        return total + self._share(self.ends[at], at)
+
+    def _share(self, n: int, at: int) -> float:
+        return math.log((n + 0.05) / (self.seen[at] + 0.6))
 
 
 class FormatModel:
@@ -146,10 +162,12 @@ class FormatModel:
     def __init__(self, strings: dict[str, list[str]], words: list[str]):
         self.words = Automaton(words)
         self.kinds = {k: Automaton(v) for k, v in strings.items() if len(v) >= 5}
-        plain = np.array([self.score(w) for w in words] or [0.0])
-        good = np.array([self.score(s) for v in strings.values() for s in v if len(s) >= RUN_LENGTH] or [np.inf])
-        top = np.quantile(plain, 0.999)
-        self.cut = max(float(top) + 0.05, float(top + np.quantile(good, 0.05)) / 2) if self.kinds and np.isfinite(good).all() else np.inf
+        self.cut = np.inf
+
+    def set_cut(self, plain: dict[int, int], good: dict[int, int]) -> None:
+        """From the number of ordinary words and of credentials of RUN_LENGTH or more by score step; without credentials nothing passes."""
+        top = _quantile(plain, 0.999) if plain else 0.0
+        self.cut = max(top + 0.05, (top + _quantile(good, 0.05)) / 2) if self.kinds and good else np.inf
 
     def score(self, text: str) -> float:
         classes = text.translate(_CLASSES)
@@ -158,12 +176,40 @@ class FormatModel:
         return (max(a.log_likelihood(classes) for a in self.kinds.values()) - self.words.log_likelihood(classes)) / len(classes)
 
 
+def _quantile(counts: dict[int, int], share: float) -> float:
+    """Middle of the score step that holds this share of the counted scores and those below."""
+    steps = sorted(counts)
+    upto = np.cumsum([counts[k] for k in steps])
+    return (steps[int(np.searchsorted(upto, share * upto[-1]))] + 0.5) / SCORE_STEPS
+
+
+def free_runs(text: str, taken: list[tuple[int, int]], runs: re.Pattern, least: int) -> Iterator[tuple[int, int]]:
+    """Runs without the taken spans (by start): each part of at least this length that is left."""
+    k, end = 0, 0
+    for m in runs.finditer(text):
+        at = max(m.start(), end)
+        while k < len(taken) and taken[k][0] < m.end():
+            if taken[k][0] - at >= least:
+                yield at, taken[k][0]
+            end = max(end, taken[k][1])
+            at = max(at, end)
+            k += 1
+        if m.end() - at >= least:
+            yield at, m.end()
+
+
+def _runs(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of at least this length of candidate characters."""
+    inside = _RUN_BYTES[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    full = (edges[1::2] - edges[::2]) >= least
+    return edges[::2][full], edges[1::2][full]
+
+
 def _has_long_run(texts: list[bytes]) -> np.ndarray:
     """Whether each text has RUN_LENGTH candidate characters in a row, for all texts at once."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = _RUN_BYTES[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], data, [False])).astype(np.int8)))
-    starts = edges[::2][(edges[1::2] - edges[::2]) >= RUN_LENGTH]
+    starts, _ = _runs(b"\n".join(texts) + b"\n", RUN_LENGTH)
     ends = np.cumsum(sizes + 1)
     return np.bincount(np.searchsorted(ends, starts, "right"), minlength=len(texts)) > 0
 
@@ -191,35 +237,85 @@ def _maybe(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def _smallest(values: set[str]) -> dict[str, int]:
+    """The FIT_STRINGS values of the smallest hashes, with these."""
+    some = list(values)
+    hashes = (fnv([v.encode() for v in some]) >> np.uint64(1)).astype(np.int64)
+    most = np.partition(hashes, FIT_STRINGS - 1)[FIT_STRINGS - 1] if len(some) > FIT_STRINGS else np.iinfo(np.int64).max
+    return {some[i]: int(hashes[i]) for i in np.flatnonzero(hashes <= most)}
+
+
+def _labelled(column: pd.Series) -> Iterator[tuple[list[tuple[str, str]], list[str]]]:
+    """Credentials and ordinary words of each slice of texts."""
+    for _, _, texts in text_slices(column):
+        found, words, plain = [], [], []
+        for raw, maybe in zip(texts, _maybe(texts)):
+            if not maybe:
+                plain.append(raw)
+                continue
+            t = raw.decode()
+            base = base_spans(t)
+            found += credentials(t) if base else []
+            words += [t[a:e] for a, e in free_runs(t, [s[1:] for s in base], WORD, WORD_LENGTH)]
+        data = b"\n".join(plain) + b"\n"
+        starts, ends = _runs(data, WORD_LENGTH)
+        words += [data[a:e].decode() for a, e in zip(starts.tolist(), ends.tolist())]
+        yield found, words
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> FormatModel:
-    """Infer the automata from a sample of about FIT_DOCS documents chosen by the hash of the id, and FIT_STRINGS strings of a kind.
+    """Infer the automata from all documents: of each kind's distinct strings the FIT_STRINGS of the smallest hashes.
 
-    Labelled credentials are the base matches; ordinary words are the long runs that lie in no base match. Without
-    credentials the model adds no spans.
+    Labelled credentials are the base matches; ordinary words are the long runs outside of base matches. The threshold
+    is set from the scores of all words and credentials of all documents, counted in steps. Tasks send on a bounded
+    number of strings and of counts. Without credentials the model adds no spans.
     """
     ship(docs.sparkSession)
-    parts = max(1, -(-docs.count() // FIT_DOCS))
-    rows = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(parts)) == 0).select(F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(text_col).alias("_text"))
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, dict[str, int]] = {"assign": {}, "access": {}, "hex": {}, "word": {}}
         for b in batches:
-            out = []
-            for t in b["_text"]:
-                if not isinstance(t, str):
-                    continue
-                taken = base_spans(t)
-                out += credentials(t)
-                words = (m for m in re.finditer(r"[A-Za-z0-9+/_=-]{9,}", t) if not any(a < m.end() and m.start() < e for _, a, e in taken))
-                out += [("word", m[0]) for m, _ in zip(words, range(20))]
-            yield pd.DataFrame(out, columns=["kind", "value"])
-
-    found = materialize(rows.mapInPandas(released(gather), "kind string, value string").distinct())
+            for found, words in _labelled(b["_text"]):
+                fresh = {kind: set(some) for kind, some in kept.items()}
+                fresh["word"].update(words)
+                for kind, value in found:
+                    fresh[kind].add(value)
+                kept = {kind: _smallest(some) for kind, some in fresh.items()}
+        out = [(kind, value, h) for kind, some in kept.items() for value, h in some.items()]
+        yield pd.DataFrame(out, columns=["kind", "value", "hash"])
+
+    found = materialize(rows.mapInPandas(released(gather), "kind string, value string, hash bigint").distinct())
     strings = {}
     for kind in ("assign", "access", "hex", "word"):
-        some = found.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(FIT_STRINGS)
+        some = found.filter(F.col("kind") == kind).orderBy("hash", "value").limit(FIT_STRINGS)
         strings[kind] = [r["value"] for r in some.collect()]
     words = strings.pop("word", [])
-    return FormatModel(strings, words)
+    model = FormatModel(strings, words)
+    if model.kinds:
+        model.set_cut(*_score_counts(rows, model))
+    return model
+
+
+def _score_counts(rows: DataFrame, model: FormatModel) -> tuple[dict[int, int], dict[int, int]]:
+    """How many words, and how many credentials of RUN_LENGTH or more, of all texts have a score in each step."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, steps = Counter(), {}
+        for b in batches:
+            for found, words in _labelled(b["_text"]):
+                seen = Counter(("word", w) for w in words) + Counter(("good", v) for _, v in found if len(v) >= RUN_LENGTH)
+                for (kind, value), n in seen.items():
+                    if value not in steps:
+                        if len(steps) >= SCORES_KEPT:
+                            steps.clear()
+                        steps[value] = math.floor(shared.value.score(value) * SCORE_STEPS)
+                    counts[kind, steps[value]] += n
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "step", "n"])
+
+    got = rows.mapInPandas(released(run), "kind string, step bigint, n bigint").groupBy("kind", "step").agg(F.sum("n").alias("n")).collect()
+    return tuple({r["step"]: r["n"] for r in got if r["kind"] == kind} for kind in ("word", "good"))
 
 
 def find(docs: DataFrame, model: FormatModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shotloom.llm import quality_outliers, secrets
 from shotloom.llm.common import WordTable
@@ -106,3 +107,28 @@ def test_automaton_merges_states_and_follows_frequencies():
     assert model.states < 30
     classes = "AK0123".translate(secrets._CLASSES)
     assert model.log_likelihood(classes) > model.log_likelihood("zz0123".translate(secrets._CLASSES)) + 3
+
+
+def test_a_rare_format_is_learned_from_all_documents(spark):
+    value = F.upper(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40))
+    text = F.when(F.col("id") % 7500 == 7, F.concat(F.lit("token: "), value)).otherwise(F.concat(F.lit("ordinary words internationalization no "), F.col("id")))
+    docs = spark.range(45_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    model = secrets.fit(docs)
+    assert set(model.kinds) == {"assign"} and np.isfinite(model.cut)
+    fresh = hashlib.sha256(b"fresh").hexdigest()[:40].upper()
+    assert [s[0] for s in secrets.spans(f"internationalization of {fresh} here", model)] == ["format"]
+    again = secrets.fit(docs.repartition(7))
+    assert again.cut == model.cut and again.score(fresh) == model.score(fresh)
+
+
+def test_score_quantiles_and_smallest_strings_equal_brute_force():
+    rng = random.Random(2)
+    counts = Counter(rng.randrange(-50, 50) for _ in range(500))
+    flat = sorted(k for k, n in counts.items() for _ in range(n))
+    for share in (0.001, 0.05, 0.5, 0.999):
+        at = next(k for i, k in enumerate(flat) if i + 1 >= share * len(flat))
+        assert secrets._quantile(counts, share) == (at + 0.5) / secrets.SCORE_STEPS
+    values = {f"value{k}" for k in range(3_000)}
+    parts = [set(sorted(values)[k::3]) for k in range(3)]
+    assert secrets._smallest(set().union(*(secrets._smallest(p) for p in parts))) == secrets._smallest(values)
+    assert len(secrets._smallest(values)) == secrets.FIT_STRINGS
