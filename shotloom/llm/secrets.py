@@ -215,16 +215,13 @@ def _has_long_run(texts: list[bytes]) -> np.ndarray:
 
 
 def spans(text: str, model: FormatModel | None) -> list[tuple[str, int, int, float]]:
-    """Base spans, and candidates outside them whose format is likelier than the threshold."""
+    """Base spans, and candidates outside them whose format is likelier than the threshold; of a run that holds base spans, the parts beside them."""
     found = [(*s, 1.0) for s in base_spans(text)]
     if model is not None and np.isfinite(model.cut):
-        taken = [(a, b) for _, a, b, _ in found]
-        for m in RUN.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            score = model.score(m[0])
+        for a, b in free_runs(text, [s[1:3] for s in found], RUN, RUN_LENGTH):
+            score = model.score(text[a:b])
             if score >= model.cut:
-                found.append(("format", m.start(), m.end(), float(score)))
+                found.append(("format", a, b, float(score)))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

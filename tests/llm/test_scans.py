@@ -132,3 +132,14 @@ def test_score_quantiles_and_smallest_strings_equal_brute_force():
     parts = [set(sorted(values)[k::3]) for k in range(3)]
     assert secrets._smallest(set().union(*(secrets._smallest(p) for p in parts))) == secrets._smallest(values)
     assert len(secrets._smallest(values)) == secrets.FIT_STRINGS
+
+
+def test_parts_of_a_run_beside_base_spans_are_candidates():
+    model = secrets.FormatModel({}, [])
+    model.cut, model.score = 0.0, lambda text: 1.0
+    free = "AbCdEfGhIjKlMnOpQrSt" * 2
+    text = f"x {free}/token=abcdef {'ab' * 12}{free} {'ab' * 12}short secret=abcdefg/{free}"
+    got = [(k, text[a:b]) for k, a, b, _ in secrets.spans(text, model)]
+    assert got == [("format", free + "/"), ("assign", "token=abcdef"), ("hex", "ab" * 12), ("format", free), ("hex", "ab" * 12), ("assign", f"secret=abcdefg/{free}")]
+    taken = [(2, 9), (4, 6), (20, 40)]
+    assert list(secrets.free_runs("a" * 60 + " " + "b" * 20, taken, secrets.RUN, 5)) == [(9, 20), (40, 60), (61, 81)]
