@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import WordTable, fnv, per_text, released, sample_rows, ship, text_slices
+from shotloom.llm.common import WordTable, fnv, in_slots, per_text, released, sample_rows, ship, slot_of, text_slices
 from shotloom.llm.language_id import letters
 
 #: Hashed embedding rows (row 0 stays zero), embedding size, filter widths and filters per width.
@@ -21,6 +22,8 @@ LEAST_DOCS = 3
 #: Bound of the fitting sample: documents of each label.
 FIT_PER_LABEL = 2000
 EPOCHS, BATCH, RATE = 8, 32, 0.05
+#: Steps of a logit in which labelled rows are counted for the thresholds.
+LOGIT_STEPS = 256
 #: Common function words, which tell the text's language for the choice of threshold.
 FUNCTION_WORDS = {
     "de": "der die das und ist nicht mit ein eine zu den von auf im für",
@@ -87,13 +90,17 @@ class ToxicityModel:
         ends = np.cumsum(counts)
         return [self._windows(p, ends) for p in parts]
 
+    @staticmethod
+    def held_rows(n: int) -> np.ndarray:
+        return np.arange(n) % 4 == 3
+
     def train(self, rows: list[np.ndarray], y: np.ndarray, hits: np.ndarray, seed: int = 11) -> None:
-        """rows: embedding rows of each document's words; every fourth document sets the thresholds and is not trained on."""
+        """rows: embedding rows of each document's words; every fourth document (`held_rows`) sets first thresholds and is not trained on."""
         if y.min() == y.max():
             self.constant = float(y[0])
             return
         rng = np.random.default_rng(seed)
-        held = np.arange(len(y)) % 4 == 3
+        held = self.held_rows(len(y))
         fit_at = np.flatnonzero(~held & np.array([len(r) > 0 for r in rows]))
         self._start([rows[i] for i in fit_at], y[fit_at])
         rows = [np.where(self.known[r], r, 0) for r in rows]
@@ -173,24 +180,34 @@ class ToxicityModel:
         return self.embed[ids].sum(1) / np.maximum(1, (ids > 0).sum(1))[:, None]
 
     def _calibrate(self, rows: list[np.ndarray], y: np.ndarray, hits: np.ndarray) -> None:
-        """One threshold per guessed language: midway in the range of thresholds with the fewest errors; languages without both labels share the overall one."""
-        logit = np.array([self._logit_of(r) for r in rows])
-
-        def best(some: np.ndarray) -> float:
-            z, t = logit[some], y[some]
-            cuts = np.unique(np.concatenate(([z.min() - 1], (np.sort(z)[1:] + np.sort(z)[:-1]) / 2, [z.max() + 1])))
-            wrong = np.array([((z >= c) & (t == 0)).sum() * 2 + ((z < c) & (t > 0)).sum() for c in cuts])
-            good = cuts[wrong == wrong.min()]
+        step = [int(np.floor(self._logit_of(r) * LOGIT_STEPS)) for r in rows]
+        self.calibrate(Counter(zip(guess(hits).tolist(), (y > 0).astype(int).tolist(), step)), (1.0, 1.0))
+
+    def calibrate(self, counts: dict[tuple[int, int, int], int], weights: tuple[float, float]) -> None:
+        """One threshold per guessed language: midway in the range of thresholds with the fewest errors; languages with under 5 rows of a label share the overall one.
+
+        counts: rows by language, label and logit step; weights: what a row of each label stands for.
+        """
+
+        def best(some: dict[tuple[int, int], int]) -> float:
+            steps = sorted({k for _, k in some})
+            z = (np.array(steps) + 0.5) / LOGIT_STEPS
+            n = np.array([[some.get((t, k), 0) for k in steps] for t in (0, 1)]) * np.array(weights)[:, None]
+            cuts = np.concatenate(([z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]))
+            false, missed = (np.concatenate(([0.0], np.cumsum(x))) for x in n)
+            wrong = (false[-1] - false) * 2 + missed
+            good = cuts[np.isclose(wrong, wrong.min(), rtol=1e-9, atol=1e-6)]
             return float((good[0] + good[-1]) / 2)
 
-        if not len(y):
-            return
-        everyone = best(np.ones(len(y), bool)) if y.min() != y.max() else 0.0
-        lang = guess(hits)
-        for k in range(len(self.cut)):
-            some = lang == k
-            few = min((y[some] > 0).sum(), (y[some] == 0).sum()) < 5
-            self.cut[k] = everyone if few else best(some)
+        everyone, by_lang = Counter(), {}
+        for (lang, t, k), n in counts.items():
+            everyone[t, k] += n
+            by_lang.setdefault(lang, Counter())[t, k] += n
+        least = lambda some: min(sum(n for (t, _), n in some.items() if t == label) for label in (0, 1))
+        common = best(everyone) if least(everyone) else 0.0
+        for lang in range(len(self.cut)):
+            some = by_lang.get(lang, {})
+            self.cut[lang] = common if least(some) < 5 else best(some)
 
     def _logit_of(self, ids: np.ndarray) -> float:
         if not len(ids):
@@ -203,14 +220,13 @@ class ToxicityModel:
         vec = self._vectors(word_rows(words))
         return (vec @ np.concatenate([m for f in self.filters for m in f], 1)).astype(np.float32), _language_hits(words)
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(texts), self.constant)
+    def logits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logit, guessed language and number of words of each text."""
         if self.table is None:
             self.table = WordTable(self._values)
         words, counts = self.table.number(texts)
         if not len(words):
-            return np.zeros(len(texts))
+            return np.full(len(texts), -30.0), np.full(len(texts), len(LANGS)), counts
         parts, hits = self.table.rows
         ends, at, pooled = np.cumsum(counts), 0, []
         for width, s in zip(WIDTHS, self.shift):
@@ -218,13 +234,22 @@ class ToxicityModel:
             pooled.append(per_text(self._windows(own, ends), counts, np.maximum) + s)
             at += width
         logit = np.maximum(np.concatenate(pooled, 1), 0) @ self.head + self.base
-        out = 1 / (1 + np.exp(-np.clip(logit - self.cut[guess(per_text(hits[words], counts))], -30, 30)))
+        return np.where(counts > 0, logit, -30.0), guess(per_text(hits[words], counts)), counts
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
+        logit, lang, counts = self.logits(texts)
+        out = 1 / (1 + np.exp(-np.clip(logit - self.cut[lang], -30, 30)))
         return np.where(counts > 0, out, 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Train on at most FIT_PER_LABEL labelled rows of each label, chosen by the hash of the id, with their whole texts.
 
+    The thresholds come from all labelled rows that were not trained on, scored where they lie and counted by guessed
+    language, label and logit step; a row of a label stands for the label's rows, those trained on included.
+
     Rows with a null label, and labels without a document, are left out; of repeated labels of one id the largest counts.
     Without labelled rows every score is 0, with one label alone it is that label.
     """
@@ -253,9 +278,35 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     ids = [np.frombuffer(x, "<i4").reshape(-1, 1 + len(STEMS)) for x in got["ids"]]
     order = np.argsort(fnv([str(v).encode() for v in got["_id"]]), kind="stable")
     model.train([ids[i] for i in order], got["_y"].to_numpy(float)[order], np.stack(got["hits"].tolist())[order])
+    if model.constant is None:
+        trained = set(got["_id"].to_numpy()[order][~model.held_rows(len(order))].tolist())
+        counts = _logit_counts(docs, marked, model, trained, id_col, text_col)
+        total, held = ([sum(n for (_, y, _, fresh), n in counts.items() if y == label and fresh >= least) for label in (0, 1)] for least in (0, 1))
+        weights = tuple(a / b if b else 1.0 for a, b in zip(total, held))
+        model.calibrate({k[:3]: n for k, n in counts.items() if k[3]}, weights)
     return model
 
 
+def _logit_counts(docs: DataFrame, marked: DataFrame, model: ToxicityModel, trained: set, id_col: str, text_col: str) -> dict[tuple[int, int, int, int], int]:
+    """All labelled rows by guessed language, label, logit step and whether they were not trained on. Texts are scored before the join, so none is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, trained))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, used = shared.value
+        for b in batches:
+            some = [own.logits(texts)[:2] for _, _, texts in text_slices(b["_text"])]
+            logit, lang = (np.concatenate([x[i] for x in some]) if some else np.empty(0) for i in (0, 1))
+            yield pd.DataFrame({"_id": b["_id"], "_lang": lang.astype(int), "_step": np.floor(logit * LOGIT_STEPS).astype(int), "_fresh": [int(v not in used) for v in b["_id"].tolist()]})
+        own.table = None
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = in_slots(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), marked.select(slot_of("_id").alias("slot")), slot_of("_id")).select("_id", "_text")
+    scored = rows.mapInPandas(released(run), f"_id {kind}, _lang int, _step int, _fresh int")
+    by = ["_lang", "_y", "_step", "_fresh"]
+    got = scored.join(marked.select("_id", (F.col("_y") > 0).cast("int").alias("_y")), "_id").groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {tuple(r[c] for c in by): r["n"] for r in got}
+
+
 def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: `id_col`, score (0 to 1), predicted, from the whole text alone.
 

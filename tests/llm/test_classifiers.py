@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shotloom.llm import language_id, quality_knn, toxicity
 from shotloom.llm.common import fold
@@ -111,3 +112,15 @@ def test_one_language_is_enough(docs_of):
     docs = docs_of([(k, "le la des") for k in range(6)])
     model = language_id.fit(docs, fold("doc_id", 3) != 5)
     assert {r.lang_pred for r in language_id.predict(docs, model).collect()} == {"en"}
+
+
+def test_toxicity_cut_follows_the_true_label_shares(docs_of, spark, monkeypatch):
+    """A mark on all 100 toxic and 80 of 1,000 clean documents: calling marked documents toxic costs more than leaving them."""
+    monkeypatch.setattr(toxicity, "FIT_PER_LABEL", 60)
+    rng = random.Random(3)
+    texts = [(k, prose(rng, "en") + (" grumpf" if k < 180 else "")) for k in range(1100)]
+    labels = spark.createDataFrame([(k, 1, int(k < 100)) for k, _ in texts], LABELS)
+    docs = docs_of(texts)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    of = {r.doc_id: r.predicted for r in toxicity.predict(docs, model).collect()}
+    assert np.mean([of[k] for k in range(100, 1100)]) < 0.02
