@@ -182,3 +182,20 @@ def test_dedupe_boxes(spark):
             if not any(s > 0.9 for s in share):
                 kept.append(b)
         assert got[i] == kept
+
+
+def test_group_joins_with_thousands_of_groups_of_one_key(spark):
+    rng = random.Random(17)
+    groups = {"hot": 3000, "b": 4}
+    g = [(k, i, lo, lo + rng.choice([0, 3, 40, 9000])) for k, n in groups.items() for i in range(1, n + 1) for lo in [rng.randrange(0, 400_000)]]
+    points = [(k, s, rng.randrange(-50, 420_000)) for k, n in (("hot", 1500), ("b", 50), ("no", 5)) for s in range(n)]
+    p_df = spark.createDataFrame(points, "video_id string, seq bigint, ord bigint")
+    g_df = spark.createDataFrame(g, "video_id string, group_ord int, lo bigint, hi bigint")
+    near, before = set(), set()
+    for k, s, m in points:
+        own = [x for x in g if x[0] == k]
+        if own:
+            near.add((k, s, m, min((0 if lo <= m <= hi else 1, 0 if lo <= m <= hi else min(abs(m - lo), abs(m - hi)), i) for _, i, lo, hi in own)[2]))
+            before.add((k, s, m, max((i for _, i, lo, _ in own if lo <= m), default=0)))
+    assert {tuple(r) for r in iv.nearest_interval_join(p_df, g_df).collect()} == near
+    assert {tuple(r) for r in iv.preceding_group_join(p_df, g_df).collect()} == before
