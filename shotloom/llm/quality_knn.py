@@ -28,7 +28,7 @@ _RUNS = re.compile(r"(.)\1+")
 
 def _form(word: str) -> str:
     """Shape of a word: letters by case, digits, other characters as they are; runs shortened."""
-    shape = "".join("a" if c.islower() else "A" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    shape = "".join("a" if c.islower() else "A" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUNS.sub(r"\1", shape)
 
 

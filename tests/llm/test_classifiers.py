@@ -124,3 +124,11 @@ def test_toxicity_cut_follows_the_true_label_shares(docs_of, spark, monkeypatch)
     model = toxicity.fit(docs, labels, F.lit(True))
     of = {r.doc_id: r.predicted for r in toxicity.predict(docs, model).collect()}
     assert np.mean([of[k] for k in range(100, 1100)]) < 0.02
+
+
+def test_the_form_of_a_word_is_taken_from_all_of_it():
+    head = "abC0" * 20
+    assert quality_knn._form(head + "***") == "aA0" * 20 + "*"
+    a, b = (quality_knn._terms([(head + tail).encode()])[0][0] for tail in ("***", "###"))
+    assert a != b
+    assert quality_knn._form("x" * 100_000 + "7") == "a0"
