@@ -108,8 +108,13 @@ def _(spark, d):
     return got.select(F.element_at(F.split("video_id", "="), -1).alias("video_id"), "s_suppkey", "s_name", "s_acctbal")
 
 
+def clip_millis():
+    """Whole milliseconds since the first day, without floating point."""
+    return F.unix_millis(F.col("ts").cast("timestamp")) - 1704067200000
+
+
 def utterances(spark, d):
-    start = F.floor((F.col("start_sec") - 1704067200) * 1000)
+    start = clip_millis()
     text = F.when(F.col("event_type") == "error", " ").otherwise(F.concat(F.lit(" "), "event_type", F.lit(" ")))
     return v.events(spark, d).select(
         F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("seq"), start.alias("start_time"), (start + F.floor("value") * 1000).alias("end_time"), text.alias("text")
@@ -181,7 +186,7 @@ def _(spark, d):
 @query("export_srt_files", """
   SELECT CAST(user_id AS VARCHAR) AS video_id, count(*) AS cues, min(event_type) AS first_text FROM events WHERE value >= 1 GROUP BY user_id""")
 def _(spark, d):
-    start = F.floor((F.col("start_sec") - 1704067200) * 1000)
+    start = clip_millis()
     e = v.events(spark, d).select(
         F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("seq"), start.alias("start_time"), (start + F.floor("value") * 1000).alias("end_time"), F.col("event_type").alias("text")
     )
