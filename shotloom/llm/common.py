@@ -82,7 +82,7 @@ def text_slices(column, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterato
     """
     start, size, own = 0, 0, []
     for i, t in enumerate(column):
-        t = t.encode() if isinstance(t, str) else b""
+        t = t.encode() if isinstance(t, str) else t if isinstance(t, bytes) else b""
         if own and (size + len(t) > most or len(own) == rows):
             yield start, i, own
             start, size, own = i, 0, []

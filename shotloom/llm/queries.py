@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.llm import exact_dedup, hard_negatives, language_id, mixing, near_dedup, packing, quality_knn, quality_outliers, secrets, token_counts, toxicity
+from shotloom.llm import exact_dedup, hard_negatives, language_id, licenses, mixing, near_dedup, packing, quality_knn, quality_outliers, secrets, token_counts, toxicity
 from shotloom.llm.common import documents, fold
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -65,6 +65,16 @@ def op10_mixing_ipf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] == "base")
+    starts = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        licenses.label_list(base).alias("base_labels"), licenses.label_list(F.col("spans")).alias("labels"), "score",
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -74,7 +84,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_token_counts, op3_quality_knn, op4_toxicity_cnn, op5_best_fit_packing, op6_quality_outliers, op7_language_id, op8_secret_grammar, op9_minhash_bbit, op10_mixing_ipf,
-        op13_hard_negatives,
+        op11_license_templates, op13_hard_negatives,
     )
 }
 
