@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.llm import exact_dedup, hard_negatives, language_id, licenses, mixing, near_dedup, packing, quality_knn, quality_outliers, secrets, token_counts, toxicity
+from shotloom.llm import collocations, exact_dedup, hard_negatives, language_id, licenses, mixing, near_dedup, packing, quality_knn, quality_outliers, secrets, token_counts, toxicity
 from shotloom.llm.common import documents, fold
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -75,6 +75,10 @@ def op11_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -84,7 +88,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_token_counts, op3_quality_knn, op4_toxicity_cnn, op5_best_fit_packing, op6_quality_outliers, op7_language_id, op8_secret_grammar, op9_minhash_bbit, op10_mixing_ipf,
-        op11_license_templates, op13_hard_negatives,
+        op11_license_templates, op12_collocations, op13_hard_negatives,
     )
 }
 
@@ -93,5 +97,6 @@ ORACLES: dict[str, str] = {
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op10_mixing_ipf": mixing.oracle_sql(),
+    "op12_collocations": collocations.oracle_sql(),
     "op13_hard_negatives": hard_negatives.oracle_sql(),
 }
