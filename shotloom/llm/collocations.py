@@ -4,10 +4,15 @@ A task counts the n-grams of its shard, sorts them and builds, for every prefix
 are the n-grams; the count of a path is stored by the path's rank. A range is a share of the hash space of the first two words. The
 automata of a range are united and their weights summed. The candidates are read off the united automata; the counts of their parts
 come from composing the acceptor of all wanted parts of a range with its automaton.
+
+Words and pairs are counted first. Three words can only be a candidate if both their pairs are, so the second pass leaves out those
+with a pair that is not in the bitmap of candidate pairs. The bitmap has a fixed size: pairs that share a bit let a few more pass, and
+with far more candidate pairs than bits everything passes, which costs shuffled bytes and nothing else.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +25,11 @@ from shotloom.llm.common import _Ids, fnv, lookup, mix, per_text, released, ship
 from shotloom.operators.staging import materialize
 
 #: Bytes of text for one prefix range, and paths of a range above which it is split by the whole n-gram.
-RANGE_BYTES, RANGE_PATHS = 8 << 20, 2_000_000
+RANGE_BYTES, RANGE_PATHS = 16 << 20, 2_000_000
 #: N-grams and words that a task holds before it gives back its automata.
-TASK_PATHS, TASK_WORDS = 1_500_000, 300_000
+TASK_PATHS, TASK_WORDS = 1_500_000, 400_000
+#: Bits of the bitmap of candidate pairs, as a power of two.
+PAIR_BITS = 26
 #: Bytes of a text that are split into words at once.
 CHUNK = 4 << 20
 
@@ -145,11 +152,11 @@ class CountAutomaton:
             a = getattr(self, name)
             out.append(a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)).tobytes())
         sizes = [len(self.words), *(len(getattr(self, n)) for n in self.ARRAYS), *map(len, out)]
-        return np.array(sizes, np.int64).tobytes() + b"".join(out)
+        return zlib.compress(np.array(sizes, np.int64).tobytes() + b"".join(out), 1)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountAutomaton:
-        self, k = cls.__new__(cls), len(cls.ARRAYS)
+        self, k, data = cls.__new__(cls), len(cls.ARRAYS), zlib.decompress(data)
         sizes = np.frombuffer(data, np.int64, 2 * (k + 1))
         at = sizes.nbytes
         text = data[at:at + int(sizes[k + 1])]
@@ -161,17 +168,26 @@ class CountAutomaton:
         return self
 
 
-def from_ngrams(words: list[bytes], keys: np.ndarray, counts: np.ndarray) -> CountAutomaton:
+def in_order(words: list[bytes]) -> np.ndarray:
+    """Rank of each word, from number 1, among all words in byte order; 0 keeps 0."""
+    rank = np.zeros(len(words) + 1, np.int64)
+    rank[np.array(sorted(range(len(words)), key=words.__getitem__), np.int64) + 1] = np.arange(1, len(words) + 1)
+    return rank
+
+
+def from_ngrams(words: list[bytes], keys: np.ndarray, counts: np.ndarray, rank: np.ndarray | None = None) -> CountAutomaton:
     """Automaton of distinct n-grams over any numbered words; its alphabet holds the used words only, in order."""
-    used = np.unique(np.concatenate(parts(keys)))
-    used = used[used > 0]
-    own = [words[i - 1] for i in used.tolist()]
-    order = sorted(range(len(own)), key=own.__getitem__)
-    number = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.int64)
-    number[used[order]] = np.arange(1, len(used) + 1)
+    rank = in_order(words) if rank is None else rank
+    used = np.zeros(len(words) + 1, bool)
+    for w in parts(keys):
+        used[w] = True
+    used = np.flatnonzero(used[1:]) + 1
+    used = used[np.argsort(rank[used])]
+    number = np.zeros(len(words) + 1, np.int64)
+    number[used] = np.arange(1, len(used) + 1)
     new = coded(*(number[w] for w in parts(keys)))
     by = np.argsort(new)
-    return CountAutomaton([own[i] for i in order], new[by], counts[by])
+    return CountAutomaton([words[i - 1] for i in used.tolist()], new[by], counts[by])
 
 
 def union(automata: list[CountAutomaton]) -> CountAutomaton:
@@ -186,11 +202,23 @@ def union(automata: list[CountAutomaton]) -> CountAutomaton:
     return from_ngrams(number.new, *summed(np.concatenate(keys), np.concatenate(counts)))
 
 
-def ranges_of(hashes: np.ndarray, keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Prefix range of each n-gram: its first two words decide. ``hashes`` are those of the words from number 1."""
-    h = np.concatenate((np.zeros(1, np.uint64), hashes))
+def prefix_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    """Hashes of the words from number 1; 0 keeps 0."""
+    return np.concatenate((np.zeros(1, np.uint64), fnv(words)))
+
+
+def ranges_of(h: np.ndarray, keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Prefix range of each n-gram: its first two words decide."""
     w1, w2, _ = parts(keys)
-    return (mix(h[w1] * np.uint64(0x9E3779B97F4A7C15) + h[w2]) % np.uint64(ranges)).astype(np.int64)
+    return (prefix_hash(h[w1], h[w2]) % np.uint64(ranges)).astype(np.int64)
+
+
+def pair_slots(h: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    return prefix_hash(h[w1], h[w2]) >> np.uint64(64 - PAIR_BITS)
 
 
 def _chunks(text: bytes) -> Iterator[tuple[int, bytes]]:
@@ -206,39 +234,52 @@ def _chunks(text: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 class Shard:
-    """Counts n-grams of up to three words of texts in some languages, and gives them back as automata by prefix range."""
+    """Counts n-grams of texts in some languages, and gives them back as automata by prefix range.
 
-    def __init__(self, ranges: int):
-        self.ranges = ranges
+    Without `pairs`, words and pairs are counted; with it, three words whose pairs are both in that bitmap.
+    """
+
+    def __init__(self, ranges: int, pairs: np.ndarray | None = None):
+        self.ranges, self.pairs = ranges, pairs
         self.clear()
 
     def clear(self) -> None:
         self.ids = _Ids()
         self.ids[bytes([_BREAK])]
+        self.hashes = np.zeros(1, np.uint64)
         self.held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.size = 0
 
+    def _ngrams(self, x: np.ndarray, known: int) -> Iterator[np.ndarray]:
+        """N-grams in a row of words (0 is a break) that end after the first `known` words."""
+        if self.pairs is None:
+            yield coded(x[known:][x[known:] > 0])
+            x = x[max(known - 1, 0):]
+            both = (x[:-1] > 0) & (x[1:] > 0)
+            yield coded(x[:-1][both], x[1:][both])
+            return
+        self.hashes = np.concatenate((self.hashes, fnv(self.ids.new[len(self.hashes):])))
+        x = x[max(known - 2, 0):]
+        slot = pair_slots(self.hashes, x[:-1], x[1:])
+        good = (x[:-1] > 0) & (x[1:] > 0) & (self.pairs[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        both = good[:-1] & good[1:]
+        yield coded(x[:-2][both], x[1:-1][both], x[2:][both])
+
     def add(self, lang: str, texts: list[bytes]) -> Iterator[tuple[str, int, int, bytes]]:
         """Counts texts; gives back automata early where a very long text fills the task."""
         text = b"\xff".join(texts).translate(_PLAIN).replace(b"\xff", b" \xff ")
         for known, chunk in _chunks(text):
             words = chunk.split()  # line breaks are piece breaks by now, so this parts at spaces only
             x = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-            keys = []
-            for n in (1, 2, 3):
-                lo = max(known - n + 1, 0)
-                rows = [x[lo + j:len(x) - n + 1 + j] for j in range(n)]
-                full = np.logical_and.reduce([r > 0 for r in rows]) if len(x) >= lo + n else np.empty(0, bool)
-                if full.any():
-                    keys.append(coded(*(r[full] for r in rows)))
-            if keys:
-                got, counts = np.unique(np.concatenate(keys), return_counts=True)
+            keys = np.concatenate(list(self._ngrams(x, known)))
+            if len(keys):
+                got, counts = np.unique(keys, return_counts=True)
                 self.held.setdefault(lang, []).append((got, counts.astype(np.int64)))
                 self.size += len(got)
             if self.size > TASK_PATHS:
                 self.held = {k: [summed(*map(np.concatenate, zip(*v)))] for k, v in self.held.items()}
                 self.size = sum(len(v[0][0]) for v in self.held.values())
-            if self.full():  # only inside a very long text; its next part begins with words that are known again
+            if self.full():
                 yield from self.flush()
 
     def full(self) -> bool:
@@ -247,7 +288,7 @@ class Shard:
     def flush(self) -> Iterator[tuple[str, int, int, bytes]]:
         """(lang, range, paths, automaton) of everything counted so far."""
         words = self.ids.new[1:]
-        hashes = fnv(words)
+        hashes, rank = hashed(words), in_order(words)
         for lang, held in self.held.items():
             keys, counts = summed(*map(np.concatenate, zip(*held)))
             rng = ranges_of(hashes, keys, self.ranges)
@@ -255,16 +296,16 @@ class Shard:
             keys, counts, rng = keys[order], counts[order], rng[order]
             cuts = np.flatnonzero(np.concatenate(([True], rng[1:] != rng[:-1], [True])))
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                yield lang, int(rng[lo]), hi - lo, from_ngrams(words, keys[lo:hi], counts[lo:hi]).to_bytes()
+                yield lang, int(rng[lo]), hi - lo, from_ngrams(words, keys[lo:hi], counts[lo:hi], rank).to_bytes()
         self.clear()
 
 
-def shard_automata(docs: DataFrame, ranges: int, text_col: str, lang_col: str) -> DataFrame:
+def shard_automata(docs: DataFrame, ranges: int, text_col: str, lang_col: str, pairs: np.ndarray | None = None) -> DataFrame:
     """lang, range, paths, automaton: what each task counted, cut by prefix range."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(ranges)
+        shard = Shard(ranges, pairs)
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
         def out(found) -> pa.RecordBatch:
@@ -277,8 +318,6 @@ def shard_automata(docs: DataFrame, ranges: int, text_col: str, lang_col: str) -
                     own = [t for t, x in zip(texts, langs[lo:hi]) if x == lang]
                     if found := list(shard.add(lang, own)):
                         yield out(found)
-                if shard.full() and (found := list(shard.flush())):
-                    yield out(found)
         if found := list(shard.flush()):
             yield out(found)
 
@@ -286,40 +325,58 @@ def shard_automata(docs: DataFrame, ranges: int, text_col: str, lang_col: str) -
 
 
 def united(pieces: DataFrame, least: int) -> DataFrame:
-    """lang, range, n, short, long: the automata of a range as one, without n-grams under `least`.
+    """lang, range, n (occurrences of words), automaton: the automata of a range as one, without n-grams under `least`.
 
-    ``short`` holds n-grams of one and two words, ``long`` those of two and three. A range of very many paths (a prefix with very many
-    continuations) is split by the whole n-gram first, so no group is larger than about RANGE_PATHS.
+    A range of very many paths (a prefix with very many continuations) is split by the whole n-gram first, so no group is larger than
+    about RANGE_PATHS.
     """
-    sizes = pieces.groupBy("lang", "range").agg(F.ceil(F.sum("paths") / F.lit(RANGE_PATHS)).cast("int").alias("ways"))
+    wide = materialize(pieces.groupBy("lang", "range").agg(F.ceil(F.sum("paths") / F.lit(RANGE_PATHS)).cast("int").alias("ways")).filter("ways > 1"))
+    few = wide.count() <= 10_000  # usually none; so the automata are shuffled once only
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
             for r in b.itertuples(index=False):
-                if r.ways == 1:
-                    out.append((r.lang, r.range, 0, r.automaton))
-                    continue
                 a = CountAutomaton.from_bytes(r.automaton)
                 keys, counts = a.paths()
-                h = np.concatenate((np.zeros(1, np.uint64), fnv(a.words)))
+                h = hashed(a.words)
                 way = np.zeros(len(keys), np.uint64)
                 for w in parts(keys):
-                    way = mix(way * np.uint64(0x9E3779B97F4A7C15) + h[w])
+                    way = prefix_hash(way, h[w])
                 way %= np.uint64(r.ways)
-                out += [(r.lang, r.range, int(k), from_ngrams(a.words, keys[way == k], counts[way == k]).to_bytes()) for k in np.unique(way)]
-            yield pd.DataFrame(out, columns=["lang", "range", "way", "automaton"])
+                rank = in_order(a.words)
+                yield pd.DataFrame([(r.lang, r.range, int(k), from_ngrams(a.words, keys[way == k], counts[way == k], rank).to_bytes()) for k in np.unique(way)], columns=["lang", "range", "way", "automaton"])
 
-    dealt = pieces.join(sizes, ["lang", "range"]).mapInPandas(released(split), "lang string, range int, way int, automaton binary")
+    wide_key = F.broadcast(wide) if few else wide
+    split_up = pieces.join(wide_key, ["lang", "range"]).mapInPandas(released(split), "lang string, range int, way int, automaton binary")
+    rest = pieces.join(wide_key, ["lang", "range"], "left_anti").select("lang", "range", F.lit(0).alias("way"), "automaton")
 
     def unite(g: pd.DataFrame) -> pd.DataFrame:
         a = union([CountAutomaton.from_bytes(x) for x in g["automaton"]])
         keys, counts = a.paths()
-        _, w2, w3 = parts(keys)
-        own = [from_ngrams(a.words, keys[of], counts[of]).to_bytes() for of in ((counts >= least) & (w3 == 0), (counts >= least) & (w2 > 0))]
-        return pd.DataFrame({"lang": g["lang"].iloc[:1], "range": g["range"].iloc[:1], "n": [int(counts[w2 == 0].sum())], "short": own[:1], "long": own[1:]})
+        often = counts >= least
+        return pd.DataFrame({"lang": g["lang"].iloc[:1], "range": g["range"].iloc[:1], "n": [int(counts[parts(keys)[1] == 0].sum())], "automaton": [from_ngrams(a.words, keys[often], counts[often]).to_bytes()]})
 
-    return dealt.groupBy("lang", "range", "way").applyInPandas(unite, "lang string, range int, n bigint, short binary, long binary")
+    return split_up.unionByName(rest).groupBy("lang", "range", "way").applyInPandas(unite, "lang string, range int, n bigint, automaton binary")
+
+
+def pair_bitmap(automata: DataFrame) -> np.ndarray:
+    """Bits of all pairs in the automata: a fixed number of longs, whatever the input."""
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for data in b["automaton"]:
+                a = CountAutomaton.from_bytes(data)
+                w1, w2, _ = parts(a.paths()[0])
+                slot = pair_slots(hashed(a.words), w1[w2 > 0], w2[w2 > 0])
+                at, own = np.unique(slot >> np.uint64(6), return_inverse=True)
+                bits = np.zeros(len(at), np.uint64)
+                np.bitwise_or.at(bits, own, np.uint64(1) << (slot & np.uint64(63)))
+                yield pd.DataFrame({"at": at.astype(np.int64), "bits": bits.view(np.int64)})
+
+    rows = automata.select("automaton").mapInPandas(slots, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (PAIR_BITS - 6), np.uint64)
+    out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
 def candidates(automata: DataFrame, ranges: int) -> DataFrame:
@@ -328,11 +385,13 @@ def candidates(automata: DataFrame, ranges: int) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                a = CountAutomaton.from_bytes(r.long)
+                a = CountAutomaton.from_bytes(r.automaton)
                 keys, counts = a.paths()
-                if not len(keys):
+                long = parts(keys)[1] > 0
+                if not long.any():
                     continue
-                hashes, w = fnv(a.words), parts(keys)
+                keys, counts = keys[long], counts[long]
+                hashes, w = hashed(a.words), parts(keys)
                 text = np.array(["", *(x.decode("utf-8", "replace") for x in a.words)], object)
                 wanted = {(0, 1): coded(w[0]), (1, 2): coded(w[1]), (2, 3): coded(w[2]), (0, 2): coded(w[0], w[1]), (1, 3): coded(w[1], w[2])}
                 at = {k: ranges_of(hashes, v, ranges).tolist() for k, v in wanted.items()}
@@ -343,7 +402,7 @@ def candidates(automata: DataFrame, ranges: int) -> DataFrame:
                     out.append((r.lang, " ".join(own), len(own), n, cuts))
                 yield pd.DataFrame(out, columns=["lang", "phrase", "size", "a", "cuts"])
 
-    return automata.select("lang", "long").mapInPandas(released(read), "lang string, phrase string, size int, a bigint, cuts array<struct<k:int,side:string,part:string,range:int>>")
+    return automata.select("lang", "automaton").mapInPandas(released(read), "lang string, phrase string, size int, a bigint, cuts array<struct<k:int,side:string,part:string,range:int>>")
 
 
 def part_counts(automata: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -358,7 +417,7 @@ def part_counts(automata: DataFrame, wanted: DataFrame) -> DataFrame:
         keys = np.unique(np.array([coded(*r) for r in rows], np.uint64))
         acceptor = from_ngrams(number.new, keys, np.ones(len(keys), np.int64))
         total: dict[int, int] = {}
-        for data in left["short"]:
+        for data in left["automaton"]:
             found, counts = acceptor.compose(CountAutomaton.from_bytes(data))
             for k, c in zip(found.tolist(), counts.tolist()):
                 total[k] = total.get(k, 0) + c
@@ -369,7 +428,7 @@ def part_counts(automata: DataFrame, wanted: DataFrame) -> DataFrame:
         text = [f"{word[x]} {word[y]}" if y else word[x] for x, y in zip(w1.tolist(), w2.tolist())]
         return pd.DataFrame({"lang": right["lang"].iloc[0], "part": text, "f": list(total.values())})
 
-    return automata.select("lang", "range", "short").groupBy("lang", "range").cogroup(wanted.groupBy("lang", "range")).applyInPandas(compose, "lang string, part string, f bigint")
+    return automata.select("lang", "range", "automaton").groupBy("lang", "range").cogroup(wanted.groupBy("lang", "range")).applyInPandas(compose, "lang string, part string, f bigint")
 
 
 def _key(lang: str, part: str) -> Column:
@@ -392,9 +451,9 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, text_col: st
     ship(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     ranges = max(1, -(-size // RANGE_BYTES))
-    pieces = materialize(shard_automata(docs, ranges, text_col, lang_col))
-    automata = materialize(united(pieces, least))
-    found = materialize(candidates(automata, ranges))
+    automata = materialize(united(materialize(shard_automata(docs, ranges, text_col, lang_col)), least))
+    longer = united(materialize(shard_automata(docs, ranges, text_col, lang_col, pair_bitmap(automata))), least)
+    found = materialize(candidates(automata, ranges).unionByName(candidates(longer, ranges)))
     cut = found.select("lang", "phrase", F.explode("cuts").alias("c")).select("lang", "phrase", "c.*")
     asked = cut.groupBy("lang", "range", "part").agg(F.count("*").alias("_n"))
     answers = part_counts(automata, asked.drop("_n")).join(asked.select("lang", "part", "_n"), ["lang", "part"]).select(_key("lang", "part").alias("key"), "f", "_n")
@@ -409,8 +468,8 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, text_col: st
         F.least("s1", "s2").cast("long").alias("score"),
     )
     inner = F.explode(F.array(F.regexp_extract("phrase", r"^([^ ]+ [^ ]+) [^ ]+$", 1), F.regexp_extract("phrase", r"^[^ ]+ ([^ ]+ [^ ]+)$", 1)))
-    longer = found.filter("size = 3").select("lang", inner.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
-    kept = scored.join(longer, ["lang", "phrase"], "left").filter("size = 3 OR _longer IS NULL OR 100 * _longer < 50 * a").drop("_longer", "size")
+    outer = found.filter("size = 3").select("lang", inner.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
+    kept = scored.join(outer, ["lang", "phrase"], "left").filter("size = 3 OR _longer IS NULL OR 100 * _longer < 50 * a").drop("_longer", "size")
     totals = automata.groupBy("lang").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
