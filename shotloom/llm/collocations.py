@@ -21,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import _Ids, fnv, lookup, mix, per_text, released, ship, text_slices
+from shotloom.llm.common import _Ids, fnv, give_back, lookup, mix, per_text, released, ship, text_slices
 from shotloom.operators.staging import materialize
 
 #: Bytes of text for one prefix range, and paths of a range above which it is split by the whole n-gram.
-RANGE_BYTES, RANGE_PATHS = 16 << 20, 2_000_000
+RANGE_BYTES, RANGE_PATHS = 32 << 20, 4_000_000
 #: N-grams and words that a task holds before it gives back its automata.
-TASK_PATHS, TASK_WORDS = 1_500_000, 400_000
+TASK_PATHS, TASK_WORDS = 2_500_000, 600_000
 #: Bits of the bitmap of candidate pairs, as a power of two.
-PAIR_BITS = 26
+PAIR_BITS = 25
 #: Bytes of a text that are split into words at once.
 CHUNK = 4 << 20
 
@@ -176,30 +176,43 @@ def in_order(words: list[bytes]) -> np.ndarray:
 
 
 def from_ngrams(words: list[bytes], keys: np.ndarray, counts: np.ndarray, rank: np.ndarray | None = None) -> CountAutomaton:
-    """Automaton of distinct n-grams over any numbered words; its alphabet holds the used words only, in order."""
-    rank = in_order(words) if rank is None else rank
+    """Automaton of distinct n-grams over any numbered words; its alphabet holds the used words only, in order.
+
+    ``rank`` is the order of all words, for callers that build several automata over them.
+    """
     used = np.zeros(len(words) + 1, bool)
     for w in parts(keys):
         used[w] = True
     used = np.flatnonzero(used[1:]) + 1
-    used = used[np.argsort(rank[used])]
+    own = [words[i - 1] for i in used.tolist()]
+    order = np.argsort(rank[used] if rank is not None else in_order(own)[1:])
     number = np.zeros(len(words) + 1, np.int64)
-    number[used] = np.arange(1, len(used) + 1)
+    number[used[order]] = np.arange(1, len(used) + 1)
     new = coded(*(number[w] for w in parts(keys)))
     by = np.argsort(new)
-    return CountAutomaton([words[i - 1] for i in used.tolist()], new[by], counts[by])
+    return CountAutomaton([own[i] for i in order.tolist()], new[by], counts[by])
 
 
-def union(automata: list[CountAutomaton]) -> CountAutomaton:
-    """All paths of all automata; the counts of a path are summed."""
+def merged(automata: Iterator[CountAutomaton]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words, distinct paths and summed counts of all automata. One automaton is held beside the sums so far."""
     number = _Ids()
-    keys, counts = [], []
+    keys, counts, size, least = [], [], 0, 1 << 20
     for a in automata:
         own = np.concatenate(([0], np.fromiter(map(number.__getitem__, a.words), np.int64, len(a.words)) + 1))
         k, c = a.paths()
         keys.append(coded(*(own[w] for w in parts(k))))
         counts.append(c)
-    return from_ngrams(number.new, *summed(np.concatenate(keys), np.concatenate(counts)))
+        size += len(k)
+        if size > least:  # the sums double before the next time, so each path is sorted a few times only
+            k, c = summed(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, size, least = [k], [c], len(k), max(1 << 20, 2 * len(k))
+    return number.new, *summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def union(automata: Iterator[CountAutomaton], least: int = 1) -> CountAutomaton:
+    """The paths of all automata with a summed count of `least` or more."""
+    words, keys, counts = merged(automata)
+    return from_ngrams(words, keys[counts >= least], counts[counts >= least])
 
 
 def prefix_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -277,20 +290,18 @@ class Shard:
                 self.held.setdefault(lang, []).append((got, counts.astype(np.int64)))
                 self.size += len(got)
             if self.size > TASK_PATHS:
-                self.held = {k: [summed(*map(np.concatenate, zip(*v)))] for k, v in self.held.items()}
+                for k, v in self.held.items():
+                    self.held[k] = [summed(*map(np.concatenate, zip(*v)))]
                 self.size = sum(len(v[0][0]) for v in self.held.values())
-            if self.full():
+            if self.size > TASK_PATHS * 3 // 4 or len(self.ids) > TASK_WORDS:
                 yield from self.flush()
 
-    def full(self) -> bool:
-        return self.size > TASK_PATHS // 2 or len(self.ids) > TASK_WORDS
-
     def flush(self) -> Iterator[tuple[str, int, int, bytes]]:
         """(lang, range, paths, automaton) of everything counted so far."""
         words = self.ids.new[1:]
         hashes, rank = hashed(words), in_order(words)
-        for lang, held in self.held.items():
-            keys, counts = summed(*map(np.concatenate, zip(*held)))
+        for lang in list(self.held):
+            keys, counts = summed(*map(np.concatenate, zip(*self.held.pop(lang))))
             rng = ranges_of(hashes, keys, self.ranges)
             order = np.argsort(rng, kind="stable")
             keys, counts, rng = keys[order], counts[order], rng[order]
@@ -351,10 +362,12 @@ def united(pieces: DataFrame, least: int) -> DataFrame:
     rest = pieces.join(wide_key, ["lang", "range"], "left_anti").select("lang", "range", F.lit(0).alias("way"), "automaton")
 
     def unite(g: pd.DataFrame) -> pd.DataFrame:
-        a = union([CountAutomaton.from_bytes(x) for x in g["automaton"]])
-        keys, counts = a.paths()
-        often = counts >= least
-        return pd.DataFrame({"lang": g["lang"].iloc[:1], "range": g["range"].iloc[:1], "n": [int(counts[parts(keys)[1] == 0].sum())], "automaton": [from_ngrams(a.words, keys[often], counts[often]).to_bytes()]})
+        words, keys, counts = merged(CountAutomaton.from_bytes(x) for x in g["automaton"])
+        often, n = counts >= least, int(counts[parts(keys)[1] == 0].sum())
+        data = from_ngrams(words, keys[often], counts[often]).to_bytes()
+        del words, keys, counts, often
+        give_back()
+        return pd.DataFrame({"lang": g["lang"].iloc[:1], "range": g["range"].iloc[:1], "n": [n], "automaton": [data]})
 
     return split_up.unionByName(rest).groupBy("lang", "range", "way").applyInPandas(unite, "lang string, range int, n bigint, automaton binary")
 
@@ -393,16 +406,15 @@ def candidates(automata: DataFrame, ranges: int) -> DataFrame:
                 keys, counts = keys[long], counts[long]
                 hashes, w = hashed(a.words), parts(keys)
                 text = np.array(["", *(x.decode("utf-8", "replace") for x in a.words)], object)
-                wanted = {(0, 1): coded(w[0]), (1, 2): coded(w[1]), (2, 3): coded(w[2]), (0, 2): coded(w[0], w[1]), (1, 3): coded(w[1], w[2])}
-                at = {k: ranges_of(hashes, v, ranges).tolist() for k, v in wanted.items()}
-                out = []
-                for i, (x, y, z, n) in enumerate(zip(text[w[0]], text[w[1]], text[w[2]], counts.tolist())):
-                    own = [x, y, z] if z else [x, y]
-                    cuts = [(k, side, " ".join(own[lo:hi]), at[lo, hi][i]) for k in range(1, len(own)) for side, lo, hi in (("l", 0, k), ("r", k, len(own)))]
-                    out.append((r.lang, " ".join(own), len(own), n, cuts))
-                yield pd.DataFrame(out, columns=["lang", "phrase", "size", "a", "cuts"])
+                part = lambda x, y: {"part": np.where(y > 0, text[x] + np.where(y > 0, " ", "") + text[y], text[x]), "range": ranges_of(hashes, coded(x, y), ranges)}
+                none = np.zeros_like(w[0])
+                sides = {"l1": part(w[0], none), "r1": part(w[1], w[2]), "l2": part(w[0], w[1]), "r2": part(w[2], none)}
+                yield pd.DataFrame({"lang": r.lang, "phrase": sides["l1"]["part"] + " " + sides["r1"]["part"], "size": np.where(w[2] > 0, 3, 2), "a": counts, **{f"{s}_{f}": v for s, x in sides.items() for f, v in x.items()}})
 
-    return automata.select("lang", "automaton").mapInPandas(released(read), "lang string, phrase string, size int, a bigint, cuts array<struct<k:int,side:string,part:string,range:int>>")
+    sides = ("l1", "r1", "l2", "r2")
+    found = automata.select("lang", "automaton").mapInPandas(released(read), "lang string, phrase string, size int, a bigint, " + ", ".join(f"{s}_part string, {s}_range int" for s in sides))
+    cut = lambda s: F.struct(F.lit(int(s[1])).alias("k"), F.lit(s[0]).alias("side"), F.col(f"{s}_part").alias("part"), F.col(f"{s}_range").alias("range"))
+    return found.select("lang", "phrase", "size", "a", F.slice(F.array(*map(cut, sides)), F.lit(1), 2 * (F.col("size") - 1)).alias("cuts"))
 
 
 def part_counts(automata: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -413,20 +425,17 @@ def part_counts(automata: DataFrame, wanted: DataFrame) -> DataFrame:
         if not len(left) or not len(right):
             return none
         number = _Ids()
-        rows = [[number[w] + 1 for w in p.encode().split(b" ")] for p in right["part"]]
-        keys = np.unique(np.array([coded(*r) for r in rows], np.uint64))
+        words = [p.encode().partition(b" ")[::2] for p in right["part"]]
+        first, second = ([number[w] + 1 if w else 0 for w in side] for side in zip(*words))
+        keys = np.unique(coded(first, second))
         acceptor = from_ngrams(number.new, keys, np.ones(len(keys), np.int64))
-        total: dict[int, int] = {}
-        for data in left["automaton"]:
-            found, counts = acceptor.compose(CountAutomaton.from_bytes(data))
-            for k, c in zip(found.tolist(), counts.tolist()):
-                total[k] = total.get(k, 0) + c
-        if not total:
+        found, counts = summed(*map(np.concatenate, zip(*(acceptor.compose(CountAutomaton.from_bytes(data)) for data in left["automaton"]))))
+        if not len(found):
             return none
         word = ["", *(w.decode() for w in acceptor.words)]
-        w1, w2, _ = parts(np.array(list(total), np.uint64))
+        w1, w2, _ = parts(found)
         text = [f"{word[x]} {word[y]}" if y else word[x] for x, y in zip(w1.tolist(), w2.tolist())]
-        return pd.DataFrame({"lang": right["lang"].iloc[0], "part": text, "f": list(total.values())})
+        return pd.DataFrame({"lang": right["lang"].iloc[0], "part": text, "f": counts})
 
     return automata.select("lang", "range", "automaton").groupBy("lang", "range").cogroup(wanted.groupBy("lang", "range")).applyInPandas(compose, "lang string, part string, f bigint")
 
@@ -471,9 +480,14 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, text_col: st
     outer = found.filter("size = 3").select("lang", inner.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("_longer"))
     kept = scored.join(outer, ["lang", "phrase"], "left").filter("size = 3 OR _longer IS NULL OR 100 * _longer < 50 * a").drop("_longer", "size")
     totals = automata.groupBy("lang").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-    return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # rank within slices of the score, so that no language is ordered in one task
+    placed = materialize(kept.withColumn("_slice", F.floor(F.log2(F.col("score") + 1) * 32)))
+    slices = placed.groupBy("lang", "_slice").agg(F.count("*").alias("_n"))
+    above = Window.partitionBy("lang").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select("lang", "_slice", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above")).filter(F.col("_above") < top)
+    w = Window.partitionBy("lang", "_slice").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = placed.join(slices, ["lang", "_slice"]).withColumn("rank", F.col("_above") + F.row_number().over(w)).filter(F.col("rank") <= top)
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def oracle_sql(least: int = 10, top: int = 2000) -> str:

@@ -60,17 +60,22 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, how: str =
     return joined.unionByName(rest)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def released(run: Callable) -> Callable:
     """A task on Arrow batches that gives its memory back when it ends; workers live on and would hold it beside the JVM."""
 
     def wrapped(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not glibc
-            pass
+        give_back()
 
     return wrapped
 
