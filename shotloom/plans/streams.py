@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -35,6 +36,15 @@ def call_log(spark, d):
     return path
 
 
+def ended_log(spark, d):
+    """The call log with a heartbeat beyond all delays at its end."""
+    path = call_log(spark, d)
+    last = spark.read.schema("time timestamp").json(path).agg(F.max("time")).first()[0]
+    if last is not None:
+        sc.write_heartbeat(spark, path, last + timedelta(days=1))
+    return path
+
+
 HEALTH_COLS = """SELECT function, count(*) AS records, count(*) FILTER (record_type = 'function_call') AS function_calls, count(*) FILTER (record_type = 'provider_call') AS provider_calls,
     count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failure') AS failure, arg_max(status, call_id) AS last_status FROM c GROUP BY function"""
 
@@ -43,9 +53,7 @@ HEALTH_COLS = """SELECT function, count(*) AS records, count(*) FILTER (record_t
 def _(spark, d):
     path = call_log(spark, d)
     sc.stream_call_health(sc.read_calls(spark, path, 1), f"{path}-out", f"{path}-chk").awaitTermination()
-    got = spark.read.parquet(f"{path}-out")
-    last = got.groupBy("function").agg(F.max_by(F.struct(*[c for c in got.columns if c != "function"]), "version").alias("s")).select("function", "s.*")
-    return last.select("function", "records", "function_calls", "provider_calls", "success", "failure", "last_status")
+    return sc.call_health_table(spark, f"{path}-out").select("function", "records", "function_calls", "provider_calls", "success", "failure", "last_status")
 
 
 @query("stream_call_index", o.with_views("v_calls", f", {CALL_ROWS} SELECT function, category AS error_category, count(*) AS rows FROM c GROUP BY ALL"))
@@ -58,20 +66,23 @@ def _(spark, d):
 @query("stream_errors", o.with_views("v_calls", """
   , e AS (SELECT time_bucket(INTERVAL 1 HOUR, make_timestamp(CAST(time * 1e6 AS BIGINT))) AS w, make_timestamp(CAST(time * 1e6 AS BIGINT)) AS t, function AS stage,
      CASE WHEN error = 'Connection reset by peer' THEN 'network' ELSE 'timeout' END AS category FROM v_calls WHERE error IS NOT NULL)
-  SELECT CAST(epoch(w) AS BIGINT) AS window_start, stage, category, count(*) AS errors FROM e WHERE w + INTERVAL 1 HOUR <= (SELECT max(t) FROM e) - INTERVAL 10 MINUTE GROUP BY ALL"""))
+  SELECT CAST(epoch(w) AS BIGINT) AS window_start, stage, category, count(*) AS errors FROM e GROUP BY ALL"""))
 def _(spark, d):
-    """One micro-batch, so nothing is late; windows still open at the end stay in the state."""
-    path = call_log(spark, d)
+    """One micro-batch, so nothing is late; the heartbeat closes the last windows."""
+    path = ended_log(spark, d)
     sc.append_stream(sc.stream_errors(sc.read_calls(spark, path)), f"{path}-out", f"{path}-chk").awaitTermination()
     return spark.read.parquet(f"{path}-out").withColumn("window_start", F.unix_seconds("window_start"))
 
 
-@query("stream_link_calls")
+@query("stream_link_calls", o.with_views("v_calls", """
+  , f AS (SELECT lpad(CAST(call_id AS VARCHAR), 12, '0') AS id, CAST(time * 1e6 AS BIGINT) // 1000 AS t, call_id FROM v_calls WHERE record_type = 'function_call'),
+  p AS (SELECT call_id + 1 AS parent, lpad(CAST(call_id AS VARCHAR), 12, '0') AS raw, CAST(time * 1e6 AS BIGINT) // 1000 AS t FROM v_calls WHERE record_type = 'provider_call')
+  SELECT f.id AS call_id, p.raw AS raw_call_id, f.t AS call_time FROM f LEFT JOIN p ON p.parent = f.call_id AND abs(p.t - f.t) <= 3600000"""))
 def _(spark, d):
-    path = call_log(spark, d)
+    path = ended_log(spark, d)
     linked = sc.stream_link_calls(sc.read_calls(spark, path), sc.read_calls(spark, path))
     sc.append_stream(linked, f"{path}-out", f"{path}-chk").awaitTermination()
-    return spark.read.parquet(f"{path}-out")
+    return spark.read.parquet(f"{path}-out").withColumn("call_time", F.unix_millis("call_time"))
 
 
 @query("stream_stage_state", """

@@ -1,8 +1,12 @@
-"""Call logs as streams."""
+"""Call logs as streams.
+
+A log may hold heartbeats: rows that have a time and nothing else. They move the watermark of a source that is idle or has
+ended, so that its last windows and unmatched calls come out.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import numbers as num
 from ..functions.text import error_category
 from ..operators.calls import index_rows
+from .folded import fold_in, folded
 
 CALL_SCHEMA = (
     "call_id string, parent_call_id string, record_type string, function string, status string, error string, "
@@ -25,6 +30,12 @@ def read_calls(spark: SparkSession, path: str, files_per_trigger: int | None = N
     return r.json(path)
 
 
+def write_heartbeat(spark: SparkSession, path: str, time) -> None:
+    """Append a heartbeat to a log. A log that has ended gets one that lies beyond its last time by all delays."""
+    row = spark.createDataFrame([("heartbeat", time)], "record_type string, time timestamp")
+    row.coalesce(1).write.mode("append").json(path)
+
+
 def _sums(df: DataFrame) -> DataFrame:
     """Additive health counters per function; 'last' is decided by (time, call_id)."""
     return df.where("call_id is not null").groupBy(F.coalesce("function", F.lit("unknown")).alias("function")).agg(
@@ -38,6 +49,12 @@ def _sums(df: DataFrame) -> DataFrame:
     )
 
 
+def _merged(parts: DataFrame) -> DataFrame:
+    """Health counters of a function over all parts."""
+    added = ("records", "function_calls", "provider_calls", "success", "failure", "elapsed_sum")
+    return parts.groupBy("function").agg(*[F.sum(c).alias(c) for c in added], F.max("last").alias("last"))
+
+
 def health_view(sums: DataFrame) -> DataFrame:
     n = F.greatest(F.lit(1), F.col("records"))
     return sums.select(
@@ -47,19 +64,24 @@ def health_view(sums: DataFrame) -> DataFrame:
     )
 
 
-def stream_call_health(calls: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep call health current. State is one row per function; each trigger writes the changed rows of its version.
+def stream_call_health(calls: DataFrame, out: str, checkpoint: str, once: bool = True, every: int = 10) -> StreamingQuery:
+    """Keep call health current. Each trigger adds the counters of its own rows; ``call_health_table`` reads them as one.
 
-    The snapshot of a trigger is a small table under ``out/version=N``; a replayed trigger rewrites its own version.
+    The stream keeps no state. A replayed trigger rewrites its own part, so nothing counts twice; parts are merged every few triggers.
     """
 
     def write(batch: DataFrame, version: int) -> None:
-        health_view(batch).write.mode("overwrite").parquet(f"{out}/version={version}")
+        fold_in(_sums(batch), out, version, _merged, every)
 
-    w = _sums(calls).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = calls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def call_health_table(spark: SparkSession, out: str) -> DataFrame:
+    """Health per function over all triggers so far."""
+    return health_view(folded(spark, out, _merged))
+
+
 def stream_call_index(calls: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Details to redacted index rows, one folder per function; exactly once through the file sink's log."""
     rows = index_rows(calls.where("call_id is not null"))
@@ -67,10 +89,19 @@ def stream_call_index(calls: DataFrame, out: str, checkpoint: str, once: bool =
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def stream_errors(errors: DataFrame, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """Error counts per window, stage and category; the watermark bounds the state."""
+def _timed(cond: Column) -> Column:
+    """A filter that Spark leaves above the watermark, since it is about the time; so that rows it drops still move the watermark."""
+    return F.when(cond, F.col("time")).isNotNull()
+
+
+def stream_errors(calls: DataFrame, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
+    """Error counts per window, stage and category; the watermark bounds the state.
+
+    A window comes out once the watermark, which every row of the log moves, has passed its end; rows that come later than that are
+    left out. A heartbeat closes the last windows of a log.
+    """
     return (
-        errors.where("error is not null").withWatermark("time", delay)
+        calls.withWatermark("time", delay).where(_timed(F.col("error").isNotNull()))
         .groupBy(F.window("time", window).alias("w"), F.col("function").alias("stage"), error_category(F.col("error")).alias("category"))
         .agg(F.count(F.lit(1)).alias("errors"))
         .select(F.col("w.start").alias("window_start"), "stage", "category", "errors")
@@ -78,11 +109,13 @@ def stream_errors(errors: DataFrame, delay: str = "10 minutes", window: str = "1
 
 
 def stream_link_calls(function_calls: DataFrame, provider_calls: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Provider calls under their function call; a function call without one comes out when the watermark passes."""
-    f = function_calls.where("record_type = 'function_call'").select("call_id", F.col("time").alias("call_time")).withWatermark("call_time", delay)
-    p = provider_calls.where("record_type = 'provider_call'").select(
-        F.col("parent_call_id"), F.col("call_id").alias("raw_call_id"), F.col("time").alias("raw_time")
-    ).withWatermark("raw_time", delay)
+    """Provider calls under their function call, if both lie within ``delay``; a function call without one comes out when the watermark has
+    passed that span. A heartbeat in both logs brings out the last ones."""
+    f = function_calls.withWatermark("time", delay).where(_timed(F.col("record_type") == "function_call")).select("call_id", F.col("time").alias("call_time"))
+    p = provider_calls.withWatermark("time", delay).where(_timed(F.col("record_type") == "provider_call")).select(
+        F.coalesce("parent_call_id", F.lit("")).alias("parent_call_id"),  # never null, else heartbeats would be dropped below the watermark
+        F.col("call_id").alias("raw_call_id"), F.col("time").alias("raw_time"),
+    )
     near = (F.col("raw_time") >= F.col("call_time") - F.expr(f"INTERVAL {delay}")) & (F.col("raw_time") <= F.col("call_time") + F.expr(f"INTERVAL {delay}"))
     return f.join(p, (F.col("call_id") == F.col("parent_call_id")) & near, "leftOuter").select("call_id", "raw_call_id", "call_time")
 
