@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import _Ids, fnv, give_back, lookup, mix, per_text, released, ship, text_slices
+from shotloom.llm.common import _Ids, byte_slices, fnv, give_back, lookup, mix, per_text, released, ship
 from shotloom.operators.staging import materialize
 
 #: Bytes of text for one prefix range, and paths of a range above which it is split by the whole n-gram.
@@ -324,7 +324,7 @@ def shard_automata(docs: DataFrame, ranges: int, text_col: str, lang_col: str, p
 
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
-            for lo, hi, texts in text_slices(b.column(1).to_pylist()):
+            for lo, hi, texts in byte_slices(b.column(1).to_pylist()):
                 for lang in sorted(set(langs[lo:hi])):
                     own = [t for t, x in zip(texts, langs[lo:hi]) if x == lang]
                     if found := list(shard.add(lang, own)):

@@ -60,26 +60,27 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, how: str =
     return joined.unionByName(rest)
 
 
-def give_back() -> None:
-    """Hand freed memory back to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not glibc
-        pass
-
-
 def released(run: Callable) -> Callable:
     """A task on Arrow batches that gives its memory back when it ends; workers live on and would hold it beside the JVM."""
 
     def wrapped(batches):
         yield from run(batches)
-        give_back()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
 
     return wrapped
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, as at the end of a `released` task."""
+    for _ in released(iter)(()):
+        pass
+
+
 def text_slices(column, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
     """Ranges of positions with their texts in UTF-8, about `most` bytes and at most `rows` texts each; null counts as empty.
 
@@ -87,7 +88,7 @@ def text_slices(column, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterato
     """
     start, size, own = 0, 0, []
     for i, t in enumerate(column):
-        t = t.encode() if isinstance(t, str) else t if isinstance(t, bytes) else b""
+        t = t.encode() if isinstance(t, str) else b""
         if own and (size + len(t) > most or len(own) == rows):
             yield start, i, own
             start, size, own = i, 0, []
@@ -97,6 +98,18 @@ def text_slices(column, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterato
         yield start, start + len(own), own
 
 
+def byte_slices(column: list[bytes | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """As `text_slices`, for texts that are bytes already."""
+    start, size = 0, 0
+    for i, t in enumerate(column):
+        if i > start and size + len(t or b"") > most:
+            yield start, i, [x or b"" for x in column[start:i]]
+            start, size = i, 0
+        size += len(t or b"")
+    if start < len(column):
+        yield start, len(column), [x or b"" for x in column[start:]]
+
+
 class _Ids(dict):
     """Numbers words in order of first sight and keeps the new ones."""
 

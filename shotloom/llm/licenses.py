@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import released, ship, text_slices
+from shotloom.llm.common import byte_slices, released, ship
 
 
 class Template(NamedTuple):
@@ -253,7 +253,7 @@ def find(docs: DataFrame, templates: Sequence[Template] = (*BASE, *METHOD), id_c
         weight = [1 - 2.0 ** -m for m in automaton.mandatory()]
         for b in batches:
             ids = b.column(0)
-            for lo, hi, texts in text_slices(b.column(1).to_pylist()):
+            for lo, hi, texts in byte_slices(b.column(1).to_pylist()):
                 words = [words_of(t) for t in texts]
                 counts = np.fromiter(map(len, words), np.int64, len(words))
                 numbers = np.fromiter((known(w, 0) for w in chain.from_iterable(words)), np.int64, int(counts.sum()))
