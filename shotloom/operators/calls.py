@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import jsontext as js
 from ..functions import numbers as num
 from ..functions import text as tx
-from ..functions.nested import redact_payload
+from ..functions.nested import redact_payloads
 
 
 def call_health(calls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -68,7 +68,7 @@ def image_inventory(requests: DataFrame, files: DataFrame, key: str = "call_id")
 
 def index_rows(calls: DataFrame) -> DataFrame:
     """Call details to index rows: redacted payload, its profile, and the error category."""
-    calls = calls.withColumn("payload", redact_payload("payload"))
+    calls = redact_payloads(calls, "payload")
     p = F.col("payload")
     return calls.select(
         "call_id", "function", "record_type", "status", tx.error_category(F.col("error")).alias("error_category"),

@@ -338,7 +338,7 @@ def _(spark, d):
   SELECT event_id, '{"Api_Key":"***redacted***","n":1,"my_password":"***redacted***","k":"' || event_type || '"}' AS safe FROM events""")
 def _(spark, d):
     raw = F.expr("""'{"Api_Key": "sk-' || event_id || ',\\\\"x", "n": 1, "my_password": ' || event_id || ', "k": "' || event_type || '"}'""")
-    return v.table(spark, d, "events").select("event_id", nested.redact_payload(raw).alias("safe"))
+    return nested.redact_payloads(v.table(spark, d, "events").select("event_id", raw.alias("safe")), "safe")
 
 
 @query("redact_long_text", """
@@ -358,7 +358,7 @@ def _(spark, d):
         F.lit('{"a":{"secret_id":{"x":[1,{"y":"z"}]},"b":[{"Password":["p",null],"v":'), F.col("doc_id").cast("string"),
         F.lit(',"l":[[{"Bearer_x":null},null,true]]}]},"authorization":{"k":["Bearer q"]},"u":"data:image/png;base64,'), "lang", "lang", F.lit('","t":"'), w, F.lit('"}'),
     )
-    return docs(spark, d).select("doc_id", nested.redact_payload(raw, 500).alias("safe"))
+    return nested.redact_payloads(docs(spark, d).select("doc_id", raw.alias("safe")), "safe", 500)
 
 
 @query("usage_fields", """

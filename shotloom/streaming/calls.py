@@ -83,9 +83,12 @@ def call_health_table(spark: SparkSession, out: str) -> DataFrame:
 
 
 def stream_call_index(calls: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Details to redacted index rows, one folder per function; exactly once through the file sink's log."""
-    rows = index_rows(calls.where("call_id is not null"))
-    w = rows.writeStream.format("parquet").partitionBy("function").option("path", out).option("checkpointLocation", checkpoint)
+    """Details to redacted index rows, one folder per trigger and function; a replayed trigger rewrites its own folder."""
+
+    def write(batch: DataFrame, version: int) -> None:
+        index_rows(batch.where("call_id is not null")).write.mode("overwrite").partitionBy("function").parquet(f"{out}/version={version}")
+
+    w = calls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 

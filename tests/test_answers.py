@@ -1,5 +1,8 @@
 """Planning answers as whole rows: references, summaries, duplicates, limits and warnings."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,7 +62,10 @@ def test_subsections(spark):
     ('{"res":{"res":{"res":{"res":{"res":{"res":{"text":"deep"}}}}}}}', ["deep"]),
     ("[" * 200 + '"x"' + "]" * 200, ["x"]),
     ('{"rec_texts":["b","a"],"rec_scores":[0.9,0.1],"items":["c"," b "]}', ["b", "c"]),
+    ("[" * 50_000 + '{"data":["y"],"text":"x"}' + "]" * 50_000, ["x", "y"]),
+    ('{"rec_texts":["a",7,null],"rec_scores":["?",0.1],"text":true,"other":{"text":"no"},"data":"d","res":{"items":[1,"r"]}}', ["a", "True", "r", "d"]),
     ("no json", []),
+    ('{"text":"x"', []),
 ])
 def test_recognised_texts_at_any_depth(spark, raw, texts):
     df = spark.createDataFrame([(1, raw)], "id int, result string")
@@ -68,12 +74,52 @@ def test_recognised_texts_at_any_depth(spark, raw, texts):
 
 def test_redaction_masks_objects_lists_and_nulls(spark):
     raw = '{"secret":{"a":"tok"},"Authorization":["Bearer x"],"ok":[{"my_password":null,"n":1}],"u":"data:image/png;base64,AAAA","t":"' + "y" * 40 + '"}'
-    safe = spark.createDataFrame([(raw,), ("plain tok",), (None,)], "p string").select(nested.redact_payload("p", 30)).collect()
+    safe = nested.redact_payloads(spark.createDataFrame([(1, raw), (2, "plain tok"), (3, None)], "i int, p string"), "p", 30).orderBy("i").select("p").collect()
     assert safe[0][0].startswith('{"secret":"***redacted***","Authorization":"***redacted***","ok":[{"my_password":"***redacted***","n":1}],"u":{"redacted":true,')
     assert "AAAA" not in safe[0][0] and "truncated chars=40" in safe[0][0] and safe[1][0] == "plain tok" and safe[2][0] is None
 
 
+def plain_masked(value):
+    if isinstance(value, dict):
+        return {k: nested.MASK if any(p in k.lower() for p in nested.SENSITIVE_KEY_PARTS) else plain_masked(v) for k, v in value.items()}
+    return [plain_masked(v) for v in value] if isinstance(value, list) else value
+
+
+def random_json(rng, depth):
+    kind = rng.choice("ollllosssn" if depth else "sn")
+    if kind == "o":
+        return {rng.choice(["a", "b\\", 'q"q', "SECRET_k", "x_Password", "ké", "{[:,"]) + str(i): random_json(rng, depth - 1) for i in range(rng.randrange(4))}
+    if kind == "l":
+        return [random_json(rng, depth - 1) for _ in range(rng.randrange(4))]
+    return rng.choice(["", 'he said "x"', "tail\\", "]},{", "é\n\t", "password"]) if kind == "s" else rng.choice([1, -2.5, None, True, False])
+
+
+def test_redaction_of_random_values(spark):
+    rng = random.Random(9)
+    values = [[random_json(rng, 5) for _ in range(2)] for _ in range(150)]
+    df = spark.createDataFrame([(i, json.dumps(x, ensure_ascii=bool(i % 2), indent=i % 3 or None)) for i, x in enumerate(values)], "i int, p string")
+    got = nested.redact_payloads(df, "p").orderBy("i").collect()
+    assert [r.p for r in got] == [json.dumps(plain_masked(x), ensure_ascii=False, separators=(",", ":")) if not (i % 2) else r.p for i, (x, r) in enumerate(zip(values, got))]
+    assert [json.loads(r.p) for r in got] == [plain_masked(x) for x in values]
+    plan = nested.redact_payloads(df, "p")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_redaction_of_deep_and_odd_texts(spark):
+    deep = '{"k":' * 3000 + '{"secret":{"a":["tok"]},"n":1.50}' + "}" * 3000
+    rows = [(1, deep), (2, '{"secret":[1],"secret":"tok"}'), (3, '{"secret":"tok'), (4, "[]"), (5, '"a b"'), (6, ""), (7, '{"secret":{}} x'), (8, '{"a":[{"token":1,"secret":{"b":{}}},2]}')] + [(9, '{"password":["tok"]}')] * 3
+    got = sorted((r.i, r.p) for r in nested.redact_payloads(spark.createDataFrame(rows, "i int, p string"), "p").collect())
+    m = f'"{nested.MASK}"'
+    assert got == [
+        (1, '{"k":' * 3000 + f'{{"secret":{m},"n":1.50}}' + "}" * 3000), (2, f'{{"secret":{m},"secret":{m}}}'), (3, '{"secret":"tok'), (4, "[]"), (5, '"a b"'), (6, ""), (7, '{"secret":{}} x'),
+        (8, f'{{"a":[{{"token":1,"secret":{m}}},2]}}'), *[(9, f'{{"password":{m}}}')] * 3,
+    ]
+
+
 def test_render_at_any_depth(spark):
+    long = json.dumps({"a": ["w " * 60, {"b": "v" * 90}]})
+    df = spark.createDataFrame([("[" * 50_000 + '{"a":"x"}' + "]" * 50_000,), (long,)], "v string")
+    assert [r[0] for r in df.select(nested.render_value("v")).collect()] == ["a=x", "a=" + ("w " * 40).rstrip()[:79].rstrip() + "..."]
     df = spark.createDataFrame([('{"a":{"b":{"c":{"d":1}}},"t":true,"e":[]}',), (" x  y ",), (None,)], "v string")
     assert [r[0] for r in df.select(nested.render_value("v")).collect()] == ["a=b=c=d=1; t=True", "x y", ""]
 
