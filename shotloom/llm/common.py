@@ -75,6 +75,16 @@ def released(run: Callable) -> Callable:
     return wrapped
 
 
+def with_exact_ids(rows: DataFrame, run: Callable, rest: str) -> DataFrame:
+    """`rows` (with a column _id) through a task on pandas batches that returns _id and the columns of `rest`.
+
+    The id passes as text: in pandas a null would turn a column of whole numbers into floats and change all ids beyond 2^53.
+    """
+    kind = rows.schema["_id"].dataType
+    out = rows.withColumn("_id", F.col("_id").cast("string")).mapInPandas(released(run), f"_id string, {rest}")
+    return out.withColumn("_id", F.col("_id").cast(kind))
+
+
 def give_back() -> None:
     """Hand freed memory back to the system, as at the end of a `released` task."""
     for _ in released(iter)(()):

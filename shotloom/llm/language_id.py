@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import WordTable, mix, per_text, released, ship, text_slices
+from shotloom.llm.common import WordTable, mix, per_text, released, ship, text_slices, with_exact_ids
 
 #: Hashed character n-gram space and n-gram lengths.
 DIMS = 4096
@@ -185,6 +185,5 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
         if own is not None:
             own.table = None  # a worker keeps the model between tasks, but not the words
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(released(run), f"_id {kind}, lang_pred string, score double")
+    out = with_exact_ids(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, "lang_pred string, score double")
     return out.withColumnRenamed("_id", id_col)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import WordTable, fnv, in_slots, lookup, mix, released, ship, slot_of, text_slices
+from shotloom.llm.common import WordTable, fnv, in_slots, lookup, mix, released, ship, slot_of, text_slices, with_exact_ids
 from shotloom.operators.staging import materialize
 
 #: Hash functions, rows of a band, and bits kept of each minimum. At similarity 0.8, (1 - 0.8 ** 4) ** 32 = 5e-8 of the links share no band.
@@ -92,9 +92,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                         out[name] = column
                 yield out
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(released(run), f"_id {kind}, n bigint, same array<bigint>, bands array<bigint>, packed array<bigint>")
+    return with_exact_ids(rows, run, "n bigint, same array<bigint>, bands array<bigint>, packed array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:

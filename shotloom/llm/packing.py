@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shotloom.llm.common import WordTable, released, ship, text_slices
+from shotloom.llm.common import WordTable, ship, text_slices, with_exact_ids
 from shotloom.operators.staging import materialize
 
 CAPACITY = 2048
 END_ID = 0
 #: Rows of one length that one window task numbers, on average.
 RANK_ROWS = 50_000
-PIECES = "_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
+PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 #: ASCII characters that are neither letters, digits nor white space.
 _MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}|~"
 #: Parts after which the encoder starts anew.
@@ -146,8 +146,7 @@ def pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 frame["_id"] = frame["_id"].astype(b["_id"].dtype)
                 yield frame
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(released(cut), PIECES.format(id=kind))
+    return with_exact_ids(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), cut, PIECES)
 
 
 def plan_slots(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -227,8 +226,7 @@ def take_slots(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             b["offset"] = offset[at] + (step % each[at]) * own
             yield b[["_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    kind = parts.schema["_id"].dataType.simpleString()
-    return ranked.select("_id", "piece", "start", "length", "ids_crc32", "_rank").mapInPandas(released(place), PIECES.format(id=kind) + ", sequence_id bigint, offset bigint")
+    return with_exact_ids(ranked.select("_id", "piece", "start", "length", "ids_crc32", "_rank"), place, PIECES + ", sequence_id bigint, offset bigint")
 
 
 def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -144,7 +144,11 @@ def with_score(df: DataFrame, model: QualityModel | None, text: str, out: str) -
         if own is not None:
             own.counter = None  # a worker keeps the model between tasks, but not the words
 
-    return df.mapInPandas(released(run), T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+    # whole numbers pass as text, since a null beside them would turn them into floats
+    whole = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    fields = [T.StructField(f.name, T.StringType() if f.name in whole else f.dataType) for f in df.schema.fields]
+    scored = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in whole}).mapInPandas(released(run), T.StructType([*fields, T.StructField(out, T.DoubleType())]))
+    return scored.withColumns({c: F.col(f"`{c}`").cast(kind) for c, kind in whole.items()})
 
 
 def predict(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import WordTable, mix, per_text, released, ship, text_slices
+from shotloom.llm.common import WordTable, mix, per_text, released, ship, text_slices, with_exact_ids
 from shotloom.operators.staging import materialize
 
 WINDOW = 5
@@ -103,10 +103,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 out["x"] = list(x)
                 yield out
 
-    kind = docs.schema[id_col].dataType.simpleString()
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), label("lang").alias("_lang"), label("source").alias("_source"))
-    return rows.mapInPandas(released(run), f"_id {kind}, _lang string, _source string, {BASE}, x array<double>")
+    return with_exact_ids(rows, run, f"_lang string, _source string, {BASE}, x array<double>")
 
 
 _PAIRS = [(i, j) for i in range(STATS) for j in range(i, STATS)]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import fnv, released, ship, text_slices
+from shotloom.llm.common import fnv, released, ship, text_slices, with_exact_ids
 from shotloom.operators.staging import materialize
 
 #: Fixed patterns; a match with a shorter value or length is dropped.
@@ -334,9 +334,8 @@ def find(docs: DataFrame, model: FormatModel | None, id_col: str = "doc_id", tex
                 ]
             yield pd.DataFrame({"_id": b["_id"], "spans": out})
 
-    kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return out.mapInPandas(released(run), f"_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>").withColumnRenamed("_id", id_col)
+    return with_exact_ids(out, run, "spans array<struct<kind:string,start:bigint,end:bigint,score:double>>").withColumnRenamed("_id", id_col)
 
 
 def joined(spans: Column) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import WordTable, fnv, in_slots, per_text, released, sample_rows, ship, slot_of, text_slices
+from shotloom.llm.common import WordTable, fnv, in_slots, per_text, released, sample_rows, ship, slot_of, text_slices, with_exact_ids
 from shotloom.llm.language_id import letters
 
 #: Hashed embedding rows (row 0 stays zero), embedding size, filter widths and filters per width.
@@ -299,9 +299,8 @@ def _logit_counts(docs: DataFrame, marked: DataFrame, model: ToxicityModel, trai
             yield pd.DataFrame({"_id": b["_id"], "_lang": lang.astype(int), "_step": np.floor(logit * LOGIT_STEPS).astype(int), "_fresh": [int(v not in used) for v in b["_id"].tolist()]})
         own.table = None
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = in_slots(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), marked.select(slot_of("_id").alias("slot")), slot_of("_id")).select("_id", "_text")
-    scored = rows.mapInPandas(released(run), f"_id {kind}, _lang int, _step int, _fresh int")
+    scored = with_exact_ids(rows, run, "_lang int, _step int, _fresh int")
     by = ["_lang", "_y", "_step", "_fresh"]
     got = scored.join(marked.select("_id", (F.col("_y") > 0).cast("int").alias("_y")), "_id").groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()
     return {tuple(r[c] for c in by): r["n"] for r in got}
@@ -323,6 +322,5 @@ def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_
             yield pd.DataFrame({"_id": b["_id"], "score": np.concatenate(score).astype(float) if score else np.empty(0)})
         own.table = None  # a worker keeps the model between tasks, but not the words
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(released(run), f"_id {kind}, score double")
+    out = with_exact_ids(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, "score double")
     return out.select(F.col("_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
