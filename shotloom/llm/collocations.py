@@ -204,9 +204,20 @@ def merged(automata: Iterator[CountAutomaton]) -> tuple[list[bytes], np.ndarray,
         counts.append(c)
         size += len(k)
         if size > least:  # the sums double before the next time, so each path is sorted a few times only
-            k, c = summed(np.concatenate(keys), np.concatenate(counts))
-            keys, counts, size, least = [k], [c], len(k), max(1 << 20, 2 * len(k))
-    return number.new, *summed(np.concatenate(keys), np.concatenate(counts))
+            _fold(keys, counts)
+            size, least = len(keys[0]), max(1 << 20, 2 * len(keys[0]))
+    _fold(keys, counts)
+    return number.new, keys[0], counts[0]
+
+
+def _fold(keys: list[np.ndarray], counts: list[np.ndarray]) -> None:
+    """Sum the lists to one entry each, without holding the old entries beside the new ones."""
+    whole = [np.concatenate(counts), np.concatenate(keys)]
+    keys.clear()
+    counts.clear()
+    k, c = summed(whole.pop(), whole.pop())
+    keys.append(k)
+    counts.append(c)
 
 
 def union(automata: Iterator[CountAutomaton], least: int = 1) -> CountAutomaton:
