@@ -35,19 +35,21 @@ def stale_partitions(wanted: DataFrame, manifests: DataFrame, edges: DataFrame,
 def upstream_closure(edges: DataFrame) -> DataFrame:
     """All (node, upstream) pairs of an acyclic graph with the longest distance as ``depth`` (a build order).
 
-    Round k holds the distinct pairs joined by a path of k steps, never the paths themselves, and is written; the rounds
-    end when no path is longer, whatever the length of the chain.
+    Path doubling: a round knows the pairs joined by fewer than 2^k steps and those joined by exactly 2^k, and puts them
+    together, so a chain takes log2 rounds of equality joins, each written. A cycle is an error that names some of its nodes.
     """
-    steps = materialize(edges.select("node", "depends_on").distinct())
-    reach = materialize(steps.select("node", F.col("depends_on").alias("upstream"), F.lit(1).alias("depth")))
-    rounds = [reach]
-    while True:
-        longer = reach.join(steps.withColumnRenamed("node", "upstream"), "upstream")
-        reach = materialize(longer.select("node", F.col("depends_on").alias("upstream"), (F.col("depth") + 1).alias("depth")).distinct())
-        if not reach.take(1):
-            break
-        rounds.append(reach)
-    every = rounds[0]
-    for r in rounds[1:]:
-        every = every.unionByName(r)
-    return every.groupBy("node", "upstream").agg(F.max("depth").alias("depth"))
+    exact = materialize(edges.select("node", F.col("depends_on").alias("upstream")).where("node IS NOT NULL AND upstream IS NOT NULL").distinct())
+    known, steps = None, 1
+    while exact.take(1):
+        jump = exact.select(F.col("node").alias("upstream"), F.col("upstream").alias("_to"))
+        found = exact.select("node", "upstream", F.lit(steps).alias("depth"))
+        if known is not None:
+            longer = known.join(jump, "upstream").select("node", F.col("_to").alias("upstream"), (F.col("depth") + steps).alias("depth"))
+            found = known.unionByName(found).unionByName(longer)
+        known = materialize(found.groupBy("node", "upstream").agg(F.max("depth").alias("depth")))
+        loop = [r[0] for r in known.where("node = upstream").select("node").orderBy("node").limit(5).collect()]
+        if loop:
+            raise ValueError(f"the dependencies hold a cycle through {', '.join(map(str, loop))}")
+        exact = materialize(exact.join(jump, "upstream").select("node", F.col("_to").alias("upstream")).distinct())
+        steps *= 2
+    return known if known is not None else exact.select("node", "upstream", F.lit(0).alias("depth"))

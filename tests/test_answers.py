@@ -144,3 +144,22 @@ def test_staging_needs_a_shared_folder_off_local_masters(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging_dir(Session())
     assert staging_dir(spark)
+
+
+def test_closure_of_random_graphs_and_cycles(spark):
+    rng = random.Random(6)
+    pairs = {(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(70)) if a < b}
+    longest = {}
+    for a in sorted({a for a, _ in pairs}, reverse=True):
+        for x, b in pairs:
+            if x == a:
+                longest[a, b] = max(longest.get((a, b), 0), 1)
+                for (y, c), n in [*longest.items()]:
+                    if y == b:
+                        longest[a, c] = max(longest.get((a, c), 0), n + 1)
+    schema = "node int, depends_on int"
+    got = freshness.upstream_closure(spark.createDataFrame([*pairs, *list(pairs)[:5], (1, None)], schema))
+    assert {(r.node, r.upstream): r.depth for r in got.collect()} == longest
+    with pytest.raises(ValueError, match="cycle through 7, 8, 9"):
+        freshness.upstream_closure(spark.createDataFrame([(6, 7), (7, 8), (8, 9), (9, 7)], schema))
+    assert freshness.upstream_closure(spark.createDataFrame([], schema)).count() == 0
