@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotloom.llm.common import WordTable, mix, per_text, released, ship, text_slices, with_exact_ids
+from shotloom.operators.staging import materialize
 
 #: Hashed character n-gram space and n-gram lengths.
 DIMS = 4096
 ORDERS = (1, 2, 3)
-#: Bound of the fitting sample: documents of one language, and languages.
+#: Bound of the fitting sample: documents of one language, and of all together. Every language is learned; with many, each
+#: gives fewer documents, and at least one.
 FIT_PER_LANG = 500
-FIT_LANGS = 40
+FIT_ROWS = 12_000
 #: Language codes by family. A code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
@@ -70,13 +72,13 @@ def frequencies(texts: list[bytes], dims: int = DIMS) -> np.ndarray:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 250) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, both sides weighted alike; y is 1 or -1."""
+    """Linear support vector machine with squared hinge loss, both sides weighted alike; y is 1 or -1. `x` is float32."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w, b, vw, vb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
-    rate = 1.0 / (reg + 2 * float((weight[:, None] * x * x).sum()) + 2)  # the bias counts as one more feature
+    rate = 1.0 / (reg + 2 * float(weight @ np.einsum("ij,ij->i", x, x)) + 2)  # the bias counts as one more feature
     for _ in range(steps):
-        slack = weight * np.maximum(0, 1 - y * (x @ w + b)) * y
-        vw = 0.95 * vw + rate * (2 * x.T @ slack - reg * w)
+        slack = weight * np.maximum(0, 1 - y * (x @ w.astype(np.float32) + b)) * y
+        vw = 0.95 * vw + rate * (2 * (slack.astype(np.float32) @ x) - reg * w)
         vb = 0.95 * vb + rate * 2 * slack.sum()
         w, b = w + vw, b + vb
     return w, b
@@ -93,9 +95,13 @@ class LanguageModel:
         self.families = sorted({family_of(v) for v in self.langs})
         of = np.array([self.langs.index(v) for v in langs])
         fam = np.array([self.families.index(family_of(v)) for v in self.langs])
-        mean, scale = x.mean(0).astype(np.float64), 1 / (x.std(0) + 1e-3)
-        scale = scale * 3 / np.sqrt((((x - mean) * scale) ** 2).sum(1).mean() + 1e-12)
-        z = (x - mean) * scale
+        mean = x.mean(0, dtype=np.float64)
+        z = x - mean.astype(np.float32)
+        scale = 1 / (np.sqrt(np.einsum("ij,ij->j", z, z) / len(z)) + 1e-3)
+        z *= scale
+        size = 3 / np.sqrt(float(np.einsum("ij,ij->i", z, z).mean()) + 1e-12)
+        z *= np.float32(size)
+        scale = scale.astype(np.float64) * size
         columns, self.pairs = [], []
         if len(self.families) > 1:
             columns += [_svm(z, np.where(fam[of] == k, 1, -1)) for k in range(len(self.families))]
@@ -140,25 +146,31 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel | None:
-    """Fit on rows that `learn` marks, with text and language: at most FIT_PER_LANG documents of each of FIT_LANGS languages.
+    """Fit on rows that `learn` marks, with text and language: every language, with at most FIT_PER_LANG documents each.
 
-    The sample follows the hash of the id and is found on hashes alone, of which each task sends on no more than that many
-    per language; rows of one id are taken together. None without rows.
+    All languages together give at most FIT_ROWS documents (or one each), so many languages give fewer each. Ids are taken
+    by their hash: those below a threshold from the language's number of ids, of these the smallest, so a few rows of a
+    language come together. Rows of one id (null is one id) count as one document, the text of the smallest hash; so
+    repeats never pass the bound. None without rows.
     """
     ship(docs.sparkSession)
     rows = docs.filter(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(id_col).alias("_h"))
-    common = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(FIT_LANGS).select("_lang")
-    ranked = rows.select("_lang", "_h").withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).filter(F.col("_n") <= FIT_PER_LANG)
-    chosen = ranked.join(F.broadcast(common), "_lang", "left_semi").select("_lang", "_h")  # at most FIT_LANGS * FIT_PER_LANG rows
-    top = rows.join(F.broadcast(chosen), ["_lang", "_h"], "left_semi")
+    sizes = materialize(rows.groupBy("_lang").agg(F.approx_count_distinct("_h").alias("_m")))
+    n_langs = sizes.count()
+    if not n_langs:
+        return None
+    per = max(1, min(FIT_PER_LANG, FIT_ROWS // n_langs))
+    place = F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)
+    some = rows.select("_lang", "_h").join(sizes, "_lang").filter(place * F.col("_m") < 4 * per + 40).select("_lang", "_h").distinct()
+    smallest = Window.partitionBy("_lang").orderBy(place, "_h")
+    chosen = materialize(some.withColumn("_n", F.row_number().over(smallest)).filter(F.col("_n") <= per).select("_lang", "_h"))
+    top = rows.join(chosen, ["_lang", "_h"], "left_semi").groupBy("_lang", "_h").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"_lang": b["_lang"], "_h": b["_h"], "x": [row.tobytes() for _, _, texts in text_slices(b["_text"]) for row in frequencies(texts)]})
 
     got = top.mapInPandas(released(features), "_lang string, _h bigint, x binary").toPandas().sort_values(["_lang", "_h"])
-    if not len(got):
-        return None
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), DIMS)
     return LanguageModel(x, got["_lang"].tolist())
 

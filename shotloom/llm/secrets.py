@@ -29,12 +29,12 @@ RUN_LENGTH = 16
 #: Ordinary words are runs of at least this length.
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{9,}")
 WORD_LENGTH = 9
-#: Bound of the fitting sample: strings of one kind, out of all documents.
-FIT_STRINGS = 1000
+#: Bound of the fitting sample: strings of one kind out of all documents, and their characters. Strings are taken whole.
+FIT_STRINGS, FIT_CHARS = 1000, 200_000
 #: Steps of a score in which scores are counted, and scores that a task remembers.
 SCORE_STEPS, SCORES_KEPT = 1024, 100_000
-#: Confidence of the state comparison, and the longest string that an automaton is inferred from.
-ALPHA, FIT_LENGTH = 0.05, 128
+#: Confidence of the state comparison.
+ALPHA = 0.05
 
 _RUN_BYTES = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"))
 _CLASSES = str.maketrans(
@@ -76,7 +76,7 @@ class Automaton:
         for s in strings:
             at = 0
             self.seen[0] += 1
-            for c in s[:FIT_LENGTH].translate(_CLASSES):
+            for c in s.translate(_CLASSES):
                 self.out[at][c] = self.out[at].get(c, 0) + 1
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.next)
@@ -161,7 +161,7 @@ class FormatModel:
 
     def __init__(self, strings: dict[str, list[str]], words: list[str]):
         self.words = Automaton(words)
-        self.kinds = {k: Automaton(v) for k, v in strings.items() if len(v) >= 5}
+        self.kinds = {k: Automaton(v) for k, v in strings.items() if v}
         self.cut = np.inf
 
     def set_cut(self, plain: dict[int, int], good: dict[int, int]) -> None:
@@ -234,12 +234,18 @@ def _maybe(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def _within(lengths: np.ndarray) -> int:
+    """How many strings of these lengths, in the order of their hashes, the bound takes."""
+    return int(np.searchsorted(np.cumsum(lengths[:FIT_STRINGS]), FIT_CHARS, "right"))
+
+
 def _smallest(values: set[str]) -> dict[str, int]:
-    """The FIT_STRINGS values of the smallest hashes, with these."""
-    some = list(values)
+    """The values of the smallest hashes within FIT_STRINGS and FIT_CHARS, with these; values over FIT_CHARS never fit."""
+    some = [v for v in values if len(v) <= FIT_CHARS]
     hashes = (fnv([v.encode() for v in some]) >> np.uint64(1)).astype(np.int64)
-    most = np.partition(hashes, FIT_STRINGS - 1)[FIT_STRINGS - 1] if len(some) > FIT_STRINGS else np.iinfo(np.int64).max
-    return {some[i]: int(hashes[i]) for i in np.flatnonzero(hashes <= most)}
+    order = np.argsort(hashes, kind="stable")
+    order = order[: _within(np.fromiter((len(some[i]) for i in order[:FIT_STRINGS]), np.int64))]
+    return {some[i]: int(hashes[i]) for i in order}
 
 
 def _labelled(column: pd.Series) -> Iterator[tuple[list[tuple[str, str]], list[str]]]:
@@ -261,7 +267,8 @@ def _labelled(column: pd.Series) -> Iterator[tuple[list[tuple[str, str]], list[s
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> FormatModel:
-    """Infer the automata from all documents: of each kind's distinct strings the FIT_STRINGS of the smallest hashes.
+    """Infer the automata from all documents: of each kind's distinct strings those of the smallest hashes, at
+    most FIT_STRINGS and FIT_CHARS characters, each whole. One string is enough for an automaton of its kind.
 
     Labelled credentials are the base matches; ordinary words are the long runs outside of base matches. The threshold
     is set from the scores of all words and credentials of all documents, counted in steps. Tasks send on a bounded
@@ -285,8 +292,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Form
     found = materialize(rows.mapInPandas(released(gather), "kind string, value string, hash bigint").distinct())
     strings = {}
     for kind in ("assign", "access", "hex", "word"):
-        some = found.filter(F.col("kind") == kind).orderBy("hash", "value").limit(FIT_STRINGS)
-        strings[kind] = [r["value"] for r in some.collect()]
+        first = found.filter(F.col("kind") == kind).select("hash", F.length("value").alias("size")).orderBy("hash").limit(FIT_STRINGS).collect()
+        first = first[: _within(np.array([r["size"] for r in first], np.int64))]
+        some = found.filter((F.col("kind") == kind) & (F.col("hash") <= (first[-1]["hash"] if first else -1)))
+        strings[kind] = [r["value"] for r in some.orderBy("hash", "value").collect()]
     words = strings.pop("word", [])
     model = FormatModel(strings, words)
     if model.kinds:

@@ -132,3 +132,47 @@ def test_the_form_of_a_word_is_taken_from_all_of_it():
     a, b = (quality_knn._terms([(head + tail).encode()])[0][0] for tail in ("***", "###"))
     assert a != b
     assert quality_knn._form("x" * 100_000 + "7") == "a0"
+
+
+def test_every_language_is_learned(docs_of, monkeypatch):
+    """60 languages of their own letters, more than any fixed number of classes would take; the sample bound holds."""
+    monkeypatch.setattr(language_id, "FIT_ROWS", 300)
+    rng = random.Random(4)
+    alphabet = [chr(0x4E00 + k) for k in range(600)]
+    rows = [(lang * 100 + k, " ".join("".join(rng.choices(alphabet[10 * lang:10 * lang + 10], k=4)) for _ in range(20)), f"q{lang:02d}x", "s") for lang in range(60) for k in range(12)]
+    docs = docs_of(rows)
+    model = language_id.fit(docs, fold("doc_id", 3) != 1)
+    assert len(model.langs) == 60
+    of = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}
+    assert np.mean([of[i] == lang for i, _, lang, _ in rows]) > 0.95
+
+
+def test_repeated_and_null_ids_keep_the_language_sample_bounded(docs_of, spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id.LanguageModel, "__init__", lambda self, x, langs: seen.append((x.shape, sorted(langs))))
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(4)).otherwise(F.lit(None).cast("long")).alias("doc_id"), F.concat(F.lit("text of "), F.col("id")).alias("text"),
+        F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"),
+    )
+    language_id.fit(rows.unionByName(docs_of([(k, "le la", "fr", "s") for k in range(700)])), F.lit(True))
+    (size, langs), = seen
+    assert size == (502, language_id.DIMS) and langs.count("en") == 2 and langs.count("fr") == 500
+
+
+def test_language_votes_equal_brute_force(rows):
+    """Margins of the text as a whole, the family with the largest, then one vote for each pair of its languages."""
+    texts = [t.encode() for _, t, _, _ in rows[0]]
+    model = language_id.LanguageModel(language_id.frequencies(texts[:200]), [r[2] for r in rows[0][:200]])
+    langs, scores = model.predict(texts[200:260])
+    for text, lang, score in zip(texts[200:260], langs, scores):
+        counts = np.zeros(language_id.DIMS)
+        for w in text.split():
+            for b in language_id.grams([language_id.letters(w)])[0]:
+                counts[b] += 1
+        margin = [sum(counts[b] * model.weights[b, c] for b in np.flatnonzero(counts)) / counts.sum() + model.bias[c] for c in range(len(model.bias))]
+        family = int(np.argmax(margin[:len(model.families)]))
+        want, sure = None, 1 / (1 + np.exp(-2 * margin[family]))
+        for (a, b), m in zip(model.pairs, margin[len(model.families):]):
+            if model.fam[a] == family:
+                want, sure = (a, min(sure, 1 / (1 + np.exp(-2 * m)))) if m >= 0 else (b, min(sure, 1 / (1 + np.exp(2 * m))))
+        assert lang == model.langs[want] and score == pytest.approx(sure, abs=1e-6)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shotloom.llm import quality_outliers, secrets
@@ -143,3 +144,35 @@ def test_parts_of_a_run_beside_base_spans_are_candidates():
     assert got == [("format", free + "/"), ("assign", "token=abcdef"), ("hex", "ab" * 12), ("format", free), ("hex", "ab" * 12), ("assign", f"secret=abcdefg/{free}")]
     taken = [(2, 9), (4, 6), (20, 40)]
     assert list(secrets.free_runs("a" * 60 + " " + "b" * 20, taken, secrets.RUN, 5)) == [(9, 20), (40, 60), (61, 81)]
+
+
+def test_automata_are_inferred_from_whole_strings():
+    """Strings that differ only after 300 characters end in states of their own, and an early end is not counted."""
+    rng = random.Random(5)
+    body = "AK" * 150
+    strings = [body + "".join(rng.choice("0123456789") for _ in range(rng.randint(5, 8))) for _ in range(300)]
+    model = secrets.Automaton(strings)
+    cls = lambda t: t.translate(secrets._CLASSES)
+    assert sum(model.ends) >= 300 and model.log_likelihood(cls(body + "123456")) > model.log_likelihood(cls(body)) + 2
+    assert model.log_likelihood(cls(body + "123456")) > model.log_likelihood(cls(body + "ghijkl")) + 3
+
+
+def test_likelihood_and_merge_by_hand():
+    """One class, ends after 1 or 2 characters: all states agree within the bounds and merge, so shares are those of one state."""
+    model = secrets.Automaton(["1", "22"] * 2)
+    assert model.states == 1
+    seen, ends, digits = model.seen[0], model.ends[0], model.out[0]["d"]
+    assert (ends, digits, seen) == (4, 6, 10)  # four strings of six characters, each position once
+    want = 2 * np.log((6 + 0.05) / (10 + 0.6)) + np.log((4 + 0.05) / (10 + 0.6))
+    assert model.log_likelihood("dd") == pytest.approx(want)
+    apart = secrets.Automaton(["1" * 3] * 400)
+    assert apart.states == 4 and [apart.ends[k] for k in range(4)] == [0, 0, 0, 400]
+
+
+def test_few_strings_of_a_kind_and_very_long_ones(docs_of):
+    value = "AKIA" + "ABCDEFGHIJ234567" * 2
+    model = secrets.fit(docs_of([(1, f"see {value} here"), (2, "ordinary internationalization"), (3, "token=" + "a" * (secrets.FIT_CHARS + 1))]))
+    assert set(model.kinds) == {"access", "hex"} or set(model.kinds) == {"access"}
+    assert secrets._smallest({"x" * (secrets.FIT_CHARS + 1), "short"}) .keys() == {"short"}
+    long = {f"{k:03d}" + "x" * 9_997 for k in range(50)}
+    assert len(secrets._smallest(long)) == secrets.FIT_CHARS // 10_000
