@@ -203,3 +203,14 @@ def per_text(flat: np.ndarray, counts: np.ndarray, op=np.add) -> np.ndarray:
 def sample_rows(df: DataFrame, most: int, by: Column) -> DataFrame:
     """At most `most` rows, the same ones each time; only `most` rows leave each task."""
     return df.withColumn("_by", by).orderBy("_by").limit(most).drop("_by")
+
+
+def one_row_per_id(rows: DataFrame, text: str = "_text") -> DataFrame:
+    """Of rows of one _id the text of the smallest hash, other columns as its first row has them.
+
+    For samples chosen by id: a repeated id brings one row, before any feature is made of it. Each task folds its own rows first.
+    The rows are spread over all cores again, since so few texts would else be one task.
+    """
+    rest = [c for c in rows.columns if c not in ("_id", text)]
+    one = rows.groupBy("_id").agg(F.min_by(text, F.xxhash64(text)).alias(text), *[F.first(c).alias(c) for c in rest])
+    return one.repartition(rows.sparkSession.sparkContext.defaultParallelism, "_id")

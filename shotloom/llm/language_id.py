@@ -165,6 +165,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     smallest = Window.partitionBy("_lang").orderBy(place, "_h")
     chosen = materialize(some.withColumn("_n", F.row_number().over(smallest)).filter(F.col("_n") <= per).select("_lang", "_h"))
     top = rows.join(chosen, ["_lang", "_h"], "left_semi").groupBy("_lang", "_h").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    top = top.repartition(docs.sparkSession.sparkContext.defaultParallelism, "_lang", "_h")  # so few texts would else be one task
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

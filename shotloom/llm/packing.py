@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,11 @@ PART_LIMIT = 300_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _one_part(text: str) -> bool:
+    """Whether text is letters alone before and after normalising, so that marks after it begin a part of their own."""
+    return text.isalpha() and "Σ" not in text and normalize("NFC", text).lower().isalpha()
+
+
 class WordEncoder:
     """Token ids of texts by a tokenizer whose tokens never cross ASCII white space and that marks the end of each part.
 
@@ -58,7 +64,7 @@ class WordEncoder:
             marks = w[len(core):]
             if core.isalpha():  # ASCII letters
                 core = core.lower()
-            elif core and (not (text := core.decode()).isalpha() or "Σ" in text):
+            elif core and not _one_part(core.decode()):
                 core, marks = w, b""
                 if core not in parts:
                     parts[core] = len(parts)

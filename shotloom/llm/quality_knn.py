@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotloom.llm.common import WordTable, fnv, released, sample_rows, ship, text_slices
+from shotloom.llm.common import WordTable, fnv, one_row_per_id, released, sample_rows, ship, text_slices
 
 #: Hashed term space: forms of words in the first part, words in the second, repetition terms at the end.
 FORMS, WORDS, REPEATS = 512, 1024, 4
@@ -105,7 +105,8 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | None:
     """Axes and labelled vectors from at most BANK_PER_LABEL rows of each label, chosen by the hash of the id.
 
-    Rows with a null label, and labels without a document, are left out; of repeated labels of one id the largest counts.
+    Rows with a null label, and labels without a document, are left out; of repeated labels of one id the largest counts,
+    of documents of one id the text of the smallest hash is learned from.
     None if nothing is labelled.
     """
     ship(docs.sparkSession)
@@ -113,6 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     totals = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}
     chosen = [sample_rows(marked.filter(F.col("_y") == k), BANK_PER_LABEL, F.xxhash64("_id")) for k in (0, 1)]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id")
+    rows = one_row_per_id(rows)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = TermCounter()

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.common import WordTable, fnv, in_slots, per_text, released, sample_rows, ship, slot_of, text_slices, with_exact_ids
+from shotloom.llm.common import WordTable, fnv, in_slots, one_row_per_id, per_text, released, sample_rows, ship, slot_of, text_slices, with_exact_ids
 from shotloom.llm.language_id import letters
 
 #: Hashed embedding rows (row 0 stays zero), embedding size, filter widths and filters per width.
@@ -250,13 +250,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     The thresholds come from all labelled rows that were not trained on, scored where they lie and counted by guessed
     language, label and logit step; a row of a label stands for the label's rows, those trained on included.
 
-    Rows with a null label, and labels without a document, are left out; of repeated labels of one id the largest counts.
+    Rows with a null label, and labels without a document, are left out; of repeated labels of one id the largest counts,
+    of documents of one id the text of the smallest hash is learned from.
     Without labelled rows every score is 0, with one label alone it is that label.
     """
     ship(docs.sparkSession)
     marked = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).filter(learn).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     chosen = [sample_rows(marked.filter(F.col("_y") == k), FIT_PER_LABEL, F.xxhash64("_id")) for k in (0, 1)]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id")
+    rows = one_row_per_id(rows)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = WordTable(lambda words: (word_rows(words), _language_hits(words)))
@@ -279,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     order = np.argsort(fnv([str(v).encode() for v in got["_id"]]), kind="stable")
     model.train([ids[i] for i in order], got["_y"].to_numpy(float)[order], np.stack(got["hits"].tolist())[order])
     if model.constant is None:
-        trained = set(got["_id"].to_numpy()[order][~model.held_rows(len(order))].tolist())
+        trained = set(map(str, got["_id"].to_numpy()[order][~model.held_rows(len(order))].tolist()))  # ids pass batches as text
         counts = _logit_counts(docs, marked, model, trained, id_col, text_col)
         total, held = ([sum(n for (_, y, _, fresh), n in counts.items() if y == label and fresh >= least) for label in (0, 1)] for least in (0, 1))
         weights = tuple(a / b if b else 1.0 for a, b in zip(total, held))

@@ -176,3 +176,33 @@ def test_language_votes_equal_brute_force(rows):
             if model.fam[a] == family:
                 want, sure = (a, min(sure, 1 / (1 + np.exp(-2 * m)))) if m >= 0 else (b, min(sure, 1 / (1 + np.exp(2 * m))))
         assert lang == model.langs[want] and score == pytest.approx(sure, abs=1e-6)
+
+
+@pytest.mark.parametrize("module", [quality_knn, toxicity], ids=["op3", "op4"])
+def test_one_id_on_very_many_rows_keeps_the_sample_bounded(module, docs_of, spark, monkeypatch):
+    """One labelled id on 20,000 rows is one row of the sample, whatever order the rows lie in."""
+    seen = []
+    model = {quality_knn: "QualityModel", toxicity: "ToxicityModel"}[module]
+    if module is quality_knn:
+        monkeypatch.setattr(module, model, lambda x, y, totals: seen.append((len(x), x.tobytes())))
+    else:
+        def train(self, ids, y, hits):
+            seen.append((len(ids), b"".join(i.tobytes() for i in ids)))
+            self.constant = 0.0
+        monkeypatch.setattr(toxicity.ToxicityModel, "train", train)
+    hot = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text of "), F.col("id")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    docs = hot.unionByName(docs_of([(k, f"some words {k}") for k in range(20, 60)]))
+    labels = spark.createDataFrame([(7, 1, 1)] + [(k, k % 2, k % 2) for k in range(20, 60)], LABELS)
+    module.fit(docs, labels, F.lit(True))
+    module.fit(docs.repartition(5), labels, F.lit(True))
+    assert seen[0][0] == 41 and seen[0] == seen[1]
+
+
+def test_thresholds_never_come_from_rows_trained_on(docs_of, spark, rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity.ToxicityModel, "calibrate", lambda self, counts, weights=(1.0, 1.0): seen.append((sum(counts.values()), weights)))
+    used = []
+    held = toxicity.ToxicityModel.held_rows
+    monkeypatch.setattr(toxicity.ToxicityModel, "held_rows", staticmethod(lambda n: used.append(int((~held(n)).sum())) or held(n)))
+    toxicity.fit(docs_of(rows[0]), spark.createDataFrame(rows[1], LABELS), F.lit(True))
+    assert seen[-1][0] == len(rows[0]) - used[-1] and min(seen[-1][1]) > 1

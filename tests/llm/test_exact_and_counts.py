@@ -130,3 +130,13 @@ def test_plan_size_does_not_follow_the_counts():
     small, _ = packing.plan_slots({n: 3 for n in range(1, 2049)})
     large, _ = packing.plan_slots({n: 3_000_000_000 for n in range(1, 2049)})
     assert len(large) <= 4 * len(small)
+
+
+def test_every_letter_before_marks_is_encoded_as_by_the_library():
+    """Also the letters that the tokenizer's normalizer turns into a letter and a mark of its own."""
+    words = [chr(c) + marks for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() for marks in ("!", "a.")]
+    assert {"İ!", "क़!", "ড়!", "ਲ਼a."} <= set(words)
+    encoder = packing.WordEncoder(WORD_MODEL)
+    ids, lens = encoder.encode([w.encode() for w in words])
+    want = [x.ids for x in encoder.model.encode_batch_fast(words, add_special_tokens=False)]
+    assert [len(x) for x in want] == lens.tolist() and [i for x in want for i in x] == ids.tolist()
