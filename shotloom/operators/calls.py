@@ -75,3 +75,24 @@ def index_rows(calls: DataFrame) -> DataFrame:
         num.round_at(F.col("elapsed_sec"), 3).alias("elapsed_sec"), "time", p.alias("payload"),
         F.array_join(js.top_level_keys(p), ",").alias("top_level_keys"), F.octet_length(js.canonical(p)).alias("payload_bytes"),
     )
+
+
+def last_status(calls: DataFrame, keys: Sequence[str] = ("function",)) -> DataFrame:
+    """Status of the latest call of each key (time, then call_id), null or not: keys, last_status."""
+    last = F.max_by(F.struct("status"), F.struct("time", "call_id"))
+    return calls.groupBy(*keys).agg(last.alias("_s")).select(*keys, F.col("_s.status").alias("last_status"))
+
+
+def usage_fields(responses: DataFrame, response: str = "response") -> DataFrame:
+    """Adds ``usage`` (JSON text of the response's usage object), its token counts, and ``finish_reason`` of the first choice.
+
+    Both come only from a response that is a JSON object; the choice must be an object in a list. Text that does not
+    parse, null and missing fields give null.
+    """
+    kept = responses.withColumn("_v", F.try_parse_json(response))
+    usage = F.try_variant_get("_v", "$.usage", "variant")
+    count = lambda name: F.try_variant_get("_v", f"$.usage.{name}", "bigint").alias(name)
+    return kept.select(
+        *[c for c in responses.columns], F.when(~F.is_variant_null(usage), F.to_json(usage)).alias("usage"), count("prompt_tokens"), count("completion_tokens"),
+        count("total_tokens"), F.try_variant_get("_v", "$.choices[0].finish_reason", "string").alias("finish_reason"),
+    )

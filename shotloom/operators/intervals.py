@@ -185,17 +185,71 @@ def preceding_group_join(points: DataFrame, groups: DataFrame, keys: Sequence[st
     return run.where("_kind = 1").select("_row.*", F.coalesce("group_ord", F.lit(0)).alias("group_ord"))
 
 
-def mention_join(texts: DataFrame, ids: DataFrame, id_col: str = "ref_id", keys: Sequence[str] = K) -> DataFrame:
-    """Ids mentioned in free text on word boundaries, with the first position (token index).
+_WORD, _OTHER = "[A-Za-z0-9_]+", "[^A-Za-z0-9_]"
 
-    ``texts``: keys, text_id, text. A repeated word of a text is folded to its first position in each task, before the
-    equality join.
+
+def _words_of(runs: Column, shape: tuple[int, int, int]) -> Column:
+    """All stretches of a text that could be an id of this shape: array of (w, pos), pos counting words from 1.
+
+    ``runs``: the text cut into runs of word characters and of others. A shape is the number of characters before the
+    first word, of words, and of characters after the last.
     """
-    tokens = F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))
-    t = texts.select(*keys, "text_id", F.posexplode(tokens).alias("_p", "_w")).groupBy(*keys, "text_id", "_w").agg((F.min("_p") + 1).cast("bigint").alias("pos"))
-    return t.join(ids.select(*keys, F.col(id_col).alias("_w")).distinct(), [*keys, "_w"]).select(
-        *keys, "text_id", F.col("_w").alias(id_col), "pos"
-    )
+    lead, words, tail = shape
+    total = F.size(runs)
+    first = F.when(F.get(runs, F.lit(0)).rlike(_WORD), 1).otherwise(2)  # of the word runs, which are every second one
+    count = F.floor((total - first) / 2) + 1
+    if not words:
+        runs_at = F.filter(F.transform(runs, lambda r, j: F.struct(r.alias("r"), (j + 1).alias("j"))), lambda x: x["r"].rlike(_OTHER) & (F.length(x["r"]) >= lead))
+
+        def inside(x: Column) -> Column:
+            free = F.length(x["r"]) - lead
+            starts = F.filter(F.sequence(F.lit(0), free), lambda q: ((q > 0) | (x["j"] == 1)) & ((q < free) | (x["j"] == total)))
+            return F.transform(starts, lambda q: F.struct(F.substring(x["r"], q + 1, F.lit(lead)).alias("w"), (F.floor(x["j"] / 2) + 1).alias("pos")))
+
+        return F.flatten(F.transform(runs_at, inside))
+
+    def stretch(t: Column) -> Column:
+        at = (first + 2 * t).cast("int")
+        end = at + 2 * words - 1  # the run after the last word
+        before, after = F.get(runs, at - 2), F.get(runs, end - 1)
+        ok, parts = t + words <= count, [F.array_join(F.slice(runs, at, F.lit(2 * words - 1)), "")]
+        if lead:
+            ok = ok & ((F.length(before) > lead) | ((F.length(before) == lead) & (at == 2)))
+            parts.insert(0, F.right(before, F.lit(lead)))
+        if tail:
+            ok = ok & ((F.length(after) > tail) | ((F.length(after) == tail) & (end == total)))
+            parts.append(F.left(after, F.lit(tail)))
+        return F.when(ok, F.struct(F.concat(*parts).alias("w"), (t + 1).cast("bigint").alias("pos")))
+
+    at_words = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1))
+    return F.filter(F.coalesce(F.transform(at_words, stretch), F.array()), lambda x: x.isNotNull())
+
+
+def mention_join(texts: DataFrame, ids: DataFrame, id_col: str = "ref_id", keys: Sequence[str] = K, salts: int = 16) -> DataFrame:
+    """Ids mentioned in free text on word boundaries, with the first position: that of the mention's first word, from 1
+    (of an id without words, that of the word after it).
+
+    ``texts``: keys, text_id, text. An id may hold any characters; it is mentioned where no ASCII letter, digit or
+    underscore touches it. Texts are cut into the stretches that the ids' shapes allow (characters before the first word,
+    words, characters after the last; only the few distinct shapes come to the driver), so ids are found by equality alone.
+    A repeated stretch of a text is folded to its first position in each task. A frequent id is spread over ``salts``
+    keys by the text, each with a copy of the id. Null and empty texts and ids give nothing.
+    """
+    wanted = ids.where(F.col(id_col) != "").select(*keys, F.col(id_col).alias("_w")).distinct()
+    found = F.size(F.regexp_extract_all("_w", F.lit(_WORD), F.lit(0)))
+    lead = F.length(F.regexp_extract("_w", f"^{_OTHER}*", 0))
+    tail = F.when(found > 0, F.length(F.regexp_extract("_w", f"{_OTHER}*$", 0))).otherwise(0)
+    shapes = [tuple(r) for r in wanted.select(lead.alias("a"), found.alias("b"), tail.alias("c")).distinct().collect()]
+    t = texts.select(*keys, "text_id", "text")
+    if all(shape == (0, 1, 0) for shape in shapes):
+        t = t.select(*keys, "text_id", F.posexplode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("pos", "_w")).withColumn("pos", (F.col("pos") + 1).cast("bigint"))
+    else:
+        t = t.where(F.length("text") > 0).select(*keys, "text_id", F.regexp_extract_all("text", F.lit(f"{_WORD}|{_OTHER}+"), F.lit(0)).alias("_runs"))
+        t = t.select(*keys, "text_id", F.explode(F.flatten(F.array(*[_words_of(F.col("_runs"), shape) for shape in sorted(shapes)]))).alias("_m"))
+        t = t.select(*keys, "text_id", F.col("_m.w").alias("_w"), F.col("_m.pos").alias("pos"))
+    t = t.groupBy(*keys, "text_id", "_w").agg(F.min("pos").alias("pos")).withColumn("_salt", F.pmod(F.xxhash64("text_id"), F.lit(salts)).cast("int"))
+    spread = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return t.join(spread, [*keys, "_w", "_salt"]).select(*keys, "text_id", F.col("_w").alias(id_col), "pos")
 
 
 def expand_refs(parents: DataFrame, cards: DataFrame, refs: str, keys: Sequence[str] = K) -> DataFrame:

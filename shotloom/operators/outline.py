@@ -340,6 +340,43 @@ def topic_shift(rows: DataFrame, keys: Sequence[str], pos: str = "pos", total: s
     return kept.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("shifts"))
 
 
+def tertile(pos: Column, size: Column) -> Column:
+    """Third (0 to 2) of a group of ``size`` in which the 1-based position lies."""
+    return F.least(F.lit(2), F.floor((pos - 1) * 3 / size))
+
+
+def tertile_hits(cards: DataFrame, keys: Sequence[str] = ("video_id", "chapter_no"), minimum: float = 0.7) -> DataFrame:
+    """How many thirds of each group hold a card of at least ``minimum`` importance: keys, thirds (0 without one).
+
+    ``cards``: keys, ord (any numbers that give the order), importance_score; a null score counts as 0.
+    """
+    rows = with_ordinal(cards.select(*keys, "ord", "importance_score"), list(keys), [F.col("ord")], id_bucket(F.col("ord")), "_pos", "_size")
+    hit = F.when(F.coalesce("importance_score", F.lit(0.0)) >= minimum, tertile(F.col("_pos"), F.col("_size")))
+    return rows.groupBy(*keys).agg(F.count_distinct(hit).alias("thirds"))
+
+
+def coverage(assigned: DataFrame, members: DataFrame, keys: Sequence[str], item: str, minimum: float = 0.6) -> DataFrame:
+    """Share of each group's members that were assigned: keys, assigned, total, coverage, enough.
+
+    Repeated items of ``assigned`` count once, also those that are no member; rows of ``members`` all count. A group
+    without an assigned item has coverage 0.
+    """
+    got = assigned.groupBy(*keys).agg(F.count_distinct(item).alias("assigned"))
+    d = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("total")).join(got, list(keys), "left").na.fill(0, ["assigned"])
+    share = F.col("assigned") / F.greatest(F.lit(1), F.col("total"))
+    return d.select(*keys, "assigned", "total", share.alias("coverage"), (share >= minimum).alias("enough"))
+
+
+def truncate_and_merge(items: DataFrame, keep: int, keys: Sequence[str] = K, order: str = "group_ord") -> DataFrame:
+    """Items with their group limited to the first ``keep`` of its key by ``order``; surplus groups go into the last kept one.
+
+    Adds ``kept_ord``, from 0 and without holes. Groups are few per key (one row each is ranked); items are not shuffled to them by key alone.
+    """
+    groups = items.select(*keys, order).distinct()
+    place = F.dense_rank().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    return items.join(groups.select(*keys, order, F.least(place, F.lit(keep - 1)).alias("kept_ord")), [*keys, order])
+
+
 def chapter_metrics(chapter_shots: DataFrame) -> DataFrame:
     """Per chapter: shot count, duration, topics, shifts, thirds holding an important card, share of the video."""
     keys = ["video_id", "chapter_no"]
@@ -348,7 +385,7 @@ def chapter_metrics(chapter_shots: DataFrame) -> DataFrame:
         topic_tokens(F.col("topic_tags"), F.col("key_entities"), F.col("narrative_role")).alias("tokens"),
     )
     rows = materialize(with_ordinal(narrow, keys, [F.col("ord")], id_bucket(F.col("ord")), "pos", "chapter_size"))
-    third = F.least(F.lit(2), F.floor((F.col("pos") - 1) * 3 / F.col("chapter_size")))
+    third = tertile(F.col("pos"), F.col("chapter_size"))
     base = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("int").alias("shot_count"),
         F.coalesce(F.greatest(F.lit(0.0), F.max("end_sec") - F.min("start_sec")), F.lit(0.0)).alias("duration_sec"),
@@ -429,25 +466,48 @@ def _token_sets(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return d.withColumn("_set", F.array_join("_tokens", "\x1f"))
 
 
-def similar_sets(left: DataFrame, right: DataFrame, minimum: float, keys: Sequence[str] = K) -> DataFrame:
+def set_members(df: DataFrame, keys: Sequence[str] = K) -> DataFrame:
+    """Rows with a non-empty title and `title_set`, the text that names its token set in `similar_sets`."""
+    return _token_sets(df, keys).withColumnRenamed("_set", "title_set").drop("_tokens")
+
+
+def similar_sets(left: DataFrame, right: DataFrame, minimum: float, keys: Sequence[str] = K, block: int = 2048) -> DataFrame:
     """Pairs of token sets with an overlap of at least ``minimum``: keys, set_a, n_a, set_b, n_b, similarity.
 
     ``left`` and ``right``: keys, title. Equal sets are one row with the number of its titles, so repeated titles never
-    meet one by one. Sets meet only through a shared token; a pair can only reach a positive minimum when one of its
-    rarest ``n - ceil(minimum * n) + 1`` tokens is shared, so only those are joined, and pairs are then verified.
+    meet one by one; `set_members` gives the titles of a set, so pairs and members together grow with the titles.
+
+    Sets meet only through a shared token; a pair can only reach a positive minimum when one of its rarest
+    ``n - ceil(minimum * n) + 1`` tokens is shared, so only those are joined. A meeting counts if the sizes allow the
+    minimum, and if enough tokens follow the shared one in both orders (true at the first shared token of every pair that
+    reaches it). The sets of a token are cut into blocks of about ``block``, and each pair of blocks is a key of its own, so a
+    token that very many sets hold is no single task. Pairs are then verified on the whole sets.
     """
     fold = lambda df, n: _token_sets(df, keys).groupBy(*keys, "_set").agg(F.first("_tokens").alias("_tokens"), F.count(F.lit(1)).alias(n))
     a, b = fold(left, "n_a"), fold(right, "n_b")
     ea, eb = (x.select(*keys, "_set", F.explode("_tokens").alias("_t")) for x in (a, b))
     freq = ea.select(*keys, "_t").unionByName(eb.select(*keys, "_t")).groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_f"))
 
-    def prefix(e: DataFrame, name: str) -> DataFrame:
+    def prefix(e: DataFrame, side: str) -> DataFrame:
         got = e.join(freq, [*keys, "_t"]).groupBy(*keys, "_set").agg(F.sort_array(F.collect_list(F.struct("_f", "_t"))).alias("_l"))
         n = F.size("_l")
         keep = n - F.ceil(n * F.lit(minimum) - 1e-9) + 1
-        return got.select(*keys, F.col("_set").alias(name), F.explode(F.transform(F.slice("_l", F.lit(1), keep.cast("int")), lambda x: x["_t"])).alias("_t"))
-
-    pairs = prefix(ea, "set_a").join(prefix(eb, "set_b"), [*keys, "_t"]).select(*keys, "set_a", "set_b").distinct()
+        some = F.transform(F.slice("_l", F.lit(1), keep.cast("int")), lambda x, i: F.struct(x["_t"].alias("t"), (n - i - 1).alias("left")))
+        got = got.select(*keys, F.col("_set").alias(f"set_{side}"), n.alias(f"_n{side}"), F.explode(some).alias("_x"))
+        return materialize(got.select(*keys, f"set_{side}", f"_n{side}", F.col("_x.t").alias("_t"), F.col("_x.left").alias(f"_left{side}")))
+
+    pa, pb = prefix(ea, "a"), prefix(eb, "b")
+    blocks = lambda p, name: p.groupBy(*keys, "_t").agg(F.ceil(F.count(F.lit(1)) / block).alias(name))
+    cut = blocks(pa, "_ba").join(blocks(pb, "_bb"), [*keys, "_t"])  # tokens without a set on the other side end here
+
+    def dealt(p: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(f"set_{own}"), F.col(f"_b{own}"))
+        return p.join(cut, [*keys, "_t"]).select(*p.columns, mine.alias(f"_k{own}"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_b{other}") - 1)).alias(f"_k{other}"))
+
+    met = dealt(pa, "a", "b").join(dealt(pb, "b", "a"), [*keys, "_t", "_ka", "_kb"])
+    sizes = (F.col("_na") >= minimum * F.col("_nb") - 1e-9) & (F.col("_nb") >= minimum * F.col("_na") - 1e-9)
+    least = F.ceil(minimum / (1 + minimum) * (F.col("_na") + F.col("_nb")) - 1e-9)
+    pairs = met.where(sizes & (1 + F.least("_lefta", "_leftb") >= least)).select(*keys, "set_a", "set_b").distinct()
     side = lambda x, name, n, t: x.select(*keys, F.col("_set").alias(name), n, F.col("_tokens").alias(t))
     full = pairs.join(side(a, "set_a", "n_a", "_a"), [*keys, "set_a"]).join(side(b, "set_b", "n_b", "_b"), [*keys, "set_b"])
     return full.select(*keys, "set_a", "n_a", "set_b", "n_b", tx.jaccard(F.col("_a"), F.col("_b")).alias("similarity")).where(F.col("similarity") >= minimum)

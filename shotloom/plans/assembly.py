@@ -9,6 +9,7 @@ from ..operators import bodies as bd
 from ..operators import calls as cl
 from ..operators import freshness as fr
 from ..operators import ordered as od
+from ..operators import outline as ol
 from ..operators import qa
 from ..operators import refs as rf
 from ..operators import report as rp
@@ -264,8 +265,8 @@ def _(spark, d):
 
 @query("truncate_and_merge", typed("SELECT conv_id, least(turn, 2) AS group_ord, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY ALL", bigint="chars"))
 def _(spark, d):
-    c = v.table(spark, d, "conversations").withColumn("group_ord", F.least(F.col("turn"), F.lit(2)))
-    return c.groupBy("conv_id", "group_ord").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    c = ol.truncate_and_merge(v.table(spark, d, "conversations").select("conv_id", "turn", "text"), 3, ["conv_id"], "turn")
+    return c.groupBy("conv_id", F.col("kept_ord").alias("group_ord")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("parse_chapter_responses", f"""
@@ -395,6 +396,18 @@ def _(spark, d):
     return qa.repair_lines(rows).drop("line")
 
 
+@query("qa_repair_text", """
+  WITH f AS (SELECT *, bool_or(value > 90) OVER (PARTITION BY user_id) AS bad, '```json' || chr(10) || replace(props, '}', ',}') || chr(10) || '```' AS fenced FROM events)
+  SELECT CAST(user_id AS VARCHAR) AS path, event_id AS line_no,
+    CASE WHEN bad THEN CASE WHEN value > 90 THEN '{oops' WHEN value > 50 THEN fenced ELSE props END ELSE replace(props, ' ', '') END AS line FROM f""")
+def _(spark, d):
+    val = F.col("value")
+    line = F.when(val > 90, "{oops").when(val > 50, F.concat(F.lit("```json\n"), F.replace("props", F.lit("}"), F.lit(",}")), F.lit("\n```"))).otherwise(F.col("props"))
+    rows = v.table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("line_no"), line.alias("line"))
+    got = qa.repair_lines(rows)
+    return got.select("path", "line_no", F.when(F.col("file_status") == "failed", F.col("line")).otherwise(F.replace("line", F.lit(" "), F.lit(""))).alias("line"))
+
+
 @query("qa_repair_frames", """
   WITH b AS (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem GROUP BY l_orderkey), ok AS (SELECT p_partkey FROM part WHERE p_size > 10),
   f AS (SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 1e7 + l_partkey) AS p FROM lineitem WHERE l_partkey IN (FROM ok) GROUP BY l_orderkey)
@@ -433,7 +446,7 @@ def _(spark, d):
 
 @query("last_status", o.with_views("v_calls", f", {CALL_ROWS} SELECT function, arg_max(status, call_id) AS last_status FROM c GROUP BY function"))
 def _(spark, d):
-    return call_rows(spark, d).groupBy("function").agg(F.max_by("status", F.struct("time", "call_id")).alias("last_status"))
+    return cl.last_status(call_rows(spark, d))
 
 
 @query("link_provider_calls", """

@@ -10,6 +10,7 @@ from ..functions import nested
 from ..functions import numbers as num
 from ..functions import tags as tg
 from ..functions import text as tx
+from ..operators import calls as cl
 from ..operators import ocr
 from . import oracle as o
 from . import views as v
@@ -366,11 +367,17 @@ def _(spark, d):
 def _(spark, d):
     raw = F.expr("""CASE event_type WHEN 'error' THEN 'oops' ELSE '{"usage":{"total_tokens":' || (event_id % 1000) || '},"choices":[{"finish_reason":"' ||
       CASE event_type WHEN 'view' THEN 'stop' ELSE 'length' END || '"}]}' END""")
-    e = v.table(spark, d, "events").select("event_id", F.try_parse_json(raw).alias("r"))
-    return e.select(
-        "event_id", F.try_variant_get("r", "$.usage.total_tokens", "bigint").alias("total_tokens"),
-        F.try_variant_get("r", "$.choices[0].finish_reason", "string").alias("finish_reason"),
-    )
+    return cl.usage_fields(v.table(spark, d, "events").select("event_id", raw.alias("response"))).select("event_id", "total_tokens", "finish_reason")
+
+
+@query("usage_object", """
+  SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN '{"completion_tokens":' || (event_id % 7) || ',"total_tokens":' || (event_id % 1000) || '}' END AS usage, NULL::BIGINT AS prompt_tokens,
+    CASE WHEN event_type IN ('view', 'click') THEN event_id % 7 END AS completion_tokens, CASE WHEN event_type IN ('view', 'click') THEN event_id % 1000 END AS total_tokens,
+    CASE event_type WHEN 'view' THEN 'stop' WHEN 'purchase' THEN 'length' END AS finish_reason FROM events""")
+def _(spark, d):
+    raw = F.expr("""CASE event_type WHEN 'error' THEN 'oops' WHEN 'signup' THEN '[1]' WHEN 'purchase' THEN '{"usage":null,"choices":[{"finish_reason":"length"},{"finish_reason":"stop"}]}'
+      ELSE '{"usage":{"total_tokens":' || (event_id % 1000) || ',"completion_tokens":' || (event_id % 7) || '},"choices":' || CASE event_type WHEN 'view' THEN '[{"finish_reason":"stop"}]' ELSE '[]' END || '}' END""")
+    return cl.usage_fields(v.table(spark, d, "events").select("event_id", raw.alias("response"))).drop("response")
 
 
 @query("render_value", """

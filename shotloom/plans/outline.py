@@ -232,12 +232,7 @@ def _(spark, d):
 
 @query("tertile_hits", o.with_views("v_chapter_cards", "SELECT video_id, chapter_no, count(DISTINCT least(2, pos * 3 // chap_n)) AS thirds FROM v_chapter_cards WHERE importance_score >= 0.7 GROUP BY ALL"))
 def _(spark, d):
-    c = chapters3(slim(spark, d))
-    per = F.ceil(F.col("card_count") / 3)
-    first = (F.col("chapter_no") - 1) * per
-    size = F.least(per, F.col("card_count") - first)
-    third = F.least(F.lit(2), F.floor((F.col("ord") - 1 - first) * 3 / size))
-    return c.where("importance_score >= 0.7").groupBy("video_id", "chapter_no").agg(F.count_distinct(third).alias("thirds"))
+    return ol.tertile_hits(chapters3(slim(spark, d))).where("thirds > 0")
 
 
 @query("outline_metrics", o.recursive(o.with_views("v_metrics", f"""
@@ -296,8 +291,8 @@ def _(spark, d):
 @query("group_coverage", """
   SELECT o_custkey, count(DISTINCT o_orderkey) FILTER (o_orderstatus <> 'P') AS assigned, count(*) AS total, count(DISTINCT o_orderkey) FILTER (o_orderstatus <> 'P')::DOUBLE / greatest(1, count(*)) >= 0.6 AS enough FROM orders GROUP BY o_custkey""")
 def _(spark, d):
-    g = v.table(spark, d, "orders").groupBy("o_custkey").agg(F.count_distinct(F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey"))).alias("assigned"), F.count(F.lit(1)).alias("total"))
-    return g.withColumn("enough", F.col("assigned") / F.greatest(F.lit(1), F.col("total")) >= 0.6)
+    orders = v.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return ol.coverage(orders.where("o_orderstatus <> 'P'"), orders, ["o_custkey"], "o_orderkey").drop("coverage")
 
 
 # --- similarity and risk --------------------------------------------------------------

@@ -97,6 +97,19 @@ def _(spark, d):
     return iv.mention_join(docs, ids, keys=[])
 
 
+@query("mention_join_marked", """
+  WITH ids AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+[-. ][A-Za-z0-9_]+')) AS ref_id FROM benchmark),
+  t AS (SELECT doc_id AS text_id, text, regexp_extract_all(text, '[A-Za-z0-9_]+') AS ws, regexp_split_to_array(text, '[A-Za-z0-9_]+') AS gaps FROM documents),
+  p AS (SELECT text_id, ws, gaps, unnest(range(1, len(ws))) AS pos FROM t),
+  u AS (SELECT text_id, pos, ws[pos] || gaps[pos + 1] || ws[pos + 1] AS w FROM p WHERE length(gaps[pos + 1]) = 1)
+  SELECT text_id, w AS ref_id, min(pos) AS pos FROM u JOIN ids ON ids.ref_id = u.w GROUP BY ALL""")
+def _(spark, d):
+    pairs = F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+[-. ][A-Za-z0-9_]+"), F.lit(0))
+    ids = v.table(spark, d, "benchmark").select(F.explode(F.array_distinct(pairs)).alias("ref_id")).distinct()
+    docs = v.table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return iv.mention_join(docs, ids, keys=[])
+
+
 NEAREST_FIXTURE = {
     "g": """SELECT video_id, (seq % 5)::INT AS group_ord, min(m) AS lo, max(m) AS hi FROM p WHERE kind = 'view' AND value > 90 GROUP BY ALL""",
     "p": f"""SELECT CAST(user_id AS VARCHAR) AS video_id, event_id AS seq, event_type AS kind, value,
