@@ -45,9 +45,9 @@ def _(spark, d):
     return got.select("o_custkey", F.col("shot_id").alias("shot_key"), "o_totalprice", "pos")
 
 
-@query("difference", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("difference", "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def _(spark, d):
-    return rf.difference(v.table(spark, d, "customer"), orders(spark, d).select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return rf.difference(v.table(spark, d, "customer").select("c_custkey"), orders(spark, d).where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("intersect", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
@@ -480,7 +480,7 @@ EDGES = [("click", "view"), ("purchase", "click"), ("signup", "view"), ("error",
 
 
 @query("stale_partitions", f"""
-  WITH m AS (SELECT user_id, event_type AS stage, max(ts) AS mtime, max_by(value, event_id) AS val FROM events WHERE value > 8 GROUP BY ALL),
+  WITH m AS (SELECT user_id, event_type AS stage, max(ts) AS mtime, max_by(value, event_id) AS val FROM events GROUP BY ALL),
   w AS (SELECT DISTINCT user_id, stage FROM (SELECT DISTINCT user_id FROM events), (VALUES ('view'), ('click'), ('purchase'), ('signup'), ('error')) s(stage)),
   e(stage, dep) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in EDGES)}),
   l AS (SELECT w.user_id, w.stage, bool_or(dm.mtime IS NULL OR dm.mtime > m.mtime) AS late FROM w JOIN e ON e.stage = w.stage LEFT JOIN m ON m.user_id = w.user_id AND m.stage = w.stage
@@ -489,7 +489,7 @@ EDGES = [("click", "view"), ("purchase", "click"), ("signup", "view"), ("error",
    FROM w LEFT JOIN m ON m.user_id = w.user_id AND m.stage = w.stage LEFT JOIN l ON l.user_id = w.user_id AND l.stage = w.stage) WHERE reason IS NOT NULL""")
 def _(spark, d):
     e = v.events(spark, d).withColumn("video_id", F.col("user_id").cast("string"))
-    m = e.where("value > 8").groupBy("video_id", F.col("event_type").alias("stage")).agg(F.max("start_sec").alias("mtime"), F.max_by("value", "event_id").alias("val"))
+    m = e.groupBy("video_id", F.col("event_type").alias("stage")).agg(F.max("start_sec").alias("mtime"), F.max_by("value", "event_id").alias("val"))
     m = m.withColumn("status", F.when(F.col("val") > 40, "failed").otherwise("done")).withColumn("signature", F.when(F.col("val") > 20, "old").otherwise("new"))
     stages = F.array(*[F.lit(s) for s in ("view", "click", "purchase", "signup", "error")])
     wanted = e.select("video_id").distinct().select("video_id", F.explode(stages).alias("stage"))

@@ -47,20 +47,19 @@ def _(spark, d):
 
 @query("ocr_cards", f"""
   WITH c AS (SELECT conv_id, turn, role, {o.clean('text')} AS t FROM conversations),
-  s AS (SELECT conv_id, string_agg(t, ' ' ORDER BY f) AS screen, count(*) AS n FROM (SELECT conv_id, t, min(turn) AS f FROM c WHERE role = 'user' AND turn < 3 AND t <> '' GROUP BY ALL) GROUP BY conv_id),
+  s AS (SELECT conv_id, string_agg(t, ' ' ORDER BY f) AS screen, count(*) AS n FROM (SELECT conv_id, t, min(turn) AS f FROM c WHERE t <> '' GROUP BY ALL) GROUP BY conv_id),
   k AS (SELECT conv_id, string_agg(w, '|' ORDER BY n DESC, length(w), w) AS kw FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, length(w), w) AS r FROM (
      SELECT conv_id, w, count(*) AS n FROM (SELECT conv_id, unnest({o.words("screen || ' conv subtitle ' || conv_id")}) AS w FROM s) GROUP BY ALL)) WHERE r <= 3 GROUP BY conv_id)
   SELECT CAST(s.conv_id AS VARCHAR) AS video_id, kw AS topic_tags, s.n AS n_texts, {o.rnd("least(0.95::DOUBLE, greatest(0.85::DOUBLE, 0.25::DOUBLE + s.n * 0.08::DOUBLE + least(length('conv subtitle ' || s.conv_id), 160) / 320.0::DOUBLE))", 3)} AS importance_score,
-   'f' || b.turn AS frame FROM s JOIN k ON k.conv_id = s.conv_id JOIN (SELECT conv_id, min(turn) AS turn FROM c WHERE role = 'user' AND turn < 3 GROUP BY conv_id) b ON b.conv_id = s.conv_id""")
+   'f' || b.turn AS frame FROM s JOIN k ON k.conv_id = s.conv_id JOIN (SELECT conv_id, min(turn) AS turn FROM c GROUP BY conv_id) b ON b.conv_id = s.conv_id""")
 def _(spark, d):
     c = v.table(spark, d, "conversations")
     vid = F.col("conv_id").cast("string").alias("video_id")
-    used = c.where("role = 'user' and turn < 3")
-    packs = used.select(vid, F.lit("s1").alias("shot_id"), F.concat(F.lit("conv subtitle "), "conv_id").alias("subtitle_text")).distinct()
-    texts = c.where("role = 'user'").select(
+    packs = c.select(vid, F.lit("s1").alias("shot_id"), F.concat(F.lit("conv subtitle "), "conv_id").alias("subtitle_text")).distinct()
+    texts = c.select(
         vid, F.lit("s1").alias("shot_id"), (F.col("turn") + 1).cast("int").alias("frame_no"), F.concat(F.lit("f"), "turn").alias("frame"), F.lit(1).alias("ord"), "text"
     )
-    got = cd.ocr_cards(packs, texts, 3)
+    got = cd.ocr_cards(packs, texts, 1_000_000)
     return got.select("video_id", join("topic_tags").alias("topic_tags"), F.size("on_screen_text").alias("n_texts"), "importance_score", F.col("recommended_display_frame").alias("frame"))
 
 

@@ -110,11 +110,8 @@ def _(spark, d):
     return iv.mention_join(docs, ids, keys=[])
 
 
-NEAREST_FIXTURE = {
-    "g": """SELECT video_id, (seq % 5)::INT AS group_ord, min(m) AS lo, max(m) AS hi FROM p WHERE kind = 'view' AND value > 90 GROUP BY ALL""",
-    "p": f"""SELECT CAST(user_id AS VARCHAR) AS video_id, event_id AS seq, event_type AS kind, value,
-             CAST(floor(({o.EPOCH} - {BASE}) / 60) AS BIGINT) AS m FROM events""",
-}
+POINTS_SQL = f"""SELECT CAST(user_id AS VARCHAR) AS video_id, event_id AS seq, event_type AS kind, value,
+             CAST(floor(({o.EPOCH} - {BASE}) / 60) AS BIGINT) AS m FROM events"""
 
 
 def minutes(spark, d):
@@ -125,16 +122,17 @@ def minutes(spark, d):
 
 
 def point_groups(spark, d):
+    """Clicks, and the views of a video in groups of six hours: their number grows with the time that a video spans."""
     p = minutes(spark, d)
-    groups = p.where("kind = 'view' AND value > 25").groupBy("video_id", (F.col("seq") % 5).cast("int").alias("group_ord")).agg(
+    groups = p.where("kind = 'view'").groupBy("video_id", F.floor(F.col("ord") / 360).cast("int").alias("group_ord")).agg(
         F.min("ord").alias("lo"), F.max("ord").alias("hi")
     )
     return p.where("kind = 'click'").select("video_id", "seq", "ord"), groups
 
 
 def group_sql(body: str) -> str:
-    return f"""WITH p AS ({NEAREST_FIXTURE['p']}),
-      g AS (SELECT video_id, (seq % 5)::INT AS group_ord, min(m) AS lo, max(m) AS hi FROM p WHERE kind = 'view' AND value > 25 GROUP BY ALL),
+    return f"""WITH p AS ({POINTS_SQL}),
+      g AS (SELECT video_id, (m // 360)::INT AS group_ord, min(m) AS lo, max(m) AS hi FROM p WHERE kind = 'view' GROUP BY ALL),
       c AS (SELECT video_id, seq, m FROM p WHERE kind = 'click') {body}"""
 
 
@@ -389,20 +387,20 @@ def _(spark, d):
 
 
 @query("resolve_subtitle_source", f"""
-  WITH e AS (SELECT CAST(user_id AS VARCHAR) AS video_id, 'sub_' || event_id AS segment_id, {o.EPOCH} AS start_sec, {o.EPOCH} + value AS end_sec,
-     event_type AS text, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS r, value FROM events),
-  s AS (SELECT * FROM e WHERE value > 30 AND text IN ('click', 'view', 'signup')),
+  WITH e AS (SELECT user_id || ' ' || event_id // 64 AS video_id, 'sub_' || event_id AS segment_id, {o.EPOCH} AS start_sec, {o.EPOCH} + value AS end_sec,
+     event_type AS text, CASE event_type WHEN 'signup' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 END AS r FROM events),
+  s AS (SELECT * FROM e WHERE r IS NOT NULL),
   b AS (SELECT video_id, min(r) AS best FROM s GROUP BY video_id)
   SELECT s.video_id, CASE r WHEN 0 THEN 'sidecar_srt' WHEN 1 THEN 'sidecar_json' ELSE 'asr' END AS source, segment_id, start_sec, end_sec, text, NULL AS warning
   FROM s JOIN b ON s.video_id = b.video_id AND r = best
   UNION ALL SELECT DISTINCT video_id, 'empty', NULL, NULL::DOUBLE, NULL::DOUBLE, NULL, 'online_asr_disabled' FROM e WHERE video_id NOT IN (SELECT video_id FROM b)""")
 def _(spark, d):
     e = v.events(spark, d).select(
-        F.col("user_id").cast("string").alias("video_id"), F.concat(F.lit("sub_"), F.col("event_id")).alias("segment_id"),
-        "start_sec", (F.col("start_sec") + F.col("value")).alias("end_sec"), F.col("event_type").alias("text"), "value",
+        F.concat_ws(" ", "user_id", F.expr("event_id div 64")).alias("video_id"), F.concat(F.lit("sub_"), F.col("event_id")).alias("segment_id"),
+        "start_sec", (F.col("start_sec") + F.col("value")).alias("end_sec"), F.col("event_type").alias("text"),
     )
-    part = lambda kind: e.where((F.col("text") == kind) & (F.col("value") > 30))
-    return sub.resolve_source(e, [("sidecar_srt", part("click")), ("sidecar_json", part("view")), ("asr", part("signup"))])
+    part = lambda kind: e.where(F.col("text") == kind)
+    return sub.resolve_source(e, [("sidecar_srt", part("signup")), ("sidecar_json", part("click")), ("asr", part("view"))])
 
 
 @query("write_srt", o.with_views("v_segments", f"""

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import ship
+
 CORRUPT = "_corrupt_record"
+#: Files up to this many bytes are hashed as one value; larger ones are read in slices of SLICE bytes.
+WHOLE_FILE, SLICE = 64 << 20, 8 << 20
 
 
 def project_id(depth: int = 1) -> Column:
@@ -22,9 +28,15 @@ def read_artifacts(spark: SparkSession, path: str, schema: StructType | str, dep
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = True, depth: int = 1) -> DataFrame:
-    """Line JSON. Strict mode fails on a bad line; otherwise it is kept in ``_corrupt_record``. Blank lines are skipped."""
+    """Line JSON. Strict mode fails on a bad line; otherwise it is kept in ``_corrupt_record``. Blank lines are skipped.
+
+    Strict mode looks through the files once before they are read, so that its error names the file and the line.
+    """
     reader = spark.read
     if strict:
+        first = _placed(spark, path, schema).where("_bad is not null").select("path", (F.col("_before") + F.col("_bad") + 1).alias("line_no")).orderBy("path", "line_no").first()
+        if first:
+            raise ValueError(f"Invalid JSON in {first['path']}:{first['line_no']}")
         df = reader.schema(schema).option("mode", "FAILFAST").json(path)
     else:
         wide = StructType([*schema.fields]).add(CORRUPT, "string")
@@ -32,6 +44,34 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool
     return df.withColumn("video_id", project_id(depth))
 
 
+def _lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Lines with their file, the start of their split, a number that counts up within it, and whether they are bad JSON."""
+    wide = StructType([*schema.fields]).add(CORRUPT, "string")
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    d = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value",
+    )
+    return d.withColumn("_wrong", (F.trim("value") != "") & parsed[CORRUPT].isNotNull())
+
+
+def _placed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """One row per file split: its first number, the lines before it in its file, and where its first bad line is."""
+    splits = _lines(spark, path, schema).groupBy("path", "_at").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), (F.min(F.when(F.col("_wrong"), F.col("_id"))) - F.min("_id")).alias("_bad"),
+    )
+    return splits.withColumn("_before", F.sum("_n").over(Window.partitionBy("path").orderBy("_at")) - F.col("_n"))
+
+
+def jsonl_errors(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Every bad line of line-JSON files: path, line_no (from 1, blank lines counted), line.
+
+    Splits count their lines where they are read; line numbers come from a running sum over the splits of a file.
+    """
+    bad = _lines(spark, path, schema).where("_wrong")
+    splits = _placed(spark, path, schema).select("path", "_at", "_first", "_before")
+    return bad.join(splits, ["path", "_at"]).select("path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), F.col("value").alias("line"))
+
+
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.srt") -> DataFrame:
     """Whole text files below ``path``: video_id (file stem) and content."""
     d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
@@ -42,12 +82,39 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.srt") -> DataFr
 def catalog_files(spark: SparkSession, path: str, pattern: str = "*", depth: int = 1, content_hash: bool = True) -> DataFrame:
     """Inventory of files: path, video_id, size, modification time and, if asked for, the content's SHA-256.
 
-    Without ``content_hash`` no file is opened, which is the way for media files of many gigabytes.
+    Without ``content_hash`` no file is opened. Files of more than WHOLE_FILE bytes are hashed slice by slice, through the
+    file system of their path (a local or mounted folder, or one that ``pyarrow.fs`` reaches), in constant memory.
     """
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     folder = F.element_at(F.split("path", "/"), -1 - depth)
     cols = ["path", folder.alias("video_id"), F.col("length").alias("size_bytes"), "modificationTime"]
-    return d.select(*cols, *([F.sha2("content", 256).alias("sha256")] if content_hash else []))
+    if not content_hash:
+        return d.select(*cols)
+    ship(spark)
+    large = d.where(F.col("length") > WHOLE_FILE).select(*cols)
+    hashed_large = large.repartition("path").mapInPandas(_sliced_hashes, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in large.schema)}, sha256 string")
+    return d.where(F.col("length") <= WHOLE_FILE).select(*cols, F.sha2("content", 256).alias("sha256")).unionByName(hashed_large)
+
+
+def _sliced_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for b in batches:
+        found = []
+        for path in b["path"]:
+            scheme, rest = path.split(":", 1) if ":/" in path else ("file", path)
+            if scheme == "file":
+                system, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+            else:  # only the store is taken as a URI: Spark's paths are not escaped
+                store, _, inside = rest.removeprefix("//").partition("/")
+                system, top = fs.FileSystem.from_uri(f"{scheme}://{store}/")
+                name = f"{top.rstrip('/')}/{inside}"
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as f:
+                while part := f.read(SLICE):
+                    digest.update(part)
+            found.append(digest.hexdigest())
+        yield b.assign(sha256=found)
 
 
 def discover_lines(spark: SparkSession, path: str, whole_files: str = "*.json", line_files: str = "*.jsonl") -> DataFrame:

@@ -28,6 +28,43 @@ def test_artifacts_and_lines(spark, tmp_path):
     assert files.count() == 2 and files.where("size_bytes > 0 and length(sha256) = 64").count() == 2
 
 
+def test_bad_lines_are_named_by_file_and_line(spark, tmp_path):
+    """Line numbers go on over the splits of a file; blank lines count."""
+    bad = {"a": [], "b": [4, 700, 2_999], "c": [1]}
+    for name, at in bad.items():
+        (tmp_path / name).mkdir()
+        lines = ["" if k % 11 == 0 else "{oops" if k in at else json.dumps({"shot_id": f"s{k}"}) for k in range(1, 3_000)]
+        (tmp_path / name / "cards.jsonl").write_text("\n".join(lines) + "\n")
+    schema = StructType().add("shot_id", StringType())
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(keep, ("2000", "100")):
+            spark.conf.set(k, v)
+        got = ar.jsonl_errors(spark, f"{tmp_path}/*/cards.jsonl", schema).collect()
+        assert sorted((r.path.split("/")[-2], r.line_no, r.line) for r in got) == [("b", 4, "{oops"), ("b", 700, "{oops"), ("b", 2_999, "{oops"), ("c", 1, "{oops")]
+        with pytest.raises(ValueError, match=r"b/cards\.jsonl:4$"):
+            ar.read_jsonl(spark, f"{tmp_path}/*/cards.jsonl", schema)
+        assert ar.read_jsonl(spark, f"{tmp_path}/a/cards.jsonl", schema).count() == 2_999 - 2_999 // 11
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_a_file_above_two_gigabytes_is_hashed_in_slices(spark, tmp_path):
+    import hashlib
+
+    size, zeros = (2 << 30) + 5, bytes(1 << 20)
+    with open(tmp_path / "long name é.bin", "wb") as f:
+        f.truncate(size)
+    (tmp_path / "small.bin").write_bytes(b"abc")
+    digest = hashlib.sha256()
+    for _ in range(size >> 20):
+        digest.update(zeros)
+    digest.update(bytes(5))
+    got = {r.size_bytes: r.sha256 for r in ar.catalog_files(spark, str(tmp_path)).collect()}
+    assert got == {size: digest.hexdigest(), 3: hashlib.sha256(b"abc").hexdigest()}
+
+
 def test_srt_round_trip(spark, tmp_path):
     (tmp_path / "clip.srt").write_text("1\n00:00:01,000 --> 00:00:02,500\nhello\n\n2\n00:00:03,000 --> 00:00:03,000\nzero\n\n3\n00:00:04,000 --> 00:00:05,000\n<i>two</i>\nlines\n")
     files = ar.read_texts(spark, str(tmp_path))
