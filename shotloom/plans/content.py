@@ -11,6 +11,7 @@ from ..functions import numbers as num
 from ..functions import tags as tg
 from ..functions import text as tx
 from ..operators import calls as cl
+from ..operators import cards
 from ..operators import ocr
 from . import oracle as o
 from . import views as v
@@ -486,6 +487,21 @@ def _(spark, d):
     return ocr.enclosing_box(flat(spark, d).where("x0 > 1100"), v.table(spark, d, "embeddings"), ["vec_id"])
 
 
+@query("provided_boxes", """
+  SELECT page_id, coalesce(min(x0), 0)::DOUBLE AS x0, 0::DOUBLE AS y0, coalesce(max(x0 + w), 0)::DOUBLE AS x1, coalesce(max(y + 1), 0)::DOUBLE AS y1 FROM (
+    SELECT page_id, y, length(ln) - length(ltrim(ln, ' ')) AS x0, length(ltrim(ln, ' ')) AS w FROM (
+      SELECT page_id, unnest(string_split(html, chr(10))) AS ln, unnest(range(len(string_split(html, chr(10))))) AS y FROM pages)) GROUP BY page_id""")
+def _(spark, d):
+    def lines(pages):
+        """A provider of the user's: one box per line of a page, as wide as its text."""
+        box = lambda y, ln: {"x0": float(len(ln) - len(ln.lstrip(" "))), "y0": float(y), "x1": float(len(ln)), "y1": y + 1.0}
+        return pages.map(lambda t: [box(y, ln) for y, ln in enumerate(t.split("\n"))] if t is not None else [])
+
+    pages = v.table(spark, d, "pages")
+    boxes = cards.with_boxes(pages.select("page_id", "html"), lines, "html").select("page_id", F.inline("boxes"))
+    return ocr.enclosing_box(boxes, pages, ["page_id"])
+
+
 @query("sheet_bounds", """
   SELECT sheet, min(r1) AS min_row, max(r2) AS max_row, min(c1) AS min_col, max(c2) AS max_col FROM (
     SELECT l_suppkey AS sheet, l_partkey + 1 AS r1, l_partkey + 1 AS r2, l_linenumber + 1 AS c1, l_linenumber + 1 AS c2 FROM lineitem WHERE l_tax > 0.02::DOUBLE AND l_partkey + 1 <= 1500
