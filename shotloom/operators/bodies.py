@@ -96,12 +96,12 @@ def write_batches(batched: DataFrame, cap: int, keys: Sequence[str], unit: str,
 def draft_bodies(members: DataFrame, keys: Sequence[str], limit: int = 900, points: int = 5) -> DataFrame:
     """Extractive body and key points per group. ``members``: keys, ord, merged_summary, frame.
 
-    Only the start of the joined text is used, so the rows beyond ``limit`` non-empty ones and the
-    characters beyond ``limit`` of each can not matter; they are dropped before the group is gathered.
+    Only the start of the joined text is used, so rows and characters far beyond ``limit`` can not matter; they are
+    dropped before the group is gathered. Two characters more than the limit stay, since one of them may be a blank.
     """
     d = members.withColumn("_t", tx.strip(F.coalesce("merged_summary", F.lit(""))))
-    lines = d.where("_t != ''").withColumn("_x", F.substring(tx.clean_text(F.col("_t")), 1, limit + 1))
-    head = top_k(lines.select(*keys, "ord", "_x"), keys, [F.col("ord")], limit // 2 + 1)
+    lines = d.where("_t != ''").withColumn("_x", F.substring(tx.clean_text(F.col("_t")), 1, max(limit, 80) + 2))
+    head = top_k(lines.select(*keys, "ord", "_x"), keys, [F.col("ord")], limit // 2 + 2)
     got = head.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", "_x"))).alias("_l"))
     texts = F.transform("_l", lambda x: x["_x"])
     frame = d.where(F.coalesce("frame", F.lit("")) != "").groupBy(*keys).agg(F.min_by("frame", "ord").alias("representative_frame"))

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from check_oracles import normal
+from shotloom.operators import bodies as bd
 
 
 def both(spark, folder, name, tables):
@@ -48,3 +49,12 @@ def test_difference_takes_every_order(spark, tmp_path):
     orders = con.execute("SELECT * FROM (VALUES (1::BIGINT, 'F'), (2::BIGINT, 'O'), (3::BIGINT, 'P')) t(o_custkey, o_orderstatus)").df()
     got, want = both(spark, tmp_path, "difference", {"customer": customer, "orders": orders})
     assert got == want == [(0.0,), (4.0,)]
+
+
+def test_a_body_with_a_blank_at_the_limit_is_cut(spark):
+    texts = ["x" * 20 + " " + "y" * 9, "x" * 19 + " " + "y" * 9, "x" * 21 + " y", "x" * 18 + " y z", "x" * 20]
+    d = spark.createDataFrame([(str(i), 1, t, None) for i, t in enumerate(texts)] + [("many", k, "a", None) for k in range(40)], "k string, ord int, merged_summary string, frame string")
+    for limit in (20, 21):
+        cut = lambda t: t if len(t) <= limit else t[: limit - 1].rstrip(" ") + "..."
+        got = {r.k: r.body_markdown for r in bd.draft_bodies(d, ["k"], limit).collect()}
+        assert got == {str(i): cut(t) for i, t in enumerate(texts)} | {"many": cut(" ".join("a" * 40))}
