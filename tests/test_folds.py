@@ -199,3 +199,89 @@ def test_group_joins_with_thousands_of_groups_of_one_key(spark):
             before.add((k, s, m, max((i for _, i, lo, _ in own if lo <= m), default=0)))
     assert {tuple(r) for r in iv.nearest_interval_join(p_df, g_df).collect()} == near
     assert {tuple(r) for r in iv.preceding_group_join(p_df, g_df).collect()} == before
+
+
+def _settled(items, least):
+    """Plain form of the merging of small groups: items [group, size, keep] to [(group, members)]."""
+    items = [[g, n, keep, [g]] for g, n, keep in items]
+    while len(items) > 1:
+        at = next((j for j, x in enumerate(items) if x[1] < least and not x[2]), None)
+        if at is None:
+            break
+        x = items.pop(at)
+        to = items[at - 1] if at else items[0]
+        to[1], to[2], to[3] = to[1] + x[1], False, to[3] + x[3]
+    return [(g, m) for g, _, _, m in items]
+
+
+def _grown(hulls, at):
+    inside = [g for g, lo, hi in hulls if lo <= at <= hi]
+    if inside:
+        return min(inside)
+    below, above = max((hi for _, _, hi in hulls if hi < at), default=None), min((lo for _, lo, _ in hulls if lo > at), default=None)
+    left, right = min((g for g, _, hi in hulls if hi == below), default=None), min((g for g, lo, _ in hulls if lo == above), default=None)
+    return right if left is None else left if right is None or at < above - 1 else min(left, right)
+
+
+def test_drafts_are_normalized_without_a_list_of_a_videos_groups(spark):
+    rng = random.Random(23)
+    sizes = {f"v{k}": (rng.randint(1, 40), rng.randint(1, 12)) for k in range(30)} | {"hot": (3000, 700)}
+    cards = [(v, o, f"s{o}", rng.choice([0.9, 0.3, None])) for v, (n, _) in sizes.items() for o in range(1, n + 1)]
+    claims = [(v, rng.randint(1, g), o) for v, (n, g) in sizes.items() for o in range(1, n + 1) if rng.random() < 0.5] + [("none", 1, 1)]
+    claims += [("hot", 2 + o // 5, o) for o in range(1, 3001) if o % 5]
+    c = spark.createDataFrame(cards, "video_id string, ord int, shot_id string, importance_score double")
+    shots = spark.createDataFrame(claims, "video_id string, draft_ord int, ord int")
+    drafts = shots.select("video_id", "draft_ord").distinct().withColumn("title", F.concat(F.lit("t"), "draft_ord"))
+    for least in (1, 2, 4):
+        got = {(r.video_id, r.ord): (r.chapter_no, r.draft_ord) for r in ol.normalize_drafts(drafts, shots, c, least).collect()}
+        want = {}
+        for v, (n, _) in sizes.items():
+            claim = {}
+            for w, g, o in claims:
+                if w == v:
+                    claim[o] = min(g, claim.get(o, g))
+            by = {}
+            for o, g in claim.items():
+                by.setdefault(g, []).append(o)
+            if not by:
+                continue
+            hulls = [(g, min(x), max(x)) for g, x in sorted(by.items())]
+            place = {o: claim[o] if o in claim else _grown(hulls, o) for o in range(1, n + 1)}
+            score = {o: s or 0.0 for w, o, _, s in cards if w == v}
+            full = {}
+            for o, g in place.items():
+                full.setdefault(g, []).append(o)
+            items = [(g, len(x), len(x) == 1 and score[x[0]] >= 0.85) for g, x in sorted(full.items(), key=lambda q: (min(q[1]), q[0]))]
+            for no, (lead, members) in enumerate(_settled(items, least), 1):
+                want |= {(v, o): (no, lead) for g in members for o in full[g]}
+        assert got == want
+    assert "hulls" not in ol.normalize_drafts(drafts, shots, c, 1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_subsections_are_normalized_without_a_list_of_a_chapters_claims(spark):
+    rng = random.Random(29)
+    sizes = {k: (rng.randint(1, 40), rng.randint(1, 9)) for k in range(30)} | {99: (3000, 700)}
+    c = spark.createDataFrame([("v", k, o, f"s{o}", rng.choice([0.9, 0.3])) for k, (n, _) in sizes.items() for o in range(1, n + 1)], "video_id string, chapter_no int, ord int, shot_id string, importance_score double")
+    score = {(r.chapter_no, r.ord): r.importance_score for r in c.collect()}
+    claims = [(k, rng.randint(1, g), o) for k, (n, g) in sizes.items() for o in range(1, n + 1) if rng.random() < 0.5]
+    shots = spark.createDataFrame([("v", *x) for x in claims], "video_id string, chapter_no int, draft_ord int, ord int")
+    drafts = shots.select("video_id", "chapter_no", "draft_ord").distinct().withColumn("title", F.lit("t"))
+    got = {(r.chapter_no, r.ord): (r.subsection_no, r.draft_ord) for r in ol.normalize_subsections(drafts, shots, c).collect()}
+    want = {}
+    for k, (n, _) in sizes.items():
+        claim = {}
+        for w, g, o in claims:
+            if w == k:
+                claim[o] = min(g, claim.get(o, g))
+        names = sorted(set(claim.values()))
+        group = {g: min(i, 4) for i, g in enumerate(names)}
+        lo = {g: min(o for o, x in claim.items() if x == g) for g in names}
+        full = {}
+        for o in range(1, n + 1):
+            g = group[claim[o]] if o in claim else max((group[x] for x in names if lo[x] <= o), default=0)
+            full.setdefault(g, []).append(o)
+        done = _settled([(g, len(x), len(x) == 1 and score[k, x[0]] >= 0.85) for g, x in sorted(full.items())], 2) if names else []
+        if len(done) >= 2:
+            for no, (lead, members) in enumerate(done, 1):
+                want |= {(k, o): (no, names[lead]) for g in members for o in full[g]}
+    assert got == want
