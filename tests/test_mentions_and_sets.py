@@ -77,3 +77,24 @@ def test_usage_and_last_status(spark):
     assert got == [('{"total_tokens":7,"x":{"y":1}}', None, None, 7, "stop"), none, none, none, none, ("3", None, None, None, None)]
     log = spark.createDataFrame([("f", 1, 1, "failure"), ("f", 2, 1, None), ("g", 5, 1, "success"), ("g", 5, 2, "failure")], "function string, time long, call_id long, status string")
     assert {tuple(r) for r in calls.last_status(log).collect()} == {("f", None), ("g", "failure")}
+
+
+def test_title_sets_of_two_sides_and_their_title_pairs(spark):
+    rng = random.Random(11)
+    words = [f"word{k}" for k in range(9)]
+    make = lambda n: [("v", k, 1, " ".join(rng.sample(words, rng.randint(1, 5)))) for k in range(n)]
+    left, right = make(60), make(45)
+    schema = "video_id string, chapter_no int, item_no int, title string"
+    l_df, r_df = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    near = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())) >= 0.6
+    got = [(r.chapter_no, r.other_no) for r in outline.cross_similarity(l_df, r_df.drop("item_no"), 0.6).collect()]
+    assert sorted(got) == sorted((a[1], b[1]) for a in left for b in right if a[1] != b[1] and near(a[3], b[3]))
+    got = [(r.chapter_no, r.other_no) for r in outline.cross_similarity(l_df, l_df.drop("item_no"), 0.6).collect()]
+    assert sorted(got) == sorted((a[1], b[1]) for a in left for b in left if a[1] != b[1] and near(a[3], b[3]))
+
+
+def test_no_title_text_goes_along_with_its_tokens(spark):
+    """Sets meet by number; the pairs hold no title."""
+    t = spark.range(20).select(F.lit("v").alias("video_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(400)]).alias("title"))
+    met = outline._similar_ids(t, t, 0.6, ["video_id"])[2]
+    assert met.columns == ["_ia", "_ib", "similarity"] and met.count() == 20
