@@ -308,9 +308,12 @@ def build_packages(
 
 def detect_shots(
     features: DataFrame, fps: float, threshold: float = 0.5, min_gap_seconds: float = 0.35,
-    min_shot_seconds: float = 0.15, keys: Sequence[str] = K,
+    min_shot_seconds: float = 0.15, keys: Sequence[str] = K, least_frames: int = 2,
 ) -> DataFrame:
-    """Frame features to shots with frame and time bounds and a shot number."""
+    """Frame features to shots with frame and time bounds and a shot number.
+
+    A scene shorter than ``min_shot_seconds`` or ``least_frames`` joins the one before; with 0 and 1 every cut opens a shot.
+    """
     scores = materialize(frame_diff(features, keys))
     levels = cut_threshold(scores, threshold, keys)
     peaks = peak_candidates(scores, levels, keys)
@@ -321,7 +324,7 @@ def detect_shots(
     cuts = min_gap_select(peaks, gap, keys=keys).unionByName(zero).distinct()
     bounds = cuts_to_bounds(materialize(cuts), counts, keys).join(counts, list(keys)).withColumn("seq", F.col("start_frame"))
     bounds = materialize(bounds)
-    scenes = merge_short_scenes(bounds, max(2, round(fps * max(0.0, min_shot_seconds))), keys)
+    scenes = merge_short_scenes(bounds, max(least_frames, round(fps * max(0.0, min_shot_seconds))), keys)
     timed = frames_to_time(scenes.join(counts, list(keys)), F.lit(float(fps)), F.col("frame_count") / F.lit(float(fps)))
     d = with_ordinal(timed, keys, [F.col("start_frame")], id_bucket(F.col("start_frame"), 65536), "shot_no")
     return d.select(
