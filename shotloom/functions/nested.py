@@ -1,8 +1,8 @@
 """Values nested to any depth in JSON texts: masking, plain rendering and recognised texts.
 
 A text is cut into tokens, which needs no recursion. Masking works on token columns: one token and its two neighbours tell keys,
-scalar values and long texts, inside the row; only where a sensitive key holds an object or a list are the tokens of that text
-put in rows, where running sums of brackets give the levels. Rendering and recognised texts reduce a text from the inside out.
+scalar values and long texts, inside the row, and a fold over the tokens takes out what a sensitive object or list holds; only of
+texts with very many tokens are these put in rows, where running sums of brackets give the levels. Rendering and recognised texts reduce a text from the inside out.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..operators.staging import materialize
 from ..session import ship
 from .jsontext import redact_data_url, trim_long
 from .text import clean_text, let
@@ -28,6 +29,8 @@ TEXT_KEYS = ["text", "transcription", "label"]
 LOG_TEXT_CHARS = 12_000
 #: Characters of a nested part that plain rendering keeps.
 PART_CHARS = 80
+#: Tokens of a text whose sensitive objects and lists are taken out inside the row; longer texts are shuffled.
+IN_ROW = 1024
 
 # Two control characters, which no JSON string holds as such, stand for an escaped backslash and an escaped quote.
 _HIDDEN = (("\\\\", "\x01"), ('\\"', "\x02"))
@@ -91,27 +94,44 @@ def _walked(c: Column, limit: int) -> Column:
     return let(_tokens(c), one)
 
 
+def _left(parts: Column) -> Column:
+    """Safe text of the tokens outside sensitive objects and lists: one fold over a text's tokens, which tells where each of those ends."""
+    state = F.struct(F.lit(0).alias("level"), F.lit(None).cast("int").alias("at"), F.array().cast("array<string>").alias("kept"))
+
+    def step(s: Column, p: Column) -> Column:
+        opens, closes, inside = p["tok"].isin("{", "["), p["tok"].isin("}", "]"), s["at"].isNotNull()
+        return F.struct(
+            (s["level"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("level"),
+            F.when(inside, F.when(~closes | (s["level"] != s["at"]), s["at"])).when(p["open"], s["level"] + 1).alias("at"),
+            F.when(inside, s["kept"]).otherwise(F.concat(s["kept"], F.array(p["safe"]))).alias("kept"),
+        )
+
+    return F.array_join(F.aggregate(parts, state, step)["kept"], "")
+
+
 def redact_payloads(df: DataFrame, column: str, limit: int = LOG_TEXT_CHARS) -> DataFrame:
     """`df` with payloads safe to store, as compact JSON: sensitive keys masked whatever they hold, data URLs described, long texts cut.
 
     Works at every depth and keeps numbers as they are written. Text that is no JSON is one text; text whose brackets and separators
     fit counts as JSON even where a parser refuses it, so nothing stays unmasked for its depth or for repeated keys. Null stays null.
-    Only texts in which a sensitive key holds an object or a list are shuffled, once per distinct text.
+    A sensitive key's object or list is taken out inside the row; texts of more than IN_ROW tokens in which one stands are shuffled,
+    once per distinct text.
     """
-    # what any deep text has; the walk then tells
-    likely = F.col(column).rlike(rf"(?i){'|'.join(SENSITIVE_KEY_PARTS)}|\\u") & F.col(column).rlike(r":\s*[{\[]")
+    # what a text for the shuffle has; the walk then tells. JSON has at most one token between two of these marks.
+    likely = F.col(column).rlike(rf"(?i){'|'.join(SENSITIVE_KEY_PARTS)}|\\u") & (F.regexp_count(column, F.lit(r"[{}\[\],:]")) * 2 >= IN_ROW)
     walked = lambda rows: rows.select("*", F.explode(F.array(_walked(F.col(column), limit))).alias("_walk"))  # noqa: E731  a generator, so that what follows does not work it out again
     deep = F.coalesce(F.col("_walk.json") & F.col("_walk.open"), F.lit(False))
-    plain = F.when(F.col("_walk.json"), F.array_join(F.col("_walk.parts.safe"), ""))
+    long = F.size("_walk.parts") > IN_ROW
+    plain = F.when(F.col("_walk.json"), F.when(F.col("_walk.open"), _left(F.col("_walk.parts"))).otherwise(F.array_join(F.col("_walk.parts.safe"), "")))
     url = redact_data_url(F.col(column))
-    flat = walked(df).filter(~deep).withColumn(column, F.coalesce(plain, F.when(url != F.col(column), url).otherwise(trim_long(F.col(column), limit)))).drop("_walk")
-    hard = walked(df.filter(likely)).filter(deep).withColumn("_hash", F.sha2(column, 256))
-    tokens = hard.select("_hash", "_walk").dropDuplicates(["_hash"]).select("_hash", F.posexplode("_walk.parts").alias("_pos", "_part")).select("_hash", "_pos", "_part.*")
+    flat = walked(df).filter(~(deep & long)).withColumn(column, F.coalesce(plain, F.when(url != F.col(column), url).otherwise(trim_long(F.col(column), limit)))).drop("_walk")
+    hard = materialize(walked(df.filter(likely)).filter(deep & long).withColumn("_hash", F.sha2(column, 256)).withColumn("_parts", F.col("_walk.parts")).drop("_walk"))
+    tokens = hard.select("_hash", "_parts").dropDuplicates(["_hash"]).select("_hash", F.posexplode("_parts").alias("_pos", "_part")).select("_hash", "_pos", "_part.*")
     step = F.when(F.col("tok").isin("{", "["), 1).when(F.col("tok").isin("}", "]"), -1).otherwise(0)
     whole = Window.partitionBy("_hash").orderBy("_pos")  # one text
-    # an opening and a closing bracket have the level of what is between them
+    # an opening and a closing bracket have the level of what is between them; what never closes goes to the end
     levels = tokens.withColumn("_step", step).withColumn("_level", F.sum("_step").over(whole) + F.when(F.col("_step") < 0, 1).otherwise(0))
-    partner = F.lead("_pos").over(Window.partitionBy("_hash", "_level", F.col("_step") != 0).orderBy("_pos"))
+    partner = F.coalesce(F.lead("_pos").over(Window.partitionBy("_hash", "_level", F.col("_step") != 0).orderBy("_pos")), F.lit(2**31 - 1))
     covered = F.max(F.when(F.col("open"), F.col("_end"))).over(whole.rowsBetween(Window.unboundedPreceding, -1))
     left = levels.withColumn("_end", partner).withColumn("_until", covered).filter("_until IS NULL OR _until < _pos")
     texts = left.groupBy("_hash").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "safe"))), lambda p: p["safe"]), "").alias("_safe"))

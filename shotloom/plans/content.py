@@ -355,7 +355,7 @@ def _(spark, d):
     || CASE WHEN length(w) > 500 THEN rtrim(left(w, 500), ' ') || '... [truncated chars=' || length(w) || ' sha256=' || sha256(w) || ']' ELSE w END || '"}' AS safe
   FROM (SELECT doc_id, lang, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') AS w FROM documents)""")
 def _(spark, d):
-    w = F.regexp_replace("text", "[^A-Za-z0-9 ]", "")
+    w = F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z0-9 ]+"), F.lit(0)), "")
     raw = F.concat(
         F.lit('{"a":{"secret_id":{"x":[1,{"y":"z"}]},"b":[{"Password":["p",null],"v":'), F.col("doc_id").cast("string"),
         F.lit(',"l":[[{"Bearer_x":null},null,true]]}]},"authorization":{"k":["Bearer q"]},"u":"data:image/png;base64,'), "lang", "lang", F.lit('","t":"'), w, F.lit('"}'),

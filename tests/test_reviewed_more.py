@@ -15,3 +15,23 @@ def test_a_cut_on_the_last_frame_opens_a_shot(spark, tmp_path):
     # left to itself the operator merges so short a scene
     frames = spark.createDataFrame([("a", i, [9.0 * (i == 29)] * 4, [1.0 + i // 29, 1.0], [0.0] * 4) for i in range(30)], "video_id string, frame_idx int, gray array<double>, hist array<double>, edge array<double>")
     assert [(r.start_frame, r.end_frame) for r in sh.detect_shots(frames, fps=12.0).collect()] == [(0, 29)]
+
+
+def test_sensitive_values_are_taken_out_inside_the_row_as_in_the_shuffle(spark, monkeypatch):
+    from shotloom.functions import nested
+
+    many = ",".join(f'{{"k":{i},"token_secret":[{i},{{"a":[1]}}]}}' for i in range(200))
+    rows = [
+        '{"secret":{"a":[1,{"b":2}],"c":{}},"d":[{"password":[]},{"x":{"Bearer":{"y":[[1]]}}}]}', f"[{many}]", f'{{"secret":[{many}],"z":1}}',
+        '[1]],"secret":[3', '{"secret":1,"a":[true,null]}', "no json {", None,
+    ]
+    d = spark.createDataFrame(list(enumerate(rows)), "i int, p string")
+    got = {}
+    for tokens in (0, 1024, 100_000):
+        monkeypatch.setattr(nested, "IN_ROW", tokens)
+        got[tokens] = [r.p for r in nested.redact_payloads(d, "p").orderBy("i").collect()]
+    assert got[0] == got[1024] == got[100_000]
+    mask = '"***redacted***"'
+    assert got[1024][0] == f'{{"secret":{mask},"d":[{{"password":{mask}}},{{"x":{{"Bearer":{mask}}}}}]}}'
+    assert got[1024][1] == "[" + ",".join(f'{{"k":{i},"token_secret":{mask}}}' for i in range(200)) + "]"
+    assert got[1024][2:4] == [f'{{"secret":{mask},"z":1}}', f'[1]],"secret":{mask}']  # what never closes is masked to the end
