@@ -49,7 +49,7 @@ def summarize_chunks(chunked: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     d = chunked.groupBy(*keys, "chunk_no").agg(rows.alias("_r"))
     texts = F.filter(F.transform("_r", lambda r: r["body"]), lambda b: b != "")
     tags = F.flatten(F.transform("_r", lambda r: F.coalesce(r["topic_tags"], no_strings())))
-    d = d.withColumn("_texts", texts)
+    d = d.withColumn("_texts", texts).withColumn("_all", F.array_join("_texts", " "))
     best = F.slice(
         F.sort_array(F.transform("_r", lambda r: F.struct((-F.coalesce(r["imp"], F.lit(0.0))).alias("i"), r["ord"].alias("o"), r["shot_id"].alias("s")))), 1, 5
     )
@@ -61,7 +61,7 @@ def summarize_chunks(chunked: DataFrame, keys: Sequence[str] = K) -> DataFrame:
         F.get("_r", F.lit(0))["shot_id"].alias("first_shot"),
         F.element_at("_r", -1)["shot_id"].alias("last_shot"),
         or_default(tx.keywords(F.array_join(F.concat(tags, "_texts"), " "), 5), CHUNK_TOPIC).alias("main_topics"),
-        F.when(F.size("_texts") > 0, tx.compact_text(F.array_join("_texts", " "), 280)).otherwise(CHUNK_EMPTY).alias("summary"),
+        F.when(F.size("_texts") > 0, tx.compact_start(F.col("_all"), 280)).otherwise(CHUNK_EMPTY).alias("summary"),
         F.transform(best, lambda b: b["s"]).alias("important_shots"),
     )
 

@@ -35,3 +35,36 @@ def test_sensitive_values_are_taken_out_inside_the_row_as_in_the_shuffle(spark,
     assert got[1024][0] == f'{{"secret":{mask},"d":[{{"password":{mask}}},{{"x":{{"Bearer":{mask}}}}}]}}'
     assert got[1024][1] == "[" + ",".join(f'{{"k":{i},"token_secret":{mask}}}' for i in range(200)) + "]"
     assert got[1024][2:4] == [f'{{"secret":{mask},"z":1}}', f'[1]],"secret":{mask}']  # what never closes is masked to the end
+
+
+def test_mentions_do_not_depend_on_the_filter_of_hashes(spark, monkeypatch):
+    from shotloom.operators import intervals as iv
+
+    texts = spark.createDataFrame([(i, f"see a-{i % 7} and b.{i % 5}, a-{i % 3}; x{i}") for i in range(60)] + [(99, None)], "text_id int, text string")
+    ids = spark.createDataFrame([("a-1",), ("b.3",), ("x7",), ("a-6",), ("none-1",)], "ref_id string")
+    got = {}
+    for slots in (1, 2**20):
+        monkeypatch.setattr(iv, "ID_SLOTS", slots)
+        found = iv.mention_join(texts, ids, keys=[])
+        got[slots] = sorted(map(tuple, found.collect()))
+    assert got[1] == got[2**20] and len(got[1]) == len({(i, w) for i in range(60) for w in (f"a-{i % 7}", f"b.{i % 5}", f"a-{i % 3}", f"x{i}")} & {(i, w) for i in range(60) for w in ("a-1", "b.3", "x7", "a-6")})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan.split("Aggregate")[1]  # before stretches are grouped and shuffled
+
+
+def test_keywords_and_the_start_of_long_texts(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from shotloom.functions import text as tx
+
+    rng = random.Random(5)
+    parts = ["the", "Cat", "cat-x", "视频笔记", "视频", "笔", "a", "Ab", "Kelvin", "x_1", "9z", ",", "\n\n", "\t ", "　", "é", "字" * 3, "😀"]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice(["", " ", "  "]) for _ in range(rng.randrange(60)))) for i in range(300)]
+    rows += [(1000, None), (1001, ""), (1002, " " * 500 + "ab " * 40), (1003, "a" + " " * 400 + "b" * 30), (1004, "c" * 20), (1005, "c" * 21)]
+    d = spark.createDataFrame(rows, "i int, t string")
+    t = F.col("t")
+    old = F.transform(tx.ranked_keywords(tx.words(t), 5), lambda k: k["token"])
+    for r in d.select("t", old.alias("a"), tx.keywords(t, 5).alias("b"), tx.compact_text(t, 20).alias("c"), tx.compact_start(t, 20).alias("d")).collect():
+        assert r.a == r.b and r.c == r.d, r.t
