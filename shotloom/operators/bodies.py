@@ -44,9 +44,10 @@ def greedy_batches(
     block first learn the state in which each block begins.
     """
     spot = F.floor((F.col(order) - 1) / block).cast("int")
-    packed = units.groupBy(*keys, spot.alias("_blk")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(order).cast("int").alias("o"), F.col(size).cast("int").alias("s")))).alias("_u")
-    )
+    rest = [c for c in units.columns if c not in (*keys, order)]
+    unit = F.struct(F.col(order).cast("int").alias("o"), F.col(size).cast("int").alias("s"), F.struct(order, *rest).alias("row"))
+    placed = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+    packed = units.groupBy(*keys, spot.alias("_blk")).agg(F.array_sort(F.collect_list(unit), placed).alias("_u"))
     packed = materialize(packed)
 
     def advance(r: Column, k: Column, s: Column) -> Column:
@@ -74,13 +75,12 @@ def greedy_batches(
         r = F.coalesce(top["r"], "entry_state", F.lit(0))
         k = F.coalesce(top["k"], "entry_count", zero)
         nxt = advance(r, k, u["s"])
-        return F.concat(acc, F.array(F.struct(u["o"].alias("o"), nxt["r"].alias("r"), nxt["k"].alias("k"))))
+        return F.concat(acc, F.array(F.struct(nxt["r"].alias("r"), nxt["k"].alias("k"))))
 
-    empty = F.array().cast("array<struct<o:int,r:int,k:bigint>>")
-    numbered = d.select(*keys, F.explode(F.aggregate("_u", empty, step)).alias("_x")).select(
-        *keys, F.col("_x.o").alias(order), F.col("_x.k").cast("int").alias("batch_no")
-    )
-    return units.join(numbered, [*keys, order])
+    empty = F.array().cast("array<struct<r:int,k:bigint>>")
+    # The units travel with their block, so they are read and gathered once.
+    numbered = F.zip_with("_u", F.aggregate("_u", empty, step), lambda u, x: F.struct(u["row"].alias("row"), x["k"].cast("int").alias("k")))
+    return d.select(*keys, F.explode(numbered).alias("_x")).select(*keys, "_x.row.*", F.col("_x.k").alias("batch_no"))
 
 
 def write_batches(batched: DataFrame, cap: int, keys: Sequence[str], unit: str, size: str = "shot_count") -> DataFrame:

@@ -68,3 +68,37 @@ def test_keywords_and_the_start_of_long_texts(spark):
     old = F.transform(tx.ranked_keywords(tx.words(t), 5), lambda k: k["token"])
     for r in d.select("t", old.alias("a"), tx.keywords(t, 5).alias("b"), tx.compact_text(t, 20).alias("c"), tx.compact_start(t, 20).alias("d")).collect():
         assert r.a == r.b and r.c == r.d, r.t
+
+
+def test_batched_units_travel_with_their_block(spark):
+    from shotloom.operators import bodies as bd
+
+    rows = [("a", i, (7 * i) % 13 + 1, {"n": i}) for i in range(1, 40)] + [("b", 1, 50, {}), ("b", 2, 3, None)]
+    d = spark.createDataFrame(rows, "chapter_id string, ord int, shot_count int, notes map<string,int>")
+    got = bd.greedy_batches(d, 20, ["chapter_id"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == ["chapter_id", "ord", "shot_count", "notes", "batch_no"]
+    want, held, batch = [], 0, 0
+    for k, i, s, notes in rows:
+        if k == "b":
+            want.append((k, i, s, notes, i))
+            continue
+        if not batch or held + s > 20:
+            held, batch = 0, batch + 1
+        held += s
+        want.append((k, i, s, notes, batch))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == want
+
+
+def test_each_reference_is_looked_up_once(spark):
+    from shotloom.operators import qa
+
+    one = lambda rows, cols: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols.split()))
+    cs = one([("v", "c1", "s1"), ("v", "c1", "s2"), ("v", "c1", "s2"), ("w", "c1", "x1")], "video_id chapter_id shot_id")
+    heads = one([("v", "c1", "s0")], "video_id chapter_id shot_id")
+    sub = one([("v", "c1", "1", "s1"), ("v", "c1", "1", "s9"), ("v", "c2", "1", "s2")], "video_id chapter_id subsection_id shot_id")
+    sub_heads = one([("v", "c1", "1", "s1"), ("v", "c1", "2", "s1")], "video_id chapter_id subsection_id shot_id")
+    cards = one([("v", "s1"), ("v", "s2"), ("v", "s2"), ("v", "s9")], "video_id shot_id")
+    got = qa.orphan_refs(cs, heads, sub, sub_heads, cards)
+    assert sorted(map(tuple, got.collect())) == [("v", "s0"), ("v", "s1"), ("v", "s2"), ("v", "s9"), ("w", "x1")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 3
