@@ -36,10 +36,10 @@ def orphan_refs(chapter_shots: DataFrame, heads: DataFrame, sub_shots: DataFrame
     """
     k, kc = ["video_id", "shot_id"], ["video_id", "chapter_id", "shot_id"]
     ks = ["video_id", "chapter_id", "subsection_id", "shot_id"]
-    ids = cards.select(*k)
+    # Each reference is looked up once, however often it is made.
+    made = chapter_shots.select(*k).unionByName(heads.select(*k)).unionByName(sub_shots.select(*k)).distinct()
     lost = [
-        chapter_shots.join(ids, k, "left_anti"), heads.join(ids, k, "left_anti"), sub_shots.join(ids, k, "left_anti"),
-        sub_shots.join(chapter_shots.select(*kc), kc, "left_anti"), sub_heads.join(sub_shots.select(*ks), ks, "left_anti"),
+        made.join(cards.select(*k), k, "left_anti"), sub_shots.join(chapter_shots.select(*kc), kc, "left_anti"), sub_heads.join(sub_shots.select(*ks), ks, "left_anti"),
     ]
     out = lost[0].select(*k)
     for part in lost[1:]:
