@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import re
+import uuid
 from collections.abc import Iterator, Sequence
+from itertools import chain, groupby, islice
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -143,14 +149,65 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def write_lines(df: DataFrame, path: str, order: Sequence[str], line: str, key: str = "video_id", per_file: int = 0) -> None:
-    """Text lines in order, in folders per video. Range partitions, as many as the session shuffles into, split a large video over several files."""
+    """Text lines in order, in folders per video. Range partitions, as many as the session shuffles into, split a large video over several files.
+
+    In a local or mounted folder the tasks write the files themselves, since there Spark's writer takes some 28 ms of a core
+    for each file and its commit moves the files of all videos one by one on the driver. Other stores, and overwriting by
+    partition, go through Spark's writer. Either way the folder is emptied first and gets its ``_SUCCESS`` last.
+    """
+    spark = df.sparkSession
     d = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
-    writer = d.select(key, line).write.mode("overwrite").partitionBy(key)
+    target = _local_folder(spark, path) if spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static" else None
+    if target is None:
+        rows = d.select(key, line)
+    else:
+        ship(spark)
+        rows = d.select(F.col(key).cast("string"), F.col(line).cast("string").cast("binary")).mapInArrow(_file_writer(target, key, per_file), f"`{key}` string, value string")
+    writer = rows.write.mode("overwrite").partitionBy(key)
     if per_file:
         writer = writer.option("maxRecordsPerFile", per_file)
     writer.text(path)
 
 
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """Absolute name of a folder of the local (or mounted) file system; None for any other store."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        if not spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:"):
+            return None
+        return os.path.abspath(path)
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else None
+
+
+def _file_writer(target: str, key: str, per_file: int):
+    """Writes sorted (key, line) rows as text files below folders of Spark's partition names; returns no rows.
+
+    A file appears under its name when it is complete, and a task that runs again replaces its files. A job that fails
+    leaves the files written so far, without ``_SUCCESS``.
+    """
+
+    def name(value: str) -> str:
+        return re.sub("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]", lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for value, group in groupby(rows, lambda row: row[0] or ""):
+            folder = f"{target}/{name(key)}={name(value)}"
+            os.makedirs(folder, exist_ok=True)
+            part = 0
+            for first in group:
+                whole = f"{folder}/part-{task:05d}-{part:05d}.txt"
+                draft = f"{folder}/.{uuid.uuid4().hex}"
+                with open(draft, "wb") as f:
+                    for row in chain([first], islice(group, per_file - 1) if per_file else group):
+                        f.write((row[1] or b"") + b"\n")
+                os.replace(draft, whole)
+                part += 1
+        return iter(())
+
+    return run
+
+
 def read_ocr_results(spark: SparkSession, path: str, page_field: str = "ocrResults") -> tuple[DataFrame, DataFrame]:
     """Recognition result files to (pages, info). A line without pages goes to the pages as a null result.
 
