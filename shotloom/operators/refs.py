@@ -21,11 +21,16 @@ def intersect(rows: DataFrame, valid: DataFrame, on: Sequence[str]) -> DataFrame
 
 
 def expected_vs_actual(expected: DataFrame, outputs: DataFrame, on: Sequence[str], order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(kept, unexpected, missing): the last output of an expected key wins."""
+    """(kept, unexpected, missing): the last output of an expected key wins.
+
+    Expected keys are shuffled before they are made distinct, into as many partitions as the session shuffles into, so that
+    no task holds the distinct keys of a whole input split.
+    """
+    wanted = expected.select(*on).repartition(int(expected.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on).distinct()
     last = outputs.groupBy(*on).agg(F.max_by(F.struct(*outputs.columns), order).alias("_r")).select("_r.*")
-    kept = last.join(expected.select(*on).distinct(), list(on), "left_semi")
-    unexpected = outputs.join(expected.select(*on).distinct(), list(on), "left_anti")
-    return kept, unexpected, difference(expected, outputs, on)
+    kept = last.join(wanted, list(on), "left_semi")
+    unexpected = outputs.join(wanted, list(on), "left_anti")
+    return kept, unexpected, difference(wanted, outputs, on)
 
 
 def upsert(base: DataFrame, delta: DataFrame, on: Sequence[str]) -> DataFrame:
