@@ -98,3 +98,50 @@ def test_no_title_text_goes_along_with_its_tokens(spark):
     t = spark.range(20).select(F.lit("v").alias("video_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(400)]).alias("title"))
     met = outline._similar_ids(t, t, 0.6, ["video_id"])[2]
     assert met.columns == ["_ia", "_ib", "similarity"] and met.count() == 20
+
+
+def brute_sets(rows, others, minimum):
+    near = lambda a, b: len(a & b) / len(a | b) >= minimum
+    sets, more = ({(v, frozenset(t.split())) for v, t in x if v and t} for x in (rows, others))
+    return {(v, a, b) for v, a in sets for w, b in more if v == w and near(a, b)}
+
+
+def found_sets(left, right, minimum, **more):
+    got = [(r.video_id, frozenset(r.set_a.split("\x1f")), frozenset(r.set_b.split("\x1f"))) for r in outline.similar_sets(left, right, minimum, **more).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_what_leaves_the_task_of_a_token_is_nearly_the_result(spark):
+    """Sets that share rare tokens but are not alike stay there, and alike ones leave it once."""
+    rng = random.Random(3)
+    words = [f"word{k}" for k in range(120)]
+    rows = [("v", " ".join(rng.sample(words, 30))) for _ in range(400)]
+    rows += [("v", " ".join(words[:30] + rng.sample(words[30:], 3))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "video_id string, title string")
+    a, b, same, found = outline._similar(df, df, 0.6, ["video_id"], 64)
+    pairs = outline._met(a, b, same, 0.6, ["video_id"], 64).collect()
+    want = (len(brute_sets(rows, rows, 0.6)) - len({frozenset(t.split()) for _, t in rows})) // 2
+    assert found.count() == want >= 60 * 59 // 2 and len({tuple(p) for p in pairs}) <= 1.05 * want and len(pairs) <= 2 * want
+    assert {t for _, t in outline._met(a, b, same, 0.6, ["video_id"], 64).dtypes} == {"bigint"}
+
+
+def test_tokens_of_one_hash_and_of_one_slot_lose_no_pair(spark, monkeypatch):
+    both = spark.range(400_000).select(F.concat(F.lit("w"), "id").alias("w")).groupBy(F.hash(F.lit("v"), "w")).agg(F.collect_list("w").alias("w")).where("size(w) > 1")
+    twins = [sorted(r.w)[:2] for r in both.limit(3).collect()]
+    assert twins
+    rng = random.Random(5)
+    words = [w for t in twins for w in t] + [f"word{k}" for k in range(8)]
+    rows = [("v", " ".join(rng.sample(words, rng.randint(1, 7)))) for _ in range(120)] + [(None, "some title"), ("w", "some title")]
+    others = [("v", " ".join(rng.sample(words, rng.randint(1, 7)))) for _ in range(80)] + [(None, "some title")]
+    left, right = (spark.createDataFrame(x, "video_id string, title string") for x in (rows, others))
+    for slots, before in ((2**20, 8), (4, 1)):
+        monkeypatch.setattr(outline, "TOKEN_SLOTS", slots)
+        monkeypatch.setattr(outline, "BEFORE", before)
+        assert found_sets(left, left, 0.6, block=16) == brute_sets(rows, rows, 0.6)
+        assert found_sets(left, right, 0.5, block=16) == brute_sets(rows, others, 0.5)
+
+
+def test_a_set_of_a_null_video_meets_nothing(spark):
+    df = spark.createDataFrame([(None, "some title"), (None, "some title"), ("v", "some title")], "video_id string, title string")
+    assert [r.video_id for r in outline.similar_sets(df, df, 0.6).collect()] == ["v"]
