@@ -145,3 +145,20 @@ def test_tokens_of_one_hash_and_of_one_slot_lose_no_pair(spark, monkeypatch):
 def test_a_set_of_a_null_video_meets_nothing(spark):
     df = spark.createDataFrame([(None, "some title"), (None, "some title"), ("v", "some title")], "video_id string, title string")
     assert [r.video_id for r in outline.similar_sets(df, df, 0.6).collect()] == ["v"]
+
+
+def test_titles_of_one_set_become_pairs_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(outline, "TITLE_BLOCK", 32, raising=False)
+    t = spark.range(300).select(F.lit("v").alias("video_id"), F.col("id").alias("chapter_no"), F.lit(1).alias("item_no"), F.lit("one title of many").alias("title"))
+    got = outline.cross_similarity(t, t.drop("item_no"), 0.6)
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 300 * 299 and max(tasks) < 0.4 * sum(tasks)
+    assert got.select("chapter_no", "other_no").distinct().count() == 300 * 299
+
+
+def test_a_table_without_its_item_column_is_the_same_side(spark):
+    t = spark.createDataFrame([("v", 1, 1, "a title"), ("v", 1, 2, "a title"), ("v", 2, 1, "a title")], "video_id string, chapter_no int, item_no int, title string")
+    titles = lambda x: x.select("video_id", "title")
+    assert outline._same_rows(titles(t), titles(t.drop("item_no"))) and not outline._same_rows(titles(t), titles(t.where("item_no = 1")))
+    got = [(r.chapter_no, r.item_no, r.other_no) for r in outline.cross_similarity(t, t.drop("item_no"), 0.6).collect()]
+    assert sorted(got) == [(1, 1, 2), (1, 2, 2), (2, 1, 1), (2, 1, 1)]
